@@ -36,50 +36,51 @@ class MergeReplay:
     """Encodes sets of words with given ranks; equal to encoding each word alone, lowest rank first, leftmost first."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
+
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks.get(bytes([i])) for i in range(256)]
-        if None in self.single:
+        single = [ranks.get(bytes([i])) for i in range(256)]
+        if None in single:
             raise ValueError("the ranks lack single bytes")
-        self.merged: dict[tuple[int, int], int | None] = {}
-
-    def pair(self, left: int, right: int) -> int | None:
-        """The rank to which two neighbouring tokens merge, or None."""
-        key = (left, right)
-        try:
-            return self.merged[key]
-        except KeyError:
-            if len(self.merged) > 2_000_000:
-                self.merged.clear()
-            out = self.merged[key] = self.ranks.get(self.token[left] + self.token[right])
-            return out
+        self.single = np.array(single, dtype=np.int64)
+        self.byte_pairs = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int64)
+        self.merged: dict[int, int] = {}
+
+    def pair(self, key: int) -> int:
+        """The rank to which the tokens of key (left * 2^24 + right) merge, or -1; remembered."""
+        if len(self.merged) > 2_000_000:
+            self.merged.clear()
+        out = self.merged[key] = self.ranks.get(self.token[key >> 24] + self.token[key & 0xFFFFFF], -1)
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """For each word its ids as little-endian unsigned 32-bit integers."""
+        import numpy as np
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        owner: list[int] = []
-        starts: list[tuple[int, int]] = []
-        index: dict[int, list[int]] = {}
-        single, ranks, pair = self.single, self.ranks, self.pair
+        whole, parts, out = self.ranks.get, [], [b""] * len(words)
         for number, word in enumerate(words):
-            if not word:
-                continue
-            if (whole := ranks.get(word)) is not None:
-                out[number] = [whole]
-                continue
-            first = len(ids)
-            starts.append((number, first))
-            ids += [single[b] for b in word]
-            size = len(word)
-            before += [-1, *range(first, first + size - 1)]
-            after += [*range(first + 1, first + size), -1]
-            owner += [number] * size
-            for place in range(first, first + size - 1):
-                if (rank := pair(ids[place], ids[place + 1])) is not None:
-                    index.setdefault(rank, []).append(place)
-        heap = sorted(index)
+            if (rank := whole(word)) is not None:
+                out[number] = rank.to_bytes(4, "little")
+            elif word:
+                parts.append(number)
+        if not parts:
+            return out
+        ends = np.cumsum([len(words[number]) for number in parts])
+        data = np.frombuffer(b"".join(words[number] for number in parts), dtype=np.uint8).astype(np.int64)
+        # At each position: its token, its neighbours (-1: none), and the rank of the pair that begins there (-1: none).
+        n, last = len(data), ends - 1
+        pairs = np.full(n, -1, dtype=np.int64)
+        pairs[:-1] = self.byte_pairs[data[:-1] * 256 + data[1:]]
+        pairs[last] = -1
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[last], left[np.concatenate([[0], ends[:-1]])] = -1, -1
+        at = np.nonzero(pairs >= 0)[0]
+        at = at[np.argsort(pairs[at], kind="stable")]
+        kinds, begins = np.unique(pairs[at], return_index=True)
+        index = {rank: places.tolist() for rank, places in zip(kinds.tolist(), np.split(at, begins[1:]), strict=True)} if len(at) else {}
+        ids, ranks, after, before, alive = self.single[data].tolist(), pairs.tolist(), right.tolist(), left.tolist(), bytearray(b"\1") * n
+        heap, known, pair = sorted(index), self.merged.get, self.pair
         while heap:
             rank = heappop(heap)
             places = index.pop(rank, None)
@@ -87,39 +88,60 @@ class MergeReplay:
                 continue
             places.sort()
             later: list[int] = []
-            waiting = -1
+            closed = -1
             for place in places:
-                if owner[place] == waiting:
+                if ranks[place] != rank:
+                    continue
+                if place < closed:
                     later.append(place)
                     continue
                 second = after[place]
-                if second < 0 or ids[place] < 0 or pair(ids[place], ids[second]) != rank:
-                    continue
-                ids[place], ids[second] = rank, -1
-                third = after[place] = after[second]
+                third = after[second]
+                ids[place], ranks[second], alive[second], after[place] = rank, -1, 0, third
+                lower = False
                 if third >= 0:
                     before[third] = place
-                for left, right in ((before[place], place), (place, third)):
-                    if left < 0 or right < 0 or (new := pair(ids[left], ids[right])) is None:
-                        continue
-                    if new in index:
-                        index[new].append(left)
-                    else:
-                        index[new] = [left]
-                        heappush(heap, new)
-                    if new < rank:  # this word must take the lower rank first
-                        waiting = owner[place]
+                    key = rank << 24 | ids[third]
+                    if (new := known(key)) is None:
+                        new = pair(key)
+                    ranks[place] = new
+                    if new >= 0:
+                        lower = new < rank
+                        if new in index:
+                            index[new].append(place)
+                        else:
+                            index[new] = [place]
+                            heappush(heap, new)
+                else:
+                    ranks[place] = -1
+                first = before[place]
+                if first >= 0:
+                    key = ids[first] << 24 | rank
+                    if (new := known(key)) is None:
+                        new = pair(key)
+                    ranks[first] = new
+                    if new >= 0:
+                        lower = lower or new < rank
+                        if new in index:
+                            index[new].append(first)
+                        else:
+                            index[new] = [first]
+                            heappush(heap, new)
+                if lower:  # the rest of this word must take the lower rank first
+                    closed = int(ends[np.searchsorted(ends, place, side="right")])
             if later:
                 if rank in index:
                     index[rank] += later
                 else:
                     index[rank] = later
                     heappush(heap, rank)
-        for number, place in starts:
-            row = out[number]
-            while place >= 0:
-                row.append(ids[place])
-                place = after[place]
+        kept = np.frombuffer(alive, dtype=np.uint8).astype(bool)
+        packed = np.array(ids, dtype="<u4")[kept].tobytes()
+        stops = (4 * np.cumsum(kept)[last]).tolist()
+        begin = 0
+        for number, stop in zip(parts, stops, strict=True):
+            out[number] = packed[begin:stop]
+            begin = stop
         return out
 
 
@@ -141,9 +163,8 @@ class Codec:
         cut = [self.find(text) for text in texts]
         new = list({word for words in cut for word in words if word not in known})
         long: list[str] = []
-        for word, ids in zip(new, self.replay.encode_words([w.encode() for w in new]), strict=True):
-            packed = array("I", ids)
-            known[word] = packed.tobytes()
+        for word, packed in zip(new, self.replay.encode_words([w.encode() for w in new]), strict=True):
+            known[word] = packed
             if len(word) > CACHE_CHARS:
                 long.append(word)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
