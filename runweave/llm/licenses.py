@@ -52,7 +52,7 @@ def canonical_lines(text: Column) -> Column:
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
     c = F.regexp_replace(c, r"[^\p{L}\p{N}\n]++", " ")
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(c, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def digest_of(lines: Column) -> Column:
