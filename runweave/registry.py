@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import telemetry
+from .plans import corpus, telemetry
 
-MODULES = (telemetry,)
+MODULES = (telemetry, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
