@@ -95,6 +95,8 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     pair of blocks in a task of its own, and gives a spanning forest of its links, so that nothing that is reachable
     through links is lost while the number of rows stays in proportion to the group.
     """
+    # A written table of fingerprints is small and read by few tasks; each row gives 64, so it is dealt out first.
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     index = fps.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("v.place", "v.rest", "fp")
     groups = index.groupBy("place", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
     groups = cut(groups.where("n > 1"))
