@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, telemetry
+from .plans import corpus, records, streams, telemetry
 
-MODULES = (telemetry, corpus)
+MODULES = (telemetry, corpus, records, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

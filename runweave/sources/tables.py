@@ -18,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, agent_id, run_id, type, k int (a counter or fingerprint), cents long."""
+    return activity_of(table(spark, sf_dir, "events"))
+
+
+def activity_of(events: DataFrame) -> DataFrame:
+    """The activity log that `events`, a table or a stream, stands for."""
     kind = F.lit(None).cast("string")
     for given, stands_for in TYPES.items():
         kind = F.when(F.col("event_type") == given, stands_for).otherwise(kind)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "ts", F.col("user_id").alias("agent_id"), (F.col("user_id") % 20).alias("run_id"), kind.alias("type"),
         F.regexp_extract("props", r"(\d+)", 1).try_cast("int").alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
@@ -62,10 +67,17 @@ def cut(df: DataFrame) -> DataFrame:
 
     It ends the lineage of iterative plans at a place that outlives executors; the files go with the session.
     """
-    spark = df.sparkSession
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the folder that driver and executors share; what is put there goes with the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='runweave-')}"
     path = f"{folder.rstrip('/')}/runweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place.getParent())
+    system.deleteOnExit(place)
+    return path
