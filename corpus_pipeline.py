@@ -16,8 +16,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash.keep_one(docs, words=5, max_bits=3)
+    """Of each group of near duplicates (5-word shingles similar to 0.8 or more) the document of the smallest id stays."""
+    return simhash.keep_similar(docs, words=5, least=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

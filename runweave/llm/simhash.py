@@ -4,6 +4,10 @@ With at most k differing bits a 64-bit fingerprint is cut into k // 2 + 1 segmen
 segments would need, because one segment then differs by at most one bit. Each different fingerprint is indexed once
 for each segment and bit of it with that bit deleted (64 rows whatever k is), and fingerprints that share such a row
 are compared in full. Copies are folded before the index, so it only sees different fingerprints.
+
+Few differing bits of 64 mean nearly equal shingle sets only. For a bound on the similarity of the sets (similar,
+keep_similar) many short independent SimHashes are indexed by deletion variants, as many as find a pair at the bound
+with the wanted probability, and the pairs found are held against the bound with their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -21,22 +25,38 @@ BITS = 64
 PAIRED = 32
 #: Fingerprints a block holds when a large group is compared.
 BLOCK = 512
+#: Share of the pairs at the least similarity itself that similar() finds; more of those above it.
+RECALL = 0.99
+#: Bits of 64 in which a pair found through a short SimHash may differ to be compared in full; at similarity 0.8 about
+#: 10 differ, in two unrelated texts 32.
+CHECK_BITS = 22
+#: Rows of the index of short SimHashes that a task sorts.
+SORTED = 1 << 20
 
 
-def simhash_of(text: str, words: int) -> int:
-    """The 64-bit fingerprint of one text as an unsigned number."""
+def shingle_hashes(text: str, words: int):
+    """XXH64 (seed 42) of each shingle of a text, with repeats: an array of unsigned numbers."""
     import numpy as np
     import xxhash
 
     cut_words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
     if not cut_words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, n = b" ".join(cut_words), len(cut_words)
     ends = np.cumsum(np.fromiter(map(len, cut_words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     take, digest = min(words, n), xxhash.xxh64_intdigest
     spans = zip(starts[: n - take + 1].tolist(), ends[take - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+
+
+def simhash_of(text: str, words: int) -> int:
+    """The 64-bit fingerprint of one text as an unsigned number."""
+    import numpy as np
+
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded working memory for very long texts
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -189,12 +209,151 @@ def near_duplicates(df: DataFrame, words: int = 5, max_bits: int = 3, id_col: st
     return docs.join(own, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _plan(n: int, least: float) -> tuple[int, int]:
+    """(tables, bits): how many short SimHashes of how many bits find pairs of similarity `least` among n texts.
+
+    A bit differs with the probability of the angle between the sets over pi. bits (even) grows with log n, so that a
+    text meets one or two unrelated texts in a table; tables is the least number that gives RECALL with one bit off.
+    """
+    import math
+
+    bits = 2 * math.ceil((math.log2(max(n, 2)) + 4) / 2)
+    differs = math.acos(2 * least / (1 + least)) / math.pi
+    found = (1 - differs) ** bits + bits * differs * (1 - differs) ** (bits - 1)
+    return (1 if found >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - found))), bits
+
+
+def _short_simhashes(hashes, tables: int, bits: int):
+    """(a 64-bit SimHash, `tables` more of `bits` bits) of a set of shingle hashes, as signed numbers."""
+    import numpy as np
+
+    wide = 1 + -(-tables * bits // BITS)
+    salts = (np.arange(wide, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(wide * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # bounded working memory, and sums that fit a byte
+        x = hashes[at : at + 255, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    ones = 2 * total > len(hashes)
+    check = np.packbits(ones[:BITS]).view(np.int64)[0]
+    return check, ones[BITS : BITS + tables * bits].reshape(tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, words: int, out: str, values):
+    """(id_col, whole long, *out) of each row: `whole` is the digest of the set of shingles, values(set) the rest."""
+    import pyarrow as pa
+
+    schema = T.StructType([df.schema[id_col], T.StructField("whole", T.LongType()), *T.StructType.fromDDL(out)])
+    arrow = {T.LongType(): pa.int64(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+    kinds = [arrow[f.dataType] for f in schema.fields[1:]]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            at = 0
+            for block in blocks(x.as_py() for x in batch.column(1)):
+                made = []
+                for text in block:
+                    own = np.unique(shingle_hashes(text, words))
+                    whole = np.array([xxhash.xxh64_intdigest(own.tobytes(), 7)], dtype=np.uint64).view(np.int64)[0]
+                    made.append((whole, *values(own)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), *columns], names=schema.names)
+                at += len(block)
+
+    return df.select(id_col, text_col).mapInArrow(work, schema)
+
+
+def _met(bits: int):
+    """Pairs of one partition's rows (key, check, whole) that meet in a deletion variant and are near in `check`.
+
+    A key is made of table, half, the bits of that half and the bits of the other half. Equal halves lie in one
+    partition; the other half may differ by one bit, so the keys are sorted once for each of its bits, deleted.
+    """
+    import pyarrow as pa
+
+    names = ["src", "dst"]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not parts:
+            return
+        key, check, whole = (np.concatenate(c) for c in zip(*parts, strict=True))
+        second = (key >> bits) & 1
+        for bit in range(bits // 2):
+            masked = key & ~(np.int64(1) << bit)
+            order = np.argsort(masked, kind="stable")
+            masked, at, step = masked[order], np.arange(len(order)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(order)]
+                at = at[masked[at] == masked[at + step]]
+                a, b = order[at], order[at + step]
+                # Equal codes meet in each half and bit: they are taken at the first one only.
+                take = (np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS) & ((key[a] != key[b]) | ((second[a] == 0) & (bit == 0)))
+                a, b = whole[a[take]], whole[b[take]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
+
+    return work
+
+
+def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, whole, component_id) of each row: documents linked by a Jaccard similarity of `least` or more.
+
+    The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
+    whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. The
+    pairs compared grow with the square of the number of different documents that are near each other.
+    """
+    n = df.count()
+    tables, bits = _plan(n, least)
+    half = bits // 2
+
+    def short(own):
+        check, codes = _short_simhashes(own, tables, bits)
+        return check, codes
+
+    docs = cut(_sets(df, id_col, text_col, words, "check long, codes array<long>", short))
+    first = docs.groupBy("whole").agg(F.first("check").alias("check"), F.first("codes").alias("codes"))
+    mask = (1 << half) - 1
+    both = lambda code, t: F.array(t * 2 * (1 << bits) + code, (t * 2 + 1) * (1 << bits) + code.bitwiseAND(F.lit(mask)) * (1 << half) + F.shiftright(code, half))
+    index = first.select(F.explode(F.flatten(F.transform("codes", both))).alias("key"), "check", "whole")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 // SORTED)
+    met = index.repartition(parts, F.shiftright("key", half)).mapInArrow(_met(bits), "src long, dst long")
+    pairs = cut(met.where("src <> dst").distinct())
+    wanted = pairs.select(F.col("src").alias("whole")).unionByName(pairs.select(F.col("dst").alias("whole"))).distinct()
+    holders = docs.join(wanted, "whole", "left_semi").groupBy("whole").agg(F.min(id_col).alias("_id")).select("_id").distinct()
+    texts = df.join(holders, df[id_col].eqNullSafe(holders["_id"]), "left_semi")
+    sets = cut(_sets(texts, id_col, text_col, words, "own array<long>", lambda own: (own.view("int64"),)).groupBy("whole").agg(F.first("own").alias("own")))
+    a, b = sets.select(F.col("whole").alias("src"), F.col("own").alias("a")), sets.select(F.col("whole").alias("dst"), F.col("own").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    edges = pairs.join(a, "src").join(b, "dst").where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared) - 1e-9).select("src", "dst")
+    found = components(edges)
+    low = cut(docs.groupBy("whole").agg(F.min(id_col).alias("low")).join(found.withColumnRenamed("node", "whole"), "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "low"))
+    own = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("whole", "component_id")
+    return cut(docs.select(id_col, "whole").join(own, "whole").select(id_col, "whole", "component_id"))
+
+
+def keep_similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that represent their component of similar(), as in keep_one()."""
+    return _representatives(df, similar(df, words, least, id_col, text_col), id_col, text_col)
+
+
 def keep_one(df: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that represent their near-duplicate component: one each, that of the smallest id.
 
     Of repeated rows of that id one stays. Rows of null id stay only if their component has no other id.
     """
-    found = near_duplicates(df, words, max_bits, id_col, text_col)
+    return _representatives(df, near_duplicates(df, words, max_bits, id_col, text_col), id_col, text_col)
+
+
+def _representatives(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     kept = df.join(keep, df[id_col].eqNullSafe(keep["_keep"]), "left_semi")
     twice = df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))

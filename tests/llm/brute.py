@@ -40,6 +40,26 @@ def linked(prints, most):
     return {number: least[root(value)] for number, value in prints}
 
 
+def shingle_set(text, size):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def joined(numbers, links):
+    """Smallest number reachable for each number."""
+    parent = {v: v for v in numbers}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {v: root(v) for v in parent}
+
+
 def rules(text):
     text = text or ""
     words = WORD.findall(text)

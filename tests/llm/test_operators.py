@@ -129,6 +129,34 @@ def test_simhash_large_group(spark):
     assert {v: roots.get(v, v) for v in values} == brute.linked(prints, 2)
 
 
+def test_simhash_similarity(spark):
+    """Near copies of similarity 0.8 and more are linked, as brute force over the shingle sets links them."""
+    import random
+
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(30, 400))]
+        texts.append(" ".join(words))
+        for changes in range(rnd.randint(0, 3)):
+            for _ in range(1 + len(words) * changes // 60):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), "", None, "one two", "one two"]
+    sets = [brute.shingle_set(t, 5) for t in texts]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = brute.joined(range(len(texts)), near)
+    order = list(enumerate(texts))
+    rnd.shuffle(order)
+    df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+    assert sum(sets[a] != sets[b] for a, b in near) > 100
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()} == least
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(least.values()))
+    assert simhash.similar(df.where("false")).count() == 0
+
+
 def test_token_counts(odd, none, docs):
     from tokenizers import Tokenizer
 
