@@ -231,6 +231,23 @@ def test_quality_rules(odd, none, docs):
     assert quality_rules.accept(docs).columns == docs.columns
 
 
+def test_quality_rules_common_words(spark, docs):
+    """Word lists and texts without common words are rejected by the word rules alone; clean documents are not."""
+    import random
+
+    rnd = random.Random(4)
+    made = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    junk = [(1, " | ".join(made[:120]), "en"), (2, ". ".join(" ".join(made[i : i + 9]).capitalize() for i in range(0, 390, 9)), "en")]
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    reference = quality_rules.references(table)
+    got = quality_rules.judged(spark.createDataFrame(junk, "doc_id long, text string, lang string"), reference=reference).collect()
+    assert [(r["base_failed"], r["class_distance"] <= quality_rules.CLASS_LIMIT, r["kept"]) for r in got] == [(False, True, False)] * 2
+    clean = table.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    judged = quality_rules.judged(clean, reference=reference).where(f"n_words >= 50 and not base_failed and class_distance <= {quality_rules.CLASS_LIMIT}").toPandas()
+    assert len(judged) > 1000 and judged["kept"].all()
+
+
 def test_chat(spark, none):
     rows = [Row(conv_id=1, turn=0, text="Human: How are you?\nAssistant: Fine.\nHuman: Why?", role=None), Row(conv_id=1, turn=1, text=None, role=None), Row(conv_id=None, turn=None, text="", role="user"), Row(conv_id=2, turn=0, text="x", role="user")]
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("text", T.StringType()), T.StructField("role", T.StringType())])
