@@ -22,11 +22,20 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}+", 0, None),
     ("hex", r"[0-9a-f]{32,}+", 0, None),
 )
+#: A private key from BEGIN to END; without END to the last line of base64 (a short last line only if it stands alone).
+#: Line ends may be escaped. Bounds keep the groups' loops from running deep.
+KEY_MARK = r"-----(?:BEGIN|END) [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"(?:\\[nr]|[\s>#*|\"'+,]){0,40}+"
+PRIVATE_KEY = (
+    KEY_MARK.replace("(?:BEGIN|END)", "BEGIN")
+    + r"(?:[^-]{0,32768}+(?:-(?!----(?:BEGIN|END) )[^-]{0,32768}+){0,64}+" + KEY_MARK.replace("(?:BEGIN|END)", "END")
+    + rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment|Hash): [^\n\\]*+){{0,8}}+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+){{0,1000}}+(?:\s{{1,4}}+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=\s*+\n|\s*+\z))?+)"
+)
 #: Further kinds, in one pattern: vendor tokens, web tokens, private keys, credentials in URLs, mixed runs.
 EXTRA = (
     r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{30,}+|[rs]k_live_[A-Za-z0-9]{16,}+)"
     r"|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
-    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"|{PRIVATE_KEY}"
     r"|://[^\s:/@]{1,64}:[^\s:/@]{4,128}@"
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+"
 )
@@ -50,7 +59,9 @@ def _spans(text: Column, kind: Column | None, pattern: str, group: int, least: i
     found = F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, step, lambda s: s["out"])).otherwise(none)
     if least:
         found = F.filter(found, lambda x: F.length(x["value"]) >= least)
-    return F.transform(found, lambda x: F.struct(x["start"], x["end"], (kind if kind is not None else _extra_kind(x["match"])).alias("kind"), F.sha2(x["value"], 256).alias("hash"), x["match"].alias("match")))
+    # A key is counted by its body: its marks, which all keys share, and its line ends go.
+    value = lambda x: x["value"] if kind is not None else F.when(x["match"].startswith("-----"), F.regexp_replace(x["value"], KEY_MARK + r"|\\[nr]|\s++", "")).otherwise(x["value"])
+    return F.transform(found, lambda x: F.struct(x["start"], x["end"], (kind if kind is not None else _extra_kind(x["match"])).alias("kind"), F.sha2(value(x), 256).alias("hash"), x["match"].alias("match")))
 
 
 def _extra_kind(match: Column) -> Column:

@@ -212,6 +212,36 @@ def test_secrets(odd, none, docs):
     assert secrets.report(none).count() == 0
 
 
+def test_secrets_private_keys(spark):
+    """A private key is one span from BEGIN to END, counted by its body: different keys in many sources are all live."""
+    import base64
+    import random
+
+    rnd = random.Random(6)
+
+    def key(end=True, kind="RSA ", line="\n", head=""):
+        body = base64.b64encode(rnd.randbytes(610)).decode()
+        lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+        return line.join([f"-----BEGIN {kind}PRIVATE KEY-----", *([head] if head else []), *lines, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])])
+
+    keys = [key(), key(kind=""), key(line="\\n"), key(end=False), key(end=False, head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n")]
+    texts = [f"before {k}\nafter it" for k in keys]
+    copied = key(kind="EC ")
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)] + [(10 + i, f"an example\n{copied.replace(chr(10), end)}", "en", f"s{i}", 0) for i, end in enumerate(("\n", "\r\n", "\n"))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in secrets.report(df, **q.owners()).collect()}
+    for i, k in enumerate(keys):
+        assert f"key:7:{7 + len(k)}" in got[i]["spans"].split(",") and got[i]["n_live"] >= 1
+    assert all("key:" not in got[i]["spans"] for i in (10, 11, 12))
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(df, **q.owners()).collect()}
+    assert all(masked[i] == "before [secret]\nafter it" for i in range(len(keys)))
+    # A begin without an end before the next key is a key of its own; a long text of dashes ends no task.
+    two = keys[3] + "\n\n" + keys[0]
+    odd = spark.createDataFrame([(1, two), (2, "-----BEGIN PRIVATE KEY-----" + "- x" * 200_000), (3, "-----BEGIN PRIVATE KEY-----\n" + ("A" * 64 + "\n") * 2_000)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(odd).collect()}
+    assert spans[1].count("key:") == 2 and spans[2].startswith("key:0:27") and spans[3].startswith("key:0:")
+
+
 def test_mixing(spark, odd, none, docs):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
