@@ -95,6 +95,15 @@ def s14_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.history(log.where(~old & (F.col("run_id") % 2 == 0)), log.where(old)).select("event_id", "run_id", "type")
 
 
+def s14_whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of agents whose last event ends a conversation are archived, the others hot with a stale copy archived."""
+    log = activity(spark, sf_dir)
+    ended = log.groupBy("agent_id").agg((F.max_by("type", F.struct("ts", "event_id")) == "conversation-end").alias("closed"))
+    log = log.join(ended, "agent_id")
+    hot, archive = log.where(~F.col("closed")), log.where(F.col("closed") | (F.col("ts") < F.lit(ARCHIVED).cast("timestamp_ntz")))
+    return t.history(hot, archive, "agent_id").select("event_id", "agent_id", "type")
+
+
 def w3_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.novelty(activity(spark, sf_dir))
 
@@ -123,6 +132,7 @@ ORACLES = {
     "a22_merge_summaries": f"""WITH {ACTIVITY}, o AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS up, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS down, row_number() OVER (PARTITION BY agent_id, status IS NULL ORDER BY ts DESC, event_id DESC) AS srank FROM m)
       SELECT agent_id, count(*) AS n_events, max(CASE WHEN up = 1 THEN event_id END) AS first_event, max(CASE WHEN down = 1 THEN event_id END) AS last_event, max(CASE WHEN down = 1 THEN type END) AS last_type, max(CASE WHEN srank = 1 THEN status END) AS status, max(CASE WHEN type = 'api-request' THEN k END) AS api_calls FROM o GROUP BY agent_id""",
     "s14_history": f"WITH {ACTIVITY}, h AS (SELECT * FROM a WHERE ts >= '{ARCHIVED}' AND run_id % 2 = 0) SELECT event_id, run_id, type FROM h UNION ALL SELECT event_id, run_id, type FROM a WHERE ts < '{ARCHIVED}' AND run_id NOT IN (SELECT run_id FROM h)",
+    "s14_whole_history": f"WITH {ACTIVITY} SELECT event_id, agent_id, type FROM a",
     "w3_novelty": f"WITH {ACTIVITY} SELECT event_id, run_id, k, row_number() OVER (PARTITION BY run_id, k ORDER BY ts, event_id) = 1 AS novel FROM a",
 }
-QUERIES = {f.__name__: f for f in (s2_tail, a14_agent_summary, w10_last_n, w2_streaks, x3_loop_guard, x5_backoff, w1_turn_deltas, j16_streak_floor, j15_pauses_between, p21_transcript, a2_provider_status, a21_attempt_history, w12_status_changes, x7_job_state, x13_closed_runs, a22_merge_summaries, s14_history, w3_novelty)}
+QUERIES = {f.__name__: f for f in (s2_tail, a14_agent_summary, w10_last_n, w2_streaks, x3_loop_guard, x5_backoff, w1_turn_deltas, j16_streak_floor, j15_pauses_between, p21_transcript, a2_provider_status, a21_attempt_history, w12_status_changes, x7_job_state, x13_closed_runs, a22_merge_summaries, s14_history, s14_whole_history, w3_novelty)}
