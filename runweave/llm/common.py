@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='runweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return folder
@@ -77,13 +79,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def lazily(make: Callable[[], object]) -> Callable[[], object]:
-    """make() on first call, then its result: for what each Python worker builds once."""
-    made: list[object] = []
-
-    def get():
-        if not made:
-            made.append(make())
-        return made[0]
-
-    return get
+def no_clash(columns: Iterable[str], *outputs: str) -> None:
+    """ValueError if one of the names of `columns` is, whatever its case, that of an output column."""
+    taken = {c.lower() for c in columns}
+    if clash := [name for name in outputs if name.lower() in taken]:
+        raise ValueError(f"columns that an operator adds are there already: {', '.join(clash)}")

@@ -90,3 +90,38 @@ def written(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+PRIME, BASES = (1 << 31) - 1, (911_382_323, 972_663_749)
+
+
+def sketch(text, length):
+    """The 64 smallest mixed polynomial hashes of the windows of a text, from their definition."""
+    length, found = min(length, len(text)), set()
+    for i in range(len(text) - length + 1 if length else 0):
+        a, b = (sum((ord(c) + 1) * pow(base, j, PRIME) for j, c in enumerate(text[i : i + length])) % PRIME for base in BASES)
+        x = (a << 31 | b) * 0x9E3779B97F4A7C15 % (1 << 64)
+        found.add(((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 32)
+    return sorted(found)[:64]
+
+
+def fingerprint(text):
+    """(written fingerprint, sketches of 16 and, for texts under 64 characters, of 3 characters)."""
+    long, short = sketch(text, 16), sketch(text, 3) if len(text) < 64 else None
+    return ".".join("".join(f"{v:08x}" for v in s) for s in (long, short) if s), long, short
+
+
+def likeness(a, b):
+    a, b = (a[2], b[2]) if a[2] is not None and b[2] is not None else (a[1], b[1])
+    if not a or not b:
+        return float(len(a) == len(b))
+    least = sorted({*a, *b})[:64]
+    j = len({*a} & {*b} & {*least}) / len(least)
+    return 2 * j / (1 + j)
+
+
+def common_prefix(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n

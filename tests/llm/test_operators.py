@@ -81,23 +81,47 @@ def test_bpe_replay_on_random_bytes(library):
 
 
 def test_fingerprints(odd, none, docs):
-    unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    for df in (unique, docs):
+    """All columns of every row against brute force, on odd texts and on the smaller texts of the smallest table."""
+    unique = odd.where("doc_id is not null and (text is null or length(text) < 20000)").dropDuplicates(["doc_id"])
+    for df in (unique, docs.where("length(text) < 1500 or text is null")):
         rows = sorted(texts_of(df))
-        want = {}
+        prints = [brute.fingerprint(t) for _, t in rows]
+        want = []
         for i, (doc_id, text) in enumerate(rows):
-            after = rows[(i + 1) % len(rows)][1]
-            quarter = len(text) // 4
-            want[doc_id] = (len(text), brute.sha(text[: len(text) - quarter] + after[:quarter]))
-        got = fingerprints.compare_with_edit(df).collect()
-        assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in got} == want and len(got) == len(rows)
-        assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-        prints, text = {r["doc_id"]: r["fingerprint"] for r in got}, dict(rows)
-        assert len({prints[i] for i in text if text[i] == text[rows[0][0]]}) == 1
+            after, quarter = rows[(i + 1) % len(rows)][1], len(text) // 4
+            edited = text[: len(text) - quarter] + after[:quarter]
+            own, its, then = prints[i], brute.fingerprint(edited), prints[(i + 1) % len(rows)]
+            want.append((doc_id, len(text), brute.sha(edited), own[0], its[0], brute.likeness(own, its), brute.likeness(own, then), brute.common_prefix(text, edited), brute.common_prefix(text, after)))
+        got = fingerprints.compare_with_edit(df)
+        assert pairs(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_prefix", "same_prefix_next") == sorted(want, key=repr)
     assert fingerprints.compare_with_edit(odd).count() == odd.count()
     assert fingerprints.compare_with_edit(none).count() == 0
-    a, b = fingerprints.PrefixHashes("abcdefgh"), fingerprints.PrefixHashes("xxabcdeZ")
-    assert fingerprints.common_extension(a, 0, b, 2) == 5
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(unique).collect()} == {d: brute.fingerprint(t)[0] for d, t in texts_of(unique)}
+
+
+def test_fingerprints_of_short_texts(spark):
+    """Of a short text whose last quarter changes most is still recognised."""
+    rows = [(i, t) for i, t in enumerate(["green apples", "seven old trains", "a quick note on it", "xylophone music", "buying"])]
+    for r in fingerprints.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["near_edited"] > 0.4 > r["near_next"]
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 16])
+def test_fingerprints_in_pieces(piece, monkeypatch):
+    """Span hashes, sketches and longest common extensions do not depend on the size of the pieces."""
+    import random
+
+    monkeypatch.setattr(fingerprints, "PIECE", piece)
+    monkeypatch.setattr(fingerprints, "_tables", [])
+    rnd = random.Random(2)
+    for n in (1, 15, 16, 63, 65, 300, 700):
+        text = "".join(rnd.choice("abé日🙂") for _ in range(n))
+        hashes = fingerprints.PrefixHashes(text)
+        assert fingerprints.Print.of(hashes).written() == brute.fingerprint(text)[0]
+        for _ in range(20):
+            i, other = rnd.randrange(n), text[rnd.randrange(n) :] + "zq"
+            j = rnd.randrange(len(other))
+            assert fingerprints.common_extension(hashes, i, fingerprints.PrefixHashes(other), j) == brute.common_prefix(text[i:], other[j:])
 
 
 def test_simhash(spark, odd, none, docs):
