@@ -3,7 +3,8 @@
 With at most k differing bits a 64-bit fingerprint is cut into k // 2 + 1 segments, fewer than the k + 1 that equal
 segments would need, because one segment then differs by at most one bit. Each different fingerprint is indexed once
 for each segment and bit of it with that bit deleted (64 rows whatever k is), and fingerprints that share such a row
-are compared in full. Copies are folded before the index, so it only sees different fingerprints.
+are compared in full. Copies are folded before the index, so it only sees different fingerprints. Where many share a
+row, the bits outside the segment are cut into segments in turn and indexed in the same way, within the group.
 
 Few differing bits of 64 mean nearly equal shingle sets only. For a bound on the similarity of the sets (similar,
 keep_similar) many short independent SimHashes are indexed by deletion variants, as many as find a pair at the bound
@@ -21,9 +22,11 @@ from pyspark.sql import types as T
 from .common import blocks, cut
 
 BITS = 64
-#: Variant groups up to this size are joined pair by pair inside Spark; larger ones are compared in blocks.
+#: Variant groups up to this size are joined pair by pair inside Spark; larger ones are indexed again by further bits.
 PAIRED = 32
-#: Fingerprints a block holds when a large group is compared.
+#: Bits left to tell members of a group apart from which on it is compared in blocks: it has few members by then.
+FEW_BITS = 8
+#: Fingerprints a block holds when such a group is compared.
 BLOCK = 512
 #: Share of the pairs at the least similarity itself that similar() finds; more of those above it.
 RECALL = 0.99
@@ -87,53 +90,94 @@ def fingerprints(df: DataFrame, words: int = 5, text_col: str = "text", out_col:
     return df.mapInArrow(work, T.StructType([*(df.schema[c] for c in others), T.StructField(out_col, T.LongType())]))
 
 
-def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each of the max_bits // 2 + 1 segments."""
+def _segments(bits: list[int], max_bits: int) -> list[list[int]]:
+    """`bits` in max_bits // 2 + 1 runs of about equal length, of which one differs by at most one bit."""
     n = max_bits // 2 + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    return [(low, high - low) for low, high in zip(edges, edges[1:], strict=False)]
+    edges = [len(bits) * i // n for i in range(n + 1)]
+    return [bits[low:high] for low, high in zip(edges, edges[1:], strict=False)]
 
 
-def _variants(fp: Column, max_bits: int) -> Column:
-    """array<struct<place, rest>>: for each bit its segment with that bit cleared. place names bit and segment."""
-    out = []
-    for low, size in _segments(max_bits):
-        segment = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << size) - 1))
-        for bit in range(size):
-            out.append(F.struct(F.lit(low + bit).alias("place"), segment.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << bit))).alias("rest")))
-    return F.array(*out)
+def _variants(fp: Column, group: Column, sides: Column, must: Column, depth: int, bits: list[int], paths: list[list[int]], max_bits: int) -> tuple[Column, list[list[int]]]:
+    """(array<struct<group, path, sides, must>>, paths with the new ones): for each of `bits` its segment with that bit deleted.
+
+    group names the segment, the bit and what is left of the segment, within the group so far (by a hash: groups that
+    fall together cost comparisons only). path numbers the entry of paths that has the bits outside the segments so far.
+    Two fingerprints with an equal segment meet when its first bit is deleted; so where another bit is deleted only
+    those matter that differ in it: the bit at `depth` of sides is the deleted bit, that of must says that it matters.
+    """
+    out, paths = [], list(paths)
+    for segment in _segments(bits, max_bits):
+        mask = sum(1 << b for b in segment)
+        for bit in segment:
+            held = mask & ~(1 << bit)
+            rest = fp.bitwiseAND(F.lit(held - (1 << BITS) if held >> (BITS - 1) else held))
+            side = F.shiftrightunsigned(fp, bit).bitwiseAND(F.lit(1)).cast("int")
+            out.append(F.struct(
+                F.xxhash64(group, F.lit(bit), F.lit(len(segment)), rest).alias("group"), F.lit(len(paths)).alias("path"),
+                sides.bitwiseOR(F.shiftleft(side, depth)).alias("sides"), must.bitwiseOR(F.lit(0 if bit == segment[0] else 1 << depth)).alias("must"),
+            ))
+        paths.append([b for b in bits if b not in segment])
+    return F.array(*out), paths
 
 
 def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows of index, and n, whose group has n > 1 members that differ in all the bits that matter; written.
+
+    index (fp, group, path, sides, must) is exchanged once.
+    """
+    parts, mine = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), Window.partitionBy("group")
+    counted = index.repartition(parts, "group").select("*", F.count("*").over(mine).alias("n"), F.bit_or("sides").over(mine).alias("any"), F.bit_and("sides").over(mine).alias("all"))
+    return cut(counted.where("n > 1 and ((any ^ all) & must) = must").drop("any", "all"))
+
+
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """(src, dst) pairs of different values of fps.fp, src < dst, that join up everything within max_bits.
 
-    Groups of two to PAIRED fingerprints give each link of theirs. A larger group is compared block by block, every
-    pair of blocks in a task of its own, and gives a spanning forest of its links, so that nothing that is reachable
-    through links is lost while the number of rows stays in proportion to the group.
+    Groups of two to PAIRED fingerprints give each link of theirs. A larger group is indexed again by the bits outside
+    its segment, which leaves half of the bits (for max_bits 2 and 3) each time, until the groups are small or only
+    FEW_BITS are left; then, with at most some thousand members, it is compared block by block and gives a spanning
+    forest of its links, so that nothing that is reachable through links is lost.
     """
     # A written table of fingerprints is small and read by few tasks; each row gives 64, so it is dealt out first.
     fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    index = fps.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("v.place", "v.rest", "fp")
-    groups = index.groupBy("place", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
-    groups = cut(groups.where("n > 1"))
-    near = _differ(F.col("src"), F.col("dst")) <= max_bits
-    twos = groups.where("n = 2").select("src", "dst").where(near)
-    some = index.join(groups.where(f"n > 2 and n <= {PAIRED}").select("place", "rest"), ["place", "rest"])
-    a, b = some.withColumnRenamed("fp", "src"), some.withColumnRenamed("fp", "dst")
-    pairs = a.join(b, ["place", "rest"]).where(F.col("src") < F.col("dst")).where(near).select("src", "dst")
-    large = index.join(groups.where(f"n > {PAIRED}").select("place", "rest", "n"), ["place", "rest"])
+    zero = F.lit(0)
+    first, paths = _variants(F.col("fp"), zero.cast("long"), zero, zero, 0, list(range(BITS)), [], max_bits)
+    held = _shared(fps.select("fp", F.explode(first).alias("v")).select("fp", "v.*"))
+    found, done, depth = None, 0, 0
+    while True:
+        some = held.where(f"n <= {PAIRED}")
+        a, b = some.select("group", "must", F.col("fp").alias("src"), F.col("sides").alias("one")), some.select("group", F.col("fp").alias("dst"), F.col("sides").alias("other"))
+        pairs = a.join(b, "group").where("src < dst and ((one ^ other) & must) = must").where(_differ(F.col("src"), F.col("dst")) <= max_bits).select("src", "dst")
+        found = pairs if found is None else found.unionByName(pairs)
+        large = held.where(f"n > {PAIRED}")
+        again, last = [], []
+        for path in range(done, len(paths)):
+            (again if len(paths[path]) > FEW_BITS else last).append(path)
+        done = len(paths)
+        if last:
+            found = found.unionByName(_blocks(large.where(F.col("path").isin(last)), max_bits))
+        large = large.where(F.col("path").isin(again)) if again else large.where("false")
+        if not again or large.isEmpty():
+            return cut(found.distinct())
+        variants, depth = F.lit(None), depth + 1
+        for path in again:
+            made, paths = _variants(F.col("fp"), F.col("group"), F.col("sides"), F.col("must"), depth, paths[path], paths, max_bits)
+            variants = F.when(F.col("path") == path, made).otherwise(variants)
+        held = _shared(large.select("fp", F.explode(variants).alias("v")).select("fp", "v.*"))
+
+
+def _blocks(large: DataFrame, max_bits: int) -> DataFrame:
+    """(src, dst) of groups (group, fp, n), compared block by block: every pair of blocks in a task of its own."""
     # A member goes to every pair of blocks that holds its own block; blocks are by hash, about BLOCK members each.
     count = F.ceil(F.col("n") / BLOCK).cast("long")
-    mine = F.pmod(F.xxhash64("fp"), F.col("count"))
-    dealt = large.withColumn("count", count).withColumn("mine", mine).select(
-        "place", "rest", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("other")
-    ).select("place", "rest", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("own"), "fp")
-    forest = dealt.groupBy("place", "rest", "i", "j").applyInPandas(_forest(max_bits), "src long, dst long")
-    return cut(twos.unionByName(pairs).unionByName(forest).distinct())
+    dealt = large.withColumn("count", count).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("count"))).select(
+        "group", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("other")
+    ).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
+    return dealt.groupBy("group", "i", "j").applyInPandas(_forest(max_bits), "src long, dst long")
 
 
 def _forest(max_bits: int):

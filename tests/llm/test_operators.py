@@ -153,6 +153,29 @@ def test_simhash_large_group(spark):
     assert {v: roots.get(v, v) for v in values} == brute.linked(prints, 2)
 
 
+@pytest.mark.parametrize(("free", "most"), [(32, 2), (16, 2), (11, 2), (32, 3), (20, 5), (12, 1)])
+def test_simhash_hot_variant(spark, free, most):
+    """Thousands of fingerprints that agree in all but `free` bits: no link between them is lost, and none is made up."""
+    import numpy as np
+
+    rng = np.random.default_rng(free)
+    n = min(20_000 if free == 32 else 2_000 if most < 4 else 300, 1 << (free - 1))
+    values = rng.choice(1 << free, n, replace=False).astype(np.uint64) if free < 30 else np.unique(rng.integers(0, 1 << free, n, dtype=np.uint64))
+    if free == 32:
+        values = np.unique(np.concatenate([values, values[:3000] ^ (np.uint64(1) << rng.integers(0, 32, 3000, dtype=np.uint64))]))
+    values = (values << np.uint64(5)) | np.uint64(0xA5 << 56)
+    want = []
+    for at in range(0, len(values), 500):
+        near = np.argwhere(np.bitwise_count(values[at : at + 500, None] ^ values[None, :]) <= most)
+        want += [tuple(sorted((int(values[at + i]), int(values[j])))) for i, j in near if at + i < j]
+    got = simhash.links(spark.createDataFrame(pd.DataFrame({"fp": values.view(np.int64)})), most)
+    found = {tuple(sorted((r["src"] % (1 << 64), r["dst"] % (1 << 64)))) for r in got.collect()}
+    assert found <= set(want)
+    numbers = {int(v): i for i, v in enumerate(values)}
+    joined = lambda some: brute.joined(range(len(values)), [(numbers[a], numbers[b]) for a, b in some])
+    assert joined(found) == joined(want)
+
+
 def test_simhash_similarity(spark):
     """Near copies of similarity 0.8 and more are linked, as brute force over the shingle sets links them."""
     import random
