@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import no_clash
+
 #: Equivalent spellings, each replaced by the second form (fixed values).
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright owner", "copyright holder"),
@@ -30,6 +32,33 @@ TEXTS = {
     "BSD-2-Clause": ("BSD 2-Clause License", _BSD.format(first="1. ", second="2. ", third="")),
     "BSD-3-Clause": ("BSD 3-Clause License", _BSD.format(first="1. ", second="2. ", third=f"3. {_THIRD}")),
     "Zlib": ("zlib License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
+    "Unlicense": ("The Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
+}
+#: Canonical digests of the standard wordings of long licences (fixed values).
+DIGESTS = {
+    "Apache-2.0": "d2a0635c24237c277a8353d9c1b79d252ec62ac2ab89b28b3deceb8b58ca13e3",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "BSD-3-Clause-UC": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "093bb37bff6533bc1f91f57d671e3e2cc9e4e27afc1293808fddc861a6d15329",
+    "LGPL-2.0": "148f4708fdb34267f108b3467504e464cf0c00e2c6b6ebafc1a45e2e5c4506b9",
+    "LGPL-2.1": "c3acda00b8ee9c98becbe30fce8f159cc6a985b3b9dc521e37d9ab2f241463b2",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+}
+#: Lines of the usual file headers, which name their licence (fixed values).
+HEADERS = {
+    "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License");', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not'),
+    "GPL-3.0": ("the Free Software Foundation, either version 3 of the License, or",),
+    "GPL-2.0": ("the Free Software Foundation; either version 2 of the License, or", "the Free Software Foundation, either version 2 of the License, or"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "MIT": ("Use of this source code is governed by an MIT-style license that can be", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license that can be", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 }
 #: Names under which one-line notices mention a licence (fixed values).
 NAMES = {
@@ -48,7 +77,7 @@ FORMS = ("Licensed under {0}", "Licensed under the {0}", "Released under {0}", "
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text, blank ones left out: array<string>; null gives an empty array."""
     c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, r"(?m)^[^\p{L}\p{N}\n©]*+(?:copyright\b(?! ?(?:holder|owner|notice))|\(c\)|©|all rights reserved)[^\n]*", "")
+    c = F.regexp_replace(c, r"(?m)^(?:(?!\(c\))[^\p{L}\p{N}\n©])*+(?:copyright\b(?! ?(?:holder|owner|notice))|\(c\) ?(?:copyright|\d{4})|©|all rights reserved)[^\n]*", "")
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
     c = F.regexp_replace(c, r"[^\p{L}\p{N}\n]++", " ")
@@ -66,9 +95,12 @@ def known(spark: SparkSession) -> DataFrame:
     """
     rows = [(name, form, True) for name, (title, body) in TEXTS.items() for form in (body, f"{title}\n\n{body}")]
     rows += [(name, form.format(alias), False) for name, aliases in NAMES.items() for alias in aliases for form in FORMS]
+    rows += [(name, line, False) for name, headers in HEADERS.items() for line in headers]
     lines = canonical_lines(F.col("text"))
     literals = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"), F.lit(whole).alias("whole")) for name, text, whole in rows])
     table = spark.range(1).select(F.explode(literals).alias("k")).select("k.*").select("license", "whole", digest_of(lines).alias("digest"), F.length(F.array_join(lines, " ")).alias("chars"))
+    fixed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(True).alias("whole"), F.lit(digest).alias("digest"), F.lit(None).cast("int").alias("chars")) for name, digest in DIGESTS.items()])
+    table = table.unionByName(spark.range(1).select(F.explode(fixed).alias("k")).select("k.*"))
     return table.groupBy("digest", "whole").agg(F.min("license").alias("license"), F.max("chars").alias("chars"))
 
 
@@ -78,8 +110,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     digest: SHA-256 of the canonical form of the whole text. license: the known licence with that digest, or null.
     notices: the licences of lines that are known one-line notices, distinct, ascending, comma-joined ('' for none);
     n_notices: such lines, repeats included. Null and empty texts have the digest of the empty text and no licence.
-    Repeated rows and null ids stay.
+    Repeated rows and null ids stay. Further columns of df, whatever their names, do not matter; id_col by the name of
+    an output is an error (ValueError).
     """
+    no_clash([id_col], "digest", "license", "n_notices", "notices")
     table = known(df.sparkSession)
     notices = table.where("not whole").select("digest", "license", "chars").collect()  # a few hundred fixed rows
     lines = canonical_lines(F.col(text_col))
