@@ -1,52 +1,69 @@
 """Quality rules: counts of words, symbols and repeats, and divergence from references of the language.
 
-The references are histograms over all documents of a language: character classes, and the most frequent words. A
-document is compared to those of its language by Jensen-Shannon distance (base 2, from 0 to 1), each comparison only
+The references are exact histograms over all documents of a language, however the rows are split: classes of
+characters, and the most frequent words. A document is compared to those of its language by Jensen-Shannon distance (base 2, from 0 to 1), each comparison only
 from a minimum length on. Everything but the references is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks
+from .common import blocks, no_clash
 
-#: Words whose shares are compared; words a task's summary keeps for a language.
-COMMON, SUMMARY = 64, 4096
+#: Words whose shares are compared; different words a task counts before it sends its counts on and begins anew.
+COMMON, COUNTED = 64, 1 << 17
+#: Languages that a table may have: their references are broadcast, so there is a bound.
+MOST_LANGS = 10_000
 #: Largest Jensen-Shannon distances that pass, and the least characters and words from which they are applied. Clean
 #: documents of sf0.1 reach a word distance of 0.43, word lists and made-up words are mostly at 0.51 to 0.61.
 CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.50, 200, 50
 #: Least share of common words, as a part of their share in the reference: a text without any is only 0.43 away from
-#: it. Clean documents of sf0.1 have 0.38 of it or more.
+#: it. Clean documents of sf0.1 whose language is labelled right have 0.68 of it or more.
 LEAST_COMMON = 0.25
+#: Languages, those of the most words, against which a text is held too that diverges from its own: labels can be wrong.
+OTHERS = 16
 #: Base rule: at least so many words, and at most so many hundredths of them in repeated 8-word windows.
 FEWEST_WORDS, REPEAT_SHARE, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def _classes() -> bytes:
-    """A class for each byte: 0 space, 1 lower, 2 upper, 3 digit, 4 stop and comma, 5 symbol, 6 other ASCII, 7 not ASCII."""
-    table = bytearray([6] * 128 + [7] * 128)
-    for b in range(128):
-        c = chr(b)
-        table[b] = 0 if c in " \t\n\x0b\x0c\r" else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:'" else 5 if c in "#*$%&|<>!?{}[]\\^~_=+@" else 6
-    return bytes(table)
+#: Classes of characters: 0 space, 1 lower, 2 upper, 3 number, 4 stop and comma, 5 symbol, 6 other punctuation, 7 letter
+#: without case, 8 mark, 9 control and unassigned.
+CLASSES = 10
+_GENERAL = {"Ll": 1, "Lu": 2, "Lt": 2, "Lo": 7, "Lm": 7, "M": 8, "N": 3, "P": 6, "S": 5, "Z": 0, "C": 9}
 
 
-CLASSES = 8
-_TABLE = _classes()
+def _class_of(code: int) -> int:
+    c = chr(code)
+    if code < 128:
+        return 0 if c in " \t\n\x0b\x0c\r" else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:'" else 5 if c in "#*$%&|<>!?{}[]\\^~_=+@" else 6
+    category = unicodedata.category(c)
+    return _GENERAL.get(category, _GENERAL.get(category[0], 9))
 
 
-def class_counts(data: bytes):
+_ASCII = bytes(map(_class_of, range(128))) + bytes(128)
+_all: list = []
+
+
+def class_counts(text: str):
+    """How many code points of a text are of each class."""
     import numpy as np
 
-    return np.bincount(np.frombuffer(data.translate(_TABLE), dtype=np.uint8), minlength=CLASSES)[:CLASSES]
+    if text.isascii():
+        found = np.frombuffer(text.encode().translate(_ASCII), dtype=np.uint8)
+    else:
+        if not _all:  # a table of all code points, made once in a worker that needs it
+            _all.append(np.fromiter(map(_class_of, range(0x110000)), dtype=np.uint8, count=0x110000))
+        found = _all[0][np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+    return np.bincount(found, minlength=CLASSES)
 
 
 def js_distance(p, q) -> float:
@@ -98,51 +115,59 @@ def repeated_words(words: list[bytes], size: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _measured(text: str) -> tuple[bytes, list[bytes], tuple[int, int, int, int, int]]:
+def _measured(text: str) -> tuple[int, int, int, int, int]:
     data = text.encode()
     words = data.split()
     word_chars = len(text) - (len(data) - len(data.translate(None, _SPACE)))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     lines = [line for line in data.split(b"\n") if line.strip()]
-    return data, words, (len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words))
+    return (len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words))
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict]:
-    """For each language {"classes": counts, "words": {word: share}} over all rows; '' stands for a null language.
+def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str | None, dict]:
+    """For each language {"classes": counts, "words": {word: count}, "total": words} over all rows; None for a null one.
 
-    Words are lower-cased (A-Z). Each task sends one row of class counts a language and a bounded summary of its
-    frequent words; languages times (8 + COMMON) numbers come to the driver.
+    Words are lower-cased (A-Z). Each task counts words in bounded memory and sends its counts on whenever they are
+    many, so the sums are exact. Languages times (CLASSES + COMMON + 1) numbers come to the driver; more than MOST_LANGS
+    languages are an error (ValueError).
     """
     import pyarrow as pa
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, words = {}, {}
+        classes, words, size = {}, {}, 0
+
+        def counted() -> pa.RecordBatch:
+            rows = [(lang, word.decode(), n) for lang, own in words.items() for word, n in own.items()]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
         for batch in batches:
             langs = batch.column(1)
             at = 0
             for block in blocks(x.as_py() for x in batch.column(0)):
                 for text in block:
-                    lang = langs[at].as_py() or ""
+                    lang = langs[at].as_py()
                     at += 1
-                    data = text.encode()
-                    classes[lang] = classes.get(lang, 0) + class_counts(data)
+                    classes[lang] = classes.get(lang, 0) + class_counts(text)
                     own = words.setdefault(lang, Counter())
-                    cut = data.lower().split()
+                    cut, before = text.encode().lower().split(), len(own)
                     own.update(cut)
                     own[b"\n"] += len(cut)
-                    if len(own) > 16 * SUMMARY:
-                        words[lang] = Counter(dict(own.most_common(4 * SUMMARY)))
-        rows = [(lang, f"\t{i}", int(n)) for lang, counts in classes.items() for i, n in enumerate(counts)]
-        rows += [(lang, word.decode(), n) for lang, own in words.items() for word, n in own.most_common(SUMMARY) if len(word) <= 64]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
-
-    from pyspark.sql import Window
+                    size += len(own) - before
+                if size > COUNTED:
+                    yield counted()
+                    words, size = {}, 0
+        for lang, counts in classes.items():
+            words.setdefault(lang, Counter()).update({b"\t%d" % i: int(n) for i, n in enumerate(counts)})
+        yield counted()
 
     counts = df.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(summed, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # Classes and totals, CLASSES + 1 rows a language, are ranked apart, so that one bound on the rank takes them all.
     rank = F.row_number().over(Window.partitionBy("lang", F.substring("word", 1, 1).isin("\t", "\n")).orderBy(F.desc("n"), "word"))
-    out: dict[str, dict] = {}
-    for row in counts.withColumn("r", rank).where(f"r <= {COMMON} or substring(word, 1, 1) in ('\t', '\n')").collect():
+    top = counts.withColumn("r", rank).where(F.col("r") <= COMMON).select("lang", "word", "n")
+    rows = top.limit(MOST_LANGS * (COMMON + CLASSES + 1) + 1).collect()
+    out: dict[str | None, dict] = {}
+    for row in sorted(rows, key=lambda r: (-r["n"], r["word"])):
         own = out.setdefault(row["lang"], {"classes": [0] * CLASSES, "words": {}, "total": 0})
         if row["word"].startswith("\t"):
             own["classes"][int(row["word"][1:])] = row["n"]
@@ -150,57 +175,94 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             own["total"] = row["n"]
         else:
             own["words"][row["word"]] = row["n"]
+    if len(out) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     return out
 
 
-def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), reference: dict | None = None) -> DataFrame:
-    """Columns `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
-    class_distance, word_distance double.
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
-    Counts are over the whole text; null counts as empty, which fails the base rule (fewer than 20 words). kept is
-    false if the base rule fails, or a distance from the reference of the document's language is over its limit or
-    its common words have less than LEAST_COMMON of their share there, and the document is long enough for it. reference: as references() gives it, by default over df. Rows come out as
-    they went in, with repeats and null keys; a null language has a reference of its own.
-    """
+
+def _divergence(text: str, n: int, reference: dict) -> tuple[bool, float, float]:
+    """(whether a text of n words diverges from a reference, class distance, word distance)."""
+    import numpy as np
+
+    of_class = js_distance(class_counts(text).astype(np.float64), reference["class_array"])
+    common, shares = reference["index"], reference["shares"]
+    hist = np.zeros(len(shares))
+    for word, times in Counter(text.encode().lower().split()).items() if n >= LEAST_WORDS else ():
+        hist[common.get(word, -1)] += times
+    of_words = js_distance(hist, shares)
+    few = hist[:-1].sum() * shares.sum() < LEAST_COMMON * n * shares[:-1].sum()
+    odd = len(text) >= LEAST_CHARS and of_class > CLASS_LIMIT or n >= LEAST_WORDS and (of_words > WORD_LIMIT or few)
+    return bool(odd), of_class, of_words
+
+
+def verdict(text: str, reference: dict | None, others: tuple[dict, ...] = ()) -> tuple:
+    """The values of NAMES for one text; reference, others: indexed ones of its language (or None) and of the main ones."""
+    counts = _measured(text)
+    n, _, _, _, repeat = counts
+    failed = n < FEWEST_WORDS or 100 * repeat > REPEAT_SHARE * n
+    if reference is None:
+        return (*counts, failed, not failed, 0.0, 0.0)
+    odd, of_class, of_words = _divergence(text, n, reference)
+    if odd and not failed:
+        odd = all(_divergence(text, n, other)[0] for other in others if other is not reference)
+    return (*counts, failed, not failed and not odd, of_class, of_words)
+
+
+def _indexed(reference: dict) -> dict:
+    """A language's reference as arrays: class_array, shares (of the common words and, last, of all others), index."""
+    import numpy as np
+
+    words = reference["words"]
+    return {
+        "class_array": np.array(reference["classes"], dtype=np.float64), "index": {w.encode(): i for i, w in enumerate(words)},
+        "shares": np.array([*words.values(), max(0, reference["total"] - sum(words.values()))], dtype=np.float64),
+    }
+
+
+def _judged(df: DataFrame, text_col: str, lang_col: str, keep: tuple[str, ...], reference: dict | None) -> DataFrame:
+    """Columns k0, k1, ... for `keep`, then NAMES."""
     import pyarrow as pa
 
-    needed = [*keep, *(c for c in dict.fromkeys((text_col, lang_col)) if c not in keep)]
+    needed = [*keep, text_col, lang_col]
     rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(needed)))
     shared = df.sparkSession.sparkContext.broadcast(reference if reference is not None else references(df, text_col, lang_col))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+    own = rows.schema.fields[: len(keep)]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        own = {}
-        for lang, r in shared.value.items():
-            common = {w.encode(): i for i, w in enumerate(r["words"])}
-            shares = np.array([*r["words"].values(), max(0, r["total"] - sum(r["words"].values()))], dtype=np.float64)
-            own[lang] = (np.array(r["classes"], dtype=np.float64), common, shares)
+        indexed = {lang: _indexed(r) for lang, r in shared.value.items()}
+        main = tuple(indexed[lang] for lang in sorted(indexed, key=lambda k: -shared.value[k]["total"])[:OTHERS])
         for batch in batches:
-            texts, langs = (batch.column(needed.index(c)) for c in (text_col, lang_col))
-            out = []
-            for text, lang in zip(texts, langs, strict=True):
-                data, words, counts = _measured(text.as_py() or "")
-                classes, common, shares = own[lang.as_py() or ""]
-                of_class = js_distance(class_counts(data).astype(np.float64), classes)
-                hist = np.zeros(len(shares))
-                for word, n in Counter(data.lower().split()).items() if len(words) >= LEAST_WORDS else ():
-                    hist[common.get(word, -1)] += n
-                of_words = js_distance(hist, shares)
-                n, _, _, _, repeat = counts
-                failed = n < FEWEST_WORDS or 100 * repeat > REPEAT_SHARE * n
-                few = hist[:-1].sum() * shares.sum() < LEAST_COMMON * n * shares[:-1].sum()
-                odd = len(data) >= LEAST_CHARS and of_class > CLASS_LIMIT or n >= LEAST_WORDS and (of_words > WORD_LIMIT or few)
-                out.append((*counts, failed, not failed and not odd, of_class, of_words))
-            made = [pa.array(values, k) for values, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
+            texts, langs = batch.columns[len(keep) :]
+            out = [verdict(text.as_py() or "", indexed.get(lang.as_py()), main) for text, lang in zip(texts, langs, strict=True)]
+            made = [pa.array(values, k) for values, k in zip(zip(*out, strict=True) if out else [[]] * len(NAMES), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[f.name for f in own] + list(NAMES))
 
     types = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] * 2
-    return rows.mapInArrow(work, T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in zip(names, types, strict=True))]))
+    return rows.mapInArrow(work, T.StructType([*own, *(T.StructField(n, t) for n, t in zip(NAMES, types, strict=True))]))
+
+
+def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), reference: dict | None = None) -> DataFrame:
+    """Columns `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
+    class_distance, word_distance double.
+
+    Counts are over the whole text; null counts as empty, which fails the base rule (fewer than 20 words). kept is
+    false if the base rule fails, or a distance from the reference of the document's language is over its limit or
+    its common words have less than LEAST_COMMON of their share there, and the document is long enough for it, and it
+    diverges likewise from each of the OTHERS main languages (so a wrong label alone rejects nothing).
+    reference: as references() gives it, by default over df; a language that it lacks is held against none, with
+    distances 0. Rows come out as they went in, with repeats and null keys; a null language has a reference of its own.
+    A column of `keep` by the name of an output is an error (ValueError); other columns of df do not matter.
+    """
+    no_clash(keep, *NAMES)
+    found = _judged(df, text_col, lang_col, keep, reference)
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *NAMES)
 
 
 def accept(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of df that judged() keeps, with the columns of df; texts go through one pass and no shuffle."""
-    return judged(df, text_col, lang_col, tuple(df.columns)).where("kept").select(*df.columns)
+    """The rows of df that judged() keeps, with the columns of df, whatever their names; one pass over texts, no shuffle."""
+    found = _judged(df, text_col, lang_col, tuple(df.columns), None).where("kept")
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)))
