@@ -5,6 +5,10 @@ dropped when it is full), and the summaries, a fixed number of rows a task, are
 encoded once and broadcast as a compact hash table from pre-token to length; its size is a parameter. A second pass
 looks each pre-token up there, encodes misses with the tokenizer through a bounded cache in the worker, and adds the
 lengths. No pre-token is shuffled, and the table only saves work: a miss is always encoded.
+
+Pre-tokens are cut by a pattern, which the tokenizer's own cutting may follow for another version of Unicode. Both are
+compared code point by code point when a query is planned; only a text with a code point on which they disagree (a
+letter that one of them does not know) is encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -18,21 +22,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_blocks
+from .common import column_blocks, no_clash
 
 #: Entries of a task's summary, entries of the broadcast table, words in a worker's cache.
 SUMMARY, FREQUENT, CACHE = 8192, 16384, 400_000
 #: Longest pre-token (characters) that is summed up or remembered.
 LONGEST = 64
-#: Up to here the character classes of all Unicode versions agree; a text with higher code points is counted by the
-#: library as a whole, which is exact for any version.
-STABLE = "԰"
+#: Code points that are compared; texts with one beyond (none is assigned there) go to the library.
+COMPARED = (range(0x80, 0xD800), range(0xE000, 0x32400), range(0xE0000, 0xE0200))
+_odd: dict[tuple[str, str], str] = {}
+
+
+def odd_characters(model: str, pattern: str) -> str:
+    """A character class of the code points on which pattern and the model's own cutting disagree, and of those not compared."""
+    import regex
+    from tokenizers import Tokenizer
+
+    if (model, pattern) not in _odd:
+        own, find = Tokenizer.from_str(model).pre_tokenizer, regex.compile(pattern).findall
+
+        def differing(codes: list[int]) -> list[int]:
+            probe = "".join(f"a{c}1{c} {c}\n" for c in map(chr, codes))
+            if [b - a for _, (a, b) in own.pre_tokenize_str(probe)] == [len(w) for w in find(probe)]:
+                return []
+            if len(codes) == 1:
+                return codes
+            step = -(-len(codes) // 8)
+            return [c for at in range(0, len(codes), step) for c in differing(codes[at : at + step])]
+
+        found = [c for codes in COMPARED for at in range(0, len(codes), 512) for c in differing(list(codes[at : at + 512]))]
+        ranges = [(found[i], found[i]) for i in range(len(found))]
+        ranges += [(a.stop, b.start - 1) for a, b in zip(COMPARED[1:], [*COMPARED[2:], range(0x110000, 0x110000)], strict=True)]
+        _odd[model, pattern] = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+    return _odd[model, pattern]
 
 
 class _Counter:
     """Counts tokens in one worker."""
 
-    def __init__(self, model: str, pattern: str, frequent: dict[str, int] | None = None):
+    def __init__(self, model: str, pattern: str, odd: str, frequent: dict[str, int] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -42,7 +70,7 @@ class _Counter:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in json.loads(model)["added_tokens"]):
             raise ValueError("added tokens that take in their neighbourhood are not handled")
         self.find = regex.compile(pattern).findall
-        self.odd = regex.compile(f"[{STABLE}-\U0010ffff]").search
+        self.odd = regex.compile(odd).search
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))).split if self.added else None
         self.frequent = frequent or {}
         self.cache: dict[str, int] = {}
@@ -57,7 +85,7 @@ class _Counter:
     def count(self, texts: list[str]) -> list[int]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cut = [(None, 0) if self.odd(text) else self.words(text) for text in texts]
+        cut = [(None, 0) if not text.isascii() and self.odd(text) else self.words(text) for text in texts]
         frequent, cache = self.frequent, self.cache
         new = list({w for words, _ in cut if words for w in words if w not in frequent and w not in cache})
         for word, tokens in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
@@ -82,7 +110,7 @@ def _worker(shared, pattern: str) -> _Counter:
     key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
     if key not in _workers:
         _workers.clear()
-        _workers[key] = _Counter(shared.value["model"], pattern, shared.value["frequent"])
+        _workers[key] = _Counter(shared.value["model"], pattern, shared.value["odd"], shared.value["frequent"])
     return _workers[key]
 
 
@@ -96,7 +124,8 @@ def frequent_lengths(df: DataFrame, model: str, pattern: str, text_col: str = "t
     """Lengths of the about `size` most frequent pre-tokens of all texts of df; summary rows a task go to one sum."""
     import pyarrow as pa
 
-    shared = df.sparkSession.sparkContext.broadcast({"model": model, "frequent": {}})
+    odd = odd_characters(model, pattern)
+    shared = df.sparkSession.sparkContext.broadcast({"model": model, "odd": odd, "frequent": {}})
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, counts = _worker(shared, pattern), Counter()
@@ -111,7 +140,7 @@ def frequent_lengths(df: DataFrame, model: str, pattern: str, text_col: str = "t
 
     rows = df.select(F.col(text_col).alias("text")).mapInArrow(summed, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = rows.column("word").to_pylist()
-    tokenizer = _Counter(model, pattern).tokenizer
+    tokenizer = _Counter(model, pattern, odd).tokenizer
     return {word: len(tokens.ids) for word, tokens in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
 
 
@@ -120,24 +149,28 @@ def count_tokens(df: DataFrame, model_path: str, pattern: str | None = None, tex
 
     Counts are those of the tokenizers library for the byte-level BPE file model_path, without begin or end tokens;
     special strings inside a text count as the library's default has it. Null counts as the empty text: 0 bytes, 0
-    tokens, not over. Rows come out as they went in, with repeats and null keys.
+    tokens, not over. Rows come out as they went in, with repeats and null keys. A column of `keep` by the name of an
+    output is an error (ValueError); other columns of df do not matter.
     """
     import pyarrow as pa
 
+    no_clash(keep, "n_bytes", "n_tokens", "over_limit")
     with open(model_path, encoding="utf-8") as file:
         model = file.read()
     pattern = pattern or _pattern()
-    df = df.select(*keep, F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast({"model": model, "frequent": frequent_lengths(df, model, pattern, size=frequent)})
+    own = [f"k{i}" for i in range(len(keep))]
+    df = df.select(*(F.col(c).alias(k) for k, c in zip(own, keep, strict=True)), F.col(text_col).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast({"model": model, "odd": odd_characters(model, pattern), "frequent": frequent_lengths(df, model, pattern, size=frequent)})
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _worker(shared, pattern)
         for batch in batches:
             for start, texts in column_blocks(batch, "text"):
                 counts = worker.count(texts)
-                part = batch.slice(start, len(texts)).select(list(keep))
+                part = batch.slice(start, len(texts)).select(own)
                 made = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "n_bytes", "n_tokens", "over_limit"])
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return df.mapInArrow(work, T.StructType([*(df.schema[c] for c in keep), *fields]))
+    found = df.mapInArrow(work, T.StructType([*(df.schema[k] for k in own), *fields]))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(own, keep, strict=True)), "n_bytes", "n_tokens", "over_limit")
