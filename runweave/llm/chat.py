@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, no_clash
 
 ROLES = ("system", "user", "assistant")
 #: Words of speaker markers and the roles that they hint at (fixed values).
@@ -29,12 +29,16 @@ FORM = ("<|", "|>\n", "\n<|end|>\n")
 def pieces(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
     """conv, turn, piece int, marker, content string, role (null where not one of ROLES), f array<string>, block long.
 
-    A text is cut before each line with a speaker marker; a text without gives one piece, null counts as empty. A null
-    turn counts as turn 0.
+    A text is cut before each line with a speaker marker; a text without gives one piece, null counts as empty. Rows
+    without a turn or without a conversation have no order: each is a conversation of its own, at turn 0, so that no
+    block holds them all, however many they are. conv is a key: see conversation().
     """
     cut_at = F.split(F.coalesce(text_col, F.lit("")), rf"(?i)\n(?=[ \t]*{MARKER})")
     role = F.lower(F.trim(role_col)) if role_col else F.lit(None).cast("string")
-    rows = df.select(F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(0).cast("long")).alias("turn"), F.when(role.isin(*ROLES), role).alias("role"), F.posexplode(cut_at).alias("piece", "raw"))
+    loose = F.col(conv_col).isNull() | F.col(turn_col).isNull()
+    tag = F.when(loose, F.concat(F.monotonically_increasing_id().cast("string"), F.when(F.col(conv_col).isNull(), "n").otherwise(""))).otherwise("")
+    rows = df.select(F.concat(tag, F.lit(":"), F.coalesce(F.col(conv_col).cast("string"), F.lit(""))).alias("conv"), F.when(loose, 0).otherwise(F.col(turn_col).cast("long")).alias("turn"), F.when(role.isin(*ROLES), role).alias("role"), cut_at.alias("cut_at"))
+    rows = rows.select("conv", "turn", "role", F.posexplode("cut_at").alias("piece", "raw"))
     word = F.lower(F.regexp_extract("raw", rf"(?i)^\s*(?:#{{1,6}} *|\*\*|\[|<\|)?({_WORDS})(?:(?:\*\*|\]|\|>)? *:(?:\*\*)?|\]|\|>)", 1))
     hint = F.lit("")
     for role_name, words in SPEAKERS.items():
@@ -43,6 +47,12 @@ def pieces(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", tex
     return rows.select("conv", "turn", "piece", "marker", "content", "role", features(F.col("marker"), F.col("content")).alias("f"), F.floor(F.col("turn") / TURNS_A_BLOCK).cast("long").alias("block"))
 
 
+def conversation(key: Column) -> Column:
+    """The conversation, as a string, of a key of pieces(): what follows the colon, null for a key of 'n'."""
+    at = F.locate(":", key)
+    return F.when(F.substring(key, at - 1, F.lit(1)) == "n", F.lit(None)).otherwise(F.substring(key, at + 1, F.length(key)))
+
+
 def features(marker: Column, content: Column) -> Column:
     """Categorical traits of a piece, each as 'name=value'."""
     bucket = lambda n: F.floor(F.log2(n.cast("double") + 1) * 2).cast("string")
@@ -110,9 +120,12 @@ def recover(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", te
 
     role is the one that Viterbi recovers from markers, line features and order; given roles only serve to learn the
     model, those of rows where `learn` holds (default: all). Order within a conversation: turn, piece, then content, so
-    equal (conv, turn) rows have a defined place; a null conversation is one of its own. rendered is
-    '<|role|>', the content and '<|end|>' on lines of their own. Repeated rows stay.
+    equal (conv, turn) rows have a defined place. A row without a conversation or without a turn is a conversation of
+    its own; its turn comes out as 0. rendered is '<|role|>', the content and '<|end|>' on lines of their own. Repeated
+    rows stay. Further columns of df, whatever their names, do not matter; conv_col or turn_col by the name of an output
+    is an error (ValueError).
     """
+    no_clash([conv_col, turn_col], "piece", "role", "marker", "content", "rendered")
     shown = df if learn is None or role_col is None else df.withColumn(role_col, F.when(learn, F.col(role_col)))
     rows = cut(pieces(shown, conv_col, turn_col, text_col, role_col))
     shared = df.sparkSession.sparkContext.broadcast(model(rows))
@@ -123,7 +136,7 @@ def recover(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", te
     heads = ends.select("conv", "block", F.lit(0).cast("long").alias("turn"), F.lit(0).alias("piece"), F.lit("").alias("content"), F.array().cast("array<string>").alias("f"), F.lit("").alias("marker"), "enter", "leave", F.lit(0).alias("kind"))
     found = _dealt(heads.unionByName(stream), "kind", "turn", "piece", "content").mapInPandas(lambda frames: _paths(frames, shared.value), f"conv {kind}, turn long, piece int, role string, marker string, content string")
     head, middle, end = FORM
-    return found.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "piece", "role", "marker", "content", F.concat(F.lit(head), "role", F.lit(middle), "content", F.lit(end)).alias("rendered"))
+    return found.select(conversation(F.col("conv")).cast(df.schema[conv_col].dataType).alias(conv_col), F.col("turn").alias(turn_col), "piece", "role", "marker", "content", F.concat(F.lit(head), "role", F.lit(middle), "content", F.lit(end)).alias("rendered"))
 
 
 def _emissions(model: dict, features: Iterable[str]):
