@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_blocks
+from .common import column_blocks, no_clash
 
 #: Most pre-tokens a worker remembers, and the longest (characters) among them.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
@@ -214,8 +214,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, text_col:
     """
     import pyarrow as pa
 
-    if ids_col in df.columns:
-        raise ValueError(f"column {ids_col} exists")
+    no_clash(df.columns, ids_col)
     shared, pattern = _shared_ranks(df, ranks_path), pattern or _pattern()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +236,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str | None = None, text_col:
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with the column bytes_col: the bytes that ids_col (array<int>) stands for; null ids give empty bytes.
 
-    An id outside the vocabulary fails the task with a KeyError that names it.
+    An id outside the vocabulary fails the task with a KeyError that names it. An existing column named bytes_col is an
+    error of the caller (ValueError).
     """
     import pyarrow as pa
 
+    no_clash(df.columns, bytes_col)
     shared = _shared_ranks(df, ranks_path)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +258,15 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text_
     """Encode and decode whole texts in one pass and return digests of both, with the columns `keep`.
 
     n_tokens long, ids_sha256 and decoded_sha256 (lowercase hex), exact boolean (decoded bytes equal the text's).
-    Null counts as the empty text. Map-only: rows come out as they went in, with repeats and null keys.
+    Null counts as the empty text. Map-only: rows come out as they went in, with repeats and null keys. A column of
+    `keep` by the name of an output is an error (ValueError); other columns of df do not matter.
     """
     import pyarrow as pa
 
+    no_clash(keep, "n_tokens", "ids_sha256", "decoded_sha256", "exact")
     shared, pattern = _shared_ranks(df, ranks_path), pattern or _pattern()
-    df = df.select(*keep, F.col(text_col).alias("text"))
+    own = [f"k{i}" for i in range(len(keep))]
+    df = df.select(*(F.col(c).alias(k) for k, c in zip(own, keep, strict=True)), F.col(text_col).alias("text"))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +277,9 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str | None = None, text_
                 for text, packed in zip(texts, codec.encode(texts), strict=True):
                     decoded = codec.decode(packed)
                     rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest(), decoded == text.encode()))
-                part = batch.slice(start, len(texts)).select(list(keep))
+                part = batch.slice(start, len(texts)).select(own)
                 made = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(work, T.StructType([*(df.schema[c] for c in keep), *fields]))
+    found = df.mapInArrow(work, T.StructType([*(df.schema[k] for k in own), *fields]))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(own, keep, strict=True)), *(f.name for f in fields))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import no_clash
+
 #: Most labelled rows that a model is fitted to; places of the hashed weights (a power of two).
 MOST_ROWS, PLACES = 8192, 1 << 18
 #: Constants of the fit: smoothing of the ratios, cost of the hinge loss, passes over the rows, held-back share.
@@ -80,7 +82,7 @@ def fit(rows: list, labels) -> bytes:
 
     y = np.asarray(labels, dtype=np.int64)
     weights, share = np.zeros(PLACES, dtype=np.float32), float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return np.concatenate([weights, np.array([0, 1, np.log(share / (1 - share))], dtype=np.float32)]).astype("<f4").tobytes()
 
@@ -209,11 +211,14 @@ def score(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str
     """Columns `keep`, score double (0 to 1), predicted int (1 if score >= threshold) for each whole text.
 
     Null counts as the empty text, which gets a score too. Rows come out as they went in, with repeats and null keys.
+    A column of `keep` by the name of an output is an error (ValueError); other columns of df do not matter.
     """
     import pyarrow as pa
 
+    no_clash(keep, "score", "predicted")
+    own = [f"k{i}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
+    rows = docs.select(*(F.col(c).alias(k) for k, c in zip(own, keep, strict=True)), F.col(text_col).alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = getattr(shared, "id", id(shared))
@@ -223,6 +228,7 @@ def score(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str
         scorer = _scorers[key]
         for batch in batches:
             scores = [scorer.score(t.as_py() or "") for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*own, "score", "predicted"])
 
-    return rows.mapInArrow(work, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    found = rows.mapInArrow(work, T.StructType([*(rows.schema[k] for k in own), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(own, keep, strict=True)), "score", "predicted")

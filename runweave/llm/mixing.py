@@ -13,7 +13,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut
+from .common import WORD_PATTERN, cut, fresh, no_clash
 
 #: Weights of the sources in their order, repeated; the share of all sizes that is mixed; most repeats of a source.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -24,7 +24,8 @@ ROWS_A_RANGE = 128
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size (words of the whole text, null: 0) and key (hash-random, the same on every run)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")  # 60 bits
+    # 60 bits; rows without an id are spread by their text.
+    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))), 1, 15), 16, 10).cast("long")
     return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
 
 
@@ -71,8 +72,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken counts the words that the mix takes from a document, repeats included: the whole epochs that fit into the
     source's target, and one more up to the exact (rounded down) budget in the order of the keys, so that the source
     takes just its target; the document at the cut gives a part. Null texts have size 0 and take 0; null sources are
-    one source; repeated rows are documents of their own.
+    one source; repeated rows are documents of their own. Further columns of df, whatever their names, do not matter;
+    id_col or source_col by the name of an output is an error (ValueError).
     """
+    no_clash([id_col, source_col], "size", "source_size", "target", "taken")
     sizes = cut(sized(df, id_col, text_col, source_col))
     per = targets(sizes, weights, share, repeats).select(F.col("source").alias("s"), "docs", "source_size", "target")
     rows = placed(sizes, sizes.count())
@@ -86,9 +89,11 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The documents of the mix with the columns of df: each row as often as the mix takes it, 0 to `repeats` times.
 
     A document of which the last epoch takes half or more is taken whole, one of less is not; documents without words
-    are not taken. Rows of df that share an id take the same number of copies.
+    are not taken. Rows of df that share an id take the same number of copies. All columns of df stay, whatever their
+    names.
     """
-    chosen = mix(df, id_col, text_col, source_col, weights, share, repeats)
-    times = chosen.where("size > 0").groupBy(id_col).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0").withColumnRenamed(id_col, "_id")
-    joined = df.join(times, df[id_col].eqNullSafe(times["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
+    own, times, copy = fresh(df, "id", "times", "copy")
+    chosen = mix(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "id", "text", "source", weights, share, repeats)
+    chosen = chosen.where("size > 0").groupBy(F.col("id").alias(own)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = df.join(chosen, df[id_col].eqNullSafe(chosen[own]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
