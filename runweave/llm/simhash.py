@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, cut
+from .common import blocks, cut, fresh, no_clash
 
 BITS = 64
 #: Variant groups up to this size are joined pair by pair inside Spark; larger ones are indexed again by further bits.
@@ -72,10 +72,11 @@ def fingerprints(df: DataFrame, words: int = 5, text_col: str = "text", out_col:
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles of `words` words with repeats, fewer
     words make one shingle, none (null and blank texts) give 0. A bit is set if it is set in over half of the
-    shingles' XXH64 hashes (seed 42).
+    shingles' XXH64 hashes (seed 42). A column out_col in df is an error (ValueError).
     """
     import pyarrow as pa
 
+    no_clash([c for c in df.columns if c != text_col], out_col)
     others = [c for c in df.columns if c != text_col]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,9 @@ def near_duplicates(df: DataFrame, words: int = 5, max_bits: int = 3, id_col: st
     component_id is the smallest id_col reachable through links of at most max_bits differing bits, itself included;
     a document without partners is its own. Blank and null texts have fingerprint 0 and are linked like any other.
     A null id is never the smallest unless a component has no other; repeated rows stay, each with its component.
+    Further columns of df, whatever their names, do not matter; id_col by the name of an output is an error (ValueError).
     """
+    no_clash([id_col], "fp", "fingerprint", "component_id")
     docs = cut(fingerprints(df.select(id_col, text_col), words, text_col))
     first = cut(docs.groupBy("fp").agg(F.min(id_col).alias("low")))
     found = components(links(first.select("fp"), max_bits))
@@ -353,8 +356,10 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
 
     The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
     whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. The
-    pairs compared grow with the square of the number of different documents that are near each other.
+    pairs compared grow with the square of the number of different documents that are near each other. Further columns
+    of df do not matter; id_col by the name of an output is an error (ValueError).
     """
+    no_clash([id_col], "whole", "component_id")
     n = df.count()
     tables, bits = _plan(n, least)
     half = bits // 2
@@ -392,16 +397,18 @@ def keep_similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str
 def keep_one(df: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that represent their near-duplicate component: one each, that of the smallest id.
 
-    Of repeated rows of that id one stays. Rows of null id stay only if their component has no other id.
+    Of repeated rows of that id one stays. Rows of null id stay only if their component has no other id. All columns
+    of df stay, whatever their names.
     """
     return _representatives(df, near_duplicates(df, words, max_bits, id_col, text_col), id_col, text_col)
 
 
 def _representatives(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = df.join(keep, df[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    twice = df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
-    repeated = kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_semi")
-    single = kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_anti")
+    keep, twice, place = fresh(df, "keep", "twice", "place")
+    kept_ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    kept = df.join(kept_ids, df[id_col].eqNullSafe(kept_ids[keep]), "left_semi")
+    times = df.groupBy(F.col(id_col).alias(twice)).agg(F.count("*").alias("times")).where("times > 1").select(twice)
+    repeated = kept.join(times, kept[id_col].eqNullSafe(times[twice]), "left_semi")
+    single = kept.join(times, kept[id_col].eqNullSafe(times[twice]), "left_anti")
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return single.unionByName(repeated.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    return single.unionByName(repeated.withColumn(place, rank).where(F.col(place) == 1).drop(place))

@@ -125,3 +125,61 @@ def common_prefix(a, b):
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
     return n
+
+
+def js_distance(p, q):
+    """Jensen-Shannon distance, base 2, of two histograms given as dictionaries."""
+    from math import log2
+
+    a, b = sum(p.values()), sum(q.values())
+    if not a or not b:
+        return 0.0
+    total = 0.0
+    for k in {*p, *q}:
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        m = (x + y) / 2
+        total += (x * log2(x / m) if x else 0) + (y * log2(y / m) if y else 0)
+    return max(0.0, total / 2) ** 0.5
+
+
+def viterbi(start, move, emit):
+    """Best path through all states: start[s], move[s][s], emit[t][s] are logarithms. Every path is scored."""
+    from itertools import product
+
+    def score(path):
+        return start[path[0]] + emit[0][path[0]] + sum(move[a][b] + emit[t + 1][b] for t, (a, b) in enumerate(zip(path, path[1:])))
+
+    return max(product(range(len(start)), repeat=len(emit)), key=score)
+
+
+def dual_descent(rows, signs, costs, passes, seed):
+    """Linear hinge loss by dual coordinate descent, on dense rows with a constant feature."""
+    import numpy as np
+
+    w, alpha, order = np.zeros(len(rows[0]) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
+    for _ in range(passes):
+        for i in order.permutation(len(rows)):
+            x = np.append(rows[i], 1.0)
+            new = min(max(alpha[i] - (signs[i] * (w @ x) - 1) / (x @ x), 0), costs[i])
+            w += (new - alpha[i]) * signs[i] * x
+            alpha[i] = new
+    return w
+
+
+def canonical_licence(text, spellings):
+    """Canonical form of a text for licence digests."""
+    text = "".join(c.lower() for c in text or "")
+    lines = []
+    for line in text.split("\n"):
+        if re.match(r"[^\w\n©]*(?:copyright\b(?! ?(?:holder|owner|notice))|\(c\) ?(?:copyright|\d{4})|©|all rights reserved)", line):
+            line = ""
+        lines.append(line)
+    text = "\n".join(lines)
+    for old, new in spellings:
+        text = text.replace(old, new)
+    out = []
+    for line in text.split("\n"):
+        line = " ".join("".join(c if c.isalnum() else " " for c in line).split())
+        if line:
+            out.append(line)
+    return out
