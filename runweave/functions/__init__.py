@@ -1 +1 @@
-"""Functions."""
+"""Column functions that many operators share; built-in expressions only."""

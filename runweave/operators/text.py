@@ -12,12 +12,6 @@ THREATS = (("env_secret", "high", "credentials", r"(?i)(token|secret|password|ap
 COMPACT = r"[^a-z0-9]"
 
 
-def excerpt(text: Column, n: int, marker: str = "\n[...]\n") -> Column:
-    """Head 2/3, marker and tail 1/3 of a text over n characters; shorter ones as they are."""
-    head, tail = n * 2 // 3, n - n * 2 // 3
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, head)), F.lit(marker), F.ltrim(F.right(text, F.lit(tail)))))
-
-
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id_col, idx, chunk: consecutive pieces of at most `size` characters; empty and null texts give none."""
     n = F.ceil(F.length(text_col) / size).cast("int")
@@ -121,24 +115,6 @@ def with_context(messages: DataFrame, hit: Column, chars: int = 200) -> DataFram
     return messages.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}).where(hit).select("id", "before", "after")
 
 
-def list_sessions(messages: DataFrame, chars: int = 60) -> DataFrame:
-    """Per session its messages, last position and a preview of the first user message."""
-    user = F.col("role") == "user"
-    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.max("pos").alias("last_pos"), F.min_by(F.when(user, F.substring("content", 1, chars)), F.when(user, F.col("id"))).alias("preview"), F.sum(F.floor(F.length("content") / 4)).alias("approx_tokens"))
-
-
-def compaction_plan(messages: DataFrame, head: int = 3, tail: int = 4) -> DataFrame:
-    """zone of each message: the first `head` and last `tail` of a session are kept, those between may be compacted."""
-    up, down = (F.row_number().over(Window.partitionBy("session_id").orderBy(o)) for o in (F.asc("id"), F.desc("id")))
-    return messages.withColumns({"up": up, "down": down}).select("id", "session_id", F.when(F.col("up") <= head, "head").when(F.col("down") <= tail, "tail").otherwise("middle").alias("zone"))
-
-
-def prune_stale(messages: DataFrame, role: str, keep: int = 2) -> DataFrame:
-    """Bodies of `role` with at least `keep` later user turns in their session become blank."""
-    later = F.count(F.when(F.col("role") == "user", 1)).over(Window.partitionBy("session_id").orderBy(F.desc("id")))
-    return messages.withColumn("later", later).select("id", F.when((F.col("role") == role) & (F.col("later") >= keep), "").otherwise(F.col("content")).alias("content"))
-
-
 def batches(items: DataFrame, most: int = 24) -> DataFrame:
     """label, batch: items of a chapter in their order, `most` to a batch."""
     at = F.row_number().over(Window.partitionBy("chapter").orderBy("ordinal")) - 1

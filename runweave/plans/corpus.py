@@ -12,10 +12,6 @@ from ..sources import tables as s
 TERMS = ("that", "the", "and", "in")
 
 
-def p13_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.table(spark, sf_dir, "documents").select("doc_id", F.md5(x.excerpt(F.col("text"), 300)).alias("digest"))
-
-
 def p16_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.chunks(s.table(spark, sf_dir, "documents"), "doc_id", "text", 1000).select("doc_id", "idx", F.md5("chunk").alias("digest"))
 
@@ -73,18 +69,6 @@ def j2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.with_context(s.messages(spark, sf_dir), F.col("content").contains("that"))
 
 
-def j3_list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.list_sessions(s.messages(spark, sf_dir))
-
-
-def w6_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.compaction_plan(s.messages(spark, sf_dir))
-
-
-def w7_prune_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.prune_stale(s.messages(spark, sf_dir), "assistant")
-
-
 def a18_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.messages(spark, sf_dir).groupBy("role").agg(F.count("*").alias("messages"), F.count_distinct("session_id").alias("sessions"))
 
@@ -145,7 +129,6 @@ c AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z]+://[^/?]+)', 1)) || subst
 CONCEPTS = r"i AS (SELECT DISTINCT p_partkey AS label, p_brand AS chapter, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\s+')) AS concept FROM part)"
 _terms = ", ".join(f"'{t}'" for t in TERMS)
 ORACLES = {
-    "p13_excerpt": "SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE rtrim(substr(text, 1, 200), ' ') || chr(10) || '[...]' || chr(10) || ltrim(right(text, 100), ' ') END) AS digest FROM documents",
     "p16_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT)))::INT AS idx FROM documents WHERE length(text) > 0) SELECT doc_id, idx, md5(substr(text, idx * 1000 + 1, 1000)) AS digest FROM c",
     "s5_sections": rf"WITH {LINES} SELECT doc_id, line, content FROM l WHERE regexp_matches(content, '^(#{{1,6}} |[0-9]+\. )|:$|^[A-Z][^.!?]{{0,60}}$')",
     "p6_threat_scan": f"WITH {LINES} {_threats()}",
@@ -162,9 +145,6 @@ ORACLES = {
       st AS (SELECT count(*) AS n, avg(len) AS avg FROM z), h AS (SELECT id, session_id, len, term, count(*) AS tf FROM (SELECT id, session_id, len, unnest(w) AS term FROM z) WHERE term IN ({_terms}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
       SELECT id, session_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM h JOIN df USING (term), st GROUP BY id, session_id ORDER BY score DESC, id LIMIT 20""",
     "j2_context": f"WITH {MESSAGES} SELECT m.id, substr(p.content, 1, 200) AS before, substr(n.content, 1, 200) AS after FROM m LEFT JOIN m p ON p.id = m.id - 1 AND p.session_id = m.session_id LEFT JOIN m n ON n.id = m.id + 1 AND n.session_id = m.session_id WHERE contains(m.content, 'that')",
-    "j3_list_sessions": f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, max(pos) AS last_pos, min_by(substr(content, 1, 60), id) FILTER (role = 'user') AS preview, sum(length(content) // 4)::BIGINT AS approx_tokens FROM m GROUP BY session_id",
-    "w6_compaction_plan": f"WITH {MESSAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS up, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS down FROM m) SELECT id, session_id, CASE WHEN up <= 3 THEN 'head' WHEN down <= 4 THEN 'tail' ELSE 'middle' END AS zone FROM o",
-    "w7_prune_stale": f"WITH {MESSAGES} SELECT id, CASE WHEN role = 'assistant' AND (SELECT count(*) FROM m u WHERE u.session_id = m.session_id AND u.role = 'user' AND u.id > m.id) >= 2 THEN '' ELSE content END AS content FROM m",
     "a18_counts": "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role",
     "g8_root_sessions": "WITH RECURSIVE s AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 3 = 0 AND conv_id > 0 THEN conv_id // 2 END AS parent FROM conversations), r AS (SELECT id, id AS at FROM s UNION SELECT r.id, s.parent AS at FROM r JOIN s ON s.id = r.at WHERE s.parent IS NOT NULL) SELECT r.id, r.at AS root FROM r LEFT JOIN s ON s.id = r.at WHERE s.parent IS NULL",
     "a1_status_counts": f"WITH {NODES} SELECT status, count(*) AS n FROM n GROUP BY status",
@@ -177,4 +157,4 @@ ORACLES = {
     "j13_coverage": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, event_type, regexp_extract(props, '(\d+)', 1)::INT AS k, CAST(round(value * 100) AS BIGINT) % 7 + 20 AS modulus FROM events)
       SELECT run_id AS scope, event_id AS at, k AS witness, EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'error' AND c.run_id = a.run_id AND c.event_id < a.event_id AND a.k % c.modulus = c.k % c.modulus) AS covered FROM a WHERE event_type = 'view'""",
 }
-QUERIES = {f.__name__: f for f in (p13_excerpt, p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, j3_list_sessions, w6_compaction_plan, w7_prune_stale, a18_counts, g8_root_sessions, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, j13_coverage)}
+QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, g8_root_sessions, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, j13_coverage)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 
@@ -16,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A view in SQL that Spark and DuckDB both run: {name} stands for a given table."""
+    names = {name for _, name, _, _ in string.Formatter().parse(sql) if name}
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+
+
+def plain(sql: str) -> str:
+    """The same view as DuckDB reads it, over tables of their own names."""
+    return sql.format(**{name: name for _, name, _, _ in string.Formatter().parse(sql) if name})
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, agent_id, run_id, type, k int (a counter or fingerprint), cents long."""
     return activity_of(table(spark, sf_dir, "events"))
