@@ -1,8 +1,13 @@
-"""Operators over dependency graphs: nodes (id, status), edges (src depends on dst). Loops write each round and stop on no change."""
+"""Operators over dependency graphs: nodes (id, status), edges (src depends on dst).
+
+Loops write what is new in each round, once, and stop when nothing is; what is known is the union of what was written.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
@@ -14,57 +19,276 @@ def frontier(nodes: DataFrame, edges: DataFrame, open_: tuple[str, ...] = ("stat
     return nodes.where(F.col("status").isin(*open_)).join(blocked.select(F.col("src").alias("id")), "id", "left_anti")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reach(edges: DataFrame) -> DataFrame:
-    """src, dst: the transitive closure without self pairs, semi-naive: each round joins only the pairs new to the last."""
-    step = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    known, new = step, step
+    """src, dst: the transitive closure without self pairs. Each round joins the new pairs to all known ones, so paths double."""
+    known = [cut(edges.select("src", "dst").where("src <> dst").distinct())]
+    new = known[0]
     while not new.isEmpty():
-        found = new.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).where("src <> dst").distinct()
-        new = cut(found.join(known, ["src", "dst"], "left_anti"))
-        known = cut(known.unionByName(new))
-    return known
+        every = _union(known)
+        ahead = new.join(every.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))
+        behind = every.join(new.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))
+        found = ahead.unionByName(behind).where("src <> dst").distinct()
+        new = cut(found.join(every, ["src", "dst"], "left_anti"))
+        known.append(new)
+    return _union(known)
+
+
+def reach_from(edges: DataFrame, starts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, id): what the starts (*keys, id) lead to along edges from src to dst, themselves included."""
+    new = cut(starts.select(*keys, "id").distinct())
+    known = [new]
+    while not new.isEmpty():
+        found = new.join(edges, new["id"] == edges["src"]).select(*keys, F.col("dst").alias("id")).distinct()
+        new = cut(found.join(_union(known), [*keys, "id"], "left_anti"))
+        known.append(new)
+    return _union(known)
 
 
 def dependents(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id of each node that depends on one of start (id), directly or not; start nodes only if they do."""
-    new = cut(start.select(F.col("id").alias("dst")).distinct())
-    known = None
-    while not new.isEmpty():
-        found = edges.join(new, "dst", "left_semi").select("src").distinct()
-        fresh = found if known is None else found.join(known, "src", "left_anti")
-        fresh = cut(fresh)
-        known = fresh if known is None else cut(known.unionByName(fresh))
-        new = fresh.select(F.col("src").alias("dst"))
-    return (start.select("id").limit(0) if known is None else known.select(F.col("src").alias("id")))
+    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    first = up.join(start.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("id"))
+    return reach_from(up, first)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, level: 0 without dependencies, else one more than the highest dependency; null for nodes on or behind a cycle."""
-    edges = cut(edges.select("src", "dst").distinct())
-    placed = cut(nodes.select("id").join(edges.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
-    rest = cut(edges.join(placed.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    level, waiting = 0, cut(edges.select(F.col("src").alias("id")).distinct())
-    while True:
-        ready = waiting.join(rest.select(F.col("src").alias("id")), "id", "left_anti")
-        level += 1
-        new = cut(ready.withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            return placed.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
-        placed = cut(placed.unionByName(new))
-        waiting = cut(waiting.join(new, "id", "left_anti"))
-        rest = cut(rest.join(new.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    """id, level: 0 without dependencies, else one more than the highest dependency; null for nodes on or behind a cycle.
+
+    A round counts down the open dependencies of the nodes above those placed last; only what is new is written.
+    """
+    edges = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi"))
+    degree = cut(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("open")))
+    placed = [cut(nodes.select("id").distinct().join(degree, "id", "left_anti").withColumn("level", F.lit(0)))]
+    met: list[DataFrame] = []
+    while not placed[-1].isEmpty():
+        below = placed[-1].select(F.col("id").alias("dst"))
+        met.append(cut(edges.join(below, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("met"))))
+        sums = _union(met).join(met[-1].select("id"), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
+        placed.append(cut(sums.join(degree, "id").where("met = open").select("id", F.lit(len(placed)).alias("level"))))
+    found = _union(placed)
+    return found.unionByName(degree.join(found, "id", "left_anti").select("id", F.lit(None).cast("int").alias("level")))
+
+
+def schedule(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """label, position, level, in_cycle, unresolved: items (label, ordinal) in rounds of what is ready, by ordinal.
+
+    edges: src uses dst. Items on or behind a cycle come last by ordinal; unresolved counts dependencies that are no item.
+    """
+    nodes = items.select(F.col("label").alias("id"))
+    known = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    lacking = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy(F.col("src").alias("label")).agg(F.count_distinct("dst").alias("unresolved"))
+    rows = items.join(levels(nodes, known).withColumnRenamed("id", "label"), "label").join(lacking, "label", "left")
+    # Positions by counts: those of the levels before, and a rank within the level.
+    sizes = rows.groupBy("level").agg(F.count("*").alias("n"))
+    before = sizes.select("level", F.coalesce(F.sum("n").over(Window.orderBy(F.col("level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("level").orderBy("ordinal", "label")))
+    placed = ranked.join(F.broadcast(before.withColumnRenamed("level", "of")), F.col("level").eqNullSafe(F.col("of")))
+    return placed.select("label", (F.col("before") + F.col("rank")).alias("position"), "level", F.col("level").isNull().alias("in_cycle"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """id, root: the end of each parent chain (id, parent), by pointer jumping in about log n rounds; cycles end at their least id."""
-    now = cut(parents.select("id", F.coalesce("parent", "id").alias("root")))
+    """id, root: the end of each parent chain (id, parent), by pointer jumping in about log n rounds.
+
+    A parent that is no id ends the chain. Chains that run into a cycle end at its least id.
+    """
+    base = parents.select("id", F.coalesce("parent", "id").alias("root"))
+    # least: the least id met on the way; on a cycle, after enough doublings, that of the cycle itself.
+    now = cut(base.withColumn("least", F.least("id", "root")))
     for _ in range(64):
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = cut(now.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
-        now = jumped.select("id", "root")
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("least").alias("further"))
+        jumped = cut(now.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.least("least", F.coalesce("further", "least")).alias("least"), (F.coalesce("next", "root") != F.col("root")).alias("moved"), (F.coalesce("further", "least") < F.col("least")).alias("lower")))
+        now = jumped.select("id", "root", "least")
         if jumped.where("moved").isEmpty():
-            return now
-    raise ValueError("the parent chains hold a cycle")
+            return now.select("id", "root")
+        if jumped.where("lower").isEmpty():
+            break
+    # What still moves lies on or behind a cycle: where it points to now is on the cycle, whose least id is met there.
+    ends = parents.where("parent is null").select(F.col("id").alias("root")).unionByName(parents.select(F.col("parent").alias("root")).where("root is not null").join(parents.select(F.col("id").alias("root")), "root", "left_anti")).distinct()
+    straight = now.join(ends, "root", "left_semi").select("id", "root")
+    on_cycle = now.select(F.col("id").alias("root"), F.col("least").alias("end"))
+    return straight.unionByName(now.join(ends, "root", "left_anti").join(on_cycle, "root").select("id", F.col("end").alias("root")))
+
+
+def family(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, id: what each target (id) leads to by depends_on from src and by split_of from dst, itself included."""
+    down = edges.where("kind = 'depends_on'").select("src", "dst").unionByName(edges.where("kind = 'split_of'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return reach_from(down, targets.select(F.col("id").alias("target"), "id"), "target")
+
+
+def invalidate(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """nodes with the status after ids turn out false: they are false, and their split ancestors drop to conjectured.
+
+    A false ancestor stays; a proved one drops only if it depends on the child through which the chain comes.
+    """
+    up = edges.where("kind = 'split_of'").select("src", "dst")
+    chain = reach_from(up, ids.select("id"))
+    steps = up.join(chain.select(F.col("id").alias("src")), "src", "left_semi")
+    used = edges.where("kind = 'depends_on'").select(F.col("src").alias("dst"), F.col("dst").alias("src")).withColumn("used", F.lit(True)).distinct()
+    hit = steps.join(used, ["src", "dst"], "left").groupBy(F.col("dst").alias("id")).agg(F.bool_or(F.coalesce("used", F.lit(False))).alias("used"))
+    gone = ids.select("id").distinct().withColumn("gone", F.lit(True))
+    status = F.when(F.col("gone"), "false").when(F.col("used").isNotNull() & (F.col("status") != "false") & ((F.col("status") != "proved") | F.col("used")), "conjectured").otherwise(F.col("status"))
+    return nodes.join(gone, "id", "left").join(hit, "id", "left").select(*(status.alias(c) if c == "status" else c for c in nodes.columns))
+
+
+def lineage(jobs: DataFrame) -> DataFrame:
+    """job_id, ancestor, distance: the jobs whose dotted id is a prefix of another's, by equality of each prefix."""
+    parts = F.split("job_id", r"\.")
+    each = jobs.select("job_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), ".").alias("ancestor"), (F.size(parts) - n).alias("distance")))).alias("p")).where("p.distance > 0")
+    return each.select("job_id", "p.ancestor", "p.distance").join(jobs.select(F.col("job_id").alias("ancestor")).distinct(), "ancestor", "left_semi").select("job_id", "ancestor", "distance")
+
+
+def split_ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, ancestor: the split parents of a node, and theirs, as long as each is in the file of the node."""
+    of = nodes.select("id", "file")
+    same = edges.where("kind = 'split_of'").join(of.select(F.col("id").alias("src"), "file"), "src").join(of.select(F.col("id").alias("dst"), F.col("file").alias("other")), "dst").where("file = other").select("src", "dst")
+    return reach(same).select(F.col("src").alias("id"), F.col("dst").alias("ancestor"))
+
+
+def assignment_frontier(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, id, status: the ready nodes among the direct dependencies and split children of each target (id)."""
+    beside = edges.where("kind = 'depends_on'").select(F.col("src").alias("target"), F.col("dst").alias("id")).unionByName(edges.where("kind = 'split_of'").select(F.col("dst").alias("target"), F.col("src").alias("id"))).distinct()
+    mine = beside.join(targets.select(F.col("id").alias("target")), "target", "left_semi")
+    ready = frontier(nodes.select("id", "status"), edges.where("kind = 'depends_on'").select("src", "dst"))
+    return mine.join(ready, "id").select("target", "id", "status")
+
+
+def completed_splits(before: DataFrame, after: DataFrame, edges: DataFrame) -> DataFrame:
+    """parent, id: newly proved dependencies that complete a split parent: all of its are proved now and were not before."""
+    parents = after.where("status = 'split'").select(F.col("id").alias("src")).unionByName(before.where("status = 'split'").select(F.col("id").alias("src"))).distinct()
+    deps = edges.where("kind = 'depends_on'").select("src", "dst").distinct().join(parents.join(after.select(F.col("id").alias("src")), "src", "left_semi"), "src", "left_semi")
+    was, now = before.select(F.col("id").alias("dst"), (F.col("status") == "proved").alias("was")), after.select(F.col("id").alias("dst"), (F.col("status") == "proved").alias("now"))
+    rows = deps.join(was, "dst", "left").join(now, "dst", "left").select("src", "dst", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("now", F.lit(False)).alias("now"))
+    done = rows.groupBy("src").agg(F.bool_and("now").alias("all_now"), F.bool_and("was").alias("all_was")).where("all_now and not all_was")
+    return rows.where("now and not was").join(done, "src", "left_semi").select(F.col("src").alias("parent"), F.col("dst").alias("id"))
+
+
+def open_subgoals(nodes: DataFrame, edges: DataFrame, n: int = 25) -> DataFrame:
+    """rank, id, status: ready nodes (0), those that wait (1), blocked or parked ones (2), the first n by rank and id."""
+    ready = frontier(nodes.select("id", "status"), edges.where("kind = 'depends_on'").select("src", "dst")).select("id", F.lit(True).alias("ready"))
+    rank = F.when(F.col("ready"), 0).when(F.col("status").isin("stated", "audited", "conjectured", "proving"), 1).when(F.col("status").isin("blocked", "parked"), 2)
+    return nodes.join(ready, "id", "left").withColumn("rank", rank).where("rank is not null").orderBy("rank", "id").limit(n).select("rank", "id", "status")
+
+
+def merge_delta(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, changes) after a delta. nodes: id, statement, status, notes; edges: src, dst, kind.
+
+    A node that is there keeps its values; blank ones are filled. Another statement than its own is rejected (change
+    `signature_conflict`, nothing of that row is taken). A new node is `stated` with a statement, else `conjectured`,
+    whatever it says. Edges are one each; those to itself or to no node are dropped (`self_edge`, `dangling_edge`).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    old, new = nodes.alias("o"), new_nodes.alias("d")
+    both = old.join(new, F.col("o.id") == F.col("d.id"), "full")
+    fresh = F.col("o.id").isNull()
+    conflict = ~fresh & F.col("d.id").isNotNull() & ~blank(F.col("o.statement")) & ~blank(F.col("d.statement")) & (F.col("o.statement") != F.col("d.statement"))
+    filled = lambda c: F.when(blank(F.col(f"o.{c}")) & ~conflict, F.coalesce(f"d.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}"))
+    merged = both.select(F.coalesce("o.id", "d.id").alias("id"), filled("statement").alias("statement"), F.when(fresh, F.when(blank(F.col("d.statement")), "conjectured").otherwise("stated")).otherwise(F.col("o.status")).alias("status"), filled("notes").alias("notes"))
+    conflicts = both.where(conflict).select(F.col("o.id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit("signature_conflict").alias("change"))
+    known = merged.select("id")
+    added = new_edges.select("src", "dst", "kind").distinct()
+    inside = added.where("src <> dst").join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    out = edges.select("src", "dst", "kind").unionByName(inside.select("src", "dst", "kind")).distinct()
+    dropped = added.where("src <> dst").join(inside, ["src", "dst", "kind"], "left_anti").select("src", "dst", F.lit("dangling_edge").alias("change"))
+    return merged, out, conflicts.unionByName(added.where("src = dst").select("src", "dst", F.lit("self_edge").alias("change"))).unionByName(dropped)
+
+
+def reconcile(nodes: DataFrame, edges: DataFrame, truth: DataFrame, generators: tuple[str, ...] = ("planner", "decomposer", "prover-edit", "prover-edit-backfill")) -> DataFrame:
+    """nodes with new_status after a look at what is there: truth (file, name, present, dirty). Nothing becomes proved.
+
+    Only nodes of files in truth are judged. A proved node is conjectured if it depends on a false or parked one or is
+    gone, stated if it is dirty; an open node of a generator that is gone is conjectured; a conjectured one that is
+    there is stated, unless it is marked uncertain and comes from the planner or the decomposer.
+    """
+    seeds = nodes.where("status in ('false', 'parked')").select("id")
+    invalid = dependents(edges.where("kind = 'depends_on'").select("src", "dst"), seeds).withColumn("invalid", F.lit(True))
+    seen = truth.select("file").distinct().withColumn("seen", F.lit(True))
+    rows = nodes.join(seen, "file", "left").join(truth.select("file", "name", F.col("present").alias("here"), F.col("dirty").alias("bad")), ["file", "name"], "left").join(invalid, "id", "left")
+    here, bad, status = F.coalesce("here", F.lit(False)), F.coalesce("bad", F.lit(False)), F.col("status")
+    uncertain = F.col("generated_by").isin("planner", "decomposer") & F.col("uncertain")
+    new = (
+        F.when(F.col("seen").isNull(), status).when((status == "proved") & F.col("invalid"), "conjectured").when((status == "proved") & (~here | bad), F.when(here, "stated").otherwise("conjectured"))
+        .when(~here & F.col("generated_by").isin(*generators) & status.isin("stated", "audited", "proving", "blocked"), "conjectured").when((status == "conjectured") & here & ~uncertain, "stated").otherwise(status)
+    )
+    return rows.select(*nodes.columns, new.alias("new_status"))
+
+
+def lost_work(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
+    """id of the nodes that were proved, are there and clean, and are not proved afterwards."""
+    clean = before.where("status = 'proved'").join(truth.where("present and not dirty").select("file", "name"), ["file", "name"], "left_semi")
+    return clean.join(after.where("status = 'proved'").select("id"), "id", "left_anti").select("id")
+
+
+def late_dependencies(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, id: proved nodes of a target's family in its file that stand on a later line. nodes: id, status, file, line."""
+    at = nodes.select("id", "file", "line")
+    found = family(edges, targets).where("id <> target").join(nodes.where("status = 'proved'").select("id", "file", "line"), "id")
+    return found.join(at.select(F.col("id").alias("target"), F.col("file").alias("of"), F.col("line").alias("here")), "target").where("file = of and line > here").select("target", "id")
+
+
+def recovery_candidates(nodes: DataFrame, edges: DataFrame, truth: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, id: nodes of a target's family that are there and clean, are not proved, and whose dependencies all are."""
+    deps = edges.where("kind = 'depends_on'").select("src", "dst")
+    clean = nodes.where("status not in ('proved', 'false', 'parked')").join(truth.where("present and not dirty").select("file", "name"), ["file", "name"], "left_semi")
+    ready = frontier(clean.select("id", "status").withColumn("status", F.lit("stated")).unionByName(nodes.where("status = 'proved'").select("id", "status")), deps)
+    return family(edges, targets).join(ready.select("id"), "id", "left_semi").select("target", "id")
+
+
+def relevant_findings(findings: DataFrame, ancestors: DataFrame, k: int = 3) -> DataFrame:
+    """target, finding, rank: the newest k findings (finding, target, at) of each target, then those of its split ancestors.
+
+    ancestors: id, ancestor. Targets without findings of their own take all k from their ancestors.
+    """
+    other = findings.select("finding", F.col("target").alias("ancestor"), "at").join(ancestors, "ancestor").select("finding", F.col("id").alias("target"), "at", F.lit(1).alias("tier"))
+    every = findings.select("finding", "target", "at", F.lit(0).alias("tier")).unionByName(other)
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("tier", F.desc("at"), F.desc("finding")))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "finding", "rank")
+
+
+def declared_edges(items: DataFrame) -> DataFrame:
+    """src, dst, target_known: what items (label, uses array) say that they use, each once."""
+    each = items.select(F.col("label").alias("src"), F.explode("uses").alias("dst")).distinct()
+    known = items.select(F.col("label").alias("dst"), F.lit(True).alias("known"))
+    return each.join(known, "dst", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("target_known"))
+
+
+def candidate_edges(item_concepts: DataFrame, k: int = 3) -> DataFrame:
+    """src, dst, shared: for each item the k earlier ones of its chapter with most concepts in common, the latest first.
+
+    item_concepts: label, ordinal, chapter, concept. Concepts of more than max(8, items / 10) items say nothing.
+    """
+    rows = item_concepts.select("label", "ordinal", "chapter", "concept").distinct()
+    most = rows.agg(F.greatest(F.lit(8), F.floor(F.count_distinct("label") / 10)).alias("most"))
+    selective = rows.groupBy("concept").agg(F.count("*").alias("n")).join(F.broadcast(most)).where("n <= most").select("concept")
+    chosen = rows.join(selective, "concept", "left_semi")
+    a, b = chosen.select("chapter", "concept", F.col("label").alias("src"), F.col("ordinal").alias("at")), chosen.select("chapter", "concept", F.col("label").alias("dst"), F.col("ordinal").alias("before"))
+    pairs = a.join(b, ["chapter", "concept"]).where("before < at").groupBy("src", "dst", "before").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), F.desc("before")))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "shared")
+
+
+def library_modules(item_concepts: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(domain, concepts, consumers) and (concept) of no domain: concepts of two items or more, domains of two items or more.
+
+    domains: domain, concept.
+    """
+    rows = item_concepts.select("label", "concept").distinct()
+    active = rows.groupBy("concept").agg(F.count("*").alias("n")).where("n >= 2").select("concept")
+    found = rows.join(active, "concept", "left_semi").join(domains, "concept")
+    kept = found.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("concept")), ",").alias("concepts"), F.count_distinct("label").alias("consumers")).where("consumers >= 2")
+    assigned = found.join(kept.select("domain"), "domain", "left_semi").select("concept").distinct()
+    return kept, active.join(assigned, "concept", "left_anti")
+
+
+def select_scope(items: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, position, role of the selected labels and of what they use directly. items: label, position."""
+    chosen = labels.select("label").distinct()
+    beside = edges.join(chosen.select(F.col("label").alias("src")), "src", "left_semi").select(F.col("dst").alias("label")).distinct().join(chosen, "label", "left_anti")
+    roles = chosen.withColumn("role", F.lit("selected")).unionByName(beside.withColumn("role", F.lit("dependency")))
+    return items.join(roles, "label").select("label", "position", "role")
 
 
 def coverage(witnesses: DataFrame, classes: DataFrame, moduli: tuple[int, ...]) -> DataFrame:

@@ -73,10 +73,6 @@ def a18_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.messages(spark, sf_dir).groupBy("role").agg(F.count("*").alias("messages"), F.count_distinct("session_id").alias("sessions"))
 
 
-def g8_root_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.roots(s.sessions(spark, sf_dir).withColumnRenamed("parent_session_id", "parent"))
-
-
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.nodes(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -127,6 +123,7 @@ e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey
 URL = rf"""u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:{x.TRACKING})=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&/]+$', '') AS bare FROM pages),
 c AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z]+://[^/?]+)', 1)) || substr(bare, length(regexp_extract(bare, '^([A-Za-z]+://[^/?]+)', 1)) + 1) AS key FROM u)"""
 CONCEPTS = r"i AS (SELECT DISTINCT p_partkey AS label, p_brand AS chapter, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\s+')) AS concept FROM part)"
+ROOTS = "WITH RECURSIVE s AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 3 = 0 AND conv_id > 0 THEN conv_id // 2 END AS parent FROM conversations), r AS (SELECT id, id AS at FROM s UNION SELECT r.id, s.parent AS at FROM r JOIN s ON s.id = r.at WHERE s.parent IS NOT NULL) SELECT r.id, r.at AS root FROM r LEFT JOIN s ON s.id = r.at WHERE s.parent IS NULL"
 _terms = ", ".join(f"'{t}'" for t in TERMS)
 ORACLES = {
     "p16_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT)))::INT AS idx FROM documents WHERE length(text) > 0) SELECT doc_id, idx, md5(substr(text, idx * 1000 + 1, 1000)) AS digest FROM c",
@@ -146,7 +143,6 @@ ORACLES = {
       SELECT id, session_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM h JOIN df USING (term), st GROUP BY id, session_id ORDER BY score DESC, id LIMIT 20""",
     "j2_context": f"WITH {MESSAGES} SELECT m.id, substr(p.content, 1, 200) AS before, substr(n.content, 1, 200) AS after FROM m LEFT JOIN m p ON p.id = m.id - 1 AND p.session_id = m.session_id LEFT JOIN m n ON n.id = m.id + 1 AND n.session_id = m.session_id WHERE contains(m.content, 'that')",
     "a18_counts": "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role",
-    "g8_root_sessions": "WITH RECURSIVE s AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 3 = 0 AND conv_id > 0 THEN conv_id // 2 END AS parent FROM conversations), r AS (SELECT id, id AS at FROM s UNION SELECT r.id, s.parent AS at FROM r JOIN s ON s.id = r.at WHERE s.parent IS NOT NULL) SELECT r.id, r.at AS root FROM r LEFT JOIN s ON s.id = r.at WHERE s.parent IS NULL",
     "a1_status_counts": f"WITH {NODES} SELECT status, count(*) AS n FROM n GROUP BY status",
     "g1_levels": f"WITH RECURSIVE {NODES}, r AS (SELECT id, 0 AS level FROM n UNION SELECT e.src AS id, r.level + 1 AS level FROM r JOIN e ON e.dst = r.id) SELECT id, max(level) AS level FROM r GROUP BY id",
     "g2_reach": f"WITH RECURSIVE {NODES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT dst, count(*) AS downstream FROM r GROUP BY dst",
@@ -157,4 +153,4 @@ ORACLES = {
     "j13_coverage": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, event_type, regexp_extract(props, '(\d+)', 1)::INT AS k, CAST(round(value * 100) AS BIGINT) % 7 + 20 AS modulus FROM events)
       SELECT run_id AS scope, event_id AS at, k AS witness, EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'error' AND c.run_id = a.run_id AND c.event_id < a.event_id AND a.k % c.modulus = c.k % c.modulus) AS covered FROM a WHERE event_type = 'view'""",
 }
-QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, g8_root_sessions, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, j13_coverage)}
+QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, j13_coverage)}

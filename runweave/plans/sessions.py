@@ -142,7 +142,7 @@ ORACLES = {
     "j3_list_sessions": f"""WITH {_M}, c AS ({s.plain(CHATS)}), u AS (SELECT session_id, arg_min(content, (ts, id)) AS first FROM m WHERE role = 'user' GROUP BY session_id), a AS (SELECT session_id, count(*) AS messages, max(ts) AS last FROM m GROUP BY session_id)
       SELECT c.id, source, messages, coalesce(substr(trim(replace(replace(first, chr(10), ' '), chr(13), ' ')), 1, 60) || CASE WHEN length(first) > 60 THEN '...' ELSE '' END, '') AS preview, coalesce(last, started) AS last_active FROM c LEFT JOIN a ON a.session_id = c.id LEFT JOIN u ON u.session_id = c.id WHERE source = 'source-1' ORDER BY last_active DESC, id LIMIT 20""",
     "j20_enrich_activity": f"WITH r AS ({s.plain(RUNS)}) SELECT event_id, run_scope, workflow_kind FROM events LEFT JOIN r ON r.run_id = user_id % 20",
-    "t3_recall": f"""WITH h AS ({corpus.ORACLES['j1_search']}), ro AS ({corpus.ORACLES['g8_root_sessions']}), f AS (SELECT h.id AS hit, score, root FROM h JOIN ro ON ro.id = h.session_id WHERE root % 7 <> 3),
+    "t3_recall": f"""WITH h AS ({corpus.ORACLES['j1_search']}), ro AS ({corpus.ROOTS}), f AS (SELECT h.id AS hit, score, root FROM h JOIN ro ON ro.id = h.session_id WHERE root % 7 <> 3),
       b AS (SELECT root, arg_max(hit, (score, -hit)) AS hit, max(score) AS score FROM f GROUP BY root ORDER BY max(score) DESC, 2 LIMIT 5), t AS (SELECT conv_id, string_agg('[' || upper(role) || ']: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
       a AS (SELECT root, hit, text, length(text) AS size, {_WINDOWED} AS ax FROM b JOIN t ON t.conv_id = b.root), c AS (SELECT *, greatest(coalesce(ax - 1, 0) - 150, 0) AS s0 FROM a), d AS (SELECT *, least(size, s0 + 300) AS e FROM c), k AS (SELECT *, CASE WHEN e - s0 < 300 THEN greatest(e - 300, 0) ELSE s0 END AS st FROM d)
       SELECT root AS session_id, hit, md5(CASE WHEN size <= 300 THEN text ELSE CASE WHEN st > 0 THEN '{f.EARLIER}' ELSE '' END || substr(text, st + 1, e - st) || CASE WHEN e < size THEN '{f.LATER}' ELSE '' END END) AS digest FROM k""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, records, scalars, sessions, streams, telemetry
+from .plans import corpus, graphs, ledger, records, scalars, sessions, streams, telemetry
 
-MODULES = (telemetry, corpus, records, scalars, sessions, streams)
+MODULES = (telemetry, corpus, graphs, ledger, records, scalars, sessions, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
