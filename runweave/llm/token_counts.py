@@ -34,7 +34,7 @@ _odd: dict[tuple[str, str], str] = {}
 
 
 def odd_characters(model: str, pattern: str) -> str:
-    """A character class of the code points on which pattern and the model's own cutting disagree, and of those not compared."""
+    """The code points on which pattern and the model's own cutting disagree, ascending; those not compared are odd too."""
     import regex
     from tokenizers import Tokenizer
 
@@ -51,12 +51,25 @@ def odd_characters(model: str, pattern: str) -> str:
             return [c for at in range(0, len(codes), step) for c in differing(codes[at : at + step])]
 
         found = [c for codes in COMPARED for at in range(0, len(codes), 512) for c in differing(list(codes[at : at + 512]))]
-        ranges = [(found[i], found[i]) for i in range(len(found))]
-        ranges += [(a.stop, b.start - 1) for a, b in zip(COMPARED[1:], [*COMPARED[2:], range(0x110000, 0x110000)], strict=True)]
-        _odd[model, pattern] = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+        _odd[model, pattern] = "".join(map(chr, sorted(found)))
     return _odd[model, pattern]
 
 
+class _Odd:
+    """Whether a text has an odd character; a text without any from the first odd one on is told by one scan."""
+
+    def __init__(self, odd: str):
+        import regex
+
+        outside = [range(a.stop, b.start) for a, b in zip(COMPARED, [*COMPARED[1:], range(0x110000, 0x110000)], strict=True)]
+        self.beyond = regex.compile("[" + "".join(f"\\U{r.start:08x}-\\U{r.stop - 1:08x}" for r in outside if r.start < 0xD800 or r.start >= 0xE000) + "]").search
+        self.some = regex.compile(f"[\\U{ord(odd[0]) if odd else 0x10FFFF:08x}-\U0010ffff]").search
+        self.odd = frozenset(odd)
+
+    def __call__(self, text: str) -> bool:
+        return not text.isascii() and bool(self.some(text)) and (not self.odd.isdisjoint(text) or bool(self.beyond(text)))
+
+
 class _Counter:
     """Counts tokens in one worker."""
 
@@ -70,7 +83,7 @@ class _Counter:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in json.loads(model)["added_tokens"]):
             raise ValueError("added tokens that take in their neighbourhood are not handled")
         self.find = regex.compile(pattern).findall
-        self.odd = regex.compile(odd).search
+        self.odd = _Odd(odd)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))).split if self.added else None
         self.frequent = frequent or {}
         self.cache: dict[str, int] = {}
@@ -85,7 +98,7 @@ class _Counter:
     def count(self, texts: list[str]) -> list[int]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cut = [(None, 0) if not text.isascii() and self.odd(text) else self.words(text) for text in texts]
+        cut = [(None, 0) if self.odd(text) else self.words(text) for text in texts]
         frequent, cache = self.frequent, self.cache
         new = list({w for words, _ in cut if words for w in words if w not in frequent and w not in cache})
         for word, tokens in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
