@@ -23,9 +23,14 @@ def lines(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(id_col, *more, F.posexplode(F.split(text_col, "\n")).alias("line", "content")).withColumn("line", F.col("line") + 1)
 
 
+#: A heading: a section number and a title, or capitals only (fixed values).
+HEADING = r"^(?:[0-9]+(?:\.[0-9]+)*\s+[A-Z][^\n]{2,120}|[A-Z][A-Z0-9 ,;:()'/-]{6,120})$"
+
+
 def sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that look like headings: marked, numbered, ending in a colon, or short, capitalised and without a stop."""
-    return lines(df, id_col, text_col).where(F.col("content").rlike(r"^(#{1,6} |[0-9]+\. )|:$|^[A-Z][^.!?]{0,60}$"))
+    """id_col, line, title of the lines that, stripped, are headings."""
+    rows = lines(df, id_col, text_col).withColumn("title", F.regexp_replace("content", r"^\s+|\s+$", ""))
+    return rows.where(F.col("title").rlike(HEADING)).select(id_col, "line", "title")
 
 
 def threat_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,12 +57,24 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
+#: Named entities that are decoded, & last (fixed values).
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def page_text(html: Column) -> Column:
-    """Readable text of a page by patterns: no head, script or style, block tags as new lines, blanks collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(?:script|style|head)[^>]*>.*?</(?:script|style|head)>", "")
+    """Readable text of a page by patterns: no head, script or style, block tags as new lines, blanks collapsed, entities decoded.
+
+    An element that is never closed loses its tag only, so broken markup keeps its text.
+    """
+    out = html
+    for tag in ("script", "style", "head"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
     out = F.regexp_replace(out, r"(?i)<(?:br|p|div|li|h[1-6]|tr)(?:[ /][^>]*)?>", "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", ""), r"[ \t]+", " ")
-    return F.regexp_replace(out, r"[ \r\n]*\n[ \r\n]*", "\n")
+    out = F.regexp_replace(out, r"[ \r\n]*\n[ \r\n]*", "\n")
+    for entity, becomes in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(becomes))
+    return out
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -116,9 +133,15 @@ def with_context(messages: DataFrame, hit: Column, chars: int = 200) -> DataFram
 
 
 def batches(items: DataFrame, most: int = 24) -> DataFrame:
-    """label, batch: items of a chapter in their order, `most` to a batch."""
-    at = F.row_number().over(Window.partitionBy("chapter").orderBy("ordinal")) - 1
-    return items.select("label", F.concat(F.lit("chapter-"), "chapter", F.lit("-batch-"), (F.floor(at / most) + 1).cast("string")).alias("batch"))
+    """book, label, batch: items of a book in their order; a new batch at each change of chapter and after `most` items.
+
+    items: book, ordinal, label, chapter. The name counts the batches of a chapter, also of one that comes again.
+    """
+    order = Window.partitionBy("book").orderBy("ordinal")
+    rows = items.withColumn("turn", F.when(F.col("chapter").eqNullSafe(F.lag("chapter").over(order)), 0).otherwise(1)).withColumn("island", F.sum("turn").over(order))
+    rows = rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("book", "island").orderBy("ordinal")) - 1) / most))
+    k = F.dense_rank().over(Window.partitionBy("book", "chapter").orderBy("island", "part"))
+    return rows.select("book", "label", F.concat(F.lit("chapter-"), F.coalesce(F.col("chapter").cast("string"), F.lit("unscoped")), F.lit("-batch-"), k.cast("string")).alias("batch"))
 
 
 def concept_index(item_concepts: DataFrame) -> DataFrame:

@@ -16,8 +16,11 @@ def p16_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.chunks(s.table(spark, sf_dir, "documents"), "doc_id", "text", 1000).select("doc_id", "idx", F.md5("chunk").alias("digest"))
 
 
+BOOKS = "SELECT p_partkey AS doc_id, p_name || chr(10) || ' ' || (p_size % 5) || '.' || (p_size % 3) || '  Title of ' || p_type || chr(10) || upper(p_type) || ' ' || chr(10) || '1. no' || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'A' ELSE '7 Seven ways' END AS text FROM {part}"
+
+
 def s5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.sections(s.table(spark, sf_dir, "documents"))
+    return x.sections(s.derived(spark, sf_dir, BOOKS))
 
 
 def p6_threat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +96,11 @@ def g4_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.dependents(s.edges(spark, sf_dir), s.nodes(spark, sf_dir).where("status = 'false'"))
 
 
+ITEMS = "SELECT p_size % 3 AS book, p_partkey AS ordinal, p_partkey AS label, CASE WHEN p_size % 3 = 0 THEN 7 ELSE CAST(floor(p_partkey / 20) AS BIGINT) % 4 END AS chapter FROM {part}"
+
+
 def w4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.batches(s.item_concepts(spark, sf_dir).select("label", "ordinal", "chapter").distinct())
+    return x.batches(s.derived(spark, sf_dir, ITEMS))
 
 
 def a3_concept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +122,17 @@ def _threats() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _page() -> str:
+    out = "html"
+    for tag in ("script", "style", "head"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
+    for pattern, becomes in (("(?i)<(?:br|p|div|li|h[1-6]|tr)(?:[ /][^>]*)?>", "chr(10)"), ("<[^>]*>", "''"), (r"[ \t]+", "' '"), (r"[ \r\n]*\n[ \r\n]*", "chr(10)")):
+        out = f"regexp_replace({out}, '{pattern}', {becomes}, 'g')"
+    for entity, becomes in x.ENTITIES:
+        out = f"replace({out}, '{entity}', chr({ord(becomes)}))"
+    return out
+
+
 LINES = r"l AS (SELECT doc_id, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
 MESSAGES = "m AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, turn AS pos, role, text AS content FROM conversations)"
 NODES = """n AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 1 THEN 'stated' WHEN 3 THEN 'audited' WHEN 4 THEN 'false' ELSE 'proved' END AS status FROM part),
@@ -127,14 +144,14 @@ ROOTS = "WITH RECURSIVE s AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id %
 _terms = ", ".join(f"'{t}'" for t in TERMS)
 ORACLES = {
     "p16_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT)))::INT AS idx FROM documents WHERE length(text) > 0) SELECT doc_id, idx, md5(substr(text, idx * 1000 + 1, 1000)) AS digest FROM c",
-    "s5_sections": rf"WITH {LINES} SELECT doc_id, line, content FROM l WHERE regexp_matches(content, '^(#{{1,6}} |[0-9]+\. )|:$|^[A-Z][^.!?]{{0,60}}$')",
+    "s5_sections": f"WITH {LINES.replace('FROM documents', f'FROM ({s.plain(BOOKS)})')}, r AS (SELECT doc_id, line, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS title FROM l) SELECT doc_id, line, title FROM r WHERE regexp_matches(title, '{x.HEADING.replace(chr(39), chr(39) * 2)}')",
     "p6_threat_scan": f"WITH {LINES} {_threats()}",
     "a12_verdicts": f"WITH {LINES}, f AS ({_threats()}) SELECT doc_id, count(*) AS findings, CASE WHEN bool_or(severity = 'critical') THEN 'dangerous' ELSE 'caution' END AS verdict FROM f GROUP BY doc_id",
     "p5_redact": r"SELECT doc_id, md5(regexp_replace(text, '(?i)((?:token|secret|password|api_key)[ ]*[=:][ ]*)([^ \t\r\n]+)', '\1***', 'g')) AS digest FROM documents",
     "p20_grep": f"WITH {LINES} SELECT doc_id, count(*) AS n, min(line) AS first_line FROM l WHERE regexp_matches(content, '(?i)secret|token|licen[cs]e') GROUP BY doc_id",
     "f5_canonical_url": f"WITH {URL} SELECT page_id, key FROM c",
     "k6_merge_results": f"WITH {URL} SELECT key, min(page_id) AS page_id, count(*) AS merged, max(length(html)) AS longest FROM c GROUP BY key",
-    "s6_page_text": r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|head)[^>]*>.*?</(?:script|style|head)>', '', 'g'), '(?i)<(?:br|p|div|li|h[1-6]|tr)(?:[ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g'), '[ \r\n]*\n[ \r\n]*', chr(10), 'g')) AS digest FROM pages",
+    "s6_page_text": f"SELECT page_id, md5({_page()}) AS digest FROM pages",
     "s7_page_links": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1) AS a FROM pages) SELECT page_id, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS href FROM h""",
     "p2_exclude_labels": "WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS c FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS l FROM benchmark) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON l <> '' AND contains(c, l)",
     "a5_duplicates": "SELECT md5(text) AS digest, count(*) AS n, count(DISTINCT source) AS sources, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) > 1 AND count(DISTINCT source) >= 2",
@@ -148,7 +165,8 @@ ORACLES = {
     "g2_reach": f"WITH RECURSIVE {NODES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT dst, count(*) AS downstream FROM r GROUP BY dst",
     "g3_frontier": f"WITH {NODES} SELECT id, status FROM n WHERE status IN ('stated', 'audited') AND NOT EXISTS (SELECT 1 FROM e LEFT JOIN n d ON d.id = e.dst WHERE e.src = n.id AND coalesce(d.status, '') <> 'proved')",
     "g4_invalid": f"WITH RECURSIVE {NODES}, r AS (SELECT src AS id FROM e JOIN n ON n.id = e.dst WHERE n.status = 'false' UNION SELECT e.src AS id FROM r JOIN e ON e.dst = r.id) SELECT DISTINCT id FROM r",
-    "w4_batches": "SELECT p_partkey AS label, 'chapter-' || p_brand || '-batch-' || ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 24 + 1) AS batch FROM part",
+    "w4_batches": f"""WITH i AS ({s.plain(ITEMS)}), t AS (SELECT *, CASE WHEN chapter IS NOT DISTINCT FROM lag(chapter) OVER w AND lag(ordinal) OVER w IS NOT NULL THEN 0 ELSE 1 END AS turn FROM i WINDOW w AS (PARTITION BY book ORDER BY ordinal)), l AS (SELECT *, sum(turn) OVER (PARTITION BY book ORDER BY ordinal) AS island FROM t),
+      p AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY ordinal) - 1) // 24 AS part FROM l) SELECT book, label, 'chapter-' || chapter || '-batch-' || dense_rank() OVER (PARTITION BY book, chapter ORDER BY island, part) AS batch FROM p""",
     "a3_concept_index": f"WITH {CONCEPTS} SELECT concept, count(DISTINCT label) AS frequency, count(DISTINCT chapter) AS chapters, count(DISTINCT label) > 1 AS shared FROM i WHERE concept <> '' GROUP BY concept",
     "j13_coverage": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, event_type, regexp_extract(props, '(\d+)', 1)::INT AS k, CAST(round(value * 100) AS BIGINT) % 7 + 20 AS modulus FROM events)
       SELECT run_id AS scope, event_id AS at, k AS witness, EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'error' AND c.run_id = a.run_id AND c.event_id < a.event_id AND a.k % c.modulus = c.k % c.modulus) AS covered FROM a WHERE event_type = 'view'""",

@@ -24,11 +24,15 @@ def rows(frame: pd.DataFrame) -> list:
     return sorted((tuple(map(plain, r)) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 
+#: Choices one after another and open circuits: tested against brute force in test_sequential.
+SEQUENTIAL = {"k7_diversify", "x4_circuit_stream"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) - SEQUENTIAL == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_oracle(spark, duck, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
