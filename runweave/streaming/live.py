@@ -18,13 +18,14 @@ from ..operators.telemetry import ORDER, partial_summary
 from ..sources.tables import scratch
 
 
-def drained(stream: DataFrame, mode: str = "append", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """All that `stream` yields for what its source holds now, written to the shared folder and read again.
 
     mode append: the file sink, which takes each micro-batch once. mode update: each micro-batch is a folder of its own,
-    overwritten if it is tried again, and comes back with its number in the column `batch`.
+    overwritten if it is tried again, and comes back with its number in the column `batch`. With the path of an earlier
+    call it goes on from that call's checkpoint.
     """
-    spark, path = stream.sparkSession, scratch(stream.sparkSession)
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.partitionBy(*partition_by).format("parquet").option("path", f"{path}/rows").start()
@@ -34,7 +35,7 @@ def drained(stream: DataFrame, mode: str = "append", partition_by: tuple[str, ..
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")
     writer.foreachBatch(keep).start().awaitTermination()
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
 
@@ -107,11 +108,107 @@ def failure_budget(stream: DataFrame, budget: int = 2, success: str = "conversat
     return found.withColumn("exhausted", F.col("spent") >= budget)
 
 
-def consume_once(stream: DataFrame, *keys: str) -> DataFrame:
-    """The keys of the stream, each once; the state is one receipt for each different key."""
-    return stream.select(*keys).dropDuplicates(list(keys))
+def consume_once(stream: DataFrame, *keys: str, within: str | None = None) -> DataFrame:
+    """The keys of the stream, each once; the state is one receipt for each different key.
 
+    within (as '2 days'): receipts are dropped when the watermark on ts has passed them by that much, so that the state
+    is bounded; a key that comes again later than that is taken again.
+    """
+    if within is None:
+        return stream.select(*keys).dropDuplicates(list(keys))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+
+
+def publish_once(stream: DataFrame, scope: str, source: str, cap: int = 4096) -> DataFrame:
+    """scope, source string, event_id, watermark long: each source of a scope once, with numbers 1, 2, ... in the order of arrival.
+
+    A source that comes again within the last `cap` sources of its scope keeps its number and gives no row.
+    """
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def work(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        made, known = state.get if state.exists else (0, [])
+        order = dict.fromkeys(known)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(list(ORDER)).itertuples(index=False):
+            if row.source not in order:
+                made += 1
+                order[row.source] = None
+                out.append((key[0], row.source, row.event_id, made))
+        state.update((made, list(order)[-cap:]))
+        yield pd.DataFrame(out, columns=[scope, source, "event_id", "watermark"])
+
+    rows = stream.select(F.col(scope).alias("scope"), F.col(source).cast("string").alias("source"), *ORDER).where("source is not null")
+    return rows.groupBy("scope").applyInPandasWithState(work, f"{scope} {kind[scope]}, {source} string, event_id {kind['event_id']}, watermark long", "made long, known array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def circuit(stream: DataFrame, key: str, first_s: int = 300, most_s: int = 1800, timeouts: int = 1, failures: int = 2) -> DataFrame:
+    """key, event_id, allowed, open_count, open_until (seconds, null where closed) of each call.
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    stream: key, ts, event_id, outcome ('ok', 'timeout' or another failure), fingerprint. A failure of another
+    fingerprint begins anew. The circuit opens at `timeouts` timeouts or `failures` failures in a row of one fingerprint,
+    for first_s seconds, doubled each time up to most_s, but never while it is open; a success closes it. allowed says
+    whether the call came while the circuit was not open.
+    """
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def work(key_: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        print_, failed, timed, opened, until = state.get if state.exists else ("", 0, 0, 0, None)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples(index=False):
+            allowed = until is None or row.at >= until
+            if row.outcome == "ok":
+                print_, failed, timed, opened, until = "", 0, 0, 0, None
+            else:
+                if row.fingerprint != print_:
+                    print_, failed, timed, opened, until = row.fingerprint, 0, 0, 0, None
+                failed, timed = failed + 1, timed + 1 if row.outcome == "timeout" else 0
+                if (row.outcome == "timeout" and timed >= timeouts or failed >= failures) and (until is None or row.at >= until):
+                    opened += 1
+                    until = int(row.at) + min(most_s, first_s * 2 ** min(16, opened - 1))
+            out.append((key_[0], row.event_id, allowed, opened, until))
+        state.update((print_, failed, timed, opened, until))
+        frame = pd.DataFrame(out, columns=[key, "event_id", "allowed", "open_count", "open_until"])
+        yield frame.astype({"open_until": "Int64"})
+
+    rows = stream.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").cast("long").alias("at"), "event_id", "outcome", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    return rows.groupBy("key").applyInPandasWithState(work, f"{key} {kind[key]}, event_id {kind['event_id']}, allowed boolean, open_count int, open_until long", "print string, failed int, timed int, opened int, until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def route_epochs(stream: DataFrame, key: str, decision: str = "tool-call", progress: str = "conversation-end", rollover: int = 4) -> DataFrame:
+    """key, event_id, streak, epoch of each decision: decisions without progress, in a row, and how often they rolled over.
+
+    A decision of the same k as the one before it, with no progress between, is a refresh and does not count. Progress
+    ends the streak; at `rollover` the epoch is one more and the next streak begins.
+    """
+    import pandas as pd
+
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def work(key_: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        streak, epoch, last = state.get if state.exists else (0, 0, None)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(list(ORDER)).itertuples(index=False):
+            if row.type == progress:
+                streak, last = 0, None
+                continue
+            if row.k != last:
+                streak, last = streak % rollover + 1, row.k
+                epoch += streak == rollover
+            out.append((key_[0], row.event_id, streak, epoch))
+        state.update((streak, epoch, last))
+        yield pd.DataFrame(out, columns=[key, "event_id", "streak", "epoch"])
+
+    rows = stream.where(F.col("type").isin(decision, progress)).select(F.col(key).alias("key"), *ORDER, "type", F.coalesce("k", F.lit(-1)).alias("k"))
+    return rows.groupBy("key").applyInPandasWithState(work, f"{key} {kind[key]}, event_id {kind['event_id']}, streak int, epoch int", "streak int, epoch int, last int", "append", GroupStateTimeout.NoTimeout)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | None = None) -> DataFrame:
     """A given table as a stream of files; the braces make the path a pattern, so that it may be one file or a folder."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+    return reader.parquet(f"{sf_dir}/{{{name}}}.parquet")
