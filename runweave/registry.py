@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, graphs, ledger, records, scalars, search, sessions, streams, telemetry
+from .plans import corpus, graphs, ledger, records, scalars, search, sessions, source, streams, telemetry
 
-MODULES = (telemetry, corpus, graphs, ledger, records, scalars, search, sessions, streams)
+MODULES = (telemetry, corpus, graphs, ledger, records, scalars, search, sessions, source, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
