@@ -24,8 +24,8 @@ def rows(frame: pd.DataFrame) -> list:
     return sorted((tuple(map(plain, r)) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 
-#: Choices one after another and open circuits: tested against brute force in test_sequential.
-SEQUENTIAL = {"k7_diversify", "x4_circuit_stream"}
+#: Choices one after another, open circuits and snippets by form: tested against brute force in test_sequential.
+SEQUENTIAL = {"k7_diversify", "x4_circuit_stream", "t1_locate"}
 
 
 def test_every_query_has_an_oracle():

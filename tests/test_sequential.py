@@ -126,3 +126,32 @@ def test_schedule_of_the_smallest_cases(spark):
     assert [r[1] for r in rows(graph.schedule(items, uses(("1.2", "1.1"))), "position", "label")] == ["1.1", "1.3", "1.2"]
 
 
+
+
+def test_locate(spark):
+    """Places of snippets by the first form that finds them, against a loop over the lines."""
+    import re
+
+    from runweave.operators import evidence
+    from runweave.plans import evidence as found
+
+    strip = lambda c: re.sub(r"^\s+|\s+$", "", c, flags=re.A)
+    collapse = lambda c: strip(re.sub(r"\s+", " ", c, flags=re.A))
+    escape = lambda c: collapse(re.sub(r"""\\(["'])""", r"\1", c.replace("\\t", " ")))
+    text = 'def f():\n    say("a  b")\n\n    return 1\ndef f():\n  say("a b")\n'
+    docs = [(1, text), (2, "x\ny\nx\ny"), (3, "")]
+    asked = [(1, 1, 'def f():\n    say("a  b")'), (2, 1, "  def f():  \n say(\"a  b\")"), (3, 1, 'say("a b")'), (4, 1, 'say(\\"a b\\")\n\nreturn 1'), (5, 2, "x\ny"), (6, 2, "\ny"), (7, 2, "z"), (8, 3, "x"), (9, 2, " "), (10, 1, "\n    return 1")]
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    docs += [(r["doc_id"] + 100, r["text"]) for r in table.collect()]
+    asked += [(r["id"] + 100, r["doc_id"] + 100, r["snippet"]) for r in tables.derived(spark, SF, found.SNIPPETS).collect()]
+    texts, want = dict(docs), set()
+    for number, doc, snippet in asked:
+        for name, form in (("exact", str), ("trimmed", strip), ("collapsed", collapse), ("unescaped", escape)):
+            have, lines = [form(x) for x in texts[doc].split("\n")], [form(x) for x in snippet.split("\n")]
+            at = [i + 1 for i in range(len(have)) if have[i : i + len(lines)] == lines]
+            if at and snippet.strip(" "):
+                want.add((number, doc, at[0], name, len(at)))
+                break
+    got = evidence.locate(spark.createDataFrame(asked, "id long, doc_id long, snippet string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {w[3] for w in want} == {"exact", "trimmed", "collapsed", "unescaped"}
