@@ -233,3 +233,34 @@ def tool_priority(name: Column, action: Column) -> Column:
     """Rank of a tool call, lower first: edits, checks of the target, other checks, verification, all else, inspection (fixed values)."""
     action = F.translate(F.lower(F.trim(F.coalesce(action, F.lit("")))), "-", "_")
     return F.when(name == "apply_verified_patch", -10).when(name == "lean_incremental_check", F.when(action.isin("", "check_target"), 0).otherwise(1)).when(name.isin("lean_verify", "lean_axioms"), 2).when(name == "lean_inspect", 20).otherwise(10)
+
+
+def compact_event(fields: tuple[str, ...], message: Column, details: Column, keep: tuple[str, ...], most: int = 500) -> Column:
+    """A struct of an event's fields, its message cut to `most` characters, and those details (a map) that are kept and known."""
+    kept = F.map_filter(details, lambda k, v: k.isin(*keep) & v.isNotNull())
+    return F.struct(*fields, F.when(F.length(message) > most, F.concat(F.substring(message, 1, most - 3), F.lit("..."))).otherwise(message).alias("message"), kept.alias("details"))
+
+
+#: Beginnings of credentials (fixed values).
+CREDENTIALS = (
+    r"sk-[A-Za-z0-9_-]{10,}", r"ghp_[A-Za-z0-9]{10,}", r"github_pat_[A-Za-z0-9_]{10,}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{30,}", r"pplx-[A-Za-z0-9]{10,}", r"fal_[A-Za-z0-9_-]{10,}",
+    r"fc-[A-Za-z0-9]{10,}", r"bb_live_[A-Za-z0-9_-]{10,}", r"gAAAA[A-Za-z0-9_=-]{20,}", r"AKIA[A-Z0-9]{16}", r"sk_live_[A-Za-z0-9]{10,}", r"sk_test_[A-Za-z0-9]{10,}", r"rk_live_[A-Za-z0-9]{10,}",
+    r"SG\.[A-Za-z0-9_-]{10,}", r"hf_[A-Za-z0-9]{10,}", r"r8_[A-Za-z0-9]{10,}", r"npm_[A-Za-z0-9]{10,}", r"pypi-[A-Za-z0-9_-]{10,}", r"dop_v1_[A-Za-z0-9]{10,}", r"doo_v1_[A-Za-z0-9]{10,}", r"am_[A-Za-z0-9_-]{10,}",
+)
+#: What is redacted, in this order, and what it becomes (fixed values).
+REDACTIONS = (
+    (r"(?<![A-Za-z0-9_-])(?<![A-Za-z0-9_-]\.)eyJ[A-Za-z0-9_-]{13,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])(?!\.[A-Za-z0-9_-])", "***"),
+    (rf"(?<![A-Za-z0-9_-])(?:{'|'.join(CREDENTIALS)})(?![A-Za-z0-9_-])", "***"),
+    (r"(?i)([A-Z_]*(?:API_?KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIAL|AUTH)[A-Z_]*)\s*=\s*(['\"]?)(\S+)\2", "$1=$2***$2"),
+    (r'(?i)("(?:api_?key|token|secret|password|access_token|refresh_token|auth_token|bearer|secret_value|raw_secret|secret_input|key_material)")\s*:\s*"[^"]+"', '$1: "***"'),
+    (r"(?i)(Authorization:\s*Bearer\s+)\S+", "$1***"), (r"(?:bot)?\d{8,}:[-A-Za-z0-9_]{30,}", "[REDACTED]"),
+    (r"-----BEGIN[A-Z ]*PRIVATE KEY-----[\s\S]*?-----END[A-Z ]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"), (r"(?i)((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^:]+:)[^@]+@", "$1***@"),
+    (r"(\+[1-9]\d{2})\d{1,8}(\d{4})(?![A-Za-z0-9])", "$1****$2"), (r"(\+[1-9])\d{4}(\d{2})(?![A-Za-z0-9])", "$1****$2"),
+)
+
+
+def redact(text: Column) -> Column:
+    """A text without web tokens, credentials, secret assignments and fields, bearer headers, keys, passwords in addresses and phone numbers."""
+    for pattern, becomes in REDACTIONS:
+        text = F.regexp_replace(text, pattern, becomes)
+    return text

@@ -44,6 +44,22 @@ def verdicts(findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return findings.groupBy(id_col).agg(F.count("*").alias("findings"), F.when(F.bool_or(F.col("severity") == "critical"), "dangerous").otherwise("caution").alias("verdict"))
 
 
+#: Whether a bundle may be used, by trust and verdict safe, caution, dangerous (fixed values); other trust is community.
+POLICY = {"builtin": ("allow", "allow", "allow"), "trusted": ("allow", "allow", "block"), "community": ("allow", "block", "block"), "agent-created": ("allow", "block", "block")}
+
+
+def bundle_verdicts(bundles: DataFrame, findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col, verdict, findings, categories, decision of every bundle (id_col, trust): safe without findings, else as verdicts()."""
+    found = findings.groupBy(id_col).agg(F.count("*").alias("findings"), F.bool_or(F.col("severity") == "critical").alias("critical"), F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"))
+    rows = bundles.join(found, id_col, "left")
+    verdict = F.when(F.col("findings").isNull(), "safe").when(F.col("critical"), "dangerous").otherwise("caution")
+    at = F.when(verdict == "safe", 0).when(verdict == "caution", 1).otherwise(2)
+    decision = F.get(F.array(*map(F.lit, POLICY["community"])), at)
+    for trust, by_verdict in POLICY.items():
+        decision = F.when(F.col("trust") == trust, F.get(F.array(*map(F.lit, by_verdict)), at)).otherwise(decision)
+    return rows.select(id_col, verdict.alias("verdict"), F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("categories", F.lit("")).alias("categories"), decision.alias("decision"))
+
+
 def redact_assignments(text: Column) -> Column:
     """Values of secret-looking assignments become ***."""
     return F.regexp_replace(text, r"(?i)((?:token|secret|password|api_key)[ ]*[=:][ ]*)([^ \t\r\n]+)", "$1***")
@@ -145,6 +161,6 @@ def batches(items: DataFrame, most: int = 24) -> DataFrame:
 
 
 def concept_index(item_concepts: DataFrame) -> DataFrame:
-    """concept, frequency, chapters, shared: held by more than one item."""
-    found = item_concepts.groupBy("concept").agg(F.count_distinct("label").alias("frequency"), F.count_distinct("chapter").alias("chapters"))
+    """concept, frequency, chapters, labels (ascending array), shared: held by more than one item."""
+    found = item_concepts.groupBy("concept").agg(F.count_distinct("label").alias("frequency"), F.count_distinct("chapter").alias("chapters"), F.array_sort(F.collect_set("label")).alias("labels"))
     return found.withColumn("shared", F.col("frequency") > 1)

@@ -104,7 +104,13 @@ def w4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a3_concept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.concept_index(s.item_concepts(spark, sf_dir))
+    return x.concept_index(s.item_concepts(spark, sf_dir)).withColumn("labels", F.md5(F.array_join(F.transform("labels", lambda v: v.cast("string")), ",")))
+
+
+def a12_bundle_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trust = F.element_at(F.array(*map(F.lit, ("builtin", "trusted", "community", "agent-created", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = s.table(spark, sf_dir, "documents")
+    return x.bundle_verdicts(docs.select("doc_id", trust.alias("trust")), x.threat_scan(docs))
 
 
 def j13_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +154,8 @@ ORACLES = {
     "p6_threat_scan": f"WITH {LINES} {_threats()}",
     "a12_verdicts": f"WITH {LINES}, f AS ({_threats()}) SELECT doc_id, count(*) AS findings, CASE WHEN bool_or(severity = 'critical') THEN 'dangerous' ELSE 'caution' END AS verdict FROM f GROUP BY doc_id",
     "p5_redact": r"SELECT doc_id, md5(regexp_replace(text, '(?i)((?:token|secret|password|api_key)[ ]*[=:][ ]*)([^ \t\r\n]+)', '\1***', 'g')) AS digest FROM documents",
+    "a12_bundle_verdicts": f"""WITH {LINES}, f AS ({_threats()}), g AS (SELECT doc_id, count(*) AS n, bool_or(severity = 'critical') AS critical, string_agg(DISTINCT category, ', ' ORDER BY category) AS categories FROM f GROUP BY doc_id), v AS (SELECT d.doc_id, CASE WHEN n IS NULL THEN 'safe' WHEN critical THEN 'dangerous' ELSE 'caution' END AS verdict, coalesce(n, 0) AS findings, coalesce(categories, '') AS categories FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id)
+      SELECT *, CASE WHEN verdict = 'safe' OR doc_id % 5 = 0 OR doc_id % 5 = 1 AND verdict = 'caution' THEN 'allow' ELSE 'block' END AS decision FROM v""",
     "p20_grep": f"WITH {LINES} SELECT doc_id, count(*) AS n, min(line) AS first_line FROM l WHERE regexp_matches(content, '(?i)secret|token|licen[cs]e') GROUP BY doc_id",
     "f5_canonical_url": f"WITH {URL} SELECT page_id, key FROM c",
     "k6_merge_results": f"WITH {URL} SELECT key, min(page_id) AS page_id, count(*) AS merged, max(length(html)) AS longest FROM c GROUP BY key",
@@ -167,8 +175,8 @@ ORACLES = {
     "g4_invalid": f"WITH RECURSIVE {NODES}, r AS (SELECT src AS id FROM e JOIN n ON n.id = e.dst WHERE n.status = 'false' UNION SELECT e.src AS id FROM r JOIN e ON e.dst = r.id) SELECT DISTINCT id FROM r",
     "w4_batches": f"""WITH i AS ({s.plain(ITEMS)}), t AS (SELECT *, CASE WHEN chapter IS NOT DISTINCT FROM lag(chapter) OVER w AND lag(ordinal) OVER w IS NOT NULL THEN 0 ELSE 1 END AS turn FROM i WINDOW w AS (PARTITION BY book ORDER BY ordinal)), l AS (SELECT *, sum(turn) OVER (PARTITION BY book ORDER BY ordinal) AS island FROM t),
       p AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY ordinal) - 1) // 24 AS part FROM l) SELECT book, label, 'chapter-' || chapter || '-batch-' || dense_rank() OVER (PARTITION BY book, chapter ORDER BY island, part) AS batch FROM p""",
-    "a3_concept_index": f"WITH {CONCEPTS} SELECT concept, count(DISTINCT label) AS frequency, count(DISTINCT chapter) AS chapters, count(DISTINCT label) > 1 AS shared FROM i WHERE concept <> '' GROUP BY concept",
+    "a3_concept_index": f"WITH {CONCEPTS} SELECT concept, count(DISTINCT label) AS frequency, count(DISTINCT chapter) AS chapters, md5(array_to_string(list_sort(list(DISTINCT label)), ',')) AS labels, count(DISTINCT label) > 1 AS shared FROM i WHERE concept <> '' GROUP BY concept",
     "j13_coverage": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, event_type, regexp_extract(props, '(\d+)', 1)::INT AS k, CAST(round(value * 100) AS BIGINT) % 7 + 20 AS modulus FROM events)
       SELECT run_id AS scope, event_id AS at, k AS witness, EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'error' AND c.run_id = a.run_id AND c.event_id < a.event_id AND a.k % c.modulus = c.k % c.modulus) AS covered FROM a WHERE event_type = 'view'""",
 }
-QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, j13_coverage)}
+QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, a12_bundle_verdicts, j13_coverage)}

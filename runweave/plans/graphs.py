@@ -37,6 +37,10 @@ def _of(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     return nodes(spark, sf_dir).where(F.col("status") == status).select("id")
 
 
+def g4_invalid_or_parked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o.dependents(edges(spark, sf_dir).where("kind = 'depends_on'").select("src", "dst"), nodes(spark, sf_dir).where("status in ('false', 'parked')").select("id"))
+
+
 def g5_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.family(edges(spark, sf_dir), _of(spark, sf_dir, "proving"))
 
@@ -141,6 +145,7 @@ _MERGED = """nw AS (SELECT id + CASE WHEN id % 2 = 0 THEN 1000000000 ELSE 0 END
 _CONCEPTS = r"i AS (SELECT DISTINCT p_partkey AS label, p_brand AS chapter, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\s+')) AS concept FROM part), c AS (SELECT * FROM i WHERE concept <> '')"
 _ACTIVE = f"{_CONCEPTS}, a AS (SELECT concept FROM c GROUP BY concept HAVING count(DISTINCT label) >= 2), dm AS ({s.plain(DOMAINS)}), f AS (SELECT DISTINCT label, c.concept, domain FROM c JOIN a ON a.concept = c.concept JOIN dm ON dm.concept = c.concept), k AS (SELECT domain, string_agg(DISTINCT concept, ',' ORDER BY concept) AS concepts, count(DISTINCT label) AS consumers FROM f GROUP BY domain HAVING count(DISTINCT label) >= 2)"
 ORACLES = {
+    "g4_invalid_or_parked": f"WITH RECURSIVE {_N}, {_E}, r AS (SELECT e.src AS id FROM e JOIN n ON n.id = e.dst WHERE kind = 'depends_on' AND n.status IN ('false', 'parked') UNION SELECT e.src AS id FROM r JOIN e ON e.dst = r.id AND kind = 'depends_on') SELECT id FROM r",
     "g5_family": f"WITH RECURSIVE {_FAMILY} SELECT target, id FROM fam",
     "g6_invalidate": f"""WITH RECURSIVE {_N}, {_E}, ch AS (SELECT id FROM n WHERE status = 'blocked' UNION SELECT e.dst AS id FROM ch JOIN e ON e.src = ch.id AND e.kind = 'split_of'),
       h AS (SELECT e.dst AS id, bool_or(EXISTS (SELECT 1 FROM e v WHERE v.kind = 'depends_on' AND v.src = e.dst AND v.dst = e.src)) AS used FROM e JOIN ch ON ch.id = e.src WHERE e.kind = 'split_of' GROUP BY e.dst)
@@ -177,4 +182,4 @@ ORACLES = {
     "a4_unassigned_concepts": f"WITH {_ACTIVE} SELECT concept FROM a WHERE concept NOT IN (SELECT f.concept FROM f JOIN k ON k.domain = f.domain)",
     "p17_select_scope": f"WITH {_N}, {_E} SELECT id AS label, line AS position, CASE WHEN status = 'conjectured' THEN 'selected' ELSE 'dependency' END AS role FROM n WHERE status = 'conjectured' OR id IN (SELECT dst FROM e JOIN n y ON y.id = e.src WHERE y.status = 'conjectured')",
 }
-QUERIES = {q.__name__: q for q in (g1_schedule, g5_family, g6_invalidate, g7_lineage, g8_root_sessions, g11_split_ancestors, g12_assignment_frontier, g14_completed_splits, k4_open_subgoals, u2_merge_nodes, u2_merge_changes, u3_reconcile, u4_lost_work, j5_declared_edges, j6_candidate_edges, j11_late_dependencies, j18_relevant_findings, j28_recovery_candidates, a4_library_modules, a4_unassigned_concepts, p17_select_scope)}
+QUERIES = {q.__name__: q for q in (g1_schedule, g4_invalid_or_parked, g5_family, g6_invalidate, g7_lineage, g8_root_sessions, g11_split_ancestors, g12_assignment_frontier, g14_completed_splits, k4_open_subgoals, u2_merge_nodes, u2_merge_changes, u3_reconcile, u4_lost_work, j5_declared_edges, j6_candidate_edges, j11_late_dependencies, j18_relevant_findings, j28_recovery_candidates, a4_library_modules, a4_unassigned_concepts, p17_select_scope)}

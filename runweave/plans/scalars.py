@@ -25,6 +25,9 @@ ATTEMPTS = """SELECT event_id AS id, event_type = 'purchase' AS success, CASE WH
  CASE WHEN event_id % 2 = 0 THEN 'statements' ELSE 'proofs' END AS stage FROM {events}"""
 CALLS = "SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'lean_inspect' WHEN 'click' THEN 'lean_incremental_check' WHEN 'purchase' THEN 'apply_verified_patch' WHEN 'error' THEN 'lean_verify' ELSE 'read_file' END AS name, CASE user_id % 3 WHEN 0 THEN 'Check-Target' WHEN 1 THEN ' feedback ' END AS action FROM {events}"
 TIMES = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN '2024-03-0' || (o_custkey % 9 + 1) || ' 11:22:33' WHEN 2 THEN 'soon' END AS value FROM {orders}"
+#: One credential or none in each text.
+SECRETS = """SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'key sk-abcdefghij' || p_partkey || ' end' WHEN 1 THEN 'see eyJ' || md5(p_name) || '.' || md5(p_type) || '.' || md5(p_brand) || ' ok' WHEN 2 THEN 'export OPENAI_API_KEY = "v' || p_partkey || '" x' WHEN 3 THEN '{{"access_token" : "a' || p_partkey || '"}}'
+ WHEN 4 THEN 'authorization: Bearer abc.' || p_partkey || ' .' WHEN 5 THEN 'bot123456789:' || md5(p_name) WHEN 6 THEN 'x -----BEGIN RSA PRIVATE KEY-----' || chr(10) || p_name || chr(10) || '-----END RSA PRIVATE KEY----- y' WHEN 7 THEN 'postgres://me:pw' || p_partkey || '@db' WHEN 8 THEN 'call +4917612345678 now' WHEN 9 THEN 'call +1234567 now' ELSE p_name END AS text FROM {part}"""
 CONCEPTS, ALIASES = {"convexity": r"\bconvex", "measure": r"\bmeasur"}, {"conv-hull-7": "hull"}
 
 
@@ -82,6 +85,16 @@ def p13_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "documents").select("doc_id", F.md5(f.excerpt(F.col("text"), 300)).alias("digest"))
 
 
+def p5_redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.derived(spark, sf_dir, SECRETS).select("id", f.redact(F.col("text")).alias("out"))
+
+
+def f20_compact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = s.activity(spark, sf_dir).withColumn("details", F.create_map(F.lit("iteration"), F.col("k").cast("string"), F.lit("noise"), F.lit("x")))
+    out = f.compact_event(("event_id", "type", "run_id"), F.concat_ws(" ", "type", "k"), F.col("details"), ("iteration", "tool"))
+    return log.select(out.alias("e")).select("e.event_id", "e.type", "e.run_id", "e.message", F.to_json("e.details").alias("details"))
+
+
 def p14_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "documents").select("doc_id", F.md5(f.window_text(F.col("text"), ("benchmark", "water", "que"), 200)).alias("digest"))
 
@@ -174,6 +187,9 @@ ORACLES = {
     "k13_tool_priority": f"""WITH t AS ({s.plain(CALLS)}), a AS (SELECT id, name, replace(lower(trim(coalesce(action, ''))), '-', '_') AS action FROM t)
       SELECT id, CASE name WHEN 'apply_verified_patch' THEN -10 WHEN 'lean_incremental_check' THEN CASE WHEN action IN ('', 'check_target') THEN 0 ELSE 1 END WHEN 'lean_verify' THEN 2 WHEN 'lean_inspect' THEN 20 ELSE 10 END AS out FROM a""",
     "p3_repository_url": "SELECT page_id, page_id % 5 IN (0, 1, 3) AS out FROM pages",
+    "p5_redact_all": f"""WITH t AS ({s.plain(SECRETS)}) SELECT id, CASE id % 11 WHEN 0 THEN 'key *** end' WHEN 1 THEN 'see *** ok' WHEN 2 THEN 'export OPENAI_API_KEY="***" x' WHEN 3 THEN '{{"access_token": "***"}}' WHEN 4 THEN 'authorization: Bearer *** .' WHEN 5 THEN '[REDACTED]' WHEN 6 THEN 'x [REDACTED PRIVATE KEY] y' WHEN 7 THEN 'postgres://me:***@db' WHEN 8 THEN 'call +491****5678 now' WHEN 9 THEN 'call +1****67 now' ELSE text END AS out FROM t""",
+    "f20_compact_events": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, CASE event_type WHEN 'signup' THEN 'conversation-start' WHEN 'view' THEN 'api-request' WHEN 'click' THEN 'tool-call' WHEN 'purchase' THEN 'conversation-end' WHEN 'error' THEN 'tool-result' END AS type, TRY_CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k FROM events)
+      SELECT event_id, type, run_id, concat_ws(' ', type, k) AS message, CASE WHEN k IS NULL THEN '{}' ELSE '{"iteration":"' || k || '"}' END AS details FROM a""",
     "p8_unsafe_entry": _sql(_entry()),
     "p9_command_risk": _sql(_risk()),
     "p11_surrenders": _sql(f"regexp_matches(text, {_quoted('(?i)' + '|'.join(f.SURRENDER))})"),
@@ -193,5 +209,5 @@ def _query(make):
     return lambda spark, sf_dir: texts(spark, sf_dir, out=make())
 
 
-QUERIES = {q.__name__: q for q in (f1_semantic_text, f3_digests, f10_failure_class, f12_f13_compact, f14_clean_title, f17_modules, f24_frontmatter, f25_to_time, k13_tool_priority, p3_repository_url, p13_excerpt, p14_window_text)}
+QUERIES = {q.__name__: q for q in (f1_semantic_text, f3_digests, f10_failure_class, f12_f13_compact, f14_clean_title, f17_modules, f24_frontmatter, f25_to_time, k13_tool_priority, p3_repository_url, p5_redact_all, f20_compact_events, p13_excerpt, p14_window_text)}
 QUERIES |= {name: _query(make) for name, make in _ONE.items()}
