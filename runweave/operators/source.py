@@ -88,11 +88,10 @@ def finished(found: DataFrame) -> DataFrame:
 
 
 def file_hints(files: DataFrame, found: DataFrame) -> DataFrame:
-    """file, hints, worked: comments that hint, and finished declarations before the first one with a hole."""
-    hints = F.regexp_count("text", F.lit(r"(?i)--\s*hint\b"))
+    """file, hints, worked: see hint_count(); finished theorems, lemmas and examples before the first hole, 0 without any hole."""
     first = found.where("has_hole").groupBy("file").agg(F.min("line").alias("first"))
-    worked = found.where("not has_hole").join(first, "file", "left").where("first is null or line < first").groupBy("file").agg(F.count("*").alias("worked"))
-    return files.select(F.col("path").alias("file"), hints.cast("long").alias("hints")).join(worked, "file", "left").select("file", "hints", F.coalesce("worked", F.lit(0)).alias("worked"))
+    worked = found.where("not has_hole and kind in ('example', 'theorem', 'lemma')").join(first, "file").where("line < first").groupBy("file").agg(F.count("*").alias("worked"))
+    return files.select(F.col("path").alias("file"), hint_count(F.col("text")).cast("long").alias("hints")).join(worked, "file", "left").select("file", "hints", F.coalesce("worked", F.lit(0)).alias("worked"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -154,3 +153,106 @@ def file_order(candidates: DataFrame, external: DataFrame | None = None) -> Data
     joined = ranked.join(external.select("scope", "label", "rank"), ["scope", "label"], "left")
     guarded = F.row_number().over(Window.partitionBy("scope").orderBy(*coarse, F.col("rank").asc_nulls_last(), "place"))
     return joined.withColumn("place", guarded).select("scope", "label", "place")
+
+
+#: Words that make a declaration hard or easy, with their weights (fixed values).
+HARD = {"putnam": 5, "imo": 4, "aime": 3, "amc": 2, "numbertheory": 2, "olympiad": 3, "convexhull": 2, "euclideanspace": 2, "volume": 2, "polynomial": 1, "finset": 1, "strictmono": 1}
+EASY = {"mathd": 2, "linear": 1, "lipschitz": 1, "abs": 1}
+
+
+def hint_count(text: Column) -> Column:
+    """Lines of #check, and how often a text says hint, useful lemma and useful mathlib."""
+    low = F.lower(text)
+    return F.regexp_count(text, F.lit(r"(?m)^\s*#check\b")) + F.regexp_count(low, F.lit("hint")) + F.regexp_count(low, F.lit("useful lemma")) + F.regexp_count(low, F.lit("useful mathlib"))
+
+
+def file_difficulty(files: DataFrame, found: DataFrame, first: int = 8) -> DataFrame:
+    """file, difficulty, first_difficulty, hints, worked of each file: from its first `first` declarations with holes.
+
+    A declaration has 4 points, and those of its words, and one each for over 12 and 24 lines, not below 0. A file has
+    two thirds of its first one's and a third of their mean (half-even), less at most 4 for hints and worked examples.
+    """
+    both = F.concat(F.lower("name"), F.lit("\n"), F.lower("text"))
+    score = F.lit(4)
+    for words, sign in ((HARD, 1), (EASY, -1)):
+        for word, weight in words.items():
+            score = score + F.when(both.contains(word), sign * weight).otherwise(0)
+    span = F.greatest(F.lit(1), F.col("end_line") - F.col("line") + 1)
+    score = F.greatest(F.lit(0), score + F.when(span > 12, 1).otherwise(0) + F.when(span > 24, 1).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    pending = found.where("has_hole").withColumns({"score": score, "place": place}).where(F.col("place") <= first)
+    scored = pending.groupBy("file").agg(F.min_by("score", "line").alias("first_difficulty"), F.round(F.avg("score"), 2).alias("mean"))
+    hints = file_hints(files, found)
+    joined = hints.join(scored, "file", "left")
+    discount = F.least(F.lit(4), F.floor(F.col("hints") / 2) + F.floor(F.col("worked") / 3))
+    whole = F.greatest(F.lit(0), F.bround((F.col("first_difficulty") * 2 + F.col("mean")) / 3, 0).cast("long") - discount)
+    return joined.select("file", F.coalesce(whole, F.lit(0)).cast("long").alias("difficulty"), F.coalesce("first_difficulty", F.lit(0)).alias("first_difficulty"), "hints", "worked")
+
+
+def horizon(results: DataFrame, found: DataFrame, assignments: DataFrame) -> DataFrame:
+    """results (id, file, name) with access: usable, assigned_declaration_unavailable or future_same_file_unavailable.
+
+    assignments: file, target. A result or target counts only if exactly one declaration of the file has its whole or
+    its short name; what is not certain stays usable.
+    """
+    def lines(df: DataFrame, name: str, as_: str) -> DataFrame:
+        names = F.array_distinct(F.array(F.trim(name), F.element_at(F.split(F.trim(F.col(name)), r"\."), -1)))
+        asked = df.select("file", name).distinct().withColumn("n", F.explode(names))
+        met = asked.join(found.select("file", F.col("name").alias("n"), "line"), ["file", "n"])
+        return met.groupBy("file", name).agg(F.count("*").alias("times"), F.min("line").alias(as_)).where("times = 1").drop("times")
+
+    target = assignments.join(lines(assignments, "target", "assigned"), ["file", "target"]).select("file", "assigned")
+    rows = results.join(lines(results, "name", "at"), ["file", "name"], "left").join(target, "file", "left")
+    access = F.when(F.col("at") == F.col("assigned"), "assigned_declaration_unavailable").when(F.col("at") > F.col("assigned"), "future_same_file_unavailable").otherwise("usable")
+    return rows.select("id", "file", "name", access.alias("access"))
+
+
+def placement(found: DataFrame, concepts: Column, modules: DataFrame, duplicates: DataFrame, promotions: DataFrame) -> DataFrame:
+    """file, name, status, modules of declarations (file, name, digest, text): where reusable ones may go.
+
+    concepts: array<string> of a row; modules: concept, module; duplicates and (verified) promotions: name, digest. A
+    declaration that could move is blocked if it names one of its file that is not approved and shares no module.
+    """
+    rows = found.withColumn("concepts", concepts)
+    targets = rows.select("file", "name", F.explode("concepts").alias("concept")).join(modules, "concept").groupBy("file", "name").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    flag = lambda df, as_: df.select("name", "digest").distinct().withColumn(as_, F.lit(True))
+    rows = rows.join(targets, ["file", "name"], "left").join(flag(promotions, "promoted"), ["name", "digest"], "left").join(flag(duplicates, "repeated"), ["name", "digest"], "left")
+    rows = rows.withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
+    status = F.when(F.col("promoted"), "approved_for_promotion").when(F.col("repeated"), "promotion_candidate").when(F.size("modules") > 0, "placement_review").otherwise("local_default")
+    rows = rows.withColumn("status", status)
+    words = rows.select("file", "name", F.col("modules").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_']+)"), 1))).alias("other"))
+    named = rows.select("file", F.col("name").alias("other"), F.col("status").alias("of"), F.col("modules").alias("theirs"))
+    blocked = words.join(named, ["file", "other"]).where((F.col("other") != F.col("name")) & (F.col("of") != "approved_for_promotion") & ~F.arrays_overlap("own", "theirs")).select("file", "name").distinct().withColumn("blocked", F.lit(True))
+    out = F.when(F.col("blocked") & (F.col("status") != "local_default"), "blocked_local_dependency").otherwise(F.col("status"))
+    return rows.join(blocked, ["file", "name"], "left").select("file", "name", out.alias("status"), F.array_join("modules", ",").alias("modules"))
+
+
+def namespace_at(lines: Column, line: Column) -> Column:
+    """The names of the namespaces open before a line (from 1) of a file's lines, dot-joined: a fold over the lines before it."""
+
+    def step(stack: Column, raw: Column) -> Column:
+        opened, closes = F.regexp_extract(raw, r"^\s*namespace\s+([A-Za-z_][\w.']*)", 1), raw.rlike(r"^\s*end\b")
+        named = F.regexp_extract(raw, r"^\s*end\s+([A-Za-z_][\w.']*)", 1)
+        back = F.array_position(F.reverse(stack), named).cast("int")
+        drop = F.when((named != "") & (back > 0), back).otherwise(F.least(F.lit(1), F.size(stack)))
+        return F.when(opened != "", F.concat(stack, F.array(opened))).when(closes, F.slice(stack, 1, F.size(stack) - drop)).otherwise(stack)
+
+    return F.array_join(F.aggregate(F.slice(lines, 1, F.greatest(line - 1, F.lit(0))), F.array().cast("array<string>"), step), ".")
+
+
+def document_assets(files: DataFrame, paths: DataFrame) -> DataFrame:
+    r"""src, asset, kind of files (path, text): the existing paths (path) that their bibliographies and figures name.
+
+    \bibliography, \addbibresource: .bib and .bbl; \includegraphics, \epsfig: as named or with a picture's ending. Looked
+    up beside the file, by equality of each candidate.
+    """
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    books = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\\(?:bibliography|addbibresource)\s*\{([^{}]+)\}"), 1), lambda v: F.transform(F.split(v, ","), lambda p: F.trim(p))))
+    pictures = F.regexp_extract_all("text", F.lit(r"(?i)\\(?:includegraphics|epsfig)\s*(?:\[[^\]]*\])?\s*\{([^{}]+)\}"), 1)
+    endings = {"bibliography": (".bib", ".bbl"), "figure": ("", ".png", ".jpg", ".jpeg", ".pdf", ".eps", ".svg")}
+    found = None
+    for kind, refs in (("bibliography", books), ("figure", pictures)):
+        each = files.select(F.col("path").alias("src"), folder.alias("folder"), F.explode(F.array_distinct(refs)).alias("ref")).withColumn("bare", F.regexp_replace("ref", r"\.bib$", "") if kind == "bibliography" else F.col("ref"))
+        tried = each.select("src", F.explode(F.array(*[F.concat("folder", "bare", F.lit(e)) for e in endings[kind]])).alias("asset"), F.lit(kind).alias("kind"))
+        found = tried if found is None else found.unionByName(tried)
+    return found.join(paths.select(F.col("path").alias("asset")).distinct(), "asset", "left_semi").select("src", "asset", "kind").distinct()

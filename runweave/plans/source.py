@@ -85,7 +85,40 @@ def p18_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p19_file_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.file_hints(files(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("path").contains("7"), "\n-- Hint: try\n--hint two").otherwise(""))), o.declarations(files(spark, sf_dir)))
+    return o.file_hints(files(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("path").contains("7"), "\n#check x\n-- Useful lemma: hint").otherwise(""))), o.declarations(files(spark, sf_dir)))
+
+
+def a17_file_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("file", "/B([0-9]+)", 1).cast("long")
+    found = o.declarations(files(spark, sf_dir)).withColumn("text", F.concat("text", F.when(k % 3 == 0, " Putnam polynomial").when(k % 3 == 1, " mathd abs").otherwise("")))
+    return o.file_difficulty(files(spark, sf_dir), found)
+
+
+def j10_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("file", "/B([0-9]+)", 1)
+    found = o.declarations(files(spark, sf_dir))
+    results = found.select(F.concat("file", F.lit("#"), "name").alias("id"), "file", F.when(F.col("name").startswith("t"), F.concat(F.lit("Some.Space."), "name")).otherwise(F.col("name")).alias("name"))
+    results = results.unionByName(found.where("kind = 'def'").select(F.concat("file", F.lit("#none")).alias("id"), "file", F.lit("imported").alias("name")))
+    return o.horizon(results, found, found.where("kind = 'lemma'").select("file", F.when(k.cast("long") % 5 == 0, "gone").otherwise(F.col("name")).alias("target")))
+
+
+def j21_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("name", "([0-9]+)$", 1).cast("long")
+    found = o.declarations(files(spark, sf_dir)).withColumn("digest", F.left(F.sha2("text", 256), F.lit(16)))
+    modules = s.derived(spark, sf_dir, "SELECT DISTINCT 'c' || (p_partkey % 3) AS concept, 'Shared.M' || (p_partkey % 3) AS module FROM {part}")
+    concepts = F.when(F.col("kind") == "theorem", F.array(F.concat(F.lit("c"), k % 4))).otherwise(F.array().cast("array<string>"))
+    return o.placement(found, concepts, modules, found.where((k % 7 == 1) & (F.col("kind") == "lemma")), found.where((k % 7 == 2) & F.col("name").startswith("t")))
+
+
+def f18_qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = s.derived(spark, sf_dir, "SELECT p_partkey AS id, 'namespace A' || chr(10) || 'def x' || chr(10) || 'namespace B.C' || chr(10) || CASE p_partkey % 4 WHEN 0 THEN 'end A' WHEN 1 THEN 'end' WHEN 2 THEN 'end Z' ELSE 'ending' END || chr(10) || 'def y' AS text, p_partkey % 7 AS line FROM {part}")
+    return spaced.select("id", o.namespace_at(F.split("text", "\n"), F.col("line").cast("int")).alias("out"))
+
+
+def j30_document_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = s.derived(spark, sf_dir, "SELECT 'd/p' || p_partkey || '.tex' AS path, chr(92) || 'bibliography' || chr(123) || 'r' || p_size || ', s' || p_partkey || '.bib' || chr(125) || chr(92) || 'includegraphics[w=1]' || chr(123) || 'fig' || p_partkey || chr(125) AS text FROM {part}")
+    there = s.derived(spark, sf_dir, "SELECT 'd/r' || p_size || '.bbl' AS path FROM {part} UNION ALL SELECT 'd/s' || p_partkey || '.bib' AS path FROM {part} WHERE p_partkey % 2 = 0 UNION ALL SELECT 'd/fig' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.svg' ELSE '.txt' END AS path FROM {part}")
+    return o.document_assets(docs, there)
 
 
 def k1_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +151,14 @@ ORACLES = {
     "a16_hole_stats": f"WITH {_BASE} SELECT 'Pkg' || (k % 5) AS project, count(*) AS holes, count(*) AS files FROM p WHERE k % 2 = 0 GROUP BY 1",
     "a24_diagnostic_counts": f"WITH {_DIAG} SELECT id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM g GROUP BY id",
     "p18_finished": f"WITH {_DECLS} SELECT file, name, line, length(text) AS chars FROM d WHERE kind <> 'def' AND NOT has_hole",
-    "p19_file_hints": f"WITH {_BASE} SELECT file, CASE WHEN contains(file, '7') THEN 2 ELSE 0 END AS hints, CASE WHEN k % 2 = 0 THEN 1 ELSE 4 END AS worked FROM p",
+    "p19_file_hints": f"WITH {_BASE} SELECT file, CASE WHEN contains(file, '7') THEN 4 ELSE 1 END AS hints, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS worked FROM p",
+    "a17_file_difficulty": f"WITH {_BASE}, z AS (SELECT file, k, CASE k % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 4 END AS s FROM p) SELECT file, CASE WHEN k % 2 = 0 THEN s ELSE 0 END::BIGINT AS difficulty, CASE WHEN k % 2 = 0 THEN s ELSE 0 END AS first_difficulty, 1 AS hints, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS worked FROM z",
+    "j10_horizon": f"""WITH {_DECLS} SELECT file || '#' || name AS id, file, CASE WHEN name LIKE 't%' THEN 'Some.Space.' || name ELSE name END AS name, CASE WHEN k % 5 = 0 OR line < 7 THEN 'usable' WHEN line = 7 THEN 'assigned_declaration_unavailable' ELSE 'future_same_file_unavailable' END AS access FROM d UNION ALL SELECT file || '#none', file, 'imported', 'usable' FROM d WHERE kind = 'def'""",
+    "j21_placement": f"""WITH {_DECLS}, x AS (SELECT *, CASE WHEN kind = 'theorem' AND k % 4 < 3 THEN 'Shared.M' || (k % 4) ELSE '' END AS m, CASE WHEN k % 7 = 2 AND name LIKE 't%' THEN 'approved_for_promotion' WHEN k % 7 = 1 AND kind = 'lemma' THEN 'promotion_candidate' WHEN kind = 'theorem' AND k % 4 < 3 THEN 'placement_review' ELSE 'local_default' END AS st FROM d)
+      SELECT file, name, CASE WHEN name LIKE 'u%' AND st <> 'local_default' AND k % 7 <> 2 AND m = '' THEN 'blocked_local_dependency' ELSE st END AS status, m AS modules FROM x""",
+    "f18_qualified_names": "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <= 1 THEN '' WHEN p_partkey % 7 <= 3 THEN 'A' WHEN p_partkey % 7 = 4 THEN 'A.B.C' ELSE CASE p_partkey % 4 WHEN 0 THEN '' WHEN 3 THEN 'A.B.C' ELSE 'A' END END AS out FROM part",
+    "j30_document_assets": "SELECT 'd/p' || p_partkey || '.tex' AS src, 'd/r' || p_size || '.bbl' AS asset, 'bibliography' AS kind FROM part UNION ALL SELECT 'd/p' || p_partkey || '.tex', 'd/s' || p_partkey || '.bib', 'bibliography' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'd/p' || p_partkey || '.tex', 'd/fig' || p_partkey || '.svg', 'figure' FROM part WHERE p_partkey % 3 = 0",
     "k1_file_order": f"WITH c AS ({s.plain(CANDIDATES)}) SELECT scope, label, (row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty, first_difficulty, holes, lines, declared, label))::INT AS place FROM c",
     "k2_guarded_order": f"WITH c AS ({s.plain(CANDIDATES)}), f AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty, first_difficulty, holes, lines, declared, label) AS r FROM c) SELECT scope, label, (row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty // 3, first_difficulty // 3, CASE WHEN label % 3 > 0 THEN -label END NULLS LAST, r))::INT AS place FROM f",
 }
-QUERIES = {q.__name__: q for q in (s1_lenient_jsonl, s8_declarations, f8_diagnostics, f21_signatures, j8_import_edges, j9_pending_dependencies, j22_snapshot_diff, j23_attach_diagnostics, j29_earlier_duplicates, a16_hole_stats, a24_diagnostic_counts, p18_finished, p19_file_hints, k1_file_order, k2_guarded_order)}
+QUERIES = {q.__name__: q for q in (s1_lenient_jsonl, s8_declarations, f8_diagnostics, f21_signatures, j8_import_edges, j9_pending_dependencies, j22_snapshot_diff, j23_attach_diagnostics, j29_earlier_duplicates, a16_hole_stats, a24_diagnostic_counts, p18_finished, p19_file_hints, a17_file_difficulty, j10_horizon, j21_placement, f18_qualified_names, j30_document_assets, k1_file_order, k2_guarded_order)}
