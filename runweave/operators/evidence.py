@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -238,3 +239,123 @@ def locate(snippets: DataFrame, docs: DataFrame) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("id", "doc_id").agg(F.min_by(F.struct("line", "strategy", "n"), "rank").alias("b"))
     return best.select("id", "doc_id", "b.line", "b.strategy", "b.n")
+
+
+def closest_regions(snippets: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, doc_id, line, similarity: the window of as many lines as the snippet (id, doc_id, snippet) that is most similar to it in its document.
+
+    Similarity is the ratio of matching characters of both, stripped, rounded to 3 digits; the first of equal windows
+    counts. Every window is compared: a pair of snippet and document is one unit of work, and pairs are dealt out.
+    """
+    pairs = snippets.join(docs.select("doc_id", "text"), "doc_id").where(F.trim("text") != "").select("id", "doc_id", "snippet", "text")
+    parts = int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("id", "doc_id"))
+
+    def work(frames):
+        from difflib import SequenceMatcher
+
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for number, doc, snippet, text in frame.itertuples(index=False):
+                lines, size, wanted = text.split("\n"), len(snippet.split("\n")), snippet.strip()
+                match, best = SequenceMatcher(None), (-1.0, 0)
+                match.set_seq1(wanted)
+                for i in range(max(0, len(lines) - size) + 1):
+                    match.set_seq2("\n".join(lines[i : i + size]).strip())
+                    if match.real_quick_ratio() > best[0] and match.quick_ratio() > best[0] and (ratio := match.ratio()) > best[0]:
+                        best = (ratio, i)
+                out.append((number, doc, best[1] + 1, round(max(best[0], 0.0), 3)))
+            yield pd.DataFrame(out, columns=["id", "doc_id", "line", "similarity"])
+
+    return pairs.repartition(parts, "id", "doc_id").mapInPandas(work, f"{kinds}, line int, similarity double")
+
+
+def canonical_json(text: Column, provenance: tuple[str, ...]) -> Column:
+    """struct<text, malformed>: JSON with sorted keys, without provenance keys at any depth, strings folded and blanks collapsed.
+
+    Nested values need recursion, so it is a vectorised function; what is no JSON is malformed and comes out folded.
+    """
+    @F.pandas_udf("struct<text:string, malformed:boolean>")
+    def work(values: pd.Series) -> pd.DataFrame:
+        import json
+
+        def plain(v):
+            if isinstance(v, dict):
+                return {k: plain(v[k]) for k in sorted(v) if k not in provenance}
+            if isinstance(v, list):
+                return [plain(x) for x in v]
+            return " ".join(v.casefold().split()) if isinstance(v, str) else v
+
+        out = []
+        for value in values:
+            try:
+                out.append((json.dumps(plain(json.loads(value)), ensure_ascii=False, separators=(",", ":")), False))
+            except (TypeError, ValueError):
+                out.append((" ".join((value or "").casefold().split()), True))
+        return pd.DataFrame(out, columns=["text", "malformed"])
+
+    return work(text)
+
+
+def _tokens(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), r"[^a-z0-9]+"), lambda t: t != "")
+
+
+def target_priority(findings: DataFrame, nodes: DataFrame, suffix: int = 4) -> DataFrame:
+    """id, priority, length of nodes (id, name, statement): 0 if a finding of theirs (id, symbol, text) names them, 1 if one shares `suffix` last tokens, else 2.
+
+    length is that of the statement, a million without: both together are the order of work.
+    """
+    name = F.lower(F.trim("name"))
+    words = F.transform(F.array_append(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_.']*)"), 1), F.coalesce("symbol", F.lit(""))), lambda w: F.lower(F.trim(w)))
+    last = lambda c: F.slice(_tokens(c), -suffix, suffix)
+    alike = F.exists(words, lambda w: (F.size(_tokens(w)) >= suffix) & (F.size(_tokens(F.col("name"))) >= suffix) & (last(w) == last(F.col("name"))))
+    ranked = findings.join(nodes.select("id", "name"), "id").select("id", F.when(F.array_contains(words, name), 0).when(alike, 1).otherwise(2).alias("p")).groupBy("id").agg(F.min("p").alias("p"))
+    length = F.when(F.coalesce(F.length("statement"), F.lit(0)) > 0, F.length("statement")).otherwise(1_000_000)
+    return nodes.join(ranked, "id", "left").select("id", F.coalesce("p", F.lit(2)).alias("priority"), length.alias("length"))
+
+
+def rank_by_affinity(candidates: DataFrame, targets: DataFrame, evidence: DataFrame, markers: tuple[str, ...] = ("not", "neg", "negation", "counterexample", "false")) -> DataFrame:
+    """scope, name, place, reason of all candidates (scope, seq, name), each once, but the target itself (scope, target).
+
+    First exact evidence (scope, name), then names derived from the target's, the shortest suffix first, then by leading
+    tokens in common, then names with a marker of negation, then the rest; equal ones as first seen. Names in other
+    namespaces share nothing.
+    """
+    one = candidates.where(F.trim("name") != "").groupBy("scope", F.trim("name").alias("name")).agg(F.min("seq").alias("seq"))
+    rows = one.join(targets, "scope").where("name <> target").join(evidence.select("scope", "name").distinct().withColumn("exact", F.lit(True)), ["scope", "name"], "left")
+    space = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
+    local = lambda c: F.lower(F.element_at(F.split(F.col(c), r"\."), -1))
+    same = space("name") == space("target")
+    rows = rows.withColumns({"own": local("name"), "of": local("target")}).withColumns({"a": _tokens(F.col("own")), "b": _tokens(F.col("of"))})
+    derived = same & (F.col("own").startswith(F.concat("of", F.lit("_"))) | F.col("own").isin(F.concat(F.lit("not_"), "of"), F.concat(F.lit("neg_"), "of")))
+    distance = F.when(F.col("own").startswith(F.concat("of", F.lit("_"))), F.greatest(F.lit(0), F.size("a") - F.size("b"))).otherwise(1)
+    shared = F.when(same, F.aggregate(F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")), lambda s: s["n"])).otherwise(0)
+    negates = F.arrays_overlap("a", F.array(*map(F.lit, markers)))
+    rows = rows.withColumns({"shared": shared, "negates": negates, "derived": derived})
+    tier = F.when(F.col("exact"), 0).when(F.col("derived"), 1).when(F.col("shared") > 0, 2).when(F.col("negates"), 3).otherwise(4)
+    rows = rows.withColumns({"tier": tier, "distance": F.when(F.col("derived"), distance).otherwise(0)})
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("tier", "distance", F.desc("shared"), F.desc("negates"), "seq"))
+    reason = F.element_at(F.array(*map(F.lit, ("exact-target-graph-evidence", "target-derived-helper-name", "target-name-affinity", "generic-negation-name", "same-file-verified-fallback"))), F.col("tier") + 1)
+    return rows.select("scope", "name", place.alias("place"), reason.alias("reason"))
+
+
+def preview(kind: Column, details: Column, message: Column, most: int = 120) -> Column:
+    """What an event says in a line, by its type and details (map of strings), cut to `most` characters; else its message."""
+    short = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    step = F.concat_ws(" · ", F.concat(F.lit("API step #"), details["iteration"]), F.when(details["message_count"].isNotNull(), F.concat(details["message_count"], F.lit(" messages"))))
+    prompt = flat(details["user_message"])
+    found = (
+        F.when((kind == "assistant-response") & (flat(details["content"]) != ""), short(flat(details["content"]), most)).when((kind == "assistant-response") & (flat(details["reasoning"]) != ""), F.concat(F.lit("Reasoning: "), short(flat(details["reasoning"]), max(most - 20, 40))))
+        .when((kind == "tool-call") & details["tool"].isNotNull(), short(F.concat_ws(" ", details["tool"], flat(details["arguments"])), most)).when((kind == "api-request") & details["iteration"].isNotNull(), step)
+        .when((kind == "conversation-start") & (prompt != ""), F.concat(F.lit("Prompt: "), short(prompt, most))).when((kind == "conversation-end") & (details["interrupted"] == "true"), "Interrupted").when((kind == "conversation-end") & (details["completed"] == "true"), "Completed")
+    )
+    return F.coalesce(found, F.when((kind == "runner-exit") & (flat(message) == ""), "Runner exited"), short(flat(message), max(most - 20, 40)))
+
+
+def positions(items: DataFrame, scope: str, *order: str) -> DataFrame:
+    """items with position 1, 2, ... in the order of their scope."""
+    return items.withColumn("position", F.row_number().over(Window.partitionBy(scope).orderBy(*order)))

@@ -24,6 +24,8 @@ TEX = """SELECT 'd' || p_size || '/' || CASE WHEN p_partkey % 50 = 0 THEN 'main'
 FAILS = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '{{"diagnostics":[{{"message":"Unknown id  after ' || (event_id % 900) || ' ms"}}],"status":"x"}}' WHEN 1 THEN '{{"status":"failed","error":"Took ' || event_id || '.5s"}}' WHEN 2 THEN '{{"error":{{"resets_in_seconds":' || event_id || '}}}}' WHEN 3 THEN 'Please try again in ' || (event_id % 50) || ' hours' WHEN 4 THEN 'Retry-After: ' || event_id ELSE event_type END AS text FROM {events}"""
 GOALS = "SELECT p_partkey AS id, 'x : Nat' || chr(10) || '⊢ ' || replace(p_name, ' ', '.') || ' x ≤ Nat.succ ' || lower(p_brand) || ' ∧ x + 1 < yy' AS goal FROM {part}"
 ROUTES = "SELECT event_id AS id, user_id % 13 AS scope, event_type AS family, 'Try  Route ' || (event_id % 6) || ' of attempt ' || event_id || ' with ' || (user_id % 4) AS text FROM {events}"
+JSONS = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '{{"b": "  Two  WORDS", "a": [1, {{"ts": 5, "z": "' || p_name || '"}}], "job_id": ' || p_partkey || '}}' WHEN 1 THEN '"' || p_brand || ' X"' ELSE '{{broken  ' || p_brand END AS text FROM {part}"""
+NAMES = """SELECT user_id % 11 AS scope, event_id AS seq, CASE event_id % 8 WHEN 0 THEN 'Ns.sum_bound_' || (user_id % 11) || '_of_' || (event_id % 5) WHEN 1 THEN 'Ns.not_sum_bound_' || (user_id % 11) WHEN 2 THEN 'Ns.sum_' || (event_id % 9) WHEN 3 THEN 'Other.sum_bound_' || (event_id % 9) WHEN 4 THEN 'x_not_' || (event_id % 7) WHEN 5 THEN 'Ns.sum_bound_' || (user_id % 11) WHEN 6 THEN ' ' ELSE 'plain' || (event_id % 6) END AS name FROM {events}"""
 SNIPPETS = """SELECT doc_id AS id, doc_id, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 40) || '~none' WHEN 1 THEN chr(10) || split_part(text, chr(10), 1) WHEN 2 THEN '  ' || split_part(text, chr(10), 1) || ' ' WHEN 3 THEN replace(split_part(text, chr(10), 1), ' ', '   ') ELSE split_part(text, chr(10), 1) END AS snippet FROM {documents} WHERE text IS NOT NULL AND text <> ''"""
 
 
@@ -115,6 +117,37 @@ def t1_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.locate(_view(SNIPPETS)(spark, sf_dir), s.table(spark, sf_dir, "documents").where("text is not null"))
 
 
+def t2_closest_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o.closest_regions(_view(SNIPPETS)(spark, sf_dir), s.table(spark, sf_dir, "documents").where("text is not null"))
+
+
+def f2_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _view(JSONS)(spark, sf_dir).select("id", o.canonical_json(F.col("text"), ("ts", "job_id")).alias("c"))
+    return found.select("id", F.col("c.text").alias("out"), "c.malformed")
+
+
+def k8_rank_by_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _view(NAMES)(spark, sf_dir)
+    targets = names.select("scope").distinct().withColumn("target", F.concat(F.lit("Ns.sum_bound_"), F.col("scope")))
+    return o.rank_by_affinity(names, targets, names.where("seq % 29 = 0").select("scope", "name")).select("scope", "name", "place", "reason")
+
+
+def k9_target_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = s.derived(spark, sf_dir, "SELECT p_partkey AS id, 'A.long_' || CASE WHEN p_size % 2 = 0 THEN 'name_' ELSE '' END || 'of_part_' || p_partkey AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS statement FROM {part}")
+    found = s.derived(spark, sf_dir, "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN ' a.LONG_' || CASE WHEN p_size % 2 = 0 THEN 'name_' ELSE '' END || 'of_part_' || p_partkey ELSE 'other' END AS symbol, CASE WHEN p_partkey % 5 = 1 THEN 'see my_long_' || CASE WHEN p_size % 2 = 0 THEN 'name_' ELSE '' END || 'of_part_' || p_partkey || '.' ELSE 'of_part_' || p_partkey END AS text FROM {part} WHERE p_partkey % 3 > 0")
+    return o.target_priority(found, targets)
+
+
+def f19_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = s.activity(spark, sf_dir)
+    details = F.create_map(F.lit("iteration"), F.col("k").cast("string"), F.lit("message_count"), F.when(F.col("event_id") % 2 == 0, "7"), F.lit("tool"), F.when(F.col("event_id") % 3 > 0, "grep"), F.lit("arguments"), F.concat(F.lit(" a   "), F.repeat(F.lit("x"), (F.col("event_id") % 200).cast("int"))), F.lit("user_message"), F.when(F.col("event_id") % 2 == 0, "do  it"), F.lit("completed"), F.when(F.col("event_id") % 2 == 0, "true"))
+    return log.select("event_id", o.preview(F.col("type"), details, F.concat(F.lit("message of "), F.col("event_id").cast("string"))).alias("out"))
+
+
+def w13_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o.positions(s.table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", "p_size", "p_partkey").select("p_partkey", "position")
+
+
 def _with(**views: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({s.plain(sql)})" for name, sql in views.items())
 
@@ -148,7 +181,16 @@ ORACLES = {
     "f4_result_signature": f"""{_with(t=FAILS)} SELECT id, left(sha256(CASE id % 6 WHEN 0 THEN 'unknown id after <t>' WHEN 1 THEN 'failed|took <t>' WHEN 2 THEN '{{"resets_in_seconds":' || id || '}}' ELSE trim(regexp_replace(lower(text), '\\d+(?:\\.\\d+)?\\s*(?:ms|s|seconds|sec)\\b', '<t>', 'g')) END), 16) AS out FROM t""",
     "f16_retry_after": f"WITH t AS (SELECT event_id AS id FROM events) SELECT id, CASE WHEN x BETWEEN 1 AND 120000 THEN x END AS out FROM (SELECT id, CASE id % 6 WHEN 2 THEN id WHEN 3 THEN id % 50 * 3600 WHEN 4 THEN id END AS x FROM t)",
     "f22_goal_symbols": f"{_with(t=GOALS)}, l AS (SELECT id, list_filter(regexp_extract_all(goal[instr(goal, '⊢') + 1:], '([A-Za-z_][A-Za-z0-9_.'']+|[≤∧<]|\\+)', 1), lambda x: x NOT IN ('Nat', 'by')) AS l FROM t) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS out FROM l",
+    "f2_canonical_json": """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '{"a":[1,{"z":"' || lower(p_name) || '"}],"b":"two words"}' WHEN 1 THEN '"' || lower(p_brand) || ' x"' ELSE '{broken ' || lower(p_brand) END AS out, p_partkey % 3 = 2 AS malformed FROM part""",
+    "k8_rank_by_affinity": f"""{_with(t=NAMES)}, n AS (SELECT scope, trim(name) AS name, min(seq) AS seq FROM t WHERE trim(name) <> '' GROUP BY ALL), e AS (SELECT DISTINCT scope, trim(name) AS name FROM t WHERE seq % 29 = 0), r AS (SELECT n.*, e.name IS NOT NULL AS exact, 'Ns.sum_bound_' || n.scope AS target FROM n LEFT JOIN e ON e.scope = n.scope AND e.name = n.name),
+      z AS (SELECT *, starts_with(name, target || '_') AS suf, name = 'Ns.not_sum_bound_' || scope AS neg, CASE WHEN starts_with(name, target || '_') THEN 3 WHEN name LIKE 'Ns.sum%' THEN 1 ELSE 0 END AS shared, regexp_matches(name, '(^|[._])not_') AS negates FROM r WHERE name <> target),
+      y AS (SELECT *, CASE WHEN exact THEN 0 WHEN suf OR neg THEN 1 WHEN shared > 0 THEN 2 WHEN negates THEN 3 ELSE 4 END AS tier, CASE WHEN suf THEN 2 WHEN neg THEN 1 ELSE 0 END AS distance FROM z)
+      SELECT scope, name, (row_number() OVER (PARTITION BY scope ORDER BY tier, distance, shared DESC, negates DESC, seq))::INT AS place, ['exact-target-graph-evidence', 'target-derived-helper-name', 'target-name-affinity', 'generic-negation-name', 'same-file-verified-fallback'][tier + 1] AS reason FROM y""",
+    "k9_target_priority": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 5 = 1 THEN 1 ELSE 2 END AS priority, CASE WHEN p_partkey % 4 = 0 THEN 1000000 ELSE length(p_name) END AS length FROM part",
+    "f19_previews": r"""WITH a AS (SELECT event_id, event_type, TRY_CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k, 'grep a ' || repeat('x', event_id % 200) AS call FROM events) SELECT event_id, coalesce(CASE event_type WHEN 'view' THEN 'API step #' || k || CASE WHEN event_id % 2 = 0 THEN ' · 7 messages' ELSE '' END
+      WHEN 'click' THEN CASE WHEN event_id % 3 > 0 THEN CASE WHEN length(trim(call)) > 120 THEN substr(call, 1, 117) || '...' ELSE trim(call) END END WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Prompt: do it' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'Completed' END END, 'message of ' || event_id) AS out FROM a""",
+    "w13_positions": "SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::INT AS position FROM part",
     "t4_semantic_keys": f"""{_with(r=ROUTES)}, k AS (SELECT id, scope, family, family || '/' || regexp_extract(text, '([0-9]+)$', 1) AS key FROM r), h AS (SELECT DISTINCT scope, key FROM k WHERE family = 'error' AND scope % 2 = 0)
       SELECT k.id, row_number() OVER (PARTITION BY k.scope, k.key ORDER BY k.id) = 1 AND h.key IS NULL AS novel FROM k LEFT JOIN h ON h.scope = k.scope AND h.key = k.key""",
 }
-QUERIES = {q.__name__: q for q in (a7_campaign_metrics, a9_score_artifacts, a11_classify_runs, p7_structural_findings, p10_partition_uncertain, p12_substantive, s3_ingest_qa, j4_enrich_items, k5_rank_candidates, k11_entry_points, g9_include_closure, g10_file_topology, u5_run_union, f4_result_signature, f16_retry_after, f22_goal_symbols, t1_locate, t4_semantic_keys)}
+QUERIES = {q.__name__: q for q in (a7_campaign_metrics, a9_score_artifacts, a11_classify_runs, p7_structural_findings, p10_partition_uncertain, p12_substantive, s3_ingest_qa, j4_enrich_items, k5_rank_candidates, k11_entry_points, g9_include_closure, g10_file_topology, u5_run_union, f4_result_signature, f16_retry_after, f22_goal_symbols, t1_locate, t2_closest_regions, t4_semantic_keys, f2_canonical_json, k8_rank_by_affinity, k9_target_priority, f19_previews, w13_positions)}

@@ -25,7 +25,7 @@ def rows(frame: pd.DataFrame) -> list:
 
 
 #: Choices one after another, open circuits and snippets by form: tested against brute force in test_sequential.
-SEQUENTIAL = {"k7_diversify", "x4_circuit_stream", "t1_locate"}
+SEQUENTIAL = {"k7_diversify", "x4_circuit_stream", "t1_locate", "t2_closest_regions"}
 
 
 def test_every_query_has_an_oracle():

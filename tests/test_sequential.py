@@ -155,3 +155,20 @@ def test_locate(spark):
     got = evidence.locate(spark.createDataFrame(asked, "id long, doc_id long, snippet string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert {tuple(r) for r in got.collect()} == want
     assert {w[3] for w in want} == {"exact", "trimmed", "collapsed", "unescaped"}
+
+
+def test_closest_regions(spark):
+    from difflib import SequenceMatcher
+
+    from runweave.operators import evidence
+
+    text = "alpha beta\n  gamma delta\nepsilon\n\nalpha bet"
+    asked = [(1, 1, "gama delta"), (2, 1, "alpha beta\ngamma delta"), (3, 1, "zzz"), (4, 2, "x"), (5, 1, "a\nb\nc\nd\ne\nf\ng")]
+    want = []
+    for number, doc, snippet in asked:
+        if doc == 1:
+            lines, size = text.split("\n"), snippet.count("\n") + 1
+            scores = [SequenceMatcher(None, snippet.strip(), "\n".join(lines[i : i + size]).strip()).ratio() for i in range(max(0, len(lines) - size) + 1)]
+            want.append((number, doc, scores.index(max(scores)) + 1, round(max(scores), 3)))
+    got = evidence.closest_regions(spark.createDataFrame(asked, "id long, doc_id long, snippet string"), spark.createDataFrame([(1, text), (2, " ")], "doc_id long, text string"))
+    assert rows(got, "id", "doc_id", "line", "similarity") == sorted(want)
