@@ -115,13 +115,14 @@ def compact_count(n: Column) -> Column:
 
 
 def compact_duration(seconds: Column) -> Column:
-    """Seconds as 45s, 12m, 3h 5m, 3h or 2.5d."""
+    """Whole seconds as 45s, 12m, 3h 5m, 3h or 2.5d (ties of tenths of a day round up)."""
     s = seconds.cast("double")
+    tenths = F.floor((seconds.cast("long") * 10 + 43200) / 86400)
     left = F.floor(F.pmod(s / 60, F.lit(60.0)))
     hours = F.floor(s / 3600).cast("string")
     return F.when(s < 60, F.concat(F.bround(s, 0).cast("long").cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.bround(s / 60, 0).cast("long").cast("string"), F.lit("m"))).when(
         s < 86400, F.when(left > 0, F.concat(hours, F.lit("h "), left.cast("string"), F.lit("m"))).otherwise(F.concat(hours, F.lit("h")))
-    ).otherwise(F.concat(F.format_string("%.1f", s / 86400), F.lit("d")))
+    ).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("d")))
 
 
 def clean_title(title: Column, most: int = 100) -> Column:

@@ -175,7 +175,7 @@ ORACLES = {
     "f9_blocker_kind": _sql(_blocker()),
     "f10_failure_class": f"""WITH t AS ({s.plain(ATTEMPTS)}) SELECT id, CASE WHEN success THEN '' WHEN trim(given) <> '' THEN trim(given) WHEN contains(lower(reason), 'cost limit') OR contains(lower(reason), 'budget') THEN 'budget_limit' WHEN contains(lower(reason), 'timeout') THEN 'verification_timeout'
       WHEN {' OR '.join(f"contains(lower(reason), '{w}')" for w in f.INFRASTRUCTURE)} THEN 'infrastructure' WHEN stage = 'statements' THEN 'statement_generation_incomplete' ELSE 'proof_incomplete' END AS out FROM t""",
-    "f12_f13_compact": f"""SELECT o_orderkey, {_short(_N)} AS count, CASE WHEN {_S} < 60 THEN {_S} || 's' WHEN {_S} < 3600 THEN CAST(round_even({_S} / 60.0, 0) AS BIGINT) || 'm' WHEN {_S} < 86400 THEN ({_S} // 3600) || 'h' || CASE WHEN {_S} // 60 % 60 > 0 THEN ' ' || ({_S} // 60 % 60) || 'm' ELSE '' END ELSE printf('%.1f', {_S} / 86400.0::DOUBLE) || 'd' END AS duration, length(o_orderpriority) // 4 AS approx_tokens FROM orders""",
+    "f12_f13_compact": f"""SELECT o_orderkey, {_short(_N)} AS count, CASE WHEN {_S} < 60 THEN {_S} || 's' WHEN {_S} < 3600 THEN CAST(round_even({_S} / 60.0, 0) AS BIGINT) || 'm' WHEN {_S} < 86400 THEN ({_S} // 3600) || 'h' || CASE WHEN {_S} // 60 % 60 > 0 THEN ' ' || ({_S} // 60 % 60) || 'm' ELSE '' END ELSE (({_S} * 10 + 43200) // 86400 // 10) || '.' || (({_S} * 10 + 43200) // 86400 % 10) || 'd' END AS duration, length(o_orderpriority) // 4 AS approx_tokens FROM orders""",
     "f14_clean_title": f"""WITH t AS ({s.plain(TITLES)}), c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}\\x{{2060}}-\\x{{2069}}\\x{{feff}}\\x{{fffc}}\\x{{fff9}}-\\x{{fffb}}]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM t)
       SELECT doc_id, CASE WHEN t <> '' AND length(t) <= 100 THEN t END AS out FROM c""",
     "f15_context_limit": _sql(_limit()),
