@@ -101,15 +101,25 @@ def streak_floor(activity: DataFrame, decision: str = "tool-call", reset: str =
     return agents.join(floor, "agent_id", "left").groupBy("agent_id").agg(F.count(F.when(after, 1)).alias("streak"))
 
 
-def pauses_between(activity: DataFrame, decision: str = "api-request", failure: str = "tool-result", exited: str = "conversation-end") -> DataFrame:
+def pauses_between(activity: DataFrame, decision: str = "api-request", failure: str = "tool-result", exited: str = "conversation-end", every: str = "hour") -> DataFrame:
     """Decisions of a run with paused: a failure and an exit both lie strictly between it and the decision before.
 
-    Counts of both up to each decision replace the interval join.
+    Counts of both up to each decision replace the interval join. A run is counted in buckets of time, so that a busy
+    one is no single task; only one row a bucket is put in order over the whole run.
     """
-    run = Window.partitionBy("run_id").orderBy(*ORDER)
-    counted = activity.withColumns({"_f": F.count(F.when(F.col("type") == failure, 1)).over(run), "_e": F.count(F.when(F.col("type") == exited, 1)).over(run)}).where(F.col("type") == decision)
-    more = lambda c: F.col(c) > F.lag(c).over(run)
-    return counted.select("run_id", "event_id", F.coalesce(more("_f") & more("_e"), F.lit(False)).alias("paused"))
+    rows = activity.withColumn("bucket", F.date_trunc(every, "ts"))
+    inside = Window.partitionBy("run_id", "bucket").orderBy(*ORDER)
+    count = lambda kind: F.count(F.when(F.col("type") == kind, 1))
+    decisions = rows.select("run_id", "bucket", *ORDER, "type", count(failure).over(inside).alias("f"), count(exited).over(inside).alias("e")).where(F.col("type") == decision)
+    decisions = decisions.withColumns({"pf": F.lag("f").over(inside), "pe": F.lag("e").over(inside)})
+    last = decisions.groupBy("run_id", "bucket").agg(F.max("f").alias("lf"), F.max("e").alias("le"))
+    sums = rows.groupBy("run_id", "bucket").agg(count(failure).alias("nf"), count(exited).alias("ne")).join(last, ["run_id", "bucket"], "left")
+    before = Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"bf": F.coalesce(F.sum("nf").over(before), F.lit(0)), "be": F.coalesce(F.sum("ne").over(before), F.lit(0))})
+    sums = sums.select("run_id", "bucket", "bf", "be", F.last(F.col("bf") + F.col("lf"), ignorenulls=True).over(before).alias("af"), F.last(F.col("be") + F.col("le"), ignorenulls=True).over(before).alias("ae"))
+    joined = decisions.join(sums, ["run_id", "bucket"])
+    more = lambda c: F.col(f"b{c}") + F.col(c) > F.coalesce(F.col(f"b{c}") + F.col(f"p{c}"), F.col(f"a{c}"))
+    return joined.select("run_id", "event_id", F.coalesce(more("f") & more("e"), F.lit(False)).alias("paused"))
 
 
 def transcript(activity: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: Query parameters that only track (fixed values).
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 #: Threat patterns: id, severity, category, regular expression.
@@ -106,19 +108,32 @@ def merge_results(pages: DataFrame) -> DataFrame:
 def exclude_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """id_col, label_col: the compact lower-case letters and digits of the document contain those of the label.
 
-    A label of at least 2 B - 1 characters covers a whole aligned block of B characters wherever it lies, so documents
-    give one key per block, labels one per window, and only equal keys are verified. B comes from the shortest label
-    (at most 32). Labels of no characters are in no document.
+    A label of at least 2 B - 1 characters covers a whole aligned block of B characters wherever it lies, so for each
+    class of label lengths (B a power of two, up to 32) documents give their different blocks, labels their first B
+    windows, and only equal keys are verified. Labels of one or two characters meet the different windows of their
+    length, of which a document has at most 1,296. Compact texts are written once. Labels of no characters are in no
+    document.
     """
     small = lambda c: F.regexp_replace(F.lower(c), COMPACT, "")
-    labels = labels.select(label_col, small(F.col(text_col)).alias("label")).where(F.length("label") > 0)
-    shortest = labels.agg(F.min(F.length("label"))).first()[0] or 1
-    block = max(1, min(32, (shortest + 1) // 2))
-    texts = docs.select(id_col, small(F.col(text_col)).alias("compact")).where(F.length("compact") >= block)
-    keyed = texts.select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("compact") / block).cast("int") - 1), lambda i: F.substring(F.col("compact"), i * block + 1, F.lit(block)))).alias("key"))
-    windows = labels.select(label_col, F.explode(F.transform(F.sequence(F.lit(1), F.length("label") - block + 1), lambda i: F.substring(F.col("label"), i, F.lit(block)))).alias("key"))
-    pairs = keyed.join(windows.distinct(), "key").select(id_col, label_col).distinct()
-    return pairs.join(texts, id_col).join(labels, label_col).where(F.contains("compact", "label")).select(id_col, label_col).distinct()
+    labels = cut(labels.select(label_col, small(F.col(text_col)).alias("label")).where(F.length("label") > 0).withColumn("block", F.when(F.length("label") <= 2, -F.length("label")).otherwise(F.least(F.lit(32), F.pow(F.lit(2.0), F.floor(F.log2((F.length("label") + 1) / 2.0)))).cast("int"))))
+    texts = cut(docs.select(id_col, small(F.col(text_col)).alias("compact")))
+    found = None
+    for row in labels.select("block").distinct().collect():  # at most eight classes
+        size, step = abs(row["block"]), max(1, row["block"])
+        last = F.floor((F.length("compact") - size) / step).cast("int")
+        blocks = F.array_distinct(F.transform(F.sequence(F.lit(0), last), _piece("compact", size, step)))
+        keyed = texts.where(F.length("compact") >= size).select(id_col, F.explode(blocks).alias("key"))
+        own = labels.where(F.col("block") == row["block"])
+        windows = own.select(label_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), _piece("label", size, 1)))).alias("key"))
+        pairs = keyed.join(windows, "key").select(id_col, label_col).distinct()
+        if row["block"] > 0:
+            pairs = pairs.join(texts, id_col).join(own.select(label_col, "label"), label_col).where(F.contains("compact", "label")).select(id_col, label_col).distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct() if found is not None else docs.select(id_col).join(labels.select(label_col), F.lit(False))
+
+
+def _piece(column: str, size: int, step: int):
+    return lambda i: F.substring(F.col(column), i * step + 1, F.lit(size))
 
 
 def duplicates(docs: DataFrame, least: int = 2) -> DataFrame:
