@@ -300,3 +300,14 @@ def coverage(witnesses: DataFrame, classes: DataFrame, moduli: tuple[int, ...])
     each = witnesses.withColumn("modulus", F.explode(F.array(*map(F.lit, moduli)))).withColumn("residue", F.pmod("witness", "modulus"))
     hit = each.join(first, ["scope", "modulus", "residue"], "left").withColumn("hit", F.coalesce(F.col("since") < F.col("at"), F.lit(False)))
     return hit.groupBy("scope", "at", "witness").agg(F.bool_or("hit").alias("covered"))
+
+
+def contained_classes(classes: DataFrame, moduli: tuple[int, ...]) -> DataFrame:
+    """at, by: classes (scope, at, modulus, residue) that an earlier class of their scope contains, and the first such.
+
+    A class lies in another if the other's modulus divides its own and the residues agree; each is looked up by its
+    residue for each modulus that divides its own.
+    """
+    first = classes.groupBy("scope", F.col("modulus").alias("m"), F.col("residue").alias("r")).agg(F.min("at").alias("by"))
+    each = classes.select("scope", "at", "modulus", "residue", F.explode(F.array(*map(F.lit, moduli))).alias("m")).where("modulus % m = 0").withColumn("r", F.pmod("residue", "m"))
+    return each.join(first, ["scope", "m", "r"]).where(F.col("by") < F.col("at")).groupBy("at").agg(F.min("by").alias("by"))

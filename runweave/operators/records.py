@@ -19,9 +19,11 @@ def repair_pairs(activity: DataFrame, call: str = "tool-call", result: str = "to
     return out.unionByName(alone.select("agent_id", "event_id", F.lit("stub").alias("kind")))
 
 
-def compact_findings(findings: DataFrame, receipts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], newest: int = 32) -> DataFrame:
-    """Findings without a receipt, and the newest of those with one."""
+def compact_findings(findings: DataFrame, receipts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], newest: int = 32, protected: DataFrame | None = None) -> DataFrame:
+    """Findings without a receipt or among the protected ones (keys), and the newest of the others with one."""
     seen = receipts.select(*keys).distinct()
+    if protected is not None:
+        seen = seen.join(protected.select(*keys).distinct(), list(keys), "left_anti")
     waiting = findings.join(seen, list(keys), "left_anti")
     delivered = findings.join(seen, list(keys), "left_semi").orderBy(*[F.desc(c) for c in order]).limit(newest)
     return waiting.unionByName(delivered)
@@ -45,6 +47,20 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, value: str) -> DataFra
     return base.select(key, value).join(new, key, "full").select(key, F.coalesce("_new", value).alias(value))
 
 
+def upsert_in_order(base: DataFrame, updates: DataFrame, key: str, value: str, order: str, replace_all: bool = False) -> DataFrame:
+    """key, value, order: as upsert(), each key at the place (order) where it was first seen, new ones after all old ones.
+
+    Of repeated updates the last that is not blank counts. replace_all: only keys of the updates stay, at their own places.
+    """
+    last = F.max_by(F.when(F.trim(value) != "", F.col(value)), F.when(F.trim(value) != "", F.col(order)))
+    new = updates.groupBy(key).agg(last.alias("_new"), F.min(order).alias("_at"))
+    joined = base.select(key, value, order).join(new, key, "right" if replace_all else "full")
+    if replace_all:
+        return joined.select(key, F.coalesce("_new", value).alias(value), F.col("_at").alias(order))
+    after = base.agg(F.coalesce(F.max(order), F.lit(0)).alias("_last"))
+    return joined.join(F.broadcast(after)).select(key, F.coalesce("_new", value).alias(value), F.coalesce(F.col(order), F.col("_at") + F.col("_last")).alias(order))
+
+
 def resolve_ids(refs: DataFrame, ids: DataFrame) -> DataFrame:
     """ref, id: the id that equals ref, else the only id that begins with it, else null. ids.id is unique.
 

@@ -93,14 +93,24 @@ def turn_deltas(activity: DataFrame) -> DataFrame:
     return requests.withColumn("delta", F.greatest(F.col("k") - F.coalesce(F.lag("k").over(by_agent()), F.lit(0)), F.lit(0)))
 
 
-def streak_floor(activity: DataFrame, decision: str = "tool-call", reset: str = "conversation-end") -> DataFrame:
-    """agent_id, streak: decisions since the latest reset of the agent; two aggregates and a join on the agent."""
-    floor = activity.where(F.col("type") == reset).groupBy("agent_id").agg(F.max(F.struct(*ORDER)).alias("floor"))
+def streak_floor(activity: DataFrame, decision: str = "tool-call", reset: str = "conversation-end", excluded: tuple[int, ...] = ()) -> DataFrame:
+    """agent_id, streak: decisions since the latest reset of the agent that touches (k) more than excluded nodes."""
+    touches = ~F.coalesce(F.col("k").isin(*excluded), F.lit(False)) if excluded else F.lit(True)
+    floor = activity.where((F.col("type") == reset) & touches).groupBy("agent_id").agg(F.max(F.struct(*ORDER)).alias("floor"))
     agents = activity.select("agent_id", F.struct(*ORDER).alias("at"), (F.col("type") == decision).alias("decides"))
     after = F.col("decides") & (F.col("floor").isNull() | (F.col("at") > F.col("floor")))
     return agents.join(floor, "agent_id", "left").groupBy("agent_id").agg(F.count(F.when(after, 1)).alias("streak"))
 
 
+def trailing_streaks(activity: DataFrame, key: str, of: str) -> DataFrame:
+    """key, streak: how many of a key's last events in a row are of a type; 0 where the last one is not. Two aggregates, no window."""
+    other = F.max(F.when(F.col("type") != of, F.struct(*ORDER)))
+    last = activity.groupBy(key).agg(other.alias("other"))
+    joined = activity.join(last, key).where(F.col("other").isNull() | (F.struct(*ORDER) > F.col("other")))
+    counted = joined.groupBy(key).agg(F.count("*").alias("streak"))
+    return last.select(key).join(counted, key, "left").select(key, F.coalesce("streak", F.lit(0)).alias("streak"))
+
+
 def pauses_between(activity: DataFrame, decision: str = "api-request", failure: str = "tool-result", exited: str = "conversation-end", every: str = "hour") -> DataFrame:
     """Decisions of a run with paused: a failure and an exit both lie strictly between it and the decision before.
 

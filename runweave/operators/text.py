@@ -120,8 +120,8 @@ def exclude_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     found = None
     for row in labels.select("block").distinct().collect():  # at most eight classes
         size, step = abs(row["block"]), max(1, row["block"])
-        last = F.floor((F.length("compact") - size) / step).cast("int")
-        blocks = F.array_distinct(F.transform(F.sequence(F.lit(0), last), _piece("compact", size, step)))
+        # A pattern cuts a text in one go; substrings by place would each be sought from its beginning.
+        blocks = F.array_distinct(F.regexp_extract_all("compact", F.lit(f"(.{{{size}}})" if step == size else f"(?=(.{{{size}}}))"), 1))
         keyed = texts.where(F.length("compact") >= size).select(id_col, F.explode(blocks).alias("key"))
         own = labels.where(F.col("block") == row["block"])
         windows = own.select(label_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), _piece("label", size, 1)))).alias("key"))

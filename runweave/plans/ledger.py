@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph, records, telemetry
 from ..operators import ledger as o
 from ..sources import tables as s
+from .telemetry import ACTIVITY
 
 PATHS = "'src/' || (user_id % 5) || CASE WHEN user_id % 3 > 0 THEN '/' || (user_id % 7) ELSE '' END || CASE WHEN user_id % 3 > 1 THEN '/f' || (event_id % 4) ELSE '' END"
 LEASES = f"SELECT DISTINCT {PATHS} AS path, CASE WHEN event_id % 9 = 0 THEN ' ' ELSE 'o' || (event_id % 3) END AS owner, CASE WHEN user_id % 2 = 0 THEN 'namespace' ELSE 'file' END AS kind FROM {{events}} WHERE event_type = 'click'"
@@ -28,6 +30,9 @@ CURRENT = "SELECT DISTINCT user_id AS target, 'd' || (user_id % 4) AS digest FRO
 RANKED = "SELECT user_id % 9 AS scope, event_id AS id, event_id % 13 AS place, event_type = 'purchase' AS exact FROM {events}"
 CONTEXTS = "SELECT event_id AS key, event_id % 8 AS attempts, user_id % 4 AS repeated, user_id % 3 AS streak, event_id % 9 AS searches, event_id % 5 AS stable, user_id % 12 AS calls, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 12 END AS most_calls, CASE WHEN event_type = 'error' THEN 'stuck' ELSE ' ' END AS blocker FROM {events}"
 HELD = "SELECT 'p' || (user_id % 40) AS path, 'o' || (event_id % 5) AS owner, event_id AS taken, user_id AS ttl FROM {events}"
+CLASSES = "SELECT user_id % 9 AS scope, event_id AS at, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 12 END AS modulus, CAST(floor(value) AS BIGINT) % CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 12 END AS residue FROM {events} WHERE event_type = 'error'"
+BASE = "SELECT c_custkey AS id, c_mktsegment AS value, c_custkey * 2 AS seq FROM {customer} WHERE c_custkey % 4 <> 0"
+UPDATES = "SELECT o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority || o_orderkey END AS value, o_orderkey AS seq FROM {orders} WHERE o_custkey % 3 > 0"
 JOBS = "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'running' ELSE 'done' END AS state, doc_id % 5 <> 1 AS consumed, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS released, text AS payload FROM {documents}"
 
 
@@ -130,12 +135,45 @@ def x14_hydrate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.hydrate_ledger(*o.compact_ledger(jobs(spark, sf_dir))).select("job_id", F.md5("payload").alias("digest"), "intact")
 
 
+def j13_contained_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = s.derived(spark, sf_dir, CLASSES)
+    return graph.contained_classes(classes, (2, 3, 4, 6, 12))
+
+
+def j16_streak_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.streak_floor(s.activity(spark, sf_dir), excluded=tuple(range(0, 100, 3)))
+
+
+def j17_protected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = s.activity(spark, sf_dir).select("agent_id", "k", "ts", "event_id", "type")
+    found, receipts = log.where("type = 'tool-result'"), log.where("type = 'conversation-end'")
+    protected = found.where("agent_id % 5 = 0").select("agent_id", "k")
+    return records.compact_findings(found, receipts, ("agent_id", "k"), ("ts", "event_id"), 8, protected).select("agent_id", "k", "event_id")
+
+
+def u8_upsert_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, updates = s.derived(spark, sf_dir, BASE), s.derived(spark, sf_dir, UPDATES)
+    kept = records.upsert_in_order(base, updates, "id", "value", "seq").withColumn("mode", F.lit("merge"))
+    return kept.unionByName(records.upsert_in_order(base, updates, "id", "value", "seq", replace_all=True).withColumn("mode", F.lit("replace")))
+
+
+def w2_trailing_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.trailing_streaks(s.activity(spark, sf_dir), "agent_id", "api-request")
+
+
 def _with(**views: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({s.plain(sql)})" for name, sql in views.items())
 
 
 _GOES = "state = 'done' AND consumed AND coalesce(released, false) AND strlen(payload) - 64 >= 1024"
 ORACLES = {
+    "j13_contained_classes": f"{_with(c=CLASSES)} SELECT x.at, min(y.at) AS by FROM c x JOIN c y ON y.scope = x.scope AND y.at < x.at AND x.modulus % y.modulus = 0 AND x.residue % y.modulus = y.residue GROUP BY x.at".replace("x.at", "x.\"at\"").replace("y.at", "y.\"at\""),
+    "j16_streak_excluded": f"WITH {ACTIVITY}, n AS (SELECT *, count(*) FILTER (type = 'conversation-end' AND (k IS NULL OR k % 3 <> 0 OR k > 99)) OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS resets FROM a) SELECT agent_id, count(*) FILTER (type = 'tool-call' AND resets = 0) AS streak FROM n GROUP BY agent_id",
+    "j17_protected_findings": f"""WITH {ACTIVITY}, p AS (SELECT DISTINCT agent_id, k FROM a WHERE type = 'tool-result' AND agent_id % 5 = 0), f AS (SELECT *, EXISTS (SELECT 1 FROM a c WHERE c.type = 'conversation-end' AND c.agent_id = a.agent_id AND c.k = a.k) AND NOT EXISTS (SELECT 1 FROM p WHERE p.agent_id = a.agent_id AND p.k = a.k) AS seen FROM a WHERE type = 'tool-result'),
+      o AS (SELECT *, row_number() OVER (PARTITION BY seen ORDER BY ts DESC, event_id DESC) AS rank FROM f) SELECT agent_id, k, event_id FROM o WHERE NOT seen OR rank <= 8""",
+    "u8_upsert_in_order": f"""{_with(b=BASE, u=UPDATES)}, g AS (SELECT id, arg_max(value, seq) FILTER (trim(value) <> '') AS value, min(seq) AS seq FROM u GROUP BY id), l AS (SELECT coalesce(max(seq), 0) AS last FROM b)
+      SELECT coalesce(b.id, g.id) AS id, coalesce(g.value, b.value) AS value, coalesce(b.seq, g.seq + last) AS seq, 'merge' AS mode FROM b FULL JOIN g ON g.id = b.id CROSS JOIN l UNION ALL SELECT g.id, coalesce(g.value, b.value), g.seq, 'replace' FROM g LEFT JOIN b ON b.id = g.id""",
+    "w2_trailing_streaks": f"WITH {ACTIVITY}, n AS (SELECT *, count(*) FILTER (type IS DISTINCT FROM 'api-request') OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS others FROM a) SELECT agent_id, count(*) FILTER (others = 0) AS streak FROM n GROUP BY agent_id",
     "j12_lease_conflicts": f"""{_with(l=LEASES, a=ASKED)} SELECT DISTINCT a.path AS request_path, a.owner AS request_owner, l.path, l.owner FROM a JOIN l ON l.path = a.path OR l.kind = 'namespace' AND starts_with(a.path, l.path || '/') OR a.kind = 'namespace' AND starts_with(l.path, a.path || '/') WHERE trim(l.owner) <> '' AND l.owner <> a.owner""",
     "j14_superseded": f"""{_with(e=ENTRIES)} SELECT x.job_id, arg_min(y.job_id, y.seq) AS by FROM e x JOIN e y ON y.assignment = x.assignment AND y.seq > x.seq AND y.checked AND y.f1 = x.f1 AND y.f2 = x.f2 GROUP BY x.job_id""",
     "j26_current_evidence": f"WITH d AS ({s.plain(STATEMENTS)}) SELECT event_id AS id, d.file, d.symbol FROM events JOIN d ON d.file = 'f' || (user_id % 7) AND d.symbol = 's' || (user_id % 11) AND d.statement = 's' || (event_id % 4)",
@@ -166,4 +204,4 @@ ORACLES = {
     "x14_compact_ledger": f"{_with(j=JOBS)} SELECT job_id, CASE WHEN {_GOES} THEN 0 ELSE coalesce(length(payload), 0) END AS kept, CASE WHEN {_GOES} THEN sha256(payload) END AS digest, CASE WHEN {_GOES} THEN strlen(payload) END::INT AS size FROM j",
     "x14_hydrate_ledger": "SELECT doc_id AS job_id, md5(text) AS digest, true AS intact FROM documents",
 }
-QUERIES = {q.__name__: q for q in (j12_lease_conflicts, j14_superseded, j26_current_evidence, x11_stale_split, a6_campaign_batches, a6_failure_counts, a8_suite_metrics, a10_manifest_problems, a15_run_learnings, a19_delivery_backlog, a20_audit_archives, k3_next_items, k12_backlog_order, k14_best_candidates, k15_replay_due, k16_next_batch, x8_struggle, x10_active_leases, x14_compact_ledger, x14_hydrate_ledger)}
+QUERIES = {q.__name__: q for q in (j12_lease_conflicts, j14_superseded, j26_current_evidence, x11_stale_split, a6_campaign_batches, a6_failure_counts, a8_suite_metrics, a10_manifest_problems, a15_run_learnings, a19_delivery_backlog, a20_audit_archives, k3_next_items, k12_backlog_order, k14_best_candidates, k15_replay_due, k16_next_batch, x8_struggle, x10_active_leases, x14_compact_ledger, x14_hydrate_ledger, j13_contained_classes, j16_streak_excluded, j17_protected_findings, u8_upsert_in_order, w2_trailing_streaks)}
