@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, fingerprints, licenses, mixing, quality_rules, secrets, simhash, token_counts
+from . import bpe, chat, classifier, fingerprints, licenses, manifest, mixing, oracles, quality_rules, secrets, simhash, token_counts
 from .common import table
 
 
@@ -69,8 +69,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recover(table(spark, sf_dir, "conversations"), learn=F.crc32(F.col("conv_id").cast("string")) % 5 != 0)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.dataset_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format, op11_manifest)}
 
 
 MIX_SQL = r"""
@@ -99,4 +103,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": MIX_SQL}
+    return {"op8_mixing": MIX_SQL, "op11_manifest": oracles.MANIFEST_SQL}
