@@ -52,3 +52,35 @@ root AS (SELECT node AS root FROM tops WHERE n = 1)
 SELECT w.doc_id, w.leaf, w.subroot, r.root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.root AS verified
 FROM way w, root r WHERE w.lvl = w.height + (SELECT max(lvl) FROM tops)
 """
+
+TRIE_SQL = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv, conv - conv % 20 AS base, {crc32_sql("conv::VARCHAR")} % 4 AS h, count(*) AS turns FROM turns GROUP BY conv),
+known AS (SELECT c.*, least(c.h, coalesce(b.turns, 0)) AS k FROM convs c LEFT JOIN convs b ON b.conv = c.base),
+built AS (
+  SELECT c.conv, t.pos AS depth, t.role, t.text FROM known c JOIN turns t ON t.conv = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv, t.pos - c.h + c.k, t.role, t.text FROM known c JOIN turns t ON t.conv = c.conv AND t.pos > c.h),
+ways AS (
+  SELECT conv, 0 AS depth, sha256('') AS node, 0 AS words FROM known
+  UNION ALL
+  SELECT w.conv, b.depth, sha256(w.node || ':' || octet_length(encode(b.role)) || ':' || b.role || b.text), len(regexp_extract_all(b.text, '{WORDS}'))
+  FROM ways w JOIN built b ON b.conv = w.conv AND b.depth = w.depth + 1),
+stops AS (SELECT conv, max(depth) AS len FROM ways GROUP BY conv),
+nodes AS (
+  SELECT w.depth, w.node, min(w.conv) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w.words) AS saved,
+         sha256(coalesce(string_agg(w.conv::VARCHAR, ',' ORDER BY w.conv) FILTER (WHERE w.depth = s.len), '')) AS ends_sha256
+  FROM ways w JOIN stops s USING (conv) GROUP BY w.depth, w.node),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN ways w ON w.conv = n.conv_id AND w.depth = n.depth - 1 LEFT JOIN nodes p ON p.depth = w.depth AND p.node = w.node),
+counted AS (SELECT l.*, (SELECT count(*) FROM linked c WHERE c.depth = l.depth + 1 AND c.parent_conv_id = l.conv_id) AS n_children FROM linked l),
+up AS (
+  SELECT a.depth, a.node, sum(CASE WHEN d.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(d.saved) AS saved_tokens
+  FROM counted d JOIN ways a ON a.conv = d.conv_id AND a.depth <= d.depth GROUP BY a.depth, a.node)
+SELECT c.conv_id, c.depth::BIGINT AS depth, c.parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN up u USING (depth, node)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, fingerprints, licenses, manifest, mixing, oracles, quality_rules, secrets, simhash, token_counts
+from . import bpe, chat, classifier, fingerprints, licenses, manifest, mixing, oracles, quality_rules, secrets, simhash, token_counts, trie
 from .common import table
 
 
@@ -73,8 +73,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.dataset_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format, op11_manifest)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format, op11_manifest, op12_trie)}
 
 
 MIX_SQL = r"""
@@ -103,4 +107,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": MIX_SQL, "op11_manifest": oracles.MANIFEST_SQL}
+    return {"op8_mixing": MIX_SQL, "op11_manifest": oracles.MANIFEST_SQL, "op12_trie": oracles.TRIE_SQL}
