@@ -84,3 +84,21 @@ SELECT c.conv_id, c.depth::BIGINT AS depth, c.parent_conv_id, c.n_convs::BIGINT
        u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
 FROM counted c JOIN up u USING (depth, node)
 """
+
+#: Bytes are two hexadecimal digits each, so that strings of bytes can be cut at any place.
+REPEATS_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, octet_length(encode(coalesce(text, ''))) AS n_bytes, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS no FROM documents),
+starts AS (SELECT no, digits, unnest(range(n_bytes - 99)) AS pos FROM docs WHERE n_bytes >= 100),
+strings AS (SELECT no, pos, md5(substr(digits, 2 * pos + 1, 200)) AS string FROM starts),
+repeated AS (SELECT no, pos FROM (SELECT no, pos, row_number() OVER (PARTITION BY string ORDER BY no, pos) AS nth FROM strings) WHERE nth > 1),
+marked AS (SELECT no, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY no ORDER BY pos) <= 100 THEN 0 ELSE 1 END AS begins FROM repeated),
+runs AS (
+  SELECT no, min(pos) AS a, max(pos) + 100 AS b FROM (SELECT *, sum(begins) OVER (PARTITION BY no ORDER BY pos) AS run FROM marked) GROUP BY no, run),
+gaps AS (
+  SELECT no, coalesce(lag(b) OVER (PARTITION BY no ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT d.no, coalesce(max(r.b), 0), any_value(d.n_bytes) FROM docs d LEFT JOIN runs r USING (no) GROUP BY d.no),
+kept AS (SELECT g.no, string_agg(substr(d.digits, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a, g.b) AS digits FROM gaps g JOIN docs d USING (no) GROUP BY g.no),
+sums AS (SELECT no, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY no)
+SELECT d.doc_id, d.n_bytes::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.digits)) AS kept_sha256
+FROM docs d JOIN kept k USING (no) LEFT JOIN sums s USING (no)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, fingerprints, licenses, manifest, mixing, oracles, quality_rules, secrets, simhash, token_counts, trie
+from . import bpe, chat, classifier, fingerprints, licenses, manifest, mixing, oracles, quality_rules, secrets, simhash, suffixes, token_counts, trie
 from .common import table
 
 
@@ -77,8 +77,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format, op11_manifest, op12_trie)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fingerprints, op3_simhash, op4_token_counts, op5_licenses, op6_quality_classifier, op7_secrets, op8_mixing, op9_quality_rules, op10_chat_format, op11_manifest, op12_trie, op13_suffix_dedup)}
 
 
 MIX_SQL = r"""
@@ -107,4 +111,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": MIX_SQL, "op11_manifest": oracles.MANIFEST_SQL, "op12_trie": oracles.TRIE_SQL}
+    return {"op8_mixing": MIX_SQL, "op11_manifest": oracles.MANIFEST_SQL, "op12_trie": oracles.TRIE_SQL, "op13_suffix_dedup": oracles.REPEATS_SQL}
