@@ -22,12 +22,16 @@ ENTRY_THREATS = (
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u202a\u202b\u202c\u202d\u202e"
 #: Dangerous commands, the first that fits counts (fixed values); the third entry, if any, must not fit.
 DANGEROUS = (
-    ("recursive delete", r"\brm\s+-[^\s]*r"), ("recursive delete (long flag)", r"\brm\s+--recursive\b"), ("world-writable permissions", r"\bchmod\s+(-[^\s]*\s+)*777\b"),
+    ("delete in root path", r"\brm\s+(-[^\s]*\s+)*/"), ("recursive delete", r"\brm\s+-[^\s]*r"), ("recursive delete (long flag)", r"\brm\s+--recursive\b"), ("world-writable permissions", r"\bchmod\s+(-[^\s]*\s+)*777\b"),
     ("recursive world-writable (long flag)", r"\bchmod\s+--recursive\b.*777"), ("recursive chown to root", r"\bchown\s+(-[^\s]*)?r\s+root"), ("recursive chown to root (long flag)", r"\bchown\s+--recursive\b.*root"),
     ("format filesystem", r"\bmkfs\b"), ("disk copy", r"\bdd\s+.*if="), ("write to block device", r">\s*/dev/sd"), ("SQL DROP", r"\bdrop\s+(table|database)\b"),
     ("SQL DELETE without WHERE", r"\bdelete\s+from\b", r"\bdelete\s+from\b.*\bwhere\b"), ("SQL TRUNCATE", r"\btruncate\s+(table)?\s*\w"), ("overwrite system config", r">\s*/etc/"),
     ("stop/disable system service", r"\bsystemctl\s+(stop|disable|mask)\b"), ("kill all processes", r"\bkill\s+-9\s+-1\b"), ("force kill processes", r"\bpkill\s+-9\b"),
+    ("fork bomb", r":\(\)\s*\{\s*:\s*\|\s*:\s*&\s*\}\s*;\s*:"),
     ("shell command via -c flag", r"\b(bash|sh|zsh)\s+-c\s+"), ("script execution via -e/-c flag", r"\b(python[23]?|perl|ruby|node)\s+-[ec]\s+"), ("pipe remote content to shell", r"\b(curl|wget)\b.*\|\s*(ba)?sh\b"),
+    ("execute remote script via process substitution", r"\b(bash|sh|zsh|ksh)\s+<\s*<?\s*\(\s*(curl|wget)\b"),
+    # A file of secrets in any hidden folder of the user's counts.
+    ("overwrite system file via tee", r"\btee\b.*(/etc/|/dev/sd|\.ssh/|\.\w+/\.env)"),
     ("xargs with rm", r"\bxargs\s+.*\brm\b"), ("find -exec rm", r"\bfind\b.*-exec\s+(/\S*/)?rm\b"), ("find -delete", r"\bfind\b.*-delete\b"),
 )
 #: Blocker kinds by the words that tell them, the first that fits counts (fixed values).

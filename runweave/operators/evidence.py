@@ -31,19 +31,24 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def classify_runs(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
-    """run_id, class, confidence, degraded: what the records (run_id, text) and false nodes (run_id, status) of a run tell.
+def classify_runs(evidence: DataFrame, nodes: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """run_id, class, confidence, degraded: what the records (run_id, text), the summary (likewise) and the false nodes
+    (run_id, status) of a run tell; every run that any of them names gives a row.
 
     The words are looked for record by record and folded, so a run may have any number of records.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
-    flags = evidence.select("run_id", *(_any(low, words).alias(name) for name, words in (("statement", STATEMENT_WORDS), ("gap", GAP_WORDS), ("strategy", STRATEGY_WORDS), ("proof", PROOF_WORDS), ("tools", TOOL_WORDS))))
-    folded = flags.groupBy("run_id").agg(*(F.bool_or(c).alias(c) for c in ("statement", "gap", "strategy", "proof", "tools")))
-    false = nodes.where("status = 'false'").select("run_id").distinct().withColumn("false", F.lit(True))
+    texts = evidence.select("run_id", "text")
+    if summaries is not None:
+        texts = texts.unionByName(summaries.select("run_id", "text"))
+    words = {"statement": STATEMENT_WORDS, "gap": GAP_WORDS, "strategy": STRATEGY_WORDS, "proof": PROOF_WORDS, "tools": TOOL_WORDS}
+    told = texts.select("run_id", F.lit(False).alias("false"), *(_any(low, of).alias(name) for name, of in words.items()))
+    known = nodes.select("run_id", F.coalesce(F.col("status") == "false", F.lit(False)).alias("false"), *(F.lit(False).alias(name) for name in words))
     c = F.col
+    folded = told.unionByName(known).groupBy("run_id").agg(*(F.bool_or(name).alias(name) for name in ("false", *words)))
     kind = F.when(c("false"), "mathematical").when(c("statement"), "statement").when(c("gap") & c("strategy"), "library_interface").when(c("proof"), "proof_search").otherwise("undetermined")
     sure = F.when(c("false") | c("statement"), "high").when(kind == "undetermined", "low").otherwise("medium")
-    return folded.join(false, "run_id", "left").select("run_id", kind.alias("class"), sure.alias("confidence"), c("tools").alias("degraded"))
+    return folded.select("run_id", kind.alias("class"), sure.alias("confidence"), c("tools").alias("degraded"))
 
 
 def score_artifacts(runs: DataFrame, counters: DataFrame, nodes: DataFrame, packets: DataFrame, terminal: tuple[str, ...]) -> DataFrame:

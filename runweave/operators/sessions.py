@@ -116,12 +116,15 @@ def next_titles(sessions: DataFrame) -> DataFrame:
 
 
 def next_child_ids(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """parent, tag, next_id: `parent.tag-NNN`, one more than the direct children of that tag; requests: parent, tag."""
-    child = F.regexp_extract("job_id", r"^(.*)\.[a-z]+-[0-9]+$", 1)
-    tag = F.regexp_extract("job_id", r"\.([a-z]+)-[0-9]+$", 1)
-    held = jobs.select(child.alias("parent"), tag.alias("tag")).groupBy("parent", "tag").agg(F.count("*").alias("n"))
-    joined = requests.join(held, ["parent", "tag"], "left")
-    return joined.select("parent", "tag", F.concat("parent", F.lit("."), "tag", F.lit("-"), F.lpad((F.coalesce("n", F.lit(0)) + 1).cast("string"), 3, "0")).alias("next_id"))
+    """parent, tag, next_id: `parent.tag-NNN`, one more than all direct children of the parent; requests: parent, tag.
+
+    Children of any tag count, and so do the requests of one batch before this one, in the order of their tags.
+    """
+    held = jobs.where(F.instr("job_id", ".") > 0).groupBy(F.regexp_extract("job_id", r"(?s)^(.*)\.[^.]*$", 1).alias("parent")).agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("parent").orderBy("tag"))
+    joined = requests.withColumn("nth", nth).join(held, "parent", "left")
+    number = F.coalesce("n", F.lit(0)) + F.col("nth")
+    return joined.select("parent", "tag", F.concat("parent", F.lit("."), "tag", F.format_string("-%03d", number)).alias("next_id"))
 
 
 def unflushed(messages: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +122,75 @@ def diagnostics(outputs: DataFrame) -> DataFrame:
     return each.select("id", part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), severity.alias("severity"), part(5).alias("message"))
 
 
+#: Keys of a JSON diagnostic and of what holds more of them (fixed values).
+SHAPE, HOLDERS = ("severity", "level", "kind", "message", "line", "range", "location"), ("items", "diagnostics", "messages", "errors", "warnings")
+
+
+def _line_of(item: dict) -> int | None:
+    """The line that a JSON diagnostic names: its own, that of its location, or the start of its range."""
+    start = item["range"].get("start") if isinstance(item.get("range"), dict) else None
+    own = [item.get(key) for key in ("line", "startLine", "start_line")]
+    for value in own:
+        try:
+            if int(value) > 0:
+                return int(value)
+        except (TypeError, ValueError, OverflowError):
+            pass
+    if isinstance(item.get("location"), dict) and (line := _line_of(item["location"])):
+        return line
+    return _line_of({"line": start.get("line")}) if isinstance(start, dict) else None
+
+
+def _json_items(value: object) -> Iterator[tuple[str, str, int | None]]:
+    """(severity, message, line) of the diagnostics in a JSON value, whatever envelopes it has, outer ones first."""
+    if isinstance(value, list):
+        for child in value:
+            yield from _json_items(child)
+    elif isinstance(value, dict):
+        if any(key in value for key in SHAPE):
+            message = str(value.get("message") or value.get("text") or value.get("detail") or "").strip()
+            severity = str(value.get("severity") or value.get("level") or value.get("kind") or "").strip().lower()
+            low, line = message.lower(), _line_of(value)
+            severity = severity or ("error" if "error:" in low else "warning" if "warning:" in low else "info" if low else "")
+            if severity or message or line:
+                yield severity, message, line
+        for key in HOLDERS:
+            if isinstance(value.get(key), (list, dict)):
+                yield from _json_items(value[key])
+
+
+def json_diagnostics(outputs: DataFrame) -> DataFrame:
+    """id, nth, severity, message, line of the JSON diagnostics of outputs (id, text), each once a text, in their order.
+
+    A text is one JSON value or lines of which some are; envelopes (lists, or values under `items`, `diagnostics`,
+    `messages`, `errors` and `warnings`) nest to any depth that the parser takes. Texts without JSON give no row:
+    diagnostics() reads their `file:line:col:` lines. severity is in lower case; a line is positive or null.
+    """
+    kind = "array<struct<nth:int,severity:string,message:string,line:long>>"
+
+    @F.pandas_udf(kind)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_json_rows(text) for text in texts])
+
+    some = outputs.where(F.col("text").rlike(r"(?m)^\s*[\[{]"))
+    return some.select("id", F.inline(parsed("text")))
+
+
+def _json_rows(text: str) -> list[dict]:
+    values = []
+    for part in (text.strip(),), [line.strip() for line in text.splitlines()]:
+        for candidate in part:
+            if candidate[:1] in ("[", "{"):
+                try:
+                    values.append(json.loads(candidate))
+                except (ValueError, RecursionError):
+                    pass
+        if values:
+            break
+    found = dict.fromkeys(item for value in values for item in _json_items(value))
+    return [{"nth": i, "severity": s, "message": m, "line": line if line is None or line < 1 << 63 else None} for i, (s, m, line) in enumerate(found)]
+
+
 def diagnostic_counts(found: DataFrame) -> DataFrame:
     """id, errors, warnings."""
     return found.groupBy("id").agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import evidence as o
 from ..sources import tables as s
 
-RECORDS = """SELECT user_id % 70 AS run_id, CASE event_id % 40 WHEN 0 THEN 'Audit: Target Drift seen' WHEN 1 THEN 'a Mathlib gap here' WHEN 2 THEN 'use a double coset' WHEN 3 THEN 'Type mismatch at 3' WHEN 4 THEN 'TimeoutError' ELSE event_type END AS text FROM {events} WHERE user_id % 3 = event_id % 3"""
+RECORDS = """SELECT user_id % 70 AS run_id, CASE event_id % 40 WHEN 0 THEN 'Audit: Target Drift seen' WHEN 1 THEN 'a Mathlib gap here' WHEN 2 THEN 'use a double coset' WHEN 3 THEN 'Type mismatch at 3' WHEN 4 THEN 'TimeoutError' ELSE event_type END AS text FROM {events} WHERE user_id % 70 <> 11"""
+#: Every run has a summary but those of one residue; runs without records are told by their summary or their nodes alone.
+SUMMARIES = "SELECT p_partkey % 75 AS run_id, max(CASE WHEN p_size = 50 THEN 'Fidelity Mismatch' ELSE 'no word' END) AS text FROM {part} WHERE p_partkey % 75 <> 69 GROUP BY p_partkey % 75"
 NODES = "SELECT p_partkey % 70 AS run_id, p_partkey AS id, CASE WHEN p_partkey % 70 = 11 AND p_size % 2 = 0 THEN 'false' WHEN p_size % 3 = 0 THEN 'proved' ELSE 'stated' END AS status FROM {part}"
 RUNS = "SELECT r_regionkey * 14 + n_nationkey % 14 AS run_id, CASE n_nationkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN ' ' WHEN 2 THEN 'running' ELSE 'failed' END AS final_status FROM {region} CROSS JOIN {nation} WHERE n_nationkey < 14"
 COUNTERS = "SELECT p_partkey % 70 AS run_id, CASE WHEN p_partkey % 70 = 11 AND p_size % 2 = 0 THEN 'false' WHEN p_size % 3 = 0 THEN 'proved' ELSE 'stated' END AS status, count(*) + CASE WHEN p_partkey % 70 = 5 THEN 1 ELSE 0 END AS n FROM {part} WHERE p_partkey % 70 <> 7 GROUP BY 1, 2, p_partkey % 70"
@@ -46,7 +48,7 @@ def a9_score_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a11_classify_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.classify_runs(_view(RECORDS)(spark, sf_dir), nodes(spark, sf_dir))
+    return o.classify_runs(_view(RECORDS)(spark, sf_dir), nodes(spark, sf_dir), _view(SUMMARIES)(spark, sf_dir))
 
 
 def p7_structural_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +164,9 @@ ORACLES = {
       SELECT run_id, CASE WHEN trim(final_status) = '' THEN 'missing_final_report' ELSE 'status_not_terminal' END AS violation FROM r WHERE trim(final_status) = '' OR final_status = 'running' UNION ALL SELECT DISTINCT run_id, 'missing_counters' FROM n WHERE run_id NOT IN (SELECT run_id FROM c)
       UNION ALL SELECT DISTINCT c.run_id, 'counters_diverge' FROM c FULL JOIN g ON g.run_id = c.run_id AND g.status = c.status WHERE c.run_id IS NOT NULL AND coalesce(c.n, 0) <> coalesce(g.real, 0)
       UNION ALL SELECT DISTINCT run_id, 'malformed_packet' FROM k WHERE packet_id = '' UNION ALL SELECT DISTINCT run_id, 'packet_of_unknown_node' FROM k WHERE packet_id <> '' AND node_id = -1""",
-    "a11_classify_runs": f"""{_with(r=RECORDS, n=NODES)}, f AS (SELECT run_id, {_has(o.STATEMENT_WORDS)} AS st, {_has(o.GAP_WORDS)} AS gap, {_has(o.STRATEGY_WORDS)} AS strategy, {_has(o.PROOF_WORDS)} AS pr, {_has(o.TOOL_WORDS)} AS degraded FROM r GROUP BY run_id), c AS (SELECT run_id, degraded, CASE WHEN run_id IN (SELECT run_id FROM n WHERE status = 'false') THEN 'mathematical' WHEN st THEN 'statement' WHEN gap AND strategy THEN 'library_interface' WHEN pr THEN 'proof_search' ELSE 'undetermined' END AS class FROM f)
+    "a11_classify_runs": f"""{_with(r=RECORDS, n=NODES, u=SUMMARIES)}, t AS (SELECT run_id, text FROM r UNION ALL SELECT run_id, text FROM u UNION ALL SELECT run_id, '' FROM n),
+      f AS (SELECT run_id, {_has(o.STATEMENT_WORDS)} AS st, {_has(o.GAP_WORDS)} AS gap, {_has(o.STRATEGY_WORDS)} AS strategy, {_has(o.PROOF_WORDS)} AS pr, {_has(o.TOOL_WORDS)} AS degraded FROM t GROUP BY run_id),
+      c AS (SELECT run_id, degraded, CASE WHEN run_id IN (SELECT run_id FROM n WHERE status = 'false') THEN 'mathematical' WHEN st THEN 'statement' WHEN gap AND strategy THEN 'library_interface' WHEN pr THEN 'proof_search' ELSE 'undetermined' END AS class FROM f)
       SELECT run_id, class, CASE WHEN class IN ('mathematical', 'statement') THEN 'high' WHEN class = 'undetermined' THEN 'low' ELSE 'medium' END AS confidence, degraded FROM c""",
     "p7_structural_findings": f"""{_with(b=BUNDLE)}, g AS (SELECT bundle, count(*) AS n, sum(size_bytes) AS z FROM b GROUP BY bundle) SELECT bundle, '' AS path, 'too_many_files' AS finding FROM g WHERE n > 4 UNION ALL SELECT bundle, '', 'oversized_bundle' FROM g WHERE z > 1048576 UNION ALL SELECT bundle, path, 'oversized_file' FROM b WHERE size_bytes > 262144
       UNION ALL SELECT bundle, path, 'binary_file' FROM b WHERE path LIKE '%.exe' UNION ALL SELECT bundle, path, 'unexpected_executable' FROM b WHERE executable AND path NOT LIKE '%.exe' AND path NOT LIKE '%.sh' UNION ALL SELECT bundle, path, 'escaping_link' FROM b WHERE link IN ('../x', '/etc')""",

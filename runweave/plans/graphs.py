@@ -106,7 +106,10 @@ def j5_declared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j6_candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.candidate_edges(s.item_concepts(spark, sf_dir))
+    """Items with their concepts and, as one more, their size, which few items share."""
+    rows = s.item_concepts(spark, sf_dir)
+    sizes = s.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"), F.col("p_partkey").alias("ordinal"), F.col("p_brand").alias("chapter"), F.concat(F.lit("size "), "p_size").alias("concept"))
+    return o.candidate_edges(rows.unionByName(sizes))
 
 
 def j11_late_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +174,7 @@ ORACLES = {
         WHEN status = 'conjectured' AND here AND NOT (generated_by = 'planner' AND uncertain) THEN 'stated' ELSE status END AS new_status FROM r""",
     "u4_lost_work": f"WITH {_N}, {_T} SELECT id FROM n JOIN t ON t.file = n.file AND t.name = n.name WHERE status = 'proved' AND present AND NOT dirty AND ({AFTER}) <> 'proved'",
     "j5_declared_edges": f"WITH {_N} SELECT DISTINCT id AS src, dst, dst IN (SELECT id FROM n) AS target_known FROM (SELECT id, unnest([id // 2, line, id * 3]) AS dst FROM n)",
-    "j6_candidate_edges": f"""WITH {_CONCEPTS}, s AS (SELECT concept FROM c GROUP BY concept HAVING count(*) <= (SELECT greatest(8, count(DISTINCT label) // 10) FROM c)), o AS (SELECT c.* FROM c JOIN s ON s.concept = c.concept),
+    "j6_candidate_edges": f"""WITH {_CONCEPTS}, cs AS (SELECT * FROM c UNION ALL SELECT p_partkey, p_brand, 'size ' || p_size FROM part), s AS (SELECT concept FROM cs GROUP BY concept HAVING count(*) <= (SELECT greatest(8, count(DISTINCT label) // 10) FROM cs)), o AS (SELECT c.* FROM cs c JOIN s ON s.concept = c.concept),
       p AS (SELECT a.label AS src, b.label AS dst, count(*) AS shared FROM o a JOIN o b ON b.chapter = a.chapter AND b.concept = a.concept AND b.label < a.label GROUP BY ALL) SELECT src, dst, shared FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY shared DESC, dst DESC) <= 3""",
     "j11_late_dependencies": f"WITH RECURSIVE {_FAMILY} SELECT fam.target, fam.id FROM fam JOIN n d ON d.id = fam.id JOIN n y ON y.id = fam.target WHERE fam.id <> fam.target AND d.status = 'proved' AND d.file = y.file AND d.line > y.line",
     "j18_relevant_findings": f"""WITH RECURSIVE {_N}, {_E}, {_SAME}, f AS ({s.plain(FINDINGS)}), v AS (SELECT finding, target, 0 AS tier FROM f UNION ALL SELECT finding, anc.id AS target, 1 AS tier FROM f JOIN anc ON anc.ancestor = f.target)

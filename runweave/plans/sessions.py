@@ -133,8 +133,10 @@ ORACLES = {
     "w7_prune_stale": f"WITH {_M} SELECT id, CASE WHEN role = 'tool' AND content <> '' AND (SELECT count(*) FROM m u WHERE u.session_id = m.session_id AND u.role = 'user' AND u.pos > m.pos) >= 2 THEN '{o.STALE}' ELSE content END AS content FROM m",
     "w8_sample_turns": f"""WITH {_M}, r AS (SELECT *, {_AT} FROM m), z AS (SELECT r.id, r.session_id, i AS slot FROM r, range(0, 8) t(i) WHERE i <= n - 1 AND ax = CASE WHEN n - 1 < 8 THEN i ELSE CAST(round_even(i * (n - 1) / 7.0::DOUBLE, 0) AS BIGINT) END)
       SELECT id, session_id, slot + 1 AS slot FROM z""",
-    "w9_next_child_ids": f"""WITH j AS ({s.plain(JOBS)}), q AS ({s.plain(REQUESTS)}), h AS (SELECT regexp_extract(job_id, '^(.*)\\.[a-z]+-[0-9]+$', 1) AS parent, regexp_extract(job_id, '\\.([a-z]+)-[0-9]+$', 1) AS tag, count(*) AS n FROM j GROUP BY ALL)
-      SELECT q.parent, q.tag, q.parent || '.' || q.tag || '-' || lpad((coalesce(n, 0) + 1)::VARCHAR, 3, '0') AS next_id FROM q LEFT JOIN h ON h.parent = q.parent AND h.tag = q.tag""",
+    "w9_next_child_ids": f"""WITH j AS ({s.plain(JOBS)}), q AS ({s.plain(REQUESTS)}),
+      h AS (SELECT regexp_extract(job_id, '^(.*)\\.[^.]*$', 1) AS parent, count(*) AS n FROM j WHERE contains(job_id, '.') GROUP BY ALL),
+      k AS (SELECT q.parent, q.tag, coalesce(n, 0) + row_number() OVER (PARTITION BY q.parent ORDER BY q.tag) AS k FROM q LEFT JOIN h ON h.parent = q.parent)
+      SELECT parent, tag, parent || '.' || tag || '-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS next_id FROM k""",
     "w11_title_lineage": f"""WITH s AS ({s.plain(SESSIONS)}), b AS (SELECT id, started, regexp_replace(title, ' #[0-9]+$', '') AS base, TRY_CAST(regexp_extract(title, ' #([0-9]+)$', 1) AS INT) AS k FROM s)
       SELECT base, base || ' #' || (max(coalesce(k, 1)) + 1) AS next_title, coalesce(arg_max(id, (started, id)) FILTER (k IS NOT NULL), arg_max(id, (started, id))) AS newest FROM b GROUP BY base""",
     "w14_unflushed": f"WITH m AS ({s.plain(LINES)}), t AS (SELECT session_id, max(pos) AS p FROM m WHERE pos <= session_id % 4 GROUP BY session_id) SELECT id, m.session_id, pos FROM m LEFT JOIN t ON t.session_id = m.session_id WHERE p IS NULL OR pos > p",

@@ -14,6 +14,12 @@ _PATH = "'Pkg' || (p_partkey % 5) || '/B' || p_partkey || '.lean'"
 FILES = f"""SELECT {_PATH} AS path, 'import Pkg' || ((p_partkey + 1) % 5) || '.B' || (p_partkey + 1) || chr(10) || '/- theorem hidden : sorry' || chr(10) || 'import Pkg0.B0 -/' || chr(10) || '@[simp] theorem t' || p_partkey || ' (x : Nat) : x = ' || (p_size % 3) || ' := by' || chr(10) || '  rfl -- sorry, hint: none' || chr(10) || ' ' || chr(10)
  || 'private lemma l' || p_partkey || ' : True := by' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '  sorry' ELSE '  exact "sorry"' END || chr(10) || 'def d' || p_partkey || ' := l' || p_partkey || ' ' || p_size || chr(10) || 'theorem u' || p_partkey || ' (x : Nat) :  x = ' || (p_size % 3) || ' := t' || p_partkey AS text FROM {{part}}"""
 OUTPUTS = """SELECT event_id AS id, 'Pkg' || (user_id % 5) || '/B' || user_id || '.lean:' || (event_id % 12) || ':' || (event_id % 4) || CASE event_id % 3 WHEN 0 THEN ': error: unknown: x' WHEN 1 THEN ': warning: unused' ELSE ': note: none' END || chr(10) || 'noise' || chr(10) || 'Pkg' || (user_id % 5) || '/B' || user_id || '.lean:8:2: information: done' AS text FROM {events}"""
+#: A compiler's outputs as JSON: bare, in envelopes, among log lines, twice the same, without a severity, and broken.
+JSON_OUTPUTS = """SELECT event_id AS id, CASE event_id % 6
+ WHEN 0 THEN '{{"diagnostics": [{{"severity": "Error", "message": " m' || user_id || ' ", "range": {{"start": {{"line": ' || (event_id % 12) || '}}}}}}, {{"level": "error", "text": "m' || user_id || '", "line": "' || (event_id % 12) || '"}}]}}'
+ WHEN 1 THEN '{{"message": "outer", "items": {{"messages": [{{"detail": "warning: unused", "location": {{"startLine": ' || user_id || '}}}}]}}}}'
+ WHEN 2 THEN 'log of ' || event_id || chr(10) || '  {{"kind": "info", "message": "' || event_type || '"}}' || chr(10) || '{{broken' || chr(10) || '[{{"severity": "error"}}, 5, []]'
+ WHEN 3 THEN '{{"line": 0, "message": ""}}' WHEN 4 THEN 'A.lean:3:1: error: x' ELSE '[[[{{"errors": [{{"message": "deep", "line": ' || event_id || '}}]}}]]]' END AS text FROM {events}"""
 CANDIDATES = "SELECT p_size % 7 AS scope, p_partkey AS label, p_partkey % 2 AS candidate_downstream, p_size % 2 AS candidate_imports, p_partkey % 3 AS project_downstream, 0 AS imported_by, p_partkey % 5 AS difficulty, p_size % 4 AS first_difficulty, p_partkey % 7 AS holes, p_size AS lines, 1 AS declared FROM {part}"
 
 
@@ -39,6 +45,10 @@ def s8_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.declarations(files(spark, sf_dir)).withColumn("text", F.md5("text"))
 
 
+def f8_json_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o.json_diagnostics(s.derived(spark, sf_dir, JSON_OUTPUTS))
+
+
 def f8_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.diagnostics(_outputs(spark, sf_dir))
 
@@ -141,6 +151,11 @@ _ORDER = "candidate_downstream DESC, candidate_imports, project_downstream DESC,
 ORACLES = {
     "s1_lenient_jsonl": "SELECT event_id, user_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0",
     "s8_declarations": f"WITH {_DECLS} SELECT file, name, kind, line, end_line, md5(text) AS text, has_hole FROM d",
+    "f8_json_diagnostics": """WITH e AS (SELECT event_id AS id, event_id, user_id, event_type FROM events)
+      SELECT id, 0::INT AS nth, 'error' AS severity, 'm' || user_id AS message, CASE WHEN event_id % 12 > 0 THEN event_id % 12 END AS line FROM e WHERE event_id % 6 = 0
+      UNION ALL SELECT id, 0, 'info', 'outer', NULL FROM e WHERE event_id % 6 = 1 UNION ALL SELECT id, 1, 'warning', 'warning: unused', CASE WHEN user_id > 0 THEN user_id END FROM e WHERE event_id % 6 = 1
+      UNION ALL SELECT id, 0, 'info', event_type, NULL FROM e WHERE event_id % 6 = 2 UNION ALL SELECT id, 1, 'error', '', NULL FROM e WHERE event_id % 6 = 2
+      UNION ALL SELECT id, 0, 'info', 'deep', event_id FROM e WHERE event_id % 6 = 5""",
     "f8_diagnostics": f"WITH {_DIAG} SELECT * FROM g",
     "f21_signatures": f"WITH {_DECLS} SELECT file, name, signature FROM d",
     "j8_import_edges": _EDGES,
@@ -161,4 +176,4 @@ ORACLES = {
     "k1_file_order": f"WITH c AS ({s.plain(CANDIDATES)}) SELECT scope, label, (row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty, first_difficulty, holes, lines, declared, label))::INT AS place FROM c",
     "k2_guarded_order": f"WITH c AS ({s.plain(CANDIDATES)}), f AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty, first_difficulty, holes, lines, declared, label) AS r FROM c) SELECT scope, label, (row_number() OVER (PARTITION BY scope ORDER BY {_ORDER}, difficulty // 3, first_difficulty // 3, CASE WHEN label % 3 > 0 THEN -label END NULLS LAST, r))::INT AS place FROM f",
 }
-QUERIES = {q.__name__: q for q in (s1_lenient_jsonl, s8_declarations, f8_diagnostics, f21_signatures, j8_import_edges, j9_pending_dependencies, j22_snapshot_diff, j23_attach_diagnostics, j29_earlier_duplicates, a16_hole_stats, a24_diagnostic_counts, p18_finished, p19_file_hints, a17_file_difficulty, j10_horizon, j21_placement, f18_qualified_names, j30_document_assets, k1_file_order, k2_guarded_order)}
+QUERIES = {q.__name__: q for q in (s1_lenient_jsonl, s8_declarations, f8_diagnostics, f8_json_diagnostics, f21_signatures, j8_import_edges, j9_pending_dependencies, j22_snapshot_diff, j23_attach_diagnostics, j29_earlier_duplicates, a16_hole_stats, a24_diagnostic_counts, p18_finished, p19_file_hints, a17_file_difficulty, j10_horizon, j21_placement, f18_qualified_names, j30_document_assets, k1_file_order, k2_guarded_order)}

@@ -92,7 +92,7 @@ def a22_merge_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s14_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, old = activity(spark, sf_dir), F.col("ts") < F.lit(ARCHIVED).cast("timestamp_ntz")
-    return t.history(log.where(~old & (F.col("run_id") % 2 == 0)), log.where(old)).select("event_id", "run_id", "type")
+    return t.history(log.where(~old), log.where(old), "agent_id").select("event_id", "agent_id", "type")
 
 
 def s14_whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLES = {
     "x13_closed_runs": f"WITH {ACTIVITY}, l AS (SELECT run_id, agent_id, type, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS rank FROM a) SELECT run_id, count(*) AS n_events, count(*) FILTER (rank = 1 AND type <> 'conversation-end') AS open_agents, count(*) FILTER (rank = 1 AND type <> 'conversation-end') = 0 AS closed FROM l GROUP BY run_id",
     "a22_merge_summaries": f"""WITH {ACTIVITY}, o AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS up, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS down, row_number() OVER (PARTITION BY agent_id, status IS NULL ORDER BY ts DESC, event_id DESC) AS srank FROM m)
       SELECT agent_id, count(*) AS n_events, max(CASE WHEN up = 1 THEN event_id END) AS first_event, max(CASE WHEN down = 1 THEN event_id END) AS last_event, max(CASE WHEN down = 1 THEN type END) AS last_type, max(CASE WHEN srank = 1 THEN status END) AS status, max(CASE WHEN type = 'api-request' THEN k END) AS api_calls FROM o GROUP BY agent_id""",
-    "s14_history": f"WITH {ACTIVITY}, h AS (SELECT * FROM a WHERE ts >= '{ARCHIVED}' AND run_id % 2 = 0) SELECT event_id, run_id, type FROM h UNION ALL SELECT event_id, run_id, type FROM a WHERE ts < '{ARCHIVED}' AND run_id NOT IN (SELECT run_id FROM h)",
+    "s14_history": f"WITH {ACTIVITY}, h AS (SELECT * FROM a WHERE ts >= '{ARCHIVED}') SELECT event_id, agent_id, type FROM h UNION ALL SELECT event_id, agent_id, type FROM a WHERE ts < '{ARCHIVED}' AND agent_id NOT IN (SELECT agent_id FROM h)",
     "s14_whole_history": f"WITH {ACTIVITY} SELECT event_id, agent_id, type FROM a",
     "w3_novelty": f"WITH {ACTIVITY} SELECT event_id, run_id, k, row_number() OVER (PARTITION BY run_id, k ORDER BY ts, event_id) = 1 AS novel FROM a",
 }

@@ -119,29 +119,37 @@ def consume_once(stream: DataFrame, *keys: str, within: str | None = None) -> Da
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
-def publish_once(stream: DataFrame, scope: str, source: str, cap: int = 4096) -> DataFrame:
+def publish_once(stream: DataFrame, scope: str, source: str, cap: int = 4096, acknowledged: str | None = None) -> DataFrame:
     """scope, source string, event_id, watermark long: each source of a scope once, with numbers 1, 2, ... in the order of arrival.
 
-    A source that comes again within the last `cap` sources of its scope keeps its number and gives no row.
+    A source that comes again keeps its number and gives no row. acknowledged: a column of numbers; a row that has one
+    acknowledges all numbers up to it and publishes nothing. Of over `cap` sources the oldest acknowledged ones are
+    forgotten, of which a later event is news again; sources that nobody has acknowledged are never forgotten.
     """
     import pandas as pd
 
     kind = {f.name: f.dataType.simpleString() for f in stream.schema}
 
     def work(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        made, known = state.get if state.exists else (0, [])
-        order = dict.fromkeys(known)
+        made, acked, known, numbers = state.get if state.exists else (0, 0, [], [])
+        order = dict(zip(known, numbers, strict=True))
         out = []
         for row in pd.concat(list(frames)).sort_values(list(ORDER)).itertuples(index=False):
-            if row.source not in order:
+            if row.acked == row.acked and row.acked is not None:
+                acked = max(acked, min(int(row.acked), made))
+            elif row.source is not None and row.source not in order:
                 made += 1
-                order[row.source] = None
+                order[row.source] = made
                 out.append((key[0], row.source, row.event_id, made))
-        state.update((made, list(order)[-cap:]))
+            for name in [n for n, number in list(order.items())[: max(0, len(order) - cap)] if number <= acked]:
+                del order[name]
+        state.update((made, acked, list(order), list(order.values())))
         yield pd.DataFrame(out, columns=[scope, source, "event_id", "watermark"])
 
-    rows = stream.select(F.col(scope).alias("scope"), F.col(source).cast("string").alias("source"), *ORDER).where("source is not null")
-    return rows.groupBy("scope").applyInPandasWithState(work, f"{scope} {kind[scope]}, {source} string, event_id {kind['event_id']}, watermark long", "made long, known array<string>", "append", GroupStateTimeout.NoTimeout)
+    acked = F.col(acknowledged).cast("long") if acknowledged else F.lit(None).cast("long")
+    rows = stream.select(F.col(scope).alias("scope"), F.col(source).cast("string").alias("source"), acked.alias("acked"), *ORDER).where("source is not null or acked is not null")
+    gives = f"{scope} {kind[scope]}, {source} string, event_id {kind['event_id']}, watermark long"
+    return rows.groupBy("scope").applyInPandasWithState(work, gives, "made long, acked long, known array<string>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def circuit(stream: DataFrame, key: str, first_s: int = 300, most_s: int = 1800, timeouts: int = 1, failures: int = 2) -> DataFrame:
