@@ -31,8 +31,8 @@ from .common import cut, no_clash
 
 #: Bytes of a repeated string; most windows of a piece; different pieces of one seed from which its windows are dealt.
 LENGTH, RUN, HOT = 100, 128, 4096
-#: Bytes of text worked on at once, and between two rounds of what a task sends; bytes of pieces merged at once.
-BLOCK, SENT, MERGED = 1 << 20, 16 << 20, 4 << 20
+#: Bytes of text worked on at once, and between two rounds of what a task sends; bytes of pieces sorted, and merged, at once.
+BLOCK, SENT, SORTED, MERGED = 1 << 20, 16 << 20, 4 << 20, 4 << 20
 #: Bytes of text, or of pieces, a task of an exchange gets about; least numbers of buckets of the two exchanges.
 TASK_BYTES, BUCKETS = 32 << 20, 1024
 #: A null id comes first, as the least number.
@@ -268,104 +268,124 @@ def _sifted(batches: Iterable[pa.RecordBatch], hot: int, buckets: int) -> Iterat
     yield _marked(_strings(rows[lead[wanted]]), kind, to)
 
 
+def _dealt(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys below 2^32, by digits of 16 bits."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (keys >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def _numbered(new: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, alone) of each member of blocks that begin where new is: the slot of its block's first, and whether it
+    is the only one."""
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(new)))
+    return np.repeat(slots[starts], sizes), np.repeat(sizes == 1, sizes)
+
+
+class Interleave:
+    """Suffixes of strings in the order of their first symbols, in blocks of equal ones, which rounds refine.
+
+    Places number the symbols of all strings, each with its end. order: places by slot; block: for each place the first
+    slot of its block; open: whether the place shares its block.
+    """
+
+    def __init__(self, lengths: np.ndarray, order: np.ndarray, new: np.ndarray) -> None:
+        base = np.cumsum(lengths + 1) - lengths - 1
+        self.offset = (np.arange(len(order)) - np.repeat(base, lengths + 1)).astype(np.int32)
+        self.left = (np.repeat(lengths, lengths + 1) - self.offset).astype(np.int32)
+        self.order = order.astype(np.int32)
+        self.block, self.open = np.empty(len(order), np.int32), np.empty(len(order), bool)
+        number, alone = _numbered(new, np.arange(len(order), dtype=np.int32))
+        self.block[self.order], self.open[self.order] = number, ~alone
+
+    def refine(self, step: int) -> None:
+        """From the order of the first d symbols to that of the first d + step, for step <= d.
+
+        The present order is walked over, and each place `step` symbols before is dealt to its block; places without
+        `step` more symbols come first. What follows a place is known by its block, so no symbols are compared.
+        """
+        order, block, left = self.order, self.block, self.left
+        slots = np.flatnonzero(self.open[order]).astype(np.int32)
+        if not len(slots):
+            return
+        walked = order[self.offset[order] >= step] - np.int32(step)
+        ended = np.flatnonzero((left < step) & self.open).astype(np.int32)
+        dealt = np.concatenate([ended, walked[self.open[walked]]])
+        dealt = dealt[_dealt(block[dealt])]
+        own = block[dealt]
+        ahead = np.where(left[dealt] >= step, block[np.minimum(dealt + step, len(block) - 1)], -1)
+        new = np.ones(len(dealt), bool)
+        new[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
+        order[slots] = dealt
+        number, alone = _numbered(new, slots)
+        block[dealt], self.open[dealt] = number, ~alone
+
+
 def transforms(strings: list[np.ndarray], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, bounds): the Burrows-Wheeler transform of each bucket's strings, one after another, which are in the order
     of their buckets. Symbols are bytes plus 1; 0 ends a string. Ends of earlier strings come before those of later ones.
     """
-    lengths = np.array([len(s) + 1 for s in strings])
-    last = np.cumsum(lengths) - 1
-    text = np.zeros(int(lengths.sum()), np.uint16)
+    lengths = np.array([len(s) for s in strings])
+    last = np.cumsum(lengths + 1) - 1
+    text = np.zeros(int(last[-1]) + 1, np.uint16)
     inside = np.ones(len(text), bool)
     inside[last] = False
     text[inside] = np.concatenate(strings).astype(np.uint16) + 1
-    owner = np.repeat(np.arange(len(strings)), lengths)
-    end = last[owner]
-    depth = 7
-    key = np.zeros(len(text), np.uint64)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(depth, np.uint64)])
-    here = np.arange(len(text))
+    bucket = np.repeat(np.cumsum(np.concatenate([[0], np.diff(buckets) != 0])), lengths + 1)
+    end = np.repeat(last, lengths + 1)
+    # The bucket's number and the first five symbols, as far as the string goes.
+    depth, here = 5, np.arange(len(text))
+    key, padded = bucket.astype(np.uint64), np.concatenate([text, np.zeros(depth, np.uint16)])
     for i in range(depth):
-        key = (key << np.uint64(9)) | np.where(here + i <= end, padded[i : i + len(text)], np.uint64(0))
-    bucket = np.asarray(buckets)[owner]
-    order = np.lexsort((key, bucket))
+        key = (key << np.uint64(9)) | np.where(here + i <= end, padded[i : i + len(text)], np.uint16(0))
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    longest = int(lengths.max())
-    while depth < longest:
-        single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
-        if not len(open_):
-            break
-        at = order[open_]
-        ahead = np.where(at + depth <= end[at], rank[np.minimum(at + depth, len(rank) - 1)], -1)
-        own = rank[at]
-        by = np.lexsort((ahead, own))
-        at, ahead, own = at[by], ahead[by], own[by]
-        order[open_] = at
-        fresh_block = np.ones(len(at), bool)
-        fresh_block[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
-        new[open_] = fresh_block
-        rank[at] = open_[np.flatnonzero(fresh_block)[np.cumsum(fresh_block) - 1]]
+    sorted_key = key[order]
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    rows = Interleave(lengths, order, new)
+    while depth <= lengths.max():
+        rows.refine(depth)
         depth *= 2
-    before = np.where(inside[order - 1] & (order > 0), text[order - 1], 0)
-    return before.astype(np.uint16), np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    before = np.where(rows.offset[rows.order] > 0, text[rows.order - 1], 0)
+    return before.astype(np.uint16), np.concatenate([[0], np.flatnonzero(np.diff(bucket[rows.order])) + 1, [len(order)]])
 
 
 def merged(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset, block) rows of the merged transform of shards (rows of symbols, lengths of the strings): the rows
+    """(string, offset), block of the merged transform of shards (rows of symbols, lengths of the strings): the suffixes
     that have `length` bytes or more, with equal blocks where the first `length` bytes are equal."""
-    symbols = np.concatenate([rows for rows, _ in shards])
-    to, firsts = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.uint16)
+    n = sum(len(rows) for rows, _ in shards)
+    to, firsts = np.empty(n, np.int32), np.empty(n, np.uint16)
     ends, begun = [], 0
     for rows, lengths in shards:
         order = np.argsort(rows, kind="stable")
-        to[begun + order] = begun + np.arange(len(rows))
+        to[begun + order] = np.arange(begun, begun + len(rows), dtype=np.int32)
         firsts[begun : begun + len(rows)] = rows[order]
-        ends.append(begun + np.arange(len(lengths)))
+        ends.append(np.arange(begun, begun + len(lengths), dtype=np.int32))
         begun += len(rows)
-    lengths = np.concatenate([n for _, n in shards]).astype(np.int64)
+    lengths = np.concatenate([size for _, size in shards]).astype(np.int64)
     base = np.cumsum(lengths + 1) - lengths - 1
-    # Walk from the end of every string to its beginning: which row is the suffix at each place, and the other way.
-    row_of = np.empty(len(symbols), np.int64)
-    row = np.concatenate(ends)
-    string = np.arange(len(lengths))
-    row_of[base + lengths] = row
+    # Walk from the end of every string to its beginning, the long ones first: which place a row's suffix has.
+    place = np.empty(n, np.int32)
+    by_length = np.argsort(-lengths, kind="stable")
+    row, at = np.concatenate(ends)[by_length], (base + lengths)[by_length].astype(np.int32)
+    still = np.searchsorted(lengths[by_length] * -1, -np.arange(int(lengths.max()) + 2), side="right")
+    place[row] = at
     for back in range(1, int(lengths.max()) + 1):
-        on = lengths[string] >= back
-        string, row = string[on], to[row[on]]
-        row_of[base[string] + lengths[string] - back] = row
-    place = np.empty(len(symbols), np.int64)
-    place[row_of] = np.arange(len(symbols))
-    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
-    left = (base[owner] + lengths[owner] - np.arange(len(owner)))[place]
-    interleave = np.argsort(firsts, kind="stable")
-    block = _blocks_of(interleave, firsts)
+        row, at = to[row[: still[back]]], at[: still[back]] - 1
+        place[row] = at
+    order = np.argsort(firsts, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = firsts[order][1:] != firsts[order][:-1]
+    rows = Interleave(lengths, place[order], new)
     depth = 1
     while depth < length:
         step = min(depth, length - depth)
-        ahead = np.where(left >= step, block[row_of[np.minimum(place + step, len(place) - 1)]], -1)
-        # Over the present order: the row `step` symbols before each one; rows that end earlier come first.
-        begin = base[owner[place[interleave]]]
-        before = place[interleave] - step
-        dealt = np.concatenate([np.flatnonzero(left < step), row_of[before[before >= begin]]])
-        interleave = dealt[np.argsort(block[dealt], kind="stable")]
-        block = _blocks_of(interleave, block, ahead)
+        rows.refine(step)
         depth += step
-    kept = np.flatnonzero(left >= length)
-    string = owner[place[kept]]
-    return np.stack([string, place[kept] - base[string]]), block[kept]
-
-
-def _blocks_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        sorted_key = key[order]
-        new[1:] |= sorted_key[1:] != sorted_key[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    kept = np.flatnonzero(rows.left >= length)
+    string = np.repeat(np.arange(len(lengths)), lengths + 1)[kept]
+    return np.stack([string, rows.offset[kept]]), rows.block[kept]
 
 
 def _shard_data(symbols: np.ndarray, strings: np.ndarray) -> bytes:
@@ -397,7 +417,7 @@ def _sharded(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> It
         bucket = flat.field("bucket").to_numpy()
         n = rows["n"].astype(np.int64)
         weight = np.cumsum(np.where(deal, (n - length + 1) * np.dtype(WINDOW).itemsize, n))
-        for part in np.split(np.arange(len(of)), np.searchsorted(weight, np.arange(SENT, int(weight[-1]) + 1, SENT))):
+        for part in np.split(np.arange(len(of)), np.searchsorted(weight, np.arange(SORTED, int(weight[-1]) + 1, SORTED))):
             out: list[tuple[int, int, bytes]] = []
             merge = part[~deal[part]]
             merge = merge[np.argsort(bucket[merge], kind="stable")]
