@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, evidence, graphs, ledger, records, scalars, search, sessions, source, streams, telemetry
+from .plans import corpus, evidence, graphs, ledger, records, scalars, search, sessions, source, statements, streams, telemetry
 
-MODULES = (telemetry, corpus, evidence, graphs, ledger, records, scalars, search, sessions, source, streams)
+MODULES = (telemetry, corpus, evidence, graphs, ledger, records, scalars, search, sessions, source, statements, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
