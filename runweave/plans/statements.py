@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cases
 from ..operators import statements as o
 from ..operators import tex
 from ..sources import tables as s
@@ -30,6 +31,11 @@ PROVED = """SELECT p_partkey AS id, 'F' AS file, 'N.d' || p_partkey AS name, CAS
 CODE = """SELECT 'F' AS file, 'd' || p_partkey AS name, p_partkey AS line, CASE p_partkey % 4 WHEN 0 THEN 'theorem d' || p_partkey || ' (x : Nat) (h : x > 0) : P x := by' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '  exact N.d' || (p_partkey + 2) ELSE '  sorry' END
  WHEN 1 THEN 'theorem d' || p_partkey || ' (h : x > 0) (k : ∀ y, Q y ' || (p_partkey + 4) || ') : T' WHEN 2 THEN 'theorem d' || p_partkey || ' (x : Nat) (l : (P x → False)) : T' ELSE 'theorem d' || p_partkey || ' (x : Nat) (f : Nat → Nat) (h : x > 0) : T' END AS text FROM {part}"""
 SPLITS = "SELECT p_partkey AS src, p_partkey - p_partkey % 4 AS dst, 'split_of' AS kind FROM {part} WHERE p_partkey % 4 > 0 AND p_partkey > 4"
+#: Each fortieth part is an open parent; the others, proved in an order of their own, settle a class, a value, or nothing finite.
+CASE_NODES = """SELECT p_partkey AS id, 'F' || (p_partkey % 2) AS file, 'd' || p_partkey AS name, CASE WHEN p_partkey % 40 = 0 THEN 'stated' ELSE 'proved' END AS status,
+ CASE WHEN p_partkey % 40 > 0 THEN p_partkey * 7919 % 1000003 END AS seq FROM {part}"""
+CASE_EDGES = "SELECT p_partkey AS src, p_partkey - p_partkey % 40 AS dst, 'split_of' AS kind FROM {part} WHERE p_partkey % 40 > 0"
+CASE_CODE = """SELECT 'F' || (p_partkey % 2) AS file, 'd' || p_partkey AS name, 'theorem d' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN ' (h : t % ' || (p_size % 4 + 2) * (1 + p_partkey % 2) || ' = ' || (p_size % (p_size % 4 + 2)) || ')' WHEN 1 THEN ' (h : t = ' || (p_size % 9) || ')' ELSE '' END || ' : P' AS text FROM {part}"""
 #: Files with a declared environment, blocks within blocks, comments, one that is never closed, and proofs near and far.
 _B = "chr(92) || "
 TEX = rf"""SELECT 'f' || p_partkey || '.tex' AS path, {_B}'newtheorem' || chr(123) || 'satz' || chr(125) || chr(123) || 'Main Lemma' || chr(125) || chr(10) || {_B}'section' || chr(123) || p_brand || chr(125) || chr(10)
@@ -77,6 +83,10 @@ def j27_conditional_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("obligations", "|").alias("obligations"), F.array_join("unresolved", "|").alias("unresolved"), "wrapper")
 
 
+def a23_finite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.finite_cases(_view(CASE_NODES)(spark, sf_dir), _view(CASE_EDGES)(spark, sf_dir), _view(CASE_CODE)(spark, sf_dir))
+
+
 _REFUTED = f"""n AS ({s.plain(NODES)}), e AS ({s.plain(EVIDENCE)}),
   r AS (SELECT p.p_partkey - 1 AS target, p.p_partkey AS helper FROM part p JOIN e ON e.src = p.p_partkey JOIN part b ON b.p_partkey = e.dst WHERE kind = 'evidence_for' AND p.p_size % 5 > 0 AND p.p_size % 4 <> 2)"""
 ORACLES = {
@@ -91,10 +101,15 @@ ORACLES = {
       UNION ALL SELECT a.p_partkey, 't' || min(b.p_partkey), 'same_signature' FROM part a JOIN part b ON b.p_partkey % 20 = a.p_partkey % 20 AND b.p_size = a.p_size AND b.p_partkey < a.p_partkey WHERE a.p_partkey % 7 > 0 GROUP BY a.p_partkey""",
     "j19_universal_obstructions": f"WITH {_REFUTED} SELECT * FROM r",
     "j19_dominated_jobs": f"WITH {_REFUTED} SELECT event_id AS job_id, user_id AS target FROM events WHERE event_id % 5 > 0 AND (event_id % 4 = 0 OR event_id % 3 = 0) AND user_id IN (SELECT target FROM r)",
+    "a23_finite_cases": """WITH k AS (SELECT p_partkey AS id, p_partkey % 2 AS file, p_partkey - p_partkey % 40 AS parent, p_partkey * 7919 % 1000003 AS seq, p_partkey % 3 AS kind, (p_size % 4 + 2) * (1 + p_partkey % 2) AS m, p_size % (p_size % 4 + 2) AS r, p_size % 9 AS v FROM part WHERE p_partkey % 40 > 0),
+      c AS (SELECT *, CASE kind WHEN 0 THEN 't%' || m || '=' || r ELSE 't=' || v END AS branch FROM k WHERE kind < 2 AND parent IN (SELECT p_partkey FROM part)),
+      p AS (SELECT a.id, a.branch, least(4, count(DISTINCT b.branch)) AS prior, coalesce(bool_or(a.kind = 0 AND b.kind = 0 AND b.m > a.m AND b.m % a.m = 0 AND b.r % a.m = a.r), false) AS broader
+        FROM c a LEFT JOIN c b ON b.parent = a.parent AND b.file = a.file AND b.seq < a.seq GROUP BY a.id, a.branch)
+      SELECT id, branch, prior, prior >= 4 AS saturated, prior >= 4 AND NOT broader AS evidence_only FROM p""",
     "p23_admission": """SELECT p_partkey AS id, p_partkey % 10 NOT IN (0, 7) AS admitted, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'closed_instance' END AS reason, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'n' END AS parameter,
       CASE WHEN p_partkey % 10 IN (0, 7) THEN p_size::VARCHAR END AS literal, p_partkey % 10 <> 1 AS reducing FROM part""",
     "j27_conditional_helpers": """WITH c AS (SELECT p.p_partkey AS id, p.p_partkey % 4 AS m, p.p_size, g.p_size AS of FROM part p JOIN part g ON g.p_partkey = p.p_partkey - p.p_partkey % 4 WHERE p.p_partkey % 4 > 0 AND p.p_partkey > 4 AND p.p_size % 11 > 0 AND g.p_size % 3 > 0),
       k AS (SELECT c.id, '∀ y, Q y ' || (id + 4) AS o, q.p_partkey IS NOT NULL AS met FROM c LEFT JOIN part q ON q.p_partkey = c.id + 4 AND q.p_size % 13 = 0 AND q.p_size % 11 > 0 WHERE m = 1)
       SELECT id, o AS obligations, o AS unresolved, false AS wrapper FROM k WHERE NOT met UNION ALL SELECT id, 'P x → False', 'P x → False', false FROM c WHERE m = 2 AND of % 2 > 0""",
 }
-QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers)}
+QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases)}
