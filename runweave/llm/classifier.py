@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels: id_col and label_col; rows with another or no label, and documents without text, are left out. The same
     tables give the same model. Texts do not move: the chosen ids are broadcast (their number is the bound), only
-    feature numbers of their documents go to the one task that fits.
+    feature numbers of their documents are shuffled, of each id one document (that of the least hash), and go to the one
+    task that fits.
     """
     import pyarrow as pa
 
@@ -202,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         frame = frame.sort_values(["id", "y", "f"])
         return pd.DataFrame({"model": [fit([np.frombuffer(f, dtype=np.int32) for f in frame["f"]], frame["y"].to_numpy())]})
 
-    rows = texts.mapInArrow(extract, "id string, y int, f binary")
+    # Rows that repeat an id are one: the one whose features have the least hash.
+    rows = texts.mapInArrow(extract, "id string, y int, f binary").groupBy("id").agg(F.min_by(F.struct("y", "f"), F.xxhash64("f")).alias("least")).select("id", "least.y", "least.f")
     made = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "model binary").first()
     return bytes(made["model"]) if made else fit([], [])
 
