@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, no_clash
+from .common import blocks, cut, no_clash
 
 #: Words whose shares are compared; different words a task counts before it sends its counts on and begins anew.
 COMMON, COUNTED = 64, 1 << 17
-#: Languages that a table may have: their references are broadcast, so there is a bound.
-MOST_LANGS = 10_000
+#: Languages, those of the most words, whose references are broadcast; those of further ones are joined to their texts.
+MOST_LANGS = 2_000
 #: Largest Jensen-Shannon distances that pass, and the least characters and words from which they are applied. Clean
 #: documents of sf0.1 reach a word distance of 0.43, word lists and made-up words are mostly at 0.51 to 0.61.
 CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.50, 200, 50
@@ -124,12 +124,17 @@ def _measured(text: str) -> tuple[int, int, int, int, int]:
     return (len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words))
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str | None, dict]:
-    """For each language {"classes": counts, "words": {word: count}, "total": words} over all rows; None for a null one.
+def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_LANGS) -> dict[str | None, dict]:
+    """The main languages of all_references()."""
+    return all_references(df, text_col, lang_col, most)[0]
+
+
+def all_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_LANGS) -> tuple[dict[str | None, dict], DataFrame | None]:
+    """(main, further): for each of the `most` languages of most words {"classes": counts, "words": {word: count},
+    "total": words} over all rows, None for a null one; the counts (lang, counts) of further languages, if there are any.
 
     Words are lower-cased (A-Z). Each task counts words in bounded memory and sends its counts on whenever they are
-    many, so the sums are exact. Languages times (CLASSES + COMMON + 1) numbers come to the driver; more than MOST_LANGS
-    languages are an error (ValueError).
+    many, so the sums are exact. At most `most` times (CLASSES + COMMON + 1) numbers come to the driver.
     """
     import pyarrow as pa
 
@@ -165,19 +170,32 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     # Classes and totals, CLASSES + 1 rows a language, are ranked apart, so that one bound on the rank takes them all.
     rank = F.row_number().over(Window.partitionBy("lang", F.substring("word", 1, 1).isin("\t", "\n")).orderBy(F.desc("n"), "word"))
     top = counts.withColumn("r", rank).where(F.col("r") <= COMMON).select("lang", "word", "n")
-    rows = top.limit(MOST_LANGS * (COMMON + CLASSES + 1) + 1).collect()
-    out: dict[str | None, dict] = {}
-    for row in sorted(rows, key=lambda r: (-r["n"], r["word"])):
-        own = out.setdefault(row["lang"], {"classes": [0] * CLASSES, "words": {}, "total": 0})
-        if row["word"].startswith("\t"):
-            own["classes"][int(row["word"][1:])] = row["n"]
-        elif row["word"] == "\n":
-            own["total"] = row["n"]
+    top = cut(top)
+    totals = top.where(F.col("word") == "\n").orderBy(F.desc("n"), "lang").limit(most + 1).collect()
+    if len(totals) <= most:
+        rows, further = top.collect(), None
+    else:
+        main = df.sparkSession.createDataFrame([(row["lang"],) for row in totals[:most]], "main string")
+        is_main = top["lang"].eqNullSafe(main["main"])
+        rows = top.join(F.broadcast(main), is_main, "left_semi").collect()
+        further = top.join(F.broadcast(main), is_main, "left_anti").groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+    by_lang: dict[str | None, list] = {}
+    for row in rows:
+        by_lang.setdefault(row["lang"], []).append((row["word"], row["n"]))
+    return {lang: _reference(counts) for lang, counts in by_lang.items()}, further
+
+
+def _reference(counts: Iterable[tuple[str, int]]) -> dict:
+    """A language's counts, the words from the most frequent on."""
+    own: dict = {"classes": [0] * CLASSES, "words": {}, "total": 0}
+    for word, n in sorted(counts, key=lambda pair: (-pair[1], pair[0])):
+        if word.startswith("\t"):
+            own["classes"][int(word[1:])] = n
+        elif word == "\n":
+            own["total"] = n
         else:
-            own["words"][row["word"]] = row["n"]
-    if len(out) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    return out
+            own["words"][word] = n
+    return own
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -222,30 +240,41 @@ def _indexed(reference: dict) -> dict:
     }
 
 
-def _judged(df: DataFrame, text_col: str, lang_col: str, keep: tuple[str, ...], reference: dict | None) -> DataFrame:
+def _judged(df: DataFrame, text_col: str, lang_col: str, keep: tuple[str, ...], reference: dict | None, most: int) -> DataFrame:
     """Columns k0, k1, ... for `keep`, then NAMES."""
     import pyarrow as pa
 
     needed = [*keep, text_col, lang_col]
     rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(needed)))
-    shared = df.sparkSession.sparkContext.broadcast(reference if reference is not None else references(df, text_col, lang_col))
+    known, further = (reference, None) if reference is not None else all_references(df, text_col, lang_col, most)
+    shared = df.sparkSession.sparkContext.broadcast(known)
     own = rows.schema.fields[: len(keep)]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexed = {lang: _indexed(r) for lang, r in shared.value.items()}
-        main = tuple(indexed[lang] for lang in sorted(indexed, key=lambda k: -shared.value[k]["total"])[:OTHERS])
+        main = tuple(indexed[lang] for lang in sorted(indexed, key=lambda k: (-shared.value[k]["total"], k is None, k or ""))[:OTHERS])
         for batch in batches:
-            texts, langs = batch.columns[len(keep) :]
-            out = [verdict(text.as_py() or "", indexed.get(lang.as_py()), main) for text, lang in zip(texts, langs, strict=True)]
+            texts, langs, *counts = batch.columns[len(keep) :]
+            out = []
+            for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+                of = indexed.get(lang.as_py()) if not counts else _indexed(_reference((c["word"], c["n"]) for c in counts[0][i].as_py()))
+                out.append(verdict(text.as_py() or "", of, main))
             made = [pa.array(values, k) for values, k in zip(zip(*out, strict=True) if out else [[]] * len(NAMES), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[f.name for f in own] + list(NAMES))
 
     types = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] * 2
-    return rows.mapInArrow(work, T.StructType([*own, *(T.StructField(n, t) for n, t in zip(NAMES, types, strict=True))]))
+    schema = T.StructType([*own, *(T.StructField(n, t) for n, t in zip(NAMES, types, strict=True))])
+    if further is None:
+        return rows.mapInArrow(work, schema)
+    # Texts of the further languages, none of which has many, meet their references by a join.
+    further = cut(further.select(F.col("lang").alias("of"), "counts"))
+    same = rows[f"k{len(keep) + 1}"].eqNullSafe(further["of"])
+    apart = rows.join(further, same).drop("of").mapInArrow(work, schema)
+    return rows.join(further.select("of"), same, "left_anti").mapInArrow(work, schema).unionByName(apart)
 
 
-def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), reference: dict | None = None) -> DataFrame:
+def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), reference: dict | None = None, most_langs: int = MOST_LANGS) -> DataFrame:
     """Columns `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean,
     class_distance, word_distance double.
 
@@ -255,14 +284,15 @@ def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     diverges likewise from each of the OTHERS main languages (so a wrong label alone rejects nothing).
     reference: as references() gives it, by default over df; a language that it lacks is held against none, with
     distances 0. Rows come out as they went in, with repeats and null keys; a null language has a reference of its own.
-    A column of `keep` by the name of an output is an error (ValueError); other columns of df do not matter.
+    A column of `keep` by the name of an output is an error (ValueError); other columns of df do not matter. Of any
+    number of languages the `most_langs` (at least OTHERS) of most words are broadcast, the others joined to their texts.
     """
     no_clash(keep, *NAMES)
-    found = _judged(df, text_col, lang_col, keep, reference)
+    found = _judged(df, text_col, lang_col, keep, reference, most_langs)
     return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *NAMES)
 
 
 def accept(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df that judged() keeps, with the columns of df, whatever their names; one pass over texts, no shuffle."""
-    found = _judged(df, text_col, lang_col, tuple(df.columns), None).where("kept")
+    found = _judged(df, text_col, lang_col, tuple(df.columns), None, MOST_LANGS).where("kept")
     return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)))
