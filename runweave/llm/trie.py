@@ -110,7 +110,7 @@ def nodes(met: DataFrame, lengths: DataFrame) -> DataFrame:
     size counts a node's subtree: each member adds the nodes that it is the smallest member of, which are the end of its
     way; only the node's own smallest member has some of them above the node.
     """
-    whole = lengths.agg(F.min("conv").alias("rep"), F.count("*").alias("n_convs"))
+    whole = lengths.agg(F.min("conv").alias("rep"), F.count("*").alias("n_convs")).first()
     own = lengths.join(met.where("conv = rep").groupBy("conv").agg(F.count("*").alias("own")), "conv", "left").select("conv", "len", F.coalesce("own", F.lit(0)).alias("own"))
     own = cut(own)
     below = met.select("conv", "depth", "rep").join(own.select("conv", "own"), "conv").groupBy("rep", "depth").agg(F.sum("own").alias("below"))
@@ -119,14 +119,9 @@ def nodes(met: DataFrame, lengths: DataFrame) -> DataFrame:
     made = first.join(below, ["rep", "depth"]).join(own.select(F.col("conv").alias("rep"), "len", "own"), "rep")
     size = F.col("below") - F.col("own") + F.col("len") - F.col("depth") + 1
     made = cut(made.join(up, ["rep", "depth"], "left").select("rep", "depth", "parent", "n_convs", "saved", size.alias("size")))
-    top = whole.where("n_convs > 0").select("rep", F.lit(0).cast("long").alias("depth"), "n_convs")
-    # The one row of the top goes to the nodes of depth 1 as a broadcast of a single row.
-    ones = made.where("depth = 1").drop("parent").join(F.broadcast(top.select(F.lit(1).cast("long").alias("depth"), F.col("rep").alias("parent"))), "depth")
-    made = made.where("depth > 1").unionByName(ones)
-    root = top.select("rep", "depth", F.lit(None).cast("long").alias("parent"), "n_convs", F.lit(0).cast("long").alias("saved"))
-    count = made.agg((F.count("*") + 1).alias("size"), F.lit(0).cast("long").alias("depth"))
-    made = made.unionByName(root.join(F.broadcast(count), "depth"))
-    made = cut(made)
+    made = made.withColumn("parent", F.when(F.col("depth") == 1, F.lit(whole["rep"]).cast("long")).otherwise(F.col("parent")))
+    root = [(whole["rep"], 0, None, whole["n_convs"], 0, made.count() + 1)] if whole["n_convs"] else []
+    made = cut(made.unionByName(made.sparkSession.createDataFrame(root, "rep long, depth long, parent long, n_convs long, saved long, size long")))
     children = made.where("depth > 0").groupBy(F.col("parent").alias("rep"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     made = made.join(children, ["rep", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     return cut(made.withColumn("leaf", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long")))
@@ -137,10 +132,10 @@ STATE = "rep long, depth long, parent long, leaf long, saved long, size long, cr
 
 def rolled(tree: DataFrame, met: DataFrame, largest: int = LARGEST) -> DataFrame:
     """rep, depth, n_leaves, saved_tokens: the sums of leaf and saved over the subtree of every node of `tree`."""
-    root = tree.where("depth = 0").select(F.lit(0).cast("long").alias("cdepth"), F.col("rep").alias("crep"), F.col("size").alias("total"))
-    zero = F.lit(0).cast("long")
-    state = tree.select("rep", "depth", "parent", "leaf", "saved", "size", zero.alias("cdepth"), zero.alias("n_leaves"), zero.alias("saved_tokens"), F.lit(False).alias("done"))
-    state = cut(state.join(F.broadcast(root), "cdepth").select(*[c.split()[0] for c in STATE.split(", ")]))
+    root = tree.where("depth = 0").first() or {"rep": None, "size": 0}
+    value = lambda x: F.lit(x).cast("long")
+    begin = (value(root["rep"]).alias("crep"), value(0).alias("cdepth"), value(root["size"]).alias("total"), value(0).alias("n_leaves"), value(0).alias("saved_tokens"))
+    state = cut(tree.select("rep", "depth", "parent", "leaf", "saved", "size", *begin, F.lit(False).alias("done")))
     finished = [state.where((F.col("total") <= largest) | F.col("done"))]
     while not (big := state.where((F.col("total") > largest) & ~F.col("done"))).isEmpty():
         state = cut(_split(big, met))
@@ -249,8 +244,8 @@ def ends(met: DataFrame, lengths: DataFrame) -> DataFrame:
     Ids are put into lists by blocks of numbers; a node's lists then pass one after another through its hash.
     """
     stops = lengths.join(met.select("conv", F.col("depth").alias("len"), "rep"), ["conv", "len"]).select("rep", F.col("len").alias("depth"), "conv")
-    least = lengths.agg(F.min("conv").alias("rep"), F.lit(0).cast("long").alias("len"))
-    stops = stops.unionByName(lengths.where("len = 0").join(F.broadcast(least), "len").select("rep", F.col("len").alias("depth"), "conv"))
+    least = lengths.agg(F.min("conv")).first()[0]
+    stops = stops.unionByName(lengths.where("len = 0").select(F.lit(least).cast("long").alias("rep"), F.col("len").alias("depth"), "conv"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv")), lambda c: c.cast("string")), ",")
     lists = stops.groupBy("rep", "depth", F.shiftright("conv", ID_BITS).alias("block")).agg(ids.alias("ids"))
     lists = lists.repartition("rep", "depth").sortWithinPartitions("rep", "depth", "block")
