@@ -32,9 +32,9 @@ from .common import cut, no_clash
 #: Bytes of a repeated string; most windows of a piece; different pieces of one seed from which its windows are dealt.
 LENGTH, RUN, HOT = 100, 128, 4096
 #: Bytes of text worked on at once, and between two rounds of what a task sends; bytes of pieces sorted, and merged, at once.
-BLOCK, SENT, SORTED, MERGED = 1 << 20, 16 << 20, 4 << 20, 4 << 20
-#: Bytes of text, or of pieces, a task of an exchange gets about; least numbers of buckets of the two exchanges.
-TASK_BYTES, BUCKETS = 32 << 20, 1024
+BLOCK, SENT, SORTED, MERGED = 1 << 20, 16 << 20, 2 << 20, 2 << 20
+#: Bytes of text, and of pieces to be merged, a task of an exchange gets about; least number of buckets of either.
+TASK_BYTES, MERGE_BYTES, BUCKETS = 32 << 20, 4 << 20, 1024
 #: A null id comes first, as the least number.
 NO_ID = -(1 << 63)
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xCA5A826395121157)
@@ -541,7 +541,7 @@ def repeated_strings(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     weight = F.when(F.col("kind") == MERGE, F.col("n")).when(F.col("kind") == DEAL, (F.col("n") - length + 1) * 36).otherwise(0)
     size = marks.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     sure = marks.where(f"kind = {GOES}").select("id", "th", "at", "n")
-    tasks = max(8, -(-size // TASK_BYTES) * 2)
+    tasks = max(8, -(-size // MERGE_BYTES))
     buckets = max(BUCKETS, 8 * tasks)
     mark = F.struct("at", "n", "kind", (F.col("bucket") % buckets).alias("bucket"))
     wanted = marks.where(f"kind <> {GOES}").groupBy("id", "th").agg(F.collect_list(mark).alias("marks"))
