@@ -315,11 +315,13 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int, out: str, value
     return df.select(id_col, text_col).mapInArrow(work, schema)
 
 
-def _met(bits: int):
-    """Pairs of one partition's rows (key, check, whole) that meet in a deletion variant and are near in `check`.
+def _met(bits: int, stars: bool):
+    """Pairs of one partition's rows (key, check, whole, root) that meet in a deletion variant and are near in `check`.
 
     A key is made of table, half, the bits of that half and the bits of the other half. Equal halves lie in one
     partition; the other half may differ by one bit, so the keys are sorted once for each of its bits, deleted.
+    stars: of the rows that meet, the least is paired with those near it, of the others the least again, and so on, so
+    that each row has about one pair. Else all pairs of different roots.
     """
     import pyarrow as pa
 
@@ -331,33 +333,80 @@ def _met(bits: int):
         parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if not parts:
             return
-        key, check, whole = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, check, whole, root = (np.concatenate(c) for c in zip(*parts, strict=True))
         second = (key >> bits) & 1
+        near = lambda a, b: np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
+
+        def made(a, b) -> pa.RecordBatch:
+            both = np.unique(np.stack([np.minimum(whole[a], whole[b]), np.maximum(whole[a], whole[b])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=names)
+
         for bit in range(bits // 2):
             masked = key & ~(np.int64(1) << bit)
-            order = np.argsort(masked, kind="stable")
-            masked, at, step = masked[order], np.arange(len(order)), 0
+            order = np.lexsort((whole, masked)) if stars else np.argsort(masked, kind="stable")
+            masked = masked[order]
+            if stars:
+                found, all_rows, all_masked = [], order, masked
+                while len(order) > 1:
+                    begins = np.concatenate([[True], masked[1:] != masked[:-1]])
+                    lead = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+                    taken = ~begins & near(lead, order)
+                    found.append((lead[taken], order[taken]))
+                    rest = ~begins & ~taken
+                    order, masked = order[rest], masked[rest]
+                # Rows without a star may be near one that an earlier star took: one such pair each keeps them in the search.
+                starred = np.zeros(len(key), dtype=bool)
+                for a, b in found:
+                    starred[a] = starred[b] = True
+                for side in (1, -1):
+                    at, step = np.flatnonzero(~starred[all_rows]), 0
+                    while len(at):
+                        step += side
+                        at = at[(at + step >= 0) & (at + step < len(all_rows))]
+                        at = at[all_masked[at] == all_masked[at + step]]
+                        met = near(all_rows[at], all_rows[at + step])
+                        found.append((all_rows[at[met]], all_rows[at[met] + step]))
+                        at = at[~met]
+                if found and sum(len(a) for a, _ in found):
+                    yield made(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                continue
+            # Rows all of one root have nothing to find.
+            starts = np.flatnonzero(np.concatenate([[True], masked[1:] != masked[:-1]]))
+            own, sizes = root[order], np.diff(np.append(starts, len(order)))
+            mixed = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
+            order, masked = order[mixed], masked[mixed]
+            at, step = np.arange(len(order)), 0
             while len(at):
                 step += 1
                 at = at[at + step < len(order)]
                 at = at[masked[at] == masked[at + step]]
                 a, b = order[at], order[at + step]
                 # Equal codes meet in each half and bit: they are taken at the first one only.
-                take = (np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS) & ((key[a] != key[b]) | ((second[a] == 0) & (bit == 0)))
-                a, b = whole[a[take]], whole[b[take]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names)
+                take = near(a, b) & (root[a] != root[b]) & ((key[a] != key[b]) | ((second[a] == 0) & (bit == 0)))
+                if take.any():
+                    yield made(a[take], b[take])
 
     return work
 
 
+def _verified(df: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (src, dst) of which the sets of shingles have a Jaccard similarity of `least` or more."""
+    wanted = pairs.select(F.col("src").alias("whole")).unionByName(pairs.select(F.col("dst").alias("whole"))).distinct()
+    holders = docs.join(wanted, "whole", "left_semi").groupBy("whole").agg(F.min(id_col).alias("_id")).select("_id").distinct()
+    texts = df.join(holders, df[id_col].eqNullSafe(holders["_id"]), "left_semi")
+    sets = cut(_sets(texts, id_col, text_col, words, "own array<long>", lambda own: (own.view("int64"),)).groupBy("whole").agg(F.first("own").alias("own")))
+    a, b = sets.select(F.col("whole").alias("src"), F.col("own").alias("a")), sets.select(F.col("whole").alias("dst"), F.col("own").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "src").join(b, "dst").where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared) - 1e-9).select("src", "dst")
+
+
 def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, whole, component_id) of each row: documents linked by a Jaccard similarity of `least` or more.
 
     The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
-    whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. The
-    pairs compared grow with the square of the number of different documents that are near each other. Further columns
-    of df do not matter; id_col by the name of an output is an error (ValueError).
+    whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. First
+    each document is compared with the least of those that it meets; the links of these stars leave few components, and
+    only documents of different ones are compared as pairs. Further columns of df do not matter; id_col by the name of an output is an error (ValueError).
     """
     no_clash([id_col], "whole", "component_id")
     n = df.count()
@@ -372,18 +421,23 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     first = docs.groupBy("whole").agg(F.first("check").alias("check"), F.first("codes").alias("codes"))
     mask = (1 << half) - 1
     both = lambda code, t: F.array(t * 2 * (1 << bits) + code, (t * 2 + 1) * (1 << bits) + code.bitwiseAND(F.lit(mask)) * (1 << half) + F.shiftright(code, half))
-    index = first.select(F.explode(F.flatten(F.transform("codes", both))).alias("key"), "check", "whole")
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 // SORTED)
-    met = index.repartition(parts, F.shiftright("key", half)).mapInArrow(_met(bits), "src long, dst long")
-    pairs = cut(met.where("src <> dst").distinct())
-    wanted = pairs.select(F.col("src").alias("whole")).unionByName(pairs.select(F.col("dst").alias("whole"))).distinct()
-    holders = docs.join(wanted, "whole", "left_semi").groupBy("whole").agg(F.min(id_col).alias("_id")).select("_id").distinct()
-    texts = df.join(holders, df[id_col].eqNullSafe(holders["_id"]), "left_semi")
-    sets = cut(_sets(texts, id_col, text_col, words, "own array<long>", lambda own: (own.view("int64"),)).groupBy("whole").agg(F.first("own").alias("own")))
-    a, b = sets.select(F.col("whole").alias("src"), F.col("own").alias("a")), sets.select(F.col("whole").alias("dst"), F.col("own").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    edges = pairs.join(a, "src").join(b, "dst").where(shared >= F.lit(least) * (F.size("a") + F.size("b") - shared) - 1e-9).select("src", "dst")
-    found = components(edges)
+
+    def met(rows: DataFrame, stars: bool) -> DataFrame:
+        index = rows.select(F.explode(F.flatten(F.transform("codes", both))).alias("key"), "check", "whole", "root")
+        return index.repartition(parts, F.shiftright("key", half)).mapInArrow(_met(bits, stars), "src long, dst long").where("src <> dst").distinct()
+
+    star = cut(met(first.withColumn("root", F.col("whole")), True))
+    edges = cut(_verified(df, docs, star, words, least, id_col, text_col))
+    # Only texts that have met another one go on, and only pairs that the stars have not joined up.
+    wanted = star.select(F.col("src").alias("whole")).unionByName(star.select(F.col("dst").alias("whole"))).distinct()
+    linked = components(edges)
+    again = first.join(wanted, "whole", "left_semi").join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+    more = cut(met(again, False).join(star, ["src", "dst"], "left_anti"))
+    if not more.isEmpty():
+        edges = edges.unionByName(_verified(df, docs, more, words, least, id_col, text_col))
+        linked = components(edges)
+    found = linked
     low = cut(docs.groupBy("whole").agg(F.min(id_col).alias("low")).join(found.withColumnRenamed("node", "whole"), "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "low"))
     own = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("whole", "component_id")
     return cut(docs.select(id_col, "whole").join(own, "whole").select(id_col, "whole", "component_id"))
