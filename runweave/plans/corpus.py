@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import messages as m
 from ..operators import text as x
 from ..sources import tables as s
 
@@ -68,6 +71,20 @@ def j1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.search(s.messages(spark, sf_dir), TERMS, 20)
 
 
+#: Searches of one registered query: text, sources, roles.
+SEARCHES = (("the NOT that", (), ("user",)), ('"of the" OR thin*', (), ()), ("and the", ("source-1", "source-2"), ()), ("que OR \"la le\" NOT und", ("source-0",), ("assistant",)))
+
+
+def j1_full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second ten hits of each of SEARCHES, with their neighbours; the positional index is written once."""
+    rows = s.messages(spark, sf_dir)
+    sessions = rows.select(F.col("session_id").alias("id"), F.concat(F.lit("source-"), F.col("session_id") % 3).alias("source")).distinct()
+    terms = s.cut(m.index(rows).repartitionByRange("term").sortWithinPartitions("term"))
+    sizes = m.corpus_size(terms)
+    found = [m.search(rows, terms, m.query_of(text), sizes, sessions, sources, roles, 10, 10).withColumn("query", F.lit(text)) for text, sources, roles in SEARCHES]
+    return reduce(DataFrame.unionByName, found).select("query", "id", "session_id", "score", "before", "after", F.contains("snippet", F.lit(">>>")).alias("marked"))
+
+
 def j2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.with_context(s.messages(spark, sf_dir), F.col("content").contains("that"))
 
@@ -166,6 +183,18 @@ ORACLES = {
     "j1_search": rf"""WITH {MESSAGES}, w AS (SELECT id, session_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM m), z AS (SELECT id, session_id, len(w) AS len, w FROM w),
       st AS (SELECT count(*) AS n, avg(len) AS avg FROM z), h AS (SELECT id, session_id, len, term, count(*) AS tf FROM (SELECT id, session_id, len, unnest(w) AS term FROM z) WHERE term IN ({_terms}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
       SELECT id, session_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM h JOIN df USING (term), st GROUP BY id, session_id ORDER BY score DESC, id LIMIT 20""",
+    "j1_full_search": f"""WITH {MESSAGES}, w AS (SELECT m.*, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM m),
+      z AS (SELECT *, len(w) AS len, 'source-' || (session_id % 3) AS source FROM w WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(len) AS avg FROM z),
+      q AS (SELECT * FROM (VALUES ('the NOT that'), ('"of the" OR thin*'), ('and the'), ('que OR "la le" NOT und')) v(query)),
+      l AS (SELECT z.id, query, CASE query WHEN 'the NOT that' THEN len(list_filter(w, lambda t: t = 'the')) WHEN '"of the" OR thin*' THEN len(list_filter(w, lambda t, i: t = 'of' AND w[i + 1] = 'the')) WHEN 'and the' THEN len(list_filter(w, lambda t: t = 'and')) ELSE len(list_filter(w, lambda t: t = 'que')) END AS a,
+        CASE query WHEN 'the NOT that' THEN 0 WHEN '"of the" OR thin*' THEN len(list_filter(w, lambda t: starts_with(t, 'thin'))) WHEN 'and the' THEN len(list_filter(w, lambda t: t = 'the')) ELSE len(list_filter(w, lambda t, i: t = 'la' AND w[i + 1] = 'le')) END AS b,
+        CASE query WHEN 'the NOT that' THEN list_contains(w, 'that') ELSE list_contains(w, 'und') END AS c FROM z, q),
+      d AS (SELECT query, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM l GROUP BY query),
+      p AS (SELECT l.query, z.id, z.session_id, z.role, source, a, b, c, len, avg, greatest(1e-6::DOUBLE, ln((n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE))) AS ia, greatest(1e-6::DOUBLE, ln((n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE))) AS ib FROM l JOIN d USING (query) JOIN z ON z.id = l.id, st),
+      r AS (SELECT query, id, session_id, round(ia * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) + ib * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg)), 6) AS score FROM p
+        WHERE CASE query WHEN 'the NOT that' THEN a > 0 AND NOT c AND role = 'user' WHEN '"of the" OR thin*' THEN a > 0 OR b > 0 WHEN 'and the' THEN a > 0 AND b > 0 AND source <> 'source-0' ELSE (a > 0 OR b > 0 AND NOT c) AND source = 'source-0' AND role = 'assistant' END),
+      k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) BETWEEN 11 AND 20)
+      SELECT k.*, substr(x.content, 1, 200) AS before, substr(y.content, 1, 200) AS after, true AS marked FROM k LEFT JOIN m x ON x.id = k.id - 1 AND x.session_id = k.session_id LEFT JOIN m y ON y.id = k.id + 1 AND y.session_id = k.session_id""",
     "j2_context": f"WITH {MESSAGES} SELECT m.id, substr(p.content, 1, 200) AS before, substr(n.content, 1, 200) AS after FROM m LEFT JOIN m p ON p.id = m.id - 1 AND p.session_id = m.session_id LEFT JOIN m n ON n.id = m.id + 1 AND n.session_id = m.session_id WHERE contains(m.content, 'that')",
     "a18_counts": "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role",
     "a1_status_counts": f"WITH {NODES} SELECT status, count(*) AS n FROM n GROUP BY status",
@@ -179,4 +208,4 @@ ORACLES = {
     "j13_coverage": r"""WITH a AS (SELECT event_id, user_id % 20 AS run_id, event_type, regexp_extract(props, '(\d+)', 1)::INT AS k, CAST(round(value * 100) AS BIGINT) % 7 + 20 AS modulus FROM events)
       SELECT run_id AS scope, event_id AS at, k AS witness, EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'error' AND c.run_id = a.run_id AND c.event_id < a.event_id AND a.k % c.modulus = c.k % c.modulus) AS covered FROM a WHERE event_type = 'view'""",
 }
-QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j2_context, a18_counts, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, a12_bundle_verdicts, j13_coverage)}
+QUERIES = {f.__name__: f for f in (p16_chunks, s5_sections, p6_threat_scan, a12_verdicts, p5_redact, p20_grep, f5_canonical_url, k6_merge_results, s6_page_text, s7_page_links, p2_exclude_labels, a5_duplicates, j1_search, j1_full_search, j2_context, a18_counts, a1_status_counts, g1_levels, g2_reach, g3_frontier, g4_invalid, w4_batches, a3_concept_index, a12_bundle_verdicts, j13_coverage)}
