@@ -119,6 +119,17 @@ def family(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return reach_from(down, targets.select(F.col("id").alias("target"), "id"), "target")
 
 
+def _families_with(edges: DataFrame, targets: DataFrame, ids: DataFrame) -> DataFrame:
+    """target, id: which of ids (id) are in which target's family, walked from the fewer of ids and targets."""
+    starts, ends = ids.distinct(), targets.select(F.col("id").alias("target")).distinct()
+    if starts.count() >= ends.count():
+        return family(edges, targets).join(starts, "id", "left_semi").select("target", "id")
+    down = edges.where("kind = 'depends_on'").select("src", "dst").unionByName(edges.where("kind = 'split_of'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    up = down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    walked = reach_from(up, starts.select(F.col("id").alias("member"), "id"), "member")
+    return walked.withColumnRenamed("id", "target").join(ends, "target", "left_semi").select("target", F.col("member").alias("id"))
+
+
 def invalidate(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """nodes with the status after ids turn out false: they are false, and their split ancestors drop to conjectured.
 
@@ -225,7 +236,10 @@ def lost_work(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFram
 def late_dependencies(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """target, id: proved nodes of a target's family in its file that stand on a later line. nodes: id, status, file, line."""
     at = nodes.select("id", "file", "line")
-    found = family(edges, targets).where("id <> target").join(nodes.where("status = 'proved'").select("id", "file", "line"), "id")
+    # Only proved nodes on a line after the first target of their file can be late.
+    first = at.join(targets.select("id").distinct(), "id", "left_semi").groupBy("file").agg(F.min("line").alias("first"))
+    late = nodes.where("status = 'proved'").select("id", "file", "line").join(first, "file").where("line > first")
+    found = _families_with(edges, targets, late.select("id")).where("id <> target").join(late.select("id", "file", "line"), "id")
     return found.join(at.select(F.col("id").alias("target"), F.col("file").alias("of"), F.col("line").alias("here")), "target").where("file = of and line > here").select("target", "id")
 
 
@@ -234,14 +248,17 @@ def recovery_candidates(nodes: DataFrame, edges: DataFrame, truth: DataFrame, ta
     deps = edges.where("kind = 'depends_on'").select("src", "dst")
     clean = nodes.where("status not in ('proved', 'false', 'parked')").join(truth.where("present and not dirty").select("file", "name"), ["file", "name"], "left_semi")
     ready = frontier(clean.select("id", "status").withColumn("status", F.lit("stated")).unionByName(nodes.where("status = 'proved'").select("id", "status")), deps)
-    return family(edges, targets).join(ready.select("id"), "id", "left_semi").select("target", "id")
+    return _families_with(edges, targets, ready.select("id")).select("target", "id")
 
 
 def relevant_findings(findings: DataFrame, ancestors: DataFrame, k: int = 3) -> DataFrame:
     """target, finding, rank: the newest k findings (finding, target, at) of each target, then those of its split ancestors.
 
-    ancestors: id, ancestor. Targets without findings of their own take all k from their ancestors.
+    ancestors: id, ancestor. Targets without findings of their own take all k from their ancestors. No more than the
+    newest k of a target can be among those of another one, so only these are joined to its descendants.
     """
+    newest = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("at"), F.desc("finding")))
+    findings = findings.withColumn("_newest", newest).where(F.col("_newest") <= k).drop("_newest")
     other = findings.select("finding", F.col("target").alias("ancestor"), "at").join(ancestors, "ancestor").select("finding", F.col("id").alias("target"), "at", F.lit(1).alias("tier"))
     every = findings.select("finding", "target", "at", F.lit(0).alias("tier")).unionByName(other)
     rank = F.row_number().over(Window.partitionBy("target").orderBy("tier", F.desc("at"), F.desc("finding")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cases
+from ..operators import blocks, cases
 from ..operators import statements as o
 from ..operators import tex
 from ..sources import tables as s
@@ -87,6 +87,15 @@ def a23_finite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.finite_cases(_view(CASE_NODES)(spark, sf_dir), _view(CASE_EDGES)(spark, sf_dir), _view(CASE_CODE)(spark, sf_dir))
 
 
+#: Proofs with a block of as many lines as the part's size says, one within it, a short one, one with a hole, and comments.
+PROOFS = """SELECT p_partkey AS id, 'theorem t : P := by' || chr(10) || '  have big : A := by -- have no : B := by' || chr(10) || repeat('    have step : C := by simp' || chr(10), p_size % 17) || chr(10) || '  have hole : D := by' || chr(10) || repeat('    sorry' || chr(10), 9)
+ || '  have second : E := by' || chr(10) || repeat('    exact h' || chr(10), p_partkey % 13) || '  rfl' || chr(10) || repeat('    -- note' || chr(10), 9) AS text FROM {part}"""
+
+
+def k10_extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extraction_candidates(_view(PROOFS)(spark, sf_dir))
+
+
 _REFUTED = f"""n AS ({s.plain(NODES)}), e AS ({s.plain(EVIDENCE)}),
   r AS (SELECT p.p_partkey - 1 AS target, p.p_partkey AS helper FROM part p JOIN e ON e.src = p.p_partkey JOIN part b ON b.p_partkey = e.dst WHERE kind = 'evidence_for' AND p.p_size % 5 > 0 AND p.p_size % 4 <> 2)"""
 ORACLES = {
@@ -106,10 +115,13 @@ ORACLES = {
       p AS (SELECT a.id, a.branch, least(4, count(DISTINCT b.branch)) AS prior, coalesce(bool_or(a.kind = 0 AND b.kind = 0 AND b.m > a.m AND b.m % a.m = 0 AND b.r % a.m = a.r), false) AS broader
         FROM c a LEFT JOIN c b ON b.parent = a.parent AND b.file = a.file AND b.seq < a.seq GROUP BY a.id, a.branch)
       SELECT id, branch, prior, prior >= 4 AS saturated, prior >= 4 AND NOT broader AS evidence_only FROM p""",
+    "k10_extraction_candidates": """WITH b AS (SELECT p_partkey AS id, 'big' AS name, 2 AS line, p_size % 17 + 1 AS lines, 41 + 29 * (p_size % 17) AS chars FROM part
+      UNION ALL SELECT p_partkey, 'second', 2 + p_size % 17 + 12, p_partkey % 13 + 1, 23 + 12 * (p_partkey % 13) FROM part)
+      SELECT id, row_number() OVER (PARTITION BY id ORDER BY chars DESC, lines DESC, line) AS rank, name, line, lines, chars FROM b WHERE lines >= 8""",
     "p23_admission": """SELECT p_partkey AS id, p_partkey % 10 NOT IN (0, 7) AS admitted, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'closed_instance' END AS reason, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'n' END AS parameter,
       CASE WHEN p_partkey % 10 IN (0, 7) THEN p_size::VARCHAR END AS literal, p_partkey % 10 <> 1 AS reducing FROM part""",
     "j27_conditional_helpers": """WITH c AS (SELECT p.p_partkey AS id, p.p_partkey % 4 AS m, p.p_size, g.p_size AS of FROM part p JOIN part g ON g.p_partkey = p.p_partkey - p.p_partkey % 4 WHERE p.p_partkey % 4 > 0 AND p.p_partkey > 4 AND p.p_size % 11 > 0 AND g.p_size % 3 > 0),
       k AS (SELECT c.id, '∀ y, Q y ' || (id + 4) AS o, q.p_partkey IS NOT NULL AS met FROM c LEFT JOIN part q ON q.p_partkey = c.id + 4 AND q.p_size % 13 = 0 AND q.p_size % 11 > 0 WHERE m = 1)
       SELECT id, o AS obligations, o AS unresolved, false AS wrapper FROM k WHERE NOT met UNION ALL SELECT id, 'P x → False', 'P x → False', false FROM c WHERE m = 2 AND of % 2 > 0""",
 }
-QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases)}
+QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases, k10_extraction_candidates)}
