@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, cases
+from ..operators import blocks, cases, inventory
 from ..operators import statements as o
 from ..operators import tex
 from ..sources import tables as s
@@ -96,6 +96,18 @@ def k10_extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extraction_candidates(_view(PROOFS)(spark, sf_dir))
 
 
+#: Entries of plans that lack a field each, and declarations of which some are not made or have no notes.
+ITEMS = "SELECT 'L' || p_partkey AS label, CASE p_partkey % 3 WHEN 0 THEN 'Theorem' WHEN 1 THEN 'definition' ELSE 'remark' END AS kind, p_size % 10 = 0 AS has_proof FROM {part}"
+ENTRIES = """SELECT 'L' || p_partkey AS label, '- Source locator: ' || CASE WHEN p_size % 7 = 0 THEN 'TBD' ELSE p_brand || ', line ' || p_size END || chr(10) || '- Planned Lean declarations:' || chr(10) || '  - `d' || p_partkey || ' : P`, `d' || (p_partkey + 1) || '`' || chr(10)
+ || CASE WHEN p_size % 5 = 0 THEN '' ELSE '- Formal statement review: done' || chr(10) END || '- Source qualifiers: ' || CASE WHEN p_size % 6 = 0 THEN 'n > 0, weakened' ELSE 'n > 0' END || chr(10) || '- Lean coverage: whole' || chr(10) || '- Scope change: none' || chr(10)
+ || '- Verification status: ' || CASE WHEN p_size % 4 = 0 THEN 'open' ELSE 'Reviewed' END || chr(10) || '- Prover notes: ' || CASE WHEN p_size % 3 = 0 THEN 'None' ELSE p_type END AS text FROM {part} WHERE p_partkey % 11 > 0"""
+MADE = "SELECT 'd' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'theorem' ELSE 'def' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'A Proof Sketch.' END AS comment FROM {part} WHERE p_partkey % 13 > 0"
+
+
+def j25_inventory_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.inventory_issues(_view(ITEMS)(spark, sf_dir), _view(ENTRIES)(spark, sf_dir), _view(MADE)(spark, sf_dir))
+
+
 _REFUTED = f"""n AS ({s.plain(NODES)}), e AS ({s.plain(EVIDENCE)}),
   r AS (SELECT p.p_partkey - 1 AS target, p.p_partkey AS helper FROM part p JOIN e ON e.src = p.p_partkey JOIN part b ON b.p_partkey = e.dst WHERE kind = 'evidence_for' AND p.p_size % 5 > 0 AND p.p_size % 4 <> 2)"""
 ORACLES = {
@@ -118,10 +130,16 @@ ORACLES = {
     "k10_extraction_candidates": """WITH b AS (SELECT p_partkey AS id, 'big' AS name, 2 AS line, p_size % 17 + 1 AS lines, 41 + 29 * (p_size % 17) AS chars FROM part
       UNION ALL SELECT p_partkey, 'second', 2 + p_size % 17 + 12, p_partkey % 13 + 1, 23 + 12 * (p_partkey % 13) FROM part)
       SELECT id, row_number() OVER (PARTITION BY id ORDER BY chars DESC, lines DESC, line) AS rank, name, line, lines, chars FROM b WHERE lines >= 8""",
+    "j25_inventory_issues": """WITH e AS (SELECT *, 'L' || p_partkey AS label, p_partkey % 3 = 0 OR p_size % 10 = 0 AS needs FROM part WHERE p_partkey % 11 > 0),
+      n AS (SELECT label, needs, p_partkey + i AS k FROM e, (VALUES (0), (1)) v(i))
+      SELECT 'L' || p_partkey AS label, 'missing_entry' AS issue, NULL::VARCHAR AS name FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT label, 'locator', NULL FROM e WHERE p_size % 7 = 0 UNION ALL SELECT label, 'review', NULL FROM e WHERE p_size % 5 = 0
+      UNION ALL SELECT label, 'qualifiers', NULL FROM e WHERE p_size % 6 = 0 UNION ALL SELECT label, 'not_approved', NULL FROM e WHERE p_size % 4 = 0 UNION ALL SELECT label, 'notes_needed', NULL FROM e WHERE needs AND p_size % 3 = 0
+      UNION ALL SELECT label, 'missing_declaration', 'd' || k FROM n WHERE k % 13 = 0 OR k NOT IN (SELECT p_partkey FROM part)
+      UNION ALL SELECT label, 'comment_notes', 'd' || k FROM n JOIN part p ON p.p_partkey = k WHERE needs AND k % 13 > 0 AND k % 2 = 0 AND p.p_size % 2 > 0""",
     "p23_admission": """SELECT p_partkey AS id, p_partkey % 10 NOT IN (0, 7) AS admitted, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'closed_instance' END AS reason, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'n' END AS parameter,
       CASE WHEN p_partkey % 10 IN (0, 7) THEN p_size::VARCHAR END AS literal, p_partkey % 10 <> 1 AS reducing FROM part""",
     "j27_conditional_helpers": """WITH c AS (SELECT p.p_partkey AS id, p.p_partkey % 4 AS m, p.p_size, g.p_size AS of FROM part p JOIN part g ON g.p_partkey = p.p_partkey - p.p_partkey % 4 WHERE p.p_partkey % 4 > 0 AND p.p_partkey > 4 AND p.p_size % 11 > 0 AND g.p_size % 3 > 0),
       k AS (SELECT c.id, '∀ y, Q y ' || (id + 4) AS o, q.p_partkey IS NOT NULL AS met FROM c LEFT JOIN part q ON q.p_partkey = c.id + 4 AND q.p_size % 13 = 0 AND q.p_size % 11 > 0 WHERE m = 1)
       SELECT id, o AS obligations, o AS unresolved, false AS wrapper FROM k WHERE NOT met UNION ALL SELECT id, 'P x → False', 'P x → False', false FROM c WHERE m = 2 AND of % 2 > 0""",
 }
-QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases, k10_extraction_candidates)}
+QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases, k10_extraction_candidates, j25_inventory_issues)}
