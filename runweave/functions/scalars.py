@@ -71,6 +71,33 @@ def semantic_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Words that tell the mechanism of a route, names of Greek letters, and words that say nothing (fixed values).
+MECHANISMS = (
+    ("algebraic-identity", r"\b(?:algebra|factor|identity|polynomial|ring)\w*\b"), ("decomposition", r"\b(?:decompos|helper|intermediate\s+lemma|split|sublemma)\w*\b"), ("finite-enumeration", r"\b(?:bounded|case\s+split|enumerat|finite|witness)\w*\b"),
+    ("induction", r"\b(?:induct|recurr|strong\s+induction)\w*\b"), ("inequality", r"\b(?:bound|convex|inequal|monot|nonnegative|order)\w*\b"), ("library-search", r"\b(?:library|mathlib|retrieve|search|theorem\s+search)\w*\b"),
+    ("modular-arithmetic", r"\b(?:congru|modulo|modulus|residue|zmod)\w*\b"), ("negation", r"\b(?:contradiction|counterexample|disprov|negat|obstruction)\w*\b"), ("number-theory", r"\b(?:coprime|divid|divis|gcd|lcm|prime|valuation)\w*\b"),
+)
+GREEK = ("alpha", "beta", "delta", "epsilon", "eta", "gamma", "iota", "kappa", "lambda", "mu", "nu", "omega", "omicron", "phi", "pi", "psi", "rho", "sigma", "tau", "theta", "upsilon", "xi", "zeta")
+EMPTY_WORDS = ("at", "finding", "route", "source")
+
+
+def route_features(text: Column) -> Column:
+    """Sorted array: mechanisms that a route's text names, `atom:` and what stands in backticks, `constant:` and numbers."""
+    plain = semantic_text(text)
+    named = F.filter(F.array(*[F.when(plain.rlike(pattern), F.lit(name)) for name, pattern in MECHANISMS]), lambda m: m.isNotNull())
+    real = lambda t: F.exists(F.regexp_extract_all(t, F.lit(r"[a-z_][a-z0-9_]*|\d+"), 0), lambda w: ~w.isin(*EMPTY_WORDS))
+    atoms = F.transform(F.filter(F.regexp_extract_all(plain, F.lit(r"`([^`\n]{1,120})`"), 1), real), lambda a: F.concat(F.lit("atom:"), F.trim(a)))
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<![$A-Za-z_])\d+(?![A-Za-z_])"), 0), lambda n: F.concat(F.lit("constant:"), n))
+    return F.sort_array(F.array_distinct(F.concat(named, atoms, numbers)))
+
+
+def target_symbols(text: Column) -> Column:
+    """Sorted array of the symbols of a target's text: single letters but a and i, Greek names, and names with signs or digits."""
+    words = F.regexp_extract_all(semantic_text(text), F.lit(r"(?<![$A-Za-z0-9_'])[a-z][a-z0-9_'.]*(?![A-Za-z0-9_'])"), 0)
+    symbol = lambda w: ((F.length(w) == 1) & ~w.isin("a", "i")) | w.isin(*GREEK) | w.rlike(r"[_.'0-9]")
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: symbol(w) & ~w.isin(*EMPTY_WORDS))))
+
+
 def _renamed(name: str, other: str):
     return lambda c: F.when(c == name, other).otherwise(c)
 
