@@ -37,7 +37,15 @@ NEAR = 0.96
 FINITE_ROUTES = ("small-case-invariant", "boundary-counterexample-probe", "evidence-to-helper")
 FINITE_WORDS = r"(?i)\b(?:boundary cases?|counterexamples?|finite(?:-instance)?|instances?|small cases?|witness(?:es)?)\b"
 
-PARSED = "kind string, name string, groups array<struct<opens:string,names:array<string>,type:string,text:string>>, binders string, result string, alpha string"
+#: Tokens of a proof, identifiers among them, and the words of the proof language that stay as they are (fixed values).
+BODY_TOKEN, BODY_NAME = r"[A-Za-z_][A-Za-z0-9_'.-]*|\d+|:=|=>|<-|->|[^\s]", r"^[A-Za-z_][A-Za-z0-9_'.-]*$"
+PROOF_WORDS = (
+    "aesop", "all_goals", "any_goals", "apply", "assumption", "at", "by", "by_cases", "calc", "case", "cases", "change", "constructor", "contradiction", "convert", "decide", "do", "dsimp", "else", "exact", "first", "fun", "have", "if", "induction",
+    "intro", "intros", "left", "let", "linarith", "match", "native_decide", "next", "nlinarith", "norm_num", "obtain", "omega", "only", "positivity", "rcases", "refine", "repeat", "right", "ring", "ring_nf", "rw", "rwa", "set", "show", "simp",
+    "simp_all", "simpa", "subst", "suffices", "tauto", "then", "trivial", "unfold", "using", "with",
+)
+
+PARSED = "kind string, name string, groups array<struct<opens:string,names:array<string>,type:string,text:string>>, binders string, result string, alpha string, body string"
 
 
 def _uncommented(text: str) -> str:
@@ -93,7 +101,7 @@ def parse(text: str | None) -> dict | None:
     head = HEAD.match(bare)
     if head is None:
         return None
-    core, bound = bare[head.end() :], 0
+    core, bound, body = bare[head.end() :], 0, ""
     for m in re.finditer(r"\b(?:let|have)\b|:=|\bwhere\b", core):
         if m.group() in ("let", "have"):
             bound += 1
@@ -101,7 +109,7 @@ def parse(text: str | None) -> dict | None:
             if m.group() == ":=" and bound:
                 bound -= 1
                 continue
-            core = core[: m.start()]
+            core, body = core[: m.start()], core[m.end() :].strip() if m.group() == ":=" else ""
             break
     groups, at = [], 0
     colons = [i for i in _top_level(core, (":",)) if not core.startswith(":=", i)]
@@ -115,7 +123,7 @@ def parse(text: str | None) -> dict | None:
             at = end
         at += 1
     binders, result = " ".join(core[:stop].split()), " ".join(core[stop + 1 :].split())
-    return {"kind": head[1], "name": head[2] or "", "groups": groups, "binders": binders, "result": result, "alpha": _alpha(head[1], core, groups)}
+    return {"kind": head[1], "name": head[2] or "", "groups": groups, "binders": binders, "result": result, "alpha": _alpha(head[1], core, groups), "body": body}
 
 
 def _alpha(kind: str, core: str, groups: list[dict]) -> str:
@@ -140,7 +148,7 @@ def parsed(text: Column | str) -> Column:
 
 
 def _parsed(texts: pd.Series) -> pd.DataFrame:
-    empty = dict.fromkeys(("kind", "name", "groups", "binders", "result", "alpha"))
+    empty = dict.fromkeys(("kind", "name", "groups", "binders", "result", "alpha", "body"))
     return pd.DataFrame([parse(t) or empty for t in texts], columns=list(empty))
 
 
@@ -361,3 +369,31 @@ def conditional_helpers(nodes: DataFrame, edges: DataFrame, found: DataFrame) ->
     none = F.array().cast("array<string>")
     out = out.select("id", F.coalesce("obligations", none).alias("obligations"), F.coalesce("unresolved", none).alias("unresolved"), F.coalesce("wrapper", F.lit(False)).alias("wrapper"))
     return out.where((F.size("unresolved") > 0) | F.col("wrapper"))
+
+
+def mechanisms(nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """id, parent, signature, basis, dependencies: what carries the proof of each helper of an open parent.
+
+    nodes: id, file, name, status; edges as in conditional_helpers(); found: file, name, line, text. basis is
+    `dependencies` where the proof names earlier declarations of its file, and the signature is that of their sorted
+    names; else `body`, and it is that of the proof with identifiers and numbers as placeholders, but for words of the
+    proof language and qualified or capitalised names. So helpers that differ in names and numbers only have one
+    mechanism. Declarations without a proof have none; of several of a name the first counts.
+    """
+    both = edges.where("kind = 'split_of'").select(F.col("src").alias("id"), F.col("dst").alias("parent"))
+    both = both.unionByName(edges.where("kind = 'depends_on'").select(F.col("dst").alias("id"), F.col("src").alias("parent"))).distinct()
+    is_open = nodes.where(F.col("status").isin(*OPEN_STATUSES)).select(F.col("id").alias("parent"))
+    helpers = both.join(is_open, "parent", "left_semi")
+    names = nodes.join(helpers.select("id").distinct(), "id", "left_semi").select("id", "file", F.explode(F.array_distinct(F.array("name", _short(F.col("name"))))).alias("name"))
+    first = names.join(found, ["file", "name"]).groupBy("id", "file").agg(F.min_by(F.struct("line", "text"), "line").alias("d")).select("id", "file", "d.line", parsed("d.text")["body"].alias("body")).where("body <> ''")
+    tokens_ = F.regexp_extract_all("body", F.lit(BODY_TOKEN), 0)
+    words = first.select("id", "file", F.col("line").alias("until"), F.explode(F.array_distinct(F.filter(tokens_, lambda t: t.rlike(BODY_NAME)))).alias("name"))
+    used = words.join(found.select("file", "name", "line"), ["file", "name"]).where("line < until").groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("dependencies"))
+    none = F.array().cast("array<string>")
+    rows = first.join(used, "id", "left").withColumn("dependencies", F.coalesce("dependencies", none))
+    kept = lambda t: t.isin(*PROOF_WORDS) | F.contains(t, F.lit(".")) | t.rlike("^[A-Z]")
+    plain = F.transform(tokens_, lambda t: F.when(t.rlike(r"^\d+$"), "$num").when(t.rlike(BODY_NAME) & ~kept(t), "$id").otherwise(t))
+    by_names = F.size("dependencies") > 0
+    basis = F.when(by_names, "dependencies").otherwise("body")
+    signature = F.sha2(F.concat_ws("\x1f", basis, F.when(by_names, F.array_join("dependencies", "\x1f")).otherwise(F.array_join(plain, " "))), 256)
+    return helpers.join(rows.select("id", signature.alias("signature"), basis.alias("basis"), "dependencies"), "id").select("id", "parent", "signature", "basis", "dependencies")

@@ -109,6 +109,11 @@ def j25_inventory_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.inventory_issues(_view(ITEMS)(spark, sf_dir), _view(ENTRIES)(spark, sf_dir), _view(MADE)(spark, sf_dir))
 
 
+#: Each eighth part is an open parent; its helpers rest on an earlier declaration of one of three names, or have proofs of three shapes.
+MECHANISM_NODES = "SELECT p_partkey AS id, 'F' AS file, 'm' || p_partkey AS name, CASE WHEN p_partkey % 8 = 0 THEN 'stated' ELSE 'proved' END AS status FROM {part}"
+MECHANISM_EDGES = "SELECT p_partkey AS src, p_partkey - p_partkey % 8 AS dst, 'split_of' AS kind FROM {part} WHERE p_partkey % 8 > 0"
+MECHANISM_CODE = """SELECT 'F' AS file, 'm' || p_partkey AS name, p_partkey + 10 AS line, 'theorem m' || p_partkey || ' (x' || p_size || ' : Nat) : P := by' || chr(10) || CASE WHEN p_partkey % 8 < 5 THEN '  exact base' || (p_partkey % 3) || ' x' || p_size || ' m' || (p_partkey + 1) ELSE '  rcases h' || p_size || ' with k' || chr(10) || repeat('  omega ' || p_size, p_partkey % 3) END AS text FROM {part}
+ UNION ALL SELECT 'F', 'base' || r_regionkey, r_regionkey + 1, 'theorem base' || r_regionkey || ' : P := trivial' FROM {region}"""
 #: Texts of routes that name mechanisms, atoms, numbers, symbols and jobs.
 ROUTES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Split the case modulo ' || p_size || ' by strong  Induction on `Foo.bar_' || p_size || '`' WHEN 1 THEN 'Search Mathlib for h_' || p_partkey || ' and x2; attempt 7' WHEN 2 THEN 'Bounded witness for theta and n over a prime' WHEN 3 THEN 'worker 12 of ds-004 with `ds-004`' ELSE p_name END AS text FROM {part}"""
 
@@ -118,6 +123,13 @@ def f7_route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(f.route_features(F.col("text")), "|").alias("features"), F.array_join(f.target_symbols(F.col("text")), "|").alias("symbols"))
 
 
+def g13_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each helper its basis, and the least helper of the same mechanism."""
+    found = o.mechanisms(_view(MECHANISM_NODES)(spark, sf_dir), _view(MECHANISM_EDGES)(spark, sf_dir), _view(MECHANISM_CODE)(spark, sf_dir))
+    least = found.groupBy("signature").agg(F.min("id").alias("first"))
+    return found.join(least, "signature").select("id", "parent", "basis", "first")
+
+
 _REFUTED = f"""n AS ({s.plain(NODES)}), e AS ({s.plain(EVIDENCE)}),
   r AS (SELECT p.p_partkey - 1 AS target, p.p_partkey AS helper FROM part p JOIN e ON e.src = p.p_partkey JOIN part b ON b.p_partkey = e.dst WHERE kind = 'evidence_for' AND p.p_size % 5 > 0 AND p.p_size % 4 <> 2)"""
 ORACLES = {
@@ -148,10 +160,12 @@ ORACLES = {
       UNION ALL SELECT label, 'comment_notes', 'd' || k FROM n JOIN part p ON p.p_partkey = k WHERE needs AND k % 13 > 0 AND k % 2 = 0 AND p.p_size % 2 > 0""",
     "f7_route_features": """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'atom:foo.bar_' || p_size || '|' || array_to_string(list_sort(CASE WHEN p_size < 10 THEN ['constant:' || p_size] ELSE ['constant:' || p_size, 'constant:' || p_size % 10] END), '|') || '|decomposition|induction|modular-arithmetic' WHEN 1 THEN CASE WHEN p_partkey >= 10 THEN 'constant:' || substr(p_partkey::VARCHAR, 2) || '|' ELSE '' END || 'library-search' WHEN 2 THEN 'finite-enumeration|inequality|number-theory' ELSE 'atom:$job' END AS features,
       CASE p_partkey % 5 WHEN 0 THEN 'foo.bar_' || p_size WHEN 1 THEN 'h_' || p_partkey || '|x2' WHEN 2 THEN 'n|theta' ELSE '' END AS symbols FROM part WHERE p_partkey % 5 < 4""",
+    "g13_mechanisms": """WITH h AS (SELECT p_partkey AS id, p_partkey - p_partkey % 8 AS parent, CASE WHEN p_partkey % 8 < 5 THEN 'dependencies' ELSE 'body' END AS basis, p_partkey % 3 AS m FROM part WHERE p_partkey % 8 > 0)
+      SELECT id, parent, basis, min(id) OVER (PARTITION BY basis, m) AS first FROM h WHERE parent IN (SELECT p_partkey FROM part)""",
     "p23_admission": """SELECT p_partkey AS id, p_partkey % 10 NOT IN (0, 7) AS admitted, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'closed_instance' END AS reason, CASE WHEN p_partkey % 10 IN (0, 7) THEN 'n' END AS parameter,
       CASE WHEN p_partkey % 10 IN (0, 7) THEN p_size::VARCHAR END AS literal, p_partkey % 10 <> 1 AS reducing FROM part""",
     "j27_conditional_helpers": """WITH c AS (SELECT p.p_partkey AS id, p.p_partkey % 4 AS m, p.p_size, g.p_size AS of FROM part p JOIN part g ON g.p_partkey = p.p_partkey - p.p_partkey % 4 WHERE p.p_partkey % 4 > 0 AND p.p_partkey > 4 AND p.p_size % 11 > 0 AND g.p_size % 3 > 0),
       k AS (SELECT c.id, '∀ y, Q y ' || (id + 4) AS o, q.p_partkey IS NOT NULL AS met FROM c LEFT JOIN part q ON q.p_partkey = c.id + 4 AND q.p_size % 13 = 0 AND q.p_size % 11 > 0 WHERE m = 1)
       SELECT id, o AS obligations, o AS unresolved, false AS wrapper FROM k WHERE NOT met UNION ALL SELECT id, 'P x → False', 'P x → False', false FROM c WHERE m = 2 AND of % 2 > 0""",
 }
-QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases, k10_extraction_candidates, j25_inventory_issues, f7_route_features)}
+QUERIES = {q.__name__: q for q in (s4_tex_blocks, s4_tex_sections, j29_but_for_binders, t5_covered, j19_universal_obstructions, j19_dominated_jobs, p23_admission, j27_conditional_helpers, a23_finite_cases, k10_extraction_candidates, j25_inventory_issues, f7_route_features, g13_mechanisms)}

@@ -82,3 +82,16 @@ def test_conditional_helpers(spark):
     edges = spark.createDataFrame([(2, 1, "split_of"), (1, 3, "depends_on"), (4, 1, "split_of"), (5, 1, "split_of"), (8, 1, "split_of"), (10, 9, "split_of"), (1, 11, "refers")], "src int, dst int, kind string")
     got = {r["id"]: (r["obligations"], r["unresolved"], r["wrapper"]) for r in s.conditional_helpers(nodes, edges, found).collect()}
     assert got == {2: (["P x → False", "∀ y, Q y"], ["∀ y, Q y"], False), 8: (["∀ y, Q y"], ["∀ y, Q y"], False), 10: ([], [], True)}
+
+
+def test_mechanisms(spark):
+    found = spark.createDataFrame(
+        [("f", "base", 1, "theorem base : P := trivial"), ("f", "a", 3, "theorem a (x : Nat) : P := by\n  exact base x 5 -- later"), ("f", "b", 5, "theorem b (y : Nat) : Q := by simpa using base y"), ("f", "c", 7, "theorem c (n : Nat) (h : n = 3) : P := by\n  rcases h with h1\n  omega 3"),
+         ("f", "d", 9, "theorem d (m : Nat) (k : m = 4) : P := by\n  rcases k with k7\n  omega 4"), ("f", "e", 11, "theorem e : P := by rcases k with later\n  omega Nat.succ"), ("f", "later", 13, "theorem later : P := trivial"), ("f", "none", 15, "theorem none : P"), ("g", "a", 3, "theorem a : P := by exact base x 5")],
+        "file string, name string, line int, text string",
+    )
+    nodes = spark.createDataFrame([(0, "f", "goal", "stated"), (1, "f", "N.a", "proved"), (2, "f", "b", "proved"), (3, "f", "c", "proved"), (4, "f", "d", "proved"), (5, "f", "e", "stated"), (6, "f", "none", "proved"), (7, "g", "a", "proved"), (8, "f", "done", "proved")], "id int, file string, name string, status string")
+    edges = spark.createDataFrame([(i, 0, "split_of") for i in (1, 2, 3, 5, 6, 7)] + [(0, 4, "depends_on"), (1, 8, "split_of")], "src int, dst int, kind string")
+    got = {r["id"]: r for r in s.mechanisms(nodes, edges, found).collect()}
+    assert {i: (r["parent"], r["basis"], r["dependencies"]) for i, r in got.items()} == {1: (0, "dependencies", ["base"]), 2: (0, "dependencies", ["base"]), 3: (0, "body", []), 4: (0, "body", []), 5: (0, "body", []), 7: (0, "body", [])}
+    assert got[1]["signature"] == got[2]["signature"] and got[3]["signature"] == got[4]["signature"] and len({got[i]["signature"] for i in (1, 3, 5, 7)}) == 4
