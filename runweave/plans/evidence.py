@@ -97,6 +97,15 @@ def u5_run_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union.groupBy("event_id").agg(F.count("*").alias("copies"), F.count_distinct("source").alias("sources"))
 
 
+def u5_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as one file a run, read as one again: rows and sources of each run, and whether all have a fingerprint."""
+    path = s.scratch(spark)
+    s.activity(spark, sf_dir).repartition("run_id").write.partitionBy("run_id").parquet(path)
+    union = o.run_union(spark, path)
+    told = F.col("source_bytes").isNotNull() & (F.col("source_bytes") > 0) & F.col("source_time").isNotNull()
+    return union.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count("*").alias("n"), F.count_distinct("source", "source_bytes", "source_time").alias("sources"), F.bool_and(told).alias("fingerprints"))
+
+
 def f4_result_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fails(spark, sf_dir).select("id", o.result_signature(F.col("text")).alias("out"))
 
@@ -181,6 +190,7 @@ ORACLES = {
     "k11_entry_points": f"WITH {_TEX} SELECT * FROM en",
     "g9_include_closure": f"WITH RECURSIVE {_TEX}, c AS (SELECT path AS entry, path FROM en UNION SELECT c.entry, e.ref AS path FROM c JOIN e ON e.src = c.path) SELECT entry, path, path NOT IN (SELECT path FROM t) AS missing FROM c",
     "g10_file_topology": f"WITH RECURSIVE {_TEX}, k AS (SELECT e.src, e.ref AS dst FROM e JOIN t ON t.path = e.ref), r AS (SELECT path, 0 AS level FROM t UNION SELECT k.src AS path, level + 1 AS level FROM r JOIN k ON k.dst = r.path) SELECT path, max(level) AS level FROM r GROUP BY path",
+    "u5_run_logs": "SELECT user_id % 20 AS run_id, count(*) AS n, 1::BIGINT AS sources, true AS fingerprints FROM events GROUP BY user_id % 20",
     "u5_run_union": "SELECT event_id, count(*) * 2 AS copies, 1::BIGINT AS sources FROM events GROUP BY event_id",
     "f4_result_signature": f"""{_with(t=FAILS)} SELECT id, left(sha256(CASE id % 6 WHEN 0 THEN 'unknown id after <t>' WHEN 1 THEN 'failed|took <t>' WHEN 2 THEN '{{"resets_in_seconds":' || id || '}}' ELSE trim(regexp_replace(lower(text), '\\d+(?:\\.\\d+)?\\s*(?:ms|s|seconds|sec)\\b', '<t>', 'g')) END), 16) AS out FROM t""",
     "f16_retry_after": f"WITH t AS (SELECT event_id AS id FROM events) SELECT id, CASE WHEN x BETWEEN 1 AND 120000 THEN x END AS out FROM (SELECT id, CASE id % 6 WHEN 2 THEN id WHEN 3 THEN id % 50 * 3600 WHEN 4 THEN id END AS x FROM t)",
@@ -197,4 +207,4 @@ ORACLES = {
     "t4_semantic_keys": f"""{_with(r=ROUTES)}, k AS (SELECT id, scope, family, family || '/' || regexp_extract(text, '([0-9]+)$', 1) AS key FROM r), h AS (SELECT DISTINCT scope, key FROM k WHERE family = 'error' AND scope % 2 = 0)
       SELECT k.id, row_number() OVER (PARTITION BY k.scope, k.key ORDER BY k.id) = 1 AND h.key IS NULL AS novel FROM k LEFT JOIN h ON h.scope = k.scope AND h.key = k.key""",
 }
-QUERIES = {q.__name__: q for q in (a7_campaign_metrics, a9_score_artifacts, a11_classify_runs, p7_structural_findings, p10_partition_uncertain, p12_substantive, s3_ingest_qa, j4_enrich_items, k5_rank_candidates, k11_entry_points, g9_include_closure, g10_file_topology, u5_run_union, f4_result_signature, f16_retry_after, f22_goal_symbols, t1_locate, t2_closest_regions, t4_semantic_keys, f2_canonical_json, k8_rank_by_affinity, k9_target_priority, f19_previews, w13_positions)}
+QUERIES = {q.__name__: q for q in (a7_campaign_metrics, a9_score_artifacts, a11_classify_runs, p7_structural_findings, p10_partition_uncertain, p12_substantive, s3_ingest_qa, j4_enrich_items, k5_rank_candidates, k11_entry_points, g9_include_closure, g10_file_topology, u5_run_union, u5_run_logs, f4_result_signature, f16_retry_after, f22_goal_symbols, t1_locate, t2_closest_regions, t4_semantic_keys, f2_canonical_json, k8_rank_by_affinity, k9_target_priority, f19_previews, w13_positions)}

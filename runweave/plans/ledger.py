@@ -22,7 +22,7 @@ RUNS = "SELECT user_id AS run_id, event_id % 3 AS rejected, event_id % 2 AS coac
 CASES = "SELECT CASE p_size % 3 WHEN 0 THEN 't2' WHEN 1 THEN 't3' ELSE 'extra' END AS suite, p_partkey AS seq, CASE WHEN p_partkey % 40 = 0 THEN '' ELSE 'c' || (p_partkey % 150) END AS case_id, p_brand AS source, CASE WHEN p_size = 9 THEN '' ELSE 'f' END AS file, 'd' AS declaration FROM {part}"
 SOURCES = "SELECT DISTINCT p_brand AS source, CASE WHEN length(p_brand) % 2 = 0 THEN 'main' ELSE substr(md5(p_brand) || md5(p_brand), 1, 40) END AS revision, p_brand = 'Brand#1' AS local FROM {part} WHERE p_brand <> 'Brand#5'"
 FINDINGS = "SELECT event_id AS job_id, user_id % 50 AS target, user_id % 4 AS campaign FROM {events} WHERE event_type <> 'signup'"
-RECORDS = "SELECT l_orderkey % 97 AS archive, l_returnflag || l_linenumber || '-' || l_partkey AS payload FROM {lineitem}"
+RECORDS = "SELECT l_orderkey % 97 AS archive, l_orderkey * 10 + l_linenumber AS seq, l_returnflag || l_linenumber || '-' || l_partkey AS payload FROM {lineitem}"
 QUEUE = "SELECT user_id % 37 AS scope, event_id AS label, event_id AS seq, CASE event_type WHEN 'error' THEN 'diagnostic' WHEN 'click' THEN 'hole' WHEN 'view' THEN 'tidy' ELSE 'none' END AS bucket, CAST(floor(value) AS INT) % 4 AS rank, user_id % 6 AS key FROM {events}"
 BACKLOG = "SELECT user_id % 23 AS scope, event_id % 31 AS id, event_id AS seq, event_type = 'error' AND event_id % 5 = 0 AS displaced FROM {events}"
 CANDIDATES = "SELECT event_id AS id, user_id AS target, 'd' || (event_id % 3) AS digest, event_id % 5 AS errors, event_id % 4 AS prefix, event_id % 2 AS context, event_type <> 'error' AS valid, CASE WHEN event_id % 2 = 0 THEN 'me' END AS replayed_by, CASE WHEN event_id % 3 > 0 THEN 2 ELSE 1 END AS contract FROM {events}"
@@ -90,7 +90,9 @@ def a19_delivery_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a20_audit_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _view(RECORDS)(spark, sf_dir)
-    catalog = records.groupBy("archive").agg((F.count("*") + F.when(F.col("archive") % 10 == 1, 1).otherwise(0)).alias("n"), (F.sum(F.crc32("payload")) + F.when(F.col("archive") % 10 == 2, 1).otherwise(0)).alias("digest"))
+    # The catalog of each tenth archive knows its records in the other order.
+    placed = records.withColumn("place", F.when(F.col("archive") % 10 == 5, -F.col("seq")).otherwise(F.col("seq")))
+    catalog = placed.groupBy("archive").agg((F.count("*") + F.when(F.col("archive") % 10 == 1, 1).otherwise(0)).alias("n"), (o.archive_digest("place", "payload") + F.when(F.col("archive") % 10 == 2, 1).otherwise(0)).alias("digest"))
     return o.audit_archives(catalog.where("archive % 10 <> 3").unionByName(catalog.select((F.col("archive") + 1000).alias("archive"), "n", "digest").where("archive % 10 = 4")), records)
 
 
@@ -190,7 +192,7 @@ ORACLES = {
       b AS (SELECT run_id, string_agg(k || ' x ' || n, ', ' ORDER BY r) AS blockers FROM t WHERE r <= 3 GROUP BY run_id), l AS (SELECT run_id, k, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS r FROM a WHERE event_type = 'click'), h AS (SELECT run_id, string_agg(k::VARCHAR, ' | ' ORDER BY r DESC) AS routes FROM l WHERE r <= 6 GROUP BY run_id)
       SELECT i.run_id, coalesce(blockers, '') AS blockers, coalesce(routes, '') AS routes FROM (SELECT DISTINCT run_id FROM a) i LEFT JOIN b ON b.run_id = i.run_id LEFT JOIN h ON h.run_id = i.run_id""",
     "a19_delivery_backlog": f"{_with(f=FINDINGS)} SELECT campaign, target, count(*) AS waiting FROM f WHERE job_id % 3 <> 0 GROUP BY ALL",
-    "a20_audit_archives": f"""{_with(r=RECORDS)}, h AS (SELECT DISTINCT archive FROM r) SELECT archive, CASE archive % 10 WHEN 1 THEN 'count' WHEN 2 THEN 'digest' WHEN 3 THEN 'unknown' ELSE '' END AS issue FROM h UNION ALL SELECT archive + 1000, 'missing' FROM h WHERE archive % 10 = 4""",
+    "a20_audit_archives": f"""{_with(r=RECORDS)}, h AS (SELECT DISTINCT archive FROM r) SELECT archive, CASE archive % 10 WHEN 1 THEN 'count' WHEN 2 THEN 'digest' WHEN 5 THEN 'digest' WHEN 3 THEN 'unknown' ELSE '' END AS issue FROM h UNION ALL SELECT archive + 1000, 'missing' FROM h WHERE archive % 10 = 4""",
     "k3_next_items": f"{_with(q=QUEUE)} SELECT scope, label FROM (SELECT *, CASE bucket WHEN 'diagnostic' THEN 0 WHEN 'hole' THEN 1 WHEN 'tidy' THEN 2 END AS b FROM q) WHERE b IS NOT NULL AND rank < 3 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY b, rank, key, seq) = 1",
     "k12_backlog_order": f"{_with(b=BACKLOG)}, g AS (SELECT scope, id, min(seq) AS seq, bool_or(displaced) AS d FROM b GROUP BY ALL) SELECT scope, id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY d DESC, seq, id) AS place FROM g) WHERE place <= 12",
     "k14_best_candidates": f"{_with(c=CANDIDATES, n=CURRENT)} SELECT c.target, c.id FROM c JOIN n ON n.target = c.target AND n.digest = c.digest QUALIFY row_number() OVER (PARTITION BY c.target ORDER BY errors, prefix DESC, context DESC, c.id DESC) = 1",
