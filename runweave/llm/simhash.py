@@ -320,8 +320,8 @@ def _met(bits: int, stars: bool):
 
     A key is made of table, half, the bits of that half and the bits of the other half. Equal halves lie in one
     partition; the other half may differ by one bit, so the keys are sorted once for each of its bits, deleted.
-    stars: of the rows that meet, the least is paired with those near it, of the others the least again, and so on, so
-    that each row has about one pair. Else all pairs of different roots.
+    stars: of the rows that meet, the most central is paired with those near it, of the others the most central again,
+    and so on, so that each row has about one pair. Else all pairs of different roots.
     """
     import pyarrow as pa
 
@@ -343,9 +343,15 @@ def _met(bits: int, stars: bool):
 
         for bit in range(bits // 2):
             masked = key & ~(np.int64(1) << bit)
-            order = np.lexsort((whole, masked)) if stars else np.argsort(masked, kind="stable")
+            order = np.argsort(masked, kind="stable")
             masked = masked[order]
             if stars:
+                begins = np.concatenate([[True], masked[1:] != masked[:-1]])
+                alone = begins & np.concatenate([begins[1:], [True]])
+                order, masked, begins = order[~alone], masked[~alone], begins[~alone]
+                if not len(order):
+                    continue
+                order = order[np.lexsort((whole[order], _eccentric(check[order], begins), masked))]
                 found, all_rows, all_masked = [], order, masked
                 while len(order) > 1:
                     begins = np.concatenate([[True], masked[1:] != masked[:-1]])
@@ -389,6 +395,17 @@ def _met(bits: int, stars: bool):
     return work
 
 
+def _eccentric(check, begins):
+    """By how many bits each row of groups (which begin where begins is) differs from what most of its group have."""
+    import numpy as np
+
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(check)))
+    ones = np.add.reduceat(np.unpackbits(check.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
+    most = np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
+    return np.bitwise_count((check ^ np.repeat(most, sizes)).view(np.uint64))
+
+
 def _verified(df: DataFrame, docs: DataFrame, pairs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (src, dst) of which the sets of shingles have a Jaccard similarity of `least` or more."""
     wanted = pairs.select(F.col("src").alias("whole")).unionByName(pairs.select(F.col("dst").alias("whole"))).distinct()
@@ -405,7 +422,8 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
 
     The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
     whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. First
-    each document is compared with the least of those that it meets; the links of these stars leave few components, and
+    each document is compared with the most central of those that it meets (copies of one text differ less from it than
+    from each other); the links of these stars leave few components, and
     only documents of different ones are compared as pairs. Further columns of df do not matter; id_col by the name of an output is an error (ValueError).
     """
     no_clash([id_col], "whole", "component_id")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runweave.llm import classifier, mixing, quality_rules
+from runweave.llm import classifier, mixing, quality_rules, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -50,3 +50,19 @@ def test_more_languages_than_are_broadcast(spark):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     few, many = (sorted(map(tuple, quality_rules.judged(docs, most_langs=n).collect())) for n in (20, 2000))
     assert few == many and len(few) == len(rows)
+
+
+def test_copies_nearer_to_their_text_than_to_each_other(spark):
+    """Copies with edits of their own are similar to the text they come from only: stars around it link them all."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    rows = [(1000, " ".join(base), None, None)]
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(10, 150, 10), 2):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words), None, None))
+    rows += [(2000 + i, " ".join(f"o{i}y{k}" for k in range(50)), None, None) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert sum(found[i] == 0 for i in range(200)) >= 198 and found[1000] == 0
+    assert all(found[i] == i for i in range(2000, 2020))
