@@ -366,12 +366,30 @@ def candidate_edges(item_concepts: DataFrame, k: int = 3) -> DataFrame:
     most = rows.agg(F.greatest(F.lit(8), F.floor(F.count_distinct("label") / 10)).alias("most"))
     selective = rows.groupBy("concept").agg(F.count("*").alias("n")).join(F.broadcast(most)).where("n <= most").select("concept")
     chosen = rows.join(selective, "concept", "left_semi")
-    a, b = chosen.select("chapter", "concept", F.col("label").alias("src"), F.col("ordinal").alias("at")), chosen.select("chapter", "concept", F.col("label").alias("dst"), F.col("ordinal").alias("before"))
-    pairs = a.join(b, ["chapter", "concept"]).where("before < at").groupBy("src", "dst", "before").agg(F.count("*").alias("shared"))
+    pairs = _candidates(chosen, k)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), F.desc("before")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "shared")
 
 
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """src, dst, before, shared: of each kind of items (those of one chapter with the same concepts) the k latest before src.
+
+    Kinds are compared instead of items; then only places within them are looked up, so copies do not meet as pairs.
+    """
+    items = rows.where("chapter is not null").groupBy("label", "ordinal", "chapter").agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    items = cut(items.withColumn("kind", F.md5(F.to_json(F.struct("chapter", "concepts")))))
+    each = items.select("kind", "chapter", "concepts").distinct().select("kind", "chapter", F.explode("concepts").alias("concept"))
+    alike = cut(each.join(each.withColumnRenamed("kind", "of"), ["chapter", "concept"]).groupBy("kind", "of").agg(F.count("*").alias("shared")))
+    asked = alike.join(items, "kind").select("kind", "of", "shared", "label", "ordinal", F.lit(0).alias("held"))
+    held = alike.join(items.withColumnRenamed("kind", "of").drop("label"), "of").select("kind", "of", "shared", F.lit(None).cast(items.schema["label"].dataType).alias("label"), "ordinal", F.lit(1).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("kind", "of").orderBy("ordinal", "held").rowsBetween(Window.unboundedPreceding, 0))
+    seen = asked.unionByName(held).withColumn("n", before).where("held = 0 and n > 0")
+    wanted = seen.select(F.col("label").alias("src"), "of", "shared", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - (k - 1)), F.col("n"))).alias("nth"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("ordinal", "label")).cast("long")
+    places = items.select(F.col("kind").alias("of"), nth.alias("nth"), F.col("label").alias("dst"), F.col("ordinal").alias("before"))
+    return wanted.join(places, ["of", "nth"]).select("src", "dst", "before", "shared")
+
+
 def library_modules(item_concepts: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(domain, concepts, consumers) and (concept) of no domain: concepts of two items or more, domains of two items or more.
 

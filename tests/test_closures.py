@@ -67,3 +67,18 @@ def test_loops_do_not_broadcast(spark, written):
     got = graph.dependents(edges, spark.createDataFrame([(4,)], "id long"))
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 3]
     assert not [plan for _, plan in written if "BroadcastExchange" in plan]
+
+
+def test_candidate_edges_of_copies(spark):
+    """Items with the same concepts meet the latest three before them only, not each other as pairs."""
+    rng = random.Random(3)
+    items = [(i, i * 2 if i % 5 else i * 2 + 2, f"c{i % 2}", rng.choice([("a",), ("a", "b"), ("b", "c"), ("d",)])) for i in range(60)]
+    rows = spark.createDataFrame([(i, at, c, x) for i, at, c, xs in items for x in xs], "label long, ordinal long, chapter string, concept string")
+    made = graph._candidates(rows, 3).collect()
+    assert len(made) <= 60 * 3 * 3
+    want = {}
+    for i, at, c, xs in items:
+        found = [(len(set(xs) & set(ys)), before, j) for j, before, d, ys in items if d == c and before < at and set(xs) & set(ys)]
+        want[i] = sorted(((s, b) for s, b, _ in found), reverse=True)[:3]
+    got = {i: sorted(((r["shared"], r["before"]) for r in made if r["src"] == i), reverse=True)[:3] for i in range(60)}
+    assert got == want
