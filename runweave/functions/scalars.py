@@ -83,7 +83,15 @@ EMPTY_WORDS = ("at", "finding", "route", "source")
 
 def route_features(text: Column) -> Column:
     """Sorted array: mechanisms that a route's text names, `atom:` and what stands in backticks, `constant:` and numbers."""
-    plain = semantic_text(text)
+    return _let(semantic_text(text), _route_features)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value found once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _route_features(plain: Column) -> Column:
     named = F.filter(F.array(*[F.when(plain.rlike(pattern), F.lit(name)) for name, pattern in MECHANISMS]), lambda m: m.isNotNull())
     real = lambda t: F.exists(F.regexp_extract_all(t, F.lit(r"[a-z_][a-z0-9_]*|\d+"), 0), lambda w: ~w.isin(*EMPTY_WORDS))
     atoms = F.transform(F.filter(F.regexp_extract_all(plain, F.lit(r"`([^`\n]{1,120})`"), 1), real), lambda a: F.concat(F.lit("atom:"), F.trim(a)))
@@ -166,8 +174,9 @@ def clean_title(title: Column, most: int = 100) -> Column:
 
 def context_limit(error: Column, low: int = 1024, high: int = 10_000_000) -> Column:
     """The context limit that an error text names (long), by the first of LIMITS that gives one within bounds; else null."""
-    found = [F.regexp_extract(F.lower(error), p, 1).try_cast("long") for p in LIMITS]
-    return F.coalesce(*[F.when(n.between(low, high), n) for n in found])
+    # Only texts with a number of four digits are looked at, and each pattern once.
+    found = lambda t: F.array(*[F.regexp_extract(t, p, 1).try_cast("long") for p in LIMITS])
+    return F.when(error.rlike(r"\d{4}"), F.get(F.filter(_let(F.lower(error), found), lambda n: n.between(low, high)), 0))
 
 
 def module_name(path: Column, ending: str) -> Column:
