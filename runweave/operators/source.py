@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as f
+from ..sources.tables import spread
 
 #: Line that begins a declaration: modifiers, kind, name (fixed values).
 DECLARATION = r"^\s*(?:@\[[^\]]*\]\s*)?(?:(?:private|protected|noncomputable|unsafe|partial|nonrec)\s+)*(theorem|lemma|def|abbrev|example|instance|structure|inductive|class|axiom)\b\s*([^\s:({\[⦃]*)"
@@ -38,9 +39,11 @@ def declarations(files: DataFrame) -> DataFrame:
     """file, name, kind, line, end_line, text, has_hole of each declaration; one without a name is '<anonymous>'.
 
     A declaration ends before the next one, without blank lines at its end. Comments and strings neither declare nor
-    have holes. A file is one unit of work for its lines' order.
+    have holes. A file is one unit of work for its lines' order. Files are dealt out before they become lines, as a task
+    of many small files holds many times their bytes.
     """
-    both = files.select(F.col("path").alias("file"), F.posexplode(F.arrays_zip(F.split("text", "\n").alias("raw"), F.split(code_of(F.col("text")), "\n").alias("code"))).alias("line", "l"))
+    dealt = spread(files.select(F.col("path").alias("file"), "text"), "file")
+    both = dealt.select("file", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("raw"), F.split(code_of(F.col("text")), "\n").alias("code"))).alias("line", "l"))
     rows = both.select("file", (F.col("line") + 1).alias("line"), "l.raw", "l.code", F.regexp_extract("l.code", DECLARATION, 1).alias("kind"), F.regexp_extract("l.code", DECLARATION, 2).alias("name"))
     begin = F.sum(F.when(F.col("kind") != "", 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line"))
     rows = rows.withColumn("n", begin).where("n > 0")
