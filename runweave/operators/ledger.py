@@ -217,6 +217,8 @@ def compact_ledger(jobs: DataFrame, least: int = 1024) -> tuple[DataFrame, DataF
 def hydrate_ledger(hot: DataFrame, archive: DataFrame) -> DataFrame:
     """job_id, payload, intact: the payloads as they were; intact is false where the archive lacks one or holds another."""
     held = archive.select(F.col("digest").alias("of"), F.col("payload").alias("stored"))
-    joined = hot.join(held, hot["digest"] == held["of"], "left")
-    fine = F.col("digest").isNull() | F.coalesce(F.sha2("stored", 256) == F.col("digest"), F.lit(False))
-    return joined.select("job_id", F.coalesce("payload", "stored").alias("payload"), fine.alias("intact"))
+    # Payloads without a digest stay where they are: a join would bring all of them to the task of the null key.
+    stay = hot.where("digest is null").select("job_id", "payload", F.lit(True).alias("intact"))
+    joined = hot.where("digest is not null").join(held, F.col("digest") == F.col("of"), "left")
+    fine = F.coalesce(F.sha2("stored", 256) == F.col("digest"), F.lit(False))
+    return stay.unionByName(joined.select("job_id", F.coalesce("payload", "stored").alias("payload"), fine.alias("intact")))
