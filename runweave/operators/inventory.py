@@ -18,13 +18,18 @@ NEED_NOTES, MARKS = ("theorem", "lemma", "proposition", "corollary"), ("source p
 NAME = r"^[A-Za-z_][A-Za-z0-9_'.]*$"
 
 
+def _has(entry: Column, label: str, found: Column) -> Column:
+    """found, looked for only in entries that name the label at all."""
+    return F.when(F.contains(F.lower(entry), F.lit(label.lower())), found).otherwise(F.when(entry.isNotNull(), F.lit("")))
+
+
 def _value(entry: Column, label: str) -> Column:
-    return F.trim(F.regexp_extract(entry, rf"(?im)^\s*-\s*{label}\s*:\s*(.*?)\s*$", 1))
+    return _has(entry, label, F.trim(F.regexp_extract(entry, rf"(?im)^\s*-\s*{label}\s*:\s*(.*?)\s*$", 1)))
 
 
 def _block(entry: Column, label: str) -> Column:
     """A field with the lines under it, up to the next field at the margin."""
-    return F.trim(F.regexp_extract(entry, rf"(?i)((?<=^|\n)[ \t]*-\s*{label}\s*:[\s\S]*?)(?=\n-\s*[A-Za-z][A-Za-z0-9 /_-]{{0,80}}\s*:|\z)", 1))
+    return _has(entry, label, F.trim(F.regexp_extract(entry, rf"(?i)((?<=^|\n)[ \t]*-\s*{label}\s*:[\s\S]*?)(?=\n-\s*[A-Za-z][A-Za-z0-9 /_-]{{0,80}}\s*:|\z)", 1)))
 
 
 def _first(entry: Column, labels: tuple[str, ...], *of) -> Column:
@@ -61,16 +66,18 @@ def inventory_issues(items: DataFrame, entries: DataFrame, declarations: DataFra
     entry = entries.where(F.col("text").rlike(r"\S")).groupBy("label").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("entry"))
     rows = items.select("label", F.lower(F.trim("kind")).alias("kind"), F.coalesce("has_proof", F.lit(False)).alias("has_proof")).join(entry, "label", "left")
     e = F.col("entry")
-    planned, listed = _first(e, PLANNED), _first(e, tuple(p for p in PLANNED if "Lean" in p), _block)
+    fidelity = lambda labels: _first(e, labels, _block, _value)
+    # Fields are columns of their own, so that each is looked for once a row, however often it is named.
+    rows = rows.withColumns({"planned": _first(e, PLANNED), "listed": _first(e, tuple(p for p in PLANNED if "Lean" in p), _block), "review": fidelity((REVIEW,)), "qualifiers": fidelity(QUALIFIERS), "coverage": fidelity(COVERAGE), "scope": fidelity(SCOPE)})
+    planned, listed = F.col("planned"), F.col("listed")
     plan = F.when(_missing(planned), listed).when(~F.contains(planned, listed), F.concat_ws("\n", planned, listed)).otherwise(planned)
     rows = rows.withColumns({"locator": _first(e, LOCATOR), "plan": plan, "notes": _first(e, NOTES), "verified": _first(e, VERIFIED), "needs": F.col("has_proof") | F.col("kind").isin(*NEED_NOTES)})
     rows = rows.withColumn("names", F.when(e.isNotNull() & ~_missing(F.col("plan")), planned_names(F.col("plan"))))
-    fidelity = lambda labels: _first(e, labels, _block, _value)
     there = e.isNotNull()
     when = {
         "missing_entry": ~there, "locator": there & _missing(F.col("locator")), "locator_source": there & ~_missing(F.col("locator")) & F.lit(bool(source)) & ~F.contains("locator", F.lit(source)), "planned": there & _missing(F.col("plan")),
-        "planned_names": F.size("names") == 0, "review": there & _open(_first(e, (REVIEW,), _block, _value)), "qualifiers": there & _open(fidelity(QUALIFIERS), UNRESOLVED), "coverage": there & _open(fidelity(COVERAGE), UNRESOLVED),
-        "scope": there & _open(fidelity(SCOPE), UNRESOLVED), "verification": there & _missing(F.col("verified")), "not_approved": there & ~_missing(F.col("verified")) & ~F.col("verified").rlike(APPROVED),
+        "planned_names": F.size("names") == 0, "review": there & _open(F.col("review")), "qualifiers": there & _open(F.col("qualifiers"), UNRESOLVED), "coverage": there & _open(F.col("coverage"), UNRESOLVED),
+        "scope": there & _open(F.col("scope"), UNRESOLVED), "verification": there & _missing(F.col("verified")), "not_approved": there & ~_missing(F.col("verified")) & ~F.col("verified").rlike(APPROVED),
         "notes": there & _missing(F.col("notes")), "notes_needed": there & F.col("needs") & F.lower("notes").isin(*NO_NOTES),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in when.items()]), lambda i: i.isNotNull())
