@@ -16,9 +16,9 @@ PROOF, HOLE = r":=\s*by\b", r"\b(?:sorry|admit)\b"
 def blank(text: str | None) -> str:
     """text with comments, nested ones too, and strings as blanks; lines keep their places."""
     out, depth = [], 0
-    for m in re.finditer(r'/-|-/|--[^\n]*|"(?:\\.|[^"\\])*(?:"|$)|(?s:.)', text or ""):
+    for m in re.finditer(r'/-|-/|--[^\n]*|"(?:\\.|[^"\\])*(?:"|$)|[^/"-]+|(?s:.)', text or ""):
         piece = m.group()
-        hide = depth or piece == "/-" or (len(piece) > 1 and piece != "-/")
+        hide = depth or piece == "/-" or piece.startswith(("--", '"'))
         depth += (piece == "/-") - (piece == "-/" and depth > 0)
         out.append(re.sub(r"[^\n]", " ", piece) if hide else piece)
     return "".join(out)
