@@ -13,12 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: Modifiers, kinds and names that begin a declaration; brackets (fixed values).
 HEAD = re.compile(
     r"\s*(?:(?:@\[[^\]]*\]|@[A-Za-z0-9_.]+|private|protected|noncomputable|unsafe|partial|nonrec|scoped|local)\s+)*"
     r"(theorem|lemma|example|def|abbrev|opaque|axiom|instance|class|structure|inductive)\b\s*(«[^»]+»|[A-Za-z_À-￿][^\s:(){}\[\]⦃]*)?"
 )
 BRACKETS = {"(": ")", "{": "}", "[": "]", "⦃": "⦄", "⟨": "⟩"}
+ANY_BRACKET = re.compile("[" + re.escape("".join(BRACKETS) + "".join(BRACKETS.values())) + "]")
 #: Statuses of a parent that is still open (fixed values).
 OPEN_STATUSES = ("conjectured", "stated", "audited", "proving", "blocked", "split")
 #: Tokens of a statement, other spellings of them, and those that count (fixed values).
@@ -51,7 +54,7 @@ PARSED = "kind string, name string, groups array<struct<opens:string,names:array
 def _uncommented(text: str) -> str:
     """text with comments (nested ones too) and the insides of strings as blanks."""
     out, depth = [], 0
-    for m in re.finditer(r'/-|-/|--[^\n]*|"(?:\\.|[^"\\])*"|(?s:.)', text):
+    for m in re.finditer(r'/-|-/|--[^\n]*|"(?:\\.|[^"\\])*"|[^/"-]+|(?s:.)', text):
         piece = m.group()
         if piece == "/-":
             depth += 1
@@ -65,20 +68,22 @@ def _uncommented(text: str) -> str:
 def _close(text: str, start: int) -> int:
     """The place of the bracket that closes the one at start; -1 for none."""
     stack = []
-    for i in range(start, len(text)):
-        if text[i] in BRACKETS:
-            stack.append(BRACKETS[text[i]])
-        elif stack and text[i] == stack[-1]:
+    for m in ANY_BRACKET.finditer(text, start):
+        if m.group() in BRACKETS:
+            stack.append(BRACKETS[m.group()])
+        elif stack and m.group() == stack[-1]:
             stack.pop()
             if not stack:
-                return i
+                return m.start()
     return -1
 
 
 def _top_level(text: str, marks: tuple[str, ...]) -> list[int]:
     """Places of marks outside brackets."""
     out, i = [], 0
-    while i < len(text):
+    ahead = re.compile("[" + re.escape("".join(BRACKETS)) + "]|" + "|".join(map(re.escape, marks)))
+    while m := ahead.search(text, i):
+        i = m.start()
         if text[i] in BRACKETS and (end := _close(text, i)) >= 0:
             i = end
         elif text.startswith(marks, i):
@@ -171,24 +176,40 @@ def covered(candidates: DataFrame, found: DataFrame) -> DataFrame:
     earlier declaration of the candidate's name; else `same_signature`, the first that says the same but for its own
     name and those of leading binders. A target that the file does not have just once covers nothing.
     """
-    decl = found.select("file", "name", "line", parsed("text")["alpha"].alias("alpha"), _short(F.col("name")).alias("short"))
-    asked = candidates.select("id", "file", "target", parsed("text").alias("p")).where("p.name <> ''").select("id", "file", "target", "p.name", _short(F.col("p.name")).alias("short"), "p.alpha")
+    decl = found.select("file", "name", "line", F.md5(parsed("text")["alpha"]).alias("alpha"), _short(F.col("name")).alias("short"))
+    asked = candidates.select("id", "file", "target", parsed("text").alias("p")).where("p.name <> ''").select("id", "file", "target", _short(F.col("p.name")).alias("short"), F.md5("p.alpha").alias("alpha"))
     names = F.explode(F.array_distinct(F.array("target", _short(F.col("target"))))).alias("alias")
-    targets = asked.select("id", "file", names).join(found.select("file", F.col("name").alias("alias"), "line"), ["file", "alias"]).groupBy("id").agg(F.min("line").alias("until"), F.count("*").alias("n")).where("n = 1")
-    asked = asked.join(targets.select("id", "until"), "id").alias("c")
-    first = F.min_by(F.col("d.name"), F.col("d.line")).alias("existing")
-    named = asked.join(decl.alias("d"), (F.col("c.file") == F.col("d.file")) & (F.col("c.short") == F.col("d.short")) & (F.col("d.line") < F.col("c.until")))
-    named = named.where("d.name = c.name or d.short = c.short").groupBy("c.id").agg(first).withColumn("reason", F.lit("same_name"))
-    alike = asked.join(decl.alias("d"), (F.col("c.file") == F.col("d.file")) & (F.col("c.alpha") == F.col("d.alpha")) & (F.col("d.line") < F.col("c.until")))
-    alike = alike.where("d.short <> c.short").groupBy("c.id").agg(first).withColumn("reason", F.lit("same_signature"))
+    targets = asked.select("id", "file", names).join(found.groupBy("file", F.col("name").alias("alias")).agg(F.min("line").alias("line"), F.count("*").alias("times")), ["file", "alias"]).groupBy("id").agg(F.min("line").alias("until"), F.sum("times").alias("n")).where("n = 1")
+    asked = asked.join(targets.select("id", "until"), "id")
+    first = decl.groupBy("file", "short", "alpha").agg(F.min(F.struct("line", "name")).alias("d"))
+    of_name = first.groupBy("file", "short").agg(F.min("d").alias("d"))
+    named = asked.join(of_name, ["file", "short"]).where("d.line < until").select("id", F.col("d.name").alias("existing"), F.lit("same_name").alias("reason"))
+    # Of what says the same, the first, and the first of another short name than that has, are all that can be asked for.
+    other = F.col("short") != F.col("least.short")
+    of_alpha = first.join(first.groupBy("file", "alpha").agg(F.min(F.struct("d", "short")).alias("least")), ["file", "alpha"]).groupBy("file", "alpha", "least").agg(F.min(F.when(other, F.col("d"))).alias("next"))
+    alike = asked.join(of_alpha, ["file", "alpha"]).withColumn("d", F.when(F.col("short") != F.col("least.short"), F.col("least.d")).otherwise(F.col("next")))
+    alike = alike.where("d.line < until").select("id", F.col("d.name").alias("existing"), F.lit("same_signature").alias("reason"))
     return named.unionByName(alike.join(named.select("id"), "id", "left_anti"))
 
 
+def earlier_pairs(asked: DataFrame, held: DataFrame, key: str, block: int = 512) -> DataFrame:
+    """id, name: of asked (id, file, at, key) and held (file, name, line, key), those of one file and key with line < at.
+
+    Pairs are as many as they are, so a large group is dealt out: those asked in blocks, each of which meets all held.
+    """
+    sizes = asked.groupBy("file", key).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    # A group is met as often as it has blocks; a row of it that is asked lies in one of them.
+    dealt = asked.join(sizes, ["file", key]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
+    met = held.join(sizes, ["file", key]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["file", key, "block"]
+    return spread(met, *keys).join(spread(dealt, *keys).hint("merge"), keys).where("line < at").select("id", "name")
+
+
 def duplicates_but_for_binders(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """id, name: declarations of the file before the candidate's line (id, file, line, text) that say the same but for names."""
-    asked = candidates.select("id", "file", F.col("line").alias("at"), parsed("text")["alpha"].alias("alpha"))
-    held = found.select("file", "name", "line", parsed("text")["alpha"].alias("alpha"))
-    return asked.join(held, ["file", "alpha"]).where("line < at").select("id", "name")
+    asked = candidates.select("id", "file", F.col("line").alias("at"), F.md5(parsed("text")["alpha"]).alias("alpha"))
+    held = found.select("file", "name", "line", F.md5(parsed("text")["alpha"]).alias("alpha"))
+    return earlier_pairs(asked, held, "alpha")
 
 
 def _stripped(text: str) -> str:

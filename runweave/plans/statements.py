@@ -50,6 +50,11 @@ def _view(sql: str):
     return lambda spark, sf_dir: s.derived(spark, sf_dir, sql)
 
 
+def _spread(sql: str):
+    """A view over parts whose texts take long to read: they are dealt out first."""
+    return lambda spark, sf_dir: s.spread_parts(spark, sf_dir, sql)
+
+
 def s4_tex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tex.tex_blocks(_view(TEX)(spark, sf_dir)).withColumn("uses", F.array_join("uses", ",")).drop("lean")
 
@@ -59,12 +64,12 @@ def s4_tex_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j29_but_for_binders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _view(DECLARATIONS)(spark, sf_dir)
+    found = _spread(DECLARATIONS)(spark, sf_dir)
     return o.duplicates_but_for_binders(found.withColumn("id", F.col("name")), found)
 
 
 def t5_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.covered(_view(CANDIDATES)(spark, sf_dir), _view(DECLARATIONS)(spark, sf_dir))
+    return o.covered(_spread(CANDIDATES)(spark, sf_dir), _spread(DECLARATIONS)(spark, sf_dir))
 
 
 def j19_universal_obstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def j19_dominated_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p23_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.admission(_view(HELPERS)(spark, sf_dir), _view(PARENTS)(spark, sf_dir))
+    return o.admission(_spread(HELPERS)(spark, sf_dir), _spread(PARENTS)(spark, sf_dir))
 
 
 def j27_conditional_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,7 @@ PROOFS = """SELECT p_partkey AS id, 'theorem t : P := by' || chr(10) || '  have
 
 
 def k10_extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.extraction_candidates(_view(PROOFS)(spark, sf_dir))
+    return blocks.extraction_candidates(_spread(PROOFS)(spark, sf_dir))
 
 
 #: Entries of plans that lack a field each, and declarations of which some are not made or have no notes.
@@ -106,7 +111,7 @@ MADE = "SELECT 'd' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'theor
 
 
 def j25_inventory_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.inventory_issues(_view(ITEMS)(spark, sf_dir), _view(ENTRIES)(spark, sf_dir), _view(MADE)(spark, sf_dir))
+    return inventory.inventory_issues(_spread(ITEMS)(spark, sf_dir), _spread(ENTRIES)(spark, sf_dir), _spread(MADE)(spark, sf_dir))
 
 
 #: Each eighth part is an open parent; its helpers rest on an earlier declaration of one of three names, or have proofs of three shapes.
@@ -119,7 +124,7 @@ ROUTES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Split the ca
 
 
 def f7_route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(ROUTES)(spark, sf_dir).where("id % 5 < 4")
+    rows = _spread(ROUTES)(spark, sf_dir).where("id % 5 < 4")
     return rows.select("id", F.array_join(f.route_features(F.col("text")), "|").alias("features"), F.array_join(f.target_symbols(F.col("text")), "|").alias("symbols"))
 
 
