@@ -83,10 +83,10 @@ EMPTY_WORDS = ("at", "finding", "route", "source")
 
 def route_features(text: Column) -> Column:
     """Sorted array: mechanisms that a route's text names, `atom:` and what stands in backticks, `constant:` and numbers."""
-    return _let(semantic_text(text), _route_features)
+    return let(semantic_text(text), _route_features)
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with the value found once a row, however often it is named."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -176,7 +176,7 @@ def context_limit(error: Column, low: int = 1024, high: int = 10_000_000) -> Col
     """The context limit that an error text names (long), by the first of LIMITS that gives one within bounds; else null."""
     # Only texts with a number of four digits are looked at, and each pattern once.
     found = lambda t: F.array(*[F.regexp_extract(t, p, 1).try_cast("long") for p in LIMITS])
-    return F.when(error.rlike(r"\d{4}"), F.get(F.filter(_let(F.lower(error), found), lambda n: n.between(low, high)), 0))
+    return F.when(error.rlike(r"\d{4}"), F.get(F.filter(let(F.lower(error), found), lambda n: n.between(low, high)), 0))
 
 
 def module_name(path: Column, ending: str) -> Column:
