@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
+from ..sources.tables import cut, spread
 
 #: Modifiers, kinds and names that begin a declaration; brackets (fixed values).
 HEAD = re.compile(
@@ -207,7 +207,7 @@ def earlier_pairs(asked: DataFrame, held: DataFrame, key: str, block: int = 512)
 
 def duplicates_but_for_binders(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """id, name: declarations of the file before the candidate's line (id, file, line, text) that say the same but for names."""
-    asked = candidates.select("id", "file", F.col("line").alias("at"), F.md5(parsed("text")["alpha"]).alias("alpha"))
+    asked = cut(candidates.select("id", "file", F.col("line").alias("at"), F.md5(parsed("text")["alpha"]).alias("alpha")))
     held = found.select("file", "name", "line", F.md5(parsed("text")["alpha"]).alias("alpha"))
     return earlier_pairs(asked, held, "alpha")
 
