@@ -35,6 +35,8 @@ RECALL = 0.99
 CHECK_BITS = 22
 #: Rows of the index of short SimHashes that a task sorts.
 SORTED = 1 << 20
+#: Parities of a set that are compared before the sets themselves; fewer only let more pairs through.
+MOST_MARKS = 1 << 13
 
 
 def shingle_hashes(text: str, words: int):
@@ -315,86 +317,187 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int, out: str, value
     return df.select(id_col, text_col).mapInArrow(work, schema)
 
 
-def _met(bits: int, stars: bool):
-    """Pairs of one partition's rows (key, check, whole, root) that meet in a deletion variant and are near in `check`.
+def _keys(bits: int, key):
+    """`key` with each bit of its other half deleted in turn, as (bit, keys).
 
     A key is made of table, half, the bits of that half and the bits of the other half. Equal halves lie in one
     partition; the other half may differ by one bit, so the keys are sorted once for each of its bits, deleted.
-    stars: of the rows that meet, the most central is paired with those near it, of the others the most central again,
-    and so on, so that each row has about one pair. Else all pairs of different roots.
     """
+    for bit in range(bits // 2):
+        yield bit, key & ~(1 << bit)
+
+
+def _near(check, a, b):
+    import numpy as np
+
+    return np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
+
+
+def _pairs(whole, a, b):
+    import numpy as np
     import pyarrow as pa
 
-    names = ["src", "dst"]
+    both = np.unique(np.stack([np.minimum(whole[a], whole[b]), np.maximum(whole[a], whole[b])]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
+
+
+def _stars(bits: int):
+    """Pairs of one partition's rows (key, check, whole) that meet in a deletion variant and are near in `check`.
+
+    Of the rows that meet, the most central is paired with those near it, of the others the most central again, and so
+    on, so that each row has about one pair.
+    """
+    import pyarrow as pa
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
-        if not parts:
+        batches = list(batches)
+        if not sum(len(b) for b in batches):
             return
-        key, check, whole, root = (np.concatenate(c) for c in zip(*parts, strict=True))
-        second = (key >> bits) & 1
-        near = lambda a, b: np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
-
-        def made(a, b) -> pa.RecordBatch:
-            both = np.unique(np.stack([np.minimum(whole[a], whole[b]), np.maximum(whole[a], whole[b])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=names)
-
-        for bit in range(bits // 2):
-            masked = key & ~(np.int64(1) << bit)
+        rows = pa.Table.from_batches(batches)
+        key, check, whole = (rows.column(c).to_numpy() for c in ("key", "check", "whole"))
+        for _, masked in _keys(bits, key):
             order = np.argsort(masked, kind="stable")
             masked = masked[order]
-            if stars:
-                begins = np.concatenate([[True], masked[1:] != masked[:-1]])
-                alone = begins & np.concatenate([begins[1:], [True]])
-                order, masked, begins = order[~alone], masked[~alone], begins[~alone]
-                if not len(order):
-                    continue
-                order = order[np.lexsort((whole[order], _eccentric(check[order], begins), masked))]
-                found, all_rows, all_masked = [], order, masked
-                while len(order) > 1:
-                    begins = np.concatenate([[True], masked[1:] != masked[:-1]])
-                    lead = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-                    taken = ~begins & near(lead, order)
-                    found.append((lead[taken], order[taken]))
-                    rest = ~begins & ~taken
-                    order, masked = order[rest], masked[rest]
-                # Rows without a star may be near one that an earlier star took: one such pair each keeps them in the search.
-                starred = np.zeros(len(key), dtype=bool)
-                for a, b in found:
-                    starred[a] = starred[b] = True
-                for side in (1, -1):
-                    at, step = np.flatnonzero(~starred[all_rows]), 0
-                    while len(at):
-                        step += side
-                        at = at[(at + step >= 0) & (at + step < len(all_rows))]
-                        at = at[all_masked[at] == all_masked[at + step]]
-                        met = near(all_rows[at], all_rows[at + step])
-                        found.append((all_rows[at[met]], all_rows[at[met] + step]))
-                        at = at[~met]
-                if found and sum(len(a) for a, _ in found):
-                    yield made(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            begins = np.concatenate([[True], masked[1:] != masked[:-1]])
+            alone = begins & np.concatenate([begins[1:], [True]])
+            order, masked, begins = order[~alone], masked[~alone], begins[~alone]
+            if not len(order):
                 continue
-            # Rows all of one root have nothing to find.
-            starts = np.flatnonzero(np.concatenate([[True], masked[1:] != masked[:-1]]))
-            own, sizes = root[order], np.diff(np.append(starts, len(order)))
-            mixed = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), sizes)
-            order, masked = order[mixed], masked[mixed]
-            at, step = np.arange(len(order)), 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(order)]
-                at = at[masked[at] == masked[at + step]]
-                a, b = order[at], order[at + step]
+            order = order[np.lexsort((whole[order], _eccentric(check[order], begins), masked))]
+            found, all_rows, all_masked = [], order, masked
+            while len(order) > 1:
+                begins = np.concatenate([[True], masked[1:] != masked[:-1]])
+                lead = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+                taken = ~begins & _near(check, lead, order)
+                found.append((lead[taken], order[taken]))
+                rest = ~begins & ~taken
+                order, masked = order[rest], masked[rest]
+            # Rows without a star may be near one that an earlier star took: one such pair each keeps them in the search.
+            starred = np.zeros(len(key), dtype=bool)
+            for a, b in found:
+                starred[a] = starred[b] = True
+            for side in (1, -1):
+                at, step = np.flatnonzero(~starred[all_rows]), 0
+                while len(at):
+                    step += side
+                    at = at[(at + step >= 0) & (at + step < len(all_rows))]
+                    at = at[all_masked[at] == all_masked[at + step]]
+                    met = _near(check, all_rows[at], all_rows[at + step])
+                    found.append((all_rows[at[met]], all_rows[at[met] + step]))
+                    at = at[~met]
+            if found and sum(len(a) for a, _ in found):
+                yield _pairs(whole, *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    return work
+
+
+def _apart(bits: int, least: float, nearest: bool):
+    """Pairs of one partition's rows (key, check, whole, size, marks, root) of different roots that meet as in _stars().
+
+    Only pairs that size and marks let reach `least`; nearest: of those in a group the nearest one of each row.
+    """
+    import pyarrow as pa
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        batches = list(batches)
+        if not sum(len(b) for b in batches):
+            return
+        rows = pa.Table.from_batches(batches)
+        key, check, whole, root = (rows.column(c).to_numpy() for c in ("key", "check", "whole", "root"))
+        second = (key >> bits) & 1
+        differ = _differences(rows.column("size").to_numpy(), rows.column("marks").combine_chunks(), least)
+        for bit, masked in _keys(bits, key):
+            # Rows of one root lie together; each row meets those of its group that come after the rows of its root.
+            order = np.lexsort((root, masked))
+            masked, own = masked[order], root[order]
+            begins = np.concatenate([[True], (masked[1:] != masked[:-1]) | (own[1:] != own[:-1])])
+            other = np.append(np.flatnonzero(begins)[1:], len(order))[np.cumsum(begins) - 1]
+            at, found = np.arange(len(order)), []
+            best, mate = np.full(len(order), np.inf), np.zeros(len(order), dtype=np.int64)
+            while True:
+                inside = other < len(order)
+                at, other = at[inside], other[inside]
+                same = masked[at] == masked[other]
+                at, other = at[same], other[same]
+                if not len(at):
+                    break
+                a, b = order[at], order[other]
                 # Equal codes meet in each half and bit: they are taken at the first one only.
-                take = near(a, b) & (root[a] != root[b]) & ((key[a] != key[b]) | ((second[a] == 0) & (bit == 0)))
-                if take.any():
-                    yield made(a[take], b[take])
+                met = _near(check, a, b) & ((key[a] != key[b]) | ((second[a] == 0) & (bit == 0)))
+                far = differ(a[met], b[met])
+                met[met] = far < np.inf
+                a, b, far = a[met], b[met], far[far < np.inf]
+                if nearest:
+                    for i, j in ((at[met], b), (other[met], a)):
+                        np.minimum.at(best, i, far)
+                        mate[i[far == best[i]]] = j[far == best[i]]
+                else:
+                    found.append((a, b))
+                other = other + 1
+            if nearest:
+                found = [(order[best < np.inf], mate[best < np.inf])]
+            if sum(len(a) for a, _ in found):
+                yield _pairs(whole, *(np.concatenate(c) for c in zip(*found, strict=True)))
 
     return work
 
 
+def _marks(own):
+    """The parity, for each residue of the hashes of a set, of how many there are: two bits or more an element, up to MOST_MARKS.
+
+    Two sets differ by at least as many elements as parities; halves laid over each other (xor) are the parities of
+    half as many residues.
+    """
+    import numpy as np
+
+    width = min(MOST_MARKS, max(64, 1 << (2 * len(own) - 1).bit_length() if len(own) else 0))
+    odd = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differences(size, marks, least: float):
+    """A function of pairs of rows: the least share of the elements of both sets in which they differ, by size and marks.
+
+    Infinite where it is so large that their similarity is under `least`: such a pair cannot be one of the wanted.
+    """
+    import numpy as np
+
+    flat, lengths = marks.flatten().to_numpy(), marks.value_lengths().to_numpy().astype(np.int64)
+    starts, made = np.cumsum(lengths) - lengths, {}
+
+    def at_width(width: int):
+        """(marks of the rows that have as many words or more, in `width` words; the place of each row in them)."""
+        if width not in made:
+            place = np.cumsum(lengths >= width) - 1
+            words = np.zeros((int((lengths >= width).sum()), width), dtype=np.int64)
+            for whole in np.unique(lengths[lengths >= width]).tolist():
+                rows = np.flatnonzero(lengths == whole)
+                for part in np.array_split(rows, 1 + len(rows) * whole // (1 << 20)):
+                    taken = flat[starts[part][:, None] + np.arange(whole)]
+                    words[place[part]] = np.bitwise_xor.reduce(taken.reshape(len(part), whole // width, width), axis=1)
+            made[width] = words, place
+        return made[width]
+
+    def differ(a, b):
+        both = (size[a] + size[b]).astype(np.float64)
+        # A similarity of s means that the sets share s / (1 + s) of their elements, taken together.
+        most = both * (1 - least) / (1 + least) + 1e-6
+        least_far, width = np.abs(size[a] - size[b]).astype(np.float64), np.minimum(lengths[a], lengths[b])
+        for w in np.unique(width[least_far <= most]).tolist():
+            words, place = at_width(w)
+            these = np.flatnonzero((width == w) & (least_far <= most))
+            for part in np.array_split(these, 1 + len(these) * w // (1 << 20)):  # bounded working memory
+                odd = np.bitwise_count((words[place[a[part]]] ^ words[place[b[part]]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                least_far[part] = np.maximum(least_far[part], odd)
+        return np.where(least_far <= most, least_far / np.maximum(both, 1), np.inf)
+
+    return differ
+
+
 def _eccentric(check, begins):
     """By how many bits each row of groups (which begin where begins is) differs from what most of its group have."""
     import numpy as np
@@ -423,8 +526,10 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
     whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. First
     each document is compared with the most central of those that it meets (copies of one text differ less from it than
-    from each other); the links of these stars leave few components, and
-    only documents of different ones are compared as pairs. Further columns of df do not matter; id_col by the name of an output is an error (ValueError).
+    from each other); the links of these stars leave few components. Documents of different ones that meet are compared
+    by parities of their sets (_marks), which rule out nearly all pairs under `least` and none above it, inside the
+    task where they meet; only the pairs that are left become rows and are verified.
+    Further columns of df do not matter; id_col by the name of an output is an error (ValueError).
     """
     no_clash([id_col], "whole", "component_id")
     n = df.count()
@@ -433,30 +538,36 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
 
     def short(own):
         check, codes = _short_simhashes(own, tables, bits)
-        return check, codes
+        return check, codes, len(own), _marks(own)
 
-    docs = cut(_sets(df, id_col, text_col, words, "check long, codes array<long>", short))
+    docs = cut(_sets(df, id_col, text_col, words, "check long, codes array<long>, size long, marks array<long>", short))
     first = docs.groupBy("whole").agg(F.first("check").alias("check"), F.first("codes").alias("codes"))
     mask = (1 << half) - 1
     both = lambda code, t: F.array(t * 2 * (1 << bits) + code, (t * 2 + 1) * (1 << bits) + code.bitwiseAND(F.lit(mask)) * (1 << half) + F.shiftright(code, half))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 // SORTED)
 
-    def met(rows: DataFrame, stars: bool) -> DataFrame:
-        index = rows.select(F.explode(F.flatten(F.transform("codes", both))).alias("key"), "check", "whole", "root")
-        return index.repartition(parts, F.shiftright("key", half)).mapInArrow(_met(bits, stars), "src long, dst long").where("src <> dst").distinct()
-
-    star = cut(met(first.withColumn("root", F.col("whole")), True))
-    edges = cut(_verified(df, docs, star, words, least, id_col, text_col))
-    # Only texts that have met another one go on, and only pairs that the stars have not joined up.
-    wanted = star.select(F.col("src").alias("whole")).unionByName(star.select(F.col("dst").alias("whole"))).distinct()
-    linked = components(edges)
-    again = first.join(wanted, "whole", "left_semi").join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    more = cut(met(again, False).join(star, ["src", "dst"], "left_anti"))
-    if not more.isEmpty():
-        edges = edges.unionByName(_verified(df, docs, more, words, least, id_col, text_col))
-        linked = components(edges)
-    found = linked
-    low = cut(docs.groupBy("whole").agg(F.min(id_col).alias("low")).join(found.withColumnRenamed("node", "whole"), "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "low"))
+    def met(rows: DataFrame, parts: int, work) -> DataFrame:
+        index = rows.select(F.explode(F.flatten(F.transform("codes", both))).alias("key"), *(c for c in rows.columns if c != "codes"))
+        return cut(index.repartition(parts, F.shiftright("key", half)).mapInArrow(work, "src long, dst long").where("src <> dst").distinct())
+
+    ends = lambda pairs: pairs.select(F.col("src").alias("whole")).unionByName(pairs.select(F.col("dst").alias("whole"))).distinct()
+    tried = star = met(first, parts, _stars(bits))
+    linked = components(_verified(df, docs, star, words, least, id_col, text_col))
+    # Only texts that have met another one go on.
+    apart = cut(docs.join(ends(star), "whole", "left_semi").groupBy("whole").agg(*(F.first(c).alias(c) for c in ("check", "codes", "size", "marks"))))
+    held = apart.agg(F.sum(F.size("marks") + 4).alias("n")).first()["n"] or 0
+    parts = max(parts, held * tables * 2 // (4 * SORTED))
+    # The nearest of each first: what they join up is not taken pair by pair. Every text of a pair is in one of these.
+    for nearest in (True, False):
+        rooted = apart.join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+        pairs = met(rooted, parts, _apart(bits, least, nearest))
+        if pairs.isEmpty():
+            break
+        found = cut(_verified(df, docs, pairs.join(tried, ["src", "dst"], "left_anti"), words, least, id_col, text_col))
+        if not found.isEmpty():
+            linked = components(linked.select(F.col("root").alias("src"), F.col("node").alias("dst")).unionByName(found))
+        apart, tried = apart.join(ends(pairs), "whole", "left_semi"), tried.unionByName(pairs)
+    low = cut(docs.groupBy("whole").agg(F.min(id_col).alias("low")).join(linked.withColumnRenamed("node", "whole"), "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "low"))
     own = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("whole", "component_id")
     return cut(docs.select(id_col, "whole").join(own, "whole").select(id_col, "whole", "component_id"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from runweave.llm import classifier, mixing, quality_rules, simhash
 
+from . import brute
+
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -66,3 +68,68 @@ def test_copies_nearer_to_their_text_than_to_each_other(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
     assert sum(found[i] == 0 for i in range(200)) >= 198 and found[1000] == 0
     assert all(found[i] == i for i in range(2000, 2020))
+
+
+def _edited(rng, base, share, name):
+    """base with some words replaced, each by one that no other text has."""
+    words = list(base)
+    for at in rng.sample(range(len(base)), round(share * len(base))):
+        words[at] = f"{name}x{at}"
+    return " ".join(words)
+
+
+def test_copies_that_are_just_not_similar(spark, monkeypatch):
+    """Copies under the bound, from their text and from each other, are told apart without a row for each pair."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    texts = [" ".join(base), *(_edited(rng, base, 0.035, f"e{i}") for i in range(500))]
+    held = []
+    verified = simhash._verified
+
+    def counted(df, docs, pairs, *more):
+        held.append(pairs.count())
+        return verified(df, docs, pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    sets = [brute.shingle_set(t, 5) for t in texts]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert found == brute.joined(range(len(sets)), near)
+    assert sum(held[1:]) < len(texts)
+
+
+def test_groups_linked_at_their_edges(spark):
+    """Two groups of copies whose centers are not similar are one where some of their copies are."""
+    rng = random.Random(9)
+    texts = []
+    for group in range(20):
+        base = [f"g{group}w{k}" for k in range(200)]
+        other = _edited(rng, base, 0.03, f"o{group}").split()
+        for i in range(12):
+            between = [x if rng.random() < 0.5 else y for x, y in zip(base, other, strict=True)]
+            texts += [_edited(rng, base, 0.01, f"a{group}y{i}"), _edited(rng, other, 0.01, f"b{group}y{i}"), " ".join(between)]
+    sets = [brute.shingle_set(t, 5) for t in texts]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert found == brute.joined(range(len(texts)), near)
+
+
+def test_marks_rule_out_no_similar_pair():
+    """The difference by size and marks never exceeds the real one, whatever the widths; pairs that may be similar stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 40_000).astype(np.uint64)
+    sets = [np.unique(pool[:0]), *(np.unique(pool[at : at + n]) for n in (1, 2, 31, 32, 33, 40, 250, 256, 300, 5_000, 9_000, 30_000) for at in (0, n // 12, n // 9, n // 5, n))]
+    assert max(len(simhash._marks(s)) * 64 for s in sets) == simhash.MOST_MARKS
+    size = np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    both = size[a] + size[b]
+    far = simhash._differences(size, pa.array([simhash._marks(s) for s in sets], pa.list_(pa.int64())), 0.8)(a, b)
+    similar = (shared >= 0.8 * (both - shared) - 1e-9) & (both > 0)
+    assert similar.sum() > 2 * len(sets) and np.all(far[similar] < np.inf)
+    kept = far < np.inf
+    assert np.all(far[kept] * np.maximum(both[kept], 1) <= both[kept] - 2 * shared[kept] + 1e-6)
+    assert (kept & ~similar & (both > 0)).sum() < 0.2 * (~similar).sum()
