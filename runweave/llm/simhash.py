@@ -333,19 +333,55 @@ def _near(check, a, b):
     return np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
 
 
-def _pairs(whole, a, b):
+class _Met:
+    """The pairs of documents that meet in one task, each once, however often their rows meet."""
+
+    def __init__(self, whole):
+        import numpy as np
+
+        self.names, self.at, self.doc = np.unique(whole, return_index=True, return_inverse=True)
+        self.codes = np.zeros(0, dtype=np.int64)
+
+    def add(self, found) -> None:
+        """found: (rows, rows) that meet."""
+        import numpy as np
+
+        if found and sum(len(a) for a, _ in found):
+            a, b = (self.doc[np.concatenate(c)] for c in zip(*found, strict=True))
+            self.codes = np.union1d(self.codes, np.minimum(a, b) * len(self.names) + np.maximum(a, b))
+
+    def batch(self, kept=None):
+        """(src, dst) of the pairs; kept(a, b): which of those of the rows a and b."""
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = np.divmod(self.codes, len(self.names))
+        if kept is not None and len(a):
+            these = kept(self.at[a], self.at[b])
+            a, b = a[these], b[these]
+        return pa.RecordBatch.from_arrays([pa.array(self.names[a]), pa.array(self.names[b])], names=["src", "dst"])
+
+
+def _closest(check, a, b):
+    """Which of the pairs of rows (a, b) are, for one of their two rows, the nearest one or the one with the row that has most pairs.
+
+    At most two a row, at least one.
+    """
     import numpy as np
-    import pyarrow as pa
 
-    both = np.unique(np.stack([np.minimum(whole[a], whole[b]), np.maximum(whole[a], whole[b])]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
+    one, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.bitwise_count((check[a] ^ check[b]).view(np.uint64)).astype(np.int64), 2)
+    fewer, kept = -np.bincount(one)[other], np.zeros(len(a), dtype=bool)
+    for order in (np.lexsort((fewer, far, one)), np.lexsort((far, fewer, one))):
+        kept[order[np.flatnonzero(np.diff(one[order], prepend=-1))] % len(a)] = True
+    return kept
 
 
 def _stars(bits: int):
     """Pairs of one partition's rows (key, check, whole) that meet in a deletion variant and are near in `check`.
 
     Of the rows that meet, the most central is paired with those near it, of the others the most central again, and so
-    on, so that each row has about one pair.
+    on, so that each row has about one pair in each variant. Of these the task gives each pair once, and each document
+    its closest ones (_closest): every document that meets a near one has a pair, and two at most are its own.
     """
     import pyarrow as pa
 
@@ -357,6 +393,7 @@ def _stars(bits: int):
             return
         rows = pa.Table.from_batches(batches)
         key, check, whole = (rows.column(c).to_numpy() for c in ("key", "check", "whole"))
+        pairs = _Met(whole)
         for _, masked in _keys(bits, key):
             order = np.argsort(masked, kind="stable")
             masked = masked[order]
@@ -387,8 +424,8 @@ def _stars(bits: int):
                     met = _near(check, all_rows[at], all_rows[at + step])
                     found.append((all_rows[at[met]], all_rows[at[met] + step]))
                     at = at[~met]
-            if found and sum(len(a) for a, _ in found):
-                yield _pairs(whole, *(np.concatenate(c) for c in zip(*found, strict=True)))
+            pairs.add(found)
+        yield pairs.batch(lambda a, b: _closest(check, a, b))
 
     return work
 
@@ -396,7 +433,7 @@ def _stars(bits: int):
 def _apart(bits: int, least: float, nearest: bool):
     """Pairs of one partition's rows (key, check, whole, size, marks, root) of different roots that meet as in _stars().
 
-    Only pairs that size and marks let reach `least`; nearest: of those in a group the nearest one of each row.
+    Only pairs that size and marks let reach `least`, each once a task; nearest: of those the nearest one of each document.
     """
     import pyarrow as pa
 
@@ -408,7 +445,8 @@ def _apart(bits: int, least: float, nearest: bool):
             return
         rows = pa.Table.from_batches(batches)
         key, check, whole, root = (rows.column(c).to_numpy() for c in ("key", "check", "whole", "root"))
-        second = (key >> bits) & 1
+        second, pairs = (key >> bits) & 1, _Met(whole)
+        best, mate = np.full(len(pairs.names), np.inf), np.zeros(len(pairs.names), dtype=np.int64)
         differ = _differences(rows.column("size").to_numpy(), rows.column("marks").combine_chunks(), least)
         for bit, masked in _keys(bits, key):
             # Rows of one root lie together; each row meets those of its group that come after the rows of its root.
@@ -417,7 +455,6 @@ def _apart(bits: int, least: float, nearest: bool):
             begins = np.concatenate([[True], (masked[1:] != masked[:-1]) | (own[1:] != own[:-1])])
             other = np.append(np.flatnonzero(begins)[1:], len(order))[np.cumsum(begins) - 1]
             at, found = np.arange(len(order)), []
-            best, mate = np.full(len(order), np.inf), np.zeros(len(order), dtype=np.int64)
             while True:
                 inside = other < len(order)
                 at, other = at[inside], other[inside]
@@ -432,16 +469,16 @@ def _apart(bits: int, least: float, nearest: bool):
                 met[met] = far < np.inf
                 a, b, far = a[met], b[met], far[far < np.inf]
                 if nearest:
-                    for i, j in ((at[met], b), (other[met], a)):
+                    for i, j in ((pairs.doc[a], b), (pairs.doc[b], a)):
                         np.minimum.at(best, i, far)
                         mate[i[far == best[i]]] = j[far == best[i]]
                 else:
                     found.append((a, b))
                 other = other + 1
-            if nearest:
-                found = [(order[best < np.inf], mate[best < np.inf])]
-            if sum(len(a) for a, _ in found):
-                yield _pairs(whole, *(np.concatenate(c) for c in zip(*found, strict=True)))
+            pairs.add(found)
+        if nearest:
+            pairs.add([(pairs.at[best < np.inf], mate[best < np.inf])])
+        yield pairs.batch()
 
     return work
 
@@ -526,7 +563,8 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     The similarity is that of the sets of shingles (words as in fingerprints()), and every link is verified with the
     whole sets; RECALL says how many of the pairs are found. whole is the digest of the set: equal sets are one. First
     each document is compared with the most central of those that it meets (copies of one text differ less from it than
-    from each other); the links of these stars leave few components. Documents of different ones that meet are compared
+    from each other), in each task with its closest ones; the links of these stars leave few components, and every
+    document that meets a near one goes on. Documents of different components that meet are compared, all of them,
     by parities of their sets (_marks), which rule out nearly all pairs under `least` and none above it, inside the
     task where they meet; only the pairs that are left become rows and are verified.
     Further columns of df do not matter; id_col by the name of an output is an error (ValueError).

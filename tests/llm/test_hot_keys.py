@@ -114,6 +114,25 @@ def test_groups_linked_at_their_edges(spark):
     assert found == brute.joined(range(len(texts)), near)
 
 
+def test_rows_of_stars_grow_with_the_documents():
+    """Near copies that meet again and again in a task have two rows each at most, and each that meets another has one."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, bits = np.random.default_rng(8), 8
+    for copies in (400, 800):
+        whole = rng.permutation(np.arange(copies, dtype=np.int64)) << 40
+        flips = rng.integers(0, 64, (copies, 4)).astype(np.uint64)
+        check = np.bitwise_xor.reduce(np.uint64(1) << flips, axis=1).view(np.int64)
+        code = rng.integers(0, 4, (copies, 6)) + (np.arange(6) << bits)  # six tables, of which few bits differ
+        rows = [pa.array(code.ravel()), pa.array(np.repeat(check, 6)), pa.array(np.repeat(whole, 6))]
+        alone = [pa.array([6 << bits, 7 << bits]), pa.array([0, 0]), pa.array([-1, -2])]
+        made = pa.Table.from_batches(simhash._stars(bits)(pa.RecordBatch.from_arrays(x, names=["key", "check", "whole"]) for x in (rows, alone)))
+        src, dst = made["src"].to_numpy(), made["dst"].to_numpy()
+        assert len(made) <= 2 * copies and np.all(src < dst)
+        assert set(src) | set(dst) == set(whole)
+
+
 def test_marks_rule_out_no_similar_pair():
     """The difference by size and marks never exceeds the real one, whatever the widths; pairs that may be similar stay."""
     import numpy as np
