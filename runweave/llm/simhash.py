@@ -581,7 +581,9 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     docs = cut(_sets(df, id_col, text_col, words, "check long, codes array<long>, size long, marks array<long>", short))
     first = docs.groupBy("whole").agg(F.first("check").alias("check"), F.first("codes").alias("codes"))
     mask = (1 << half) - 1
-    both = lambda code, t: F.array(t * 2 * (1 << bits) + code, (t * 2 + 1) * (1 << bits) + code.bitwiseAND(F.lit(mask)) * (1 << half) + F.shiftright(code, half))
+    # A place in an array is an int, which tables and bits of a million documents exceed.
+    table = lambda t, second: (t.cast("long") * 2 + second) * (1 << bits)
+    both = lambda code, t: F.array(table(t, 0) + code, table(t, 1) + code.bitwiseAND(F.lit(mask)) * (1 << half) + F.shiftright(code, half))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 // SORTED)
 
     def met(rows: DataFrame, parts: int, work) -> DataFrame:

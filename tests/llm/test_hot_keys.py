@@ -152,3 +152,13 @@ def test_marks_rule_out_no_similar_pair():
     kept = far < np.inf
     assert np.all(far[kept] * np.maximum(both[kept], 1) <= both[kept] - 2 * shared[kept] + 1e-6)
     assert (kept & ~similar & (both > 0)).sum() < 0.2 * (~similar).sum()
+
+
+def test_index_of_more_than_a_million_documents(spark, monkeypatch):
+    """Tables and bits of over 2 ** 20 documents make keys that an int cannot hold."""
+    plan = simhash._plan((1 << 20) + 1, 0.8)
+    monkeypatch.setattr(simhash, "_plan", lambda n, least: plan)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base[:99], "x"]), " ".join(f"o{k}" for k in range(50)), " ".join(base)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 0}
