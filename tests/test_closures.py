@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from runweave.operators import graph
 
@@ -61,6 +62,23 @@ def test_family_on_cycles(spark, written, monkeypatch):
     assert max(n for n, _ in written) < 60 < len(got)
 
 
+def test_families_are_written_small(spark, tmp_path):
+    """A family is as many rows as it is, but what is written of them, and shuffled for them, is a part of a byte a row."""
+    n = 1501
+    targets = spark.range(n)
+    ends = targets.where("id > 0").select(F.explode(F.array(F.struct(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")), F.struct(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))).alias("e"))
+    wheel = ends.select("e.src", "e.dst", F.lit("depends_on").alias("kind"))
+    graph.family(wheel, targets).write.parquet(f"{tmp_path}/family")
+    assert spark.read.parquet(f"{tmp_path}/family").count() == n * n
+    assert sum(p.stat().st_size for p in (tmp_path / "family").glob("*.parquet")) < 0.4 * n * n
+    nodes = targets.select("id", F.lit("proved").alias("status"), F.lit("f").alias("file"), (F.col("id") * 37 % 101).alias("line"))
+    graph.late_dependencies(nodes, wheel, targets).write.parquet(f"{tmp_path}/late")
+    late = spark.read.parquet(f"{tmp_path}/late").count()
+    lines = [i * 37 % 101 for i in range(n)]
+    assert late == sum(a < b for a in lines for b in lines)
+    assert sum(p.stat().st_size for p in (tmp_path / "late").glob("*.parquet")) < 0.4 * late
+
+
 def test_loops_do_not_broadcast(spark, written):
     """What a loop joins in each round is shuffled, so that nothing of it passes through the driver."""
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
