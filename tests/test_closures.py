@@ -79,6 +79,20 @@ def test_families_are_written_small(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "late").glob("*.parquet")) < 0.4 * late
 
 
+def test_late_dependencies_in_blocks(spark, monkeypatch):
+    """Blocks and lists of all lengths give each pair once, whatever the lines and files."""
+    for name, n in (("BLOCK", 7), ("TARGETS", 9), ("LISTED", 4), ("SHORT", 3)):
+        monkeypatch.setattr(graph, name, n)
+    rng = random.Random(5)
+    pairs = [e for i in range(1, 40) for e in ((0, i), (i, 0))] + [(50, 0), (3, 51), (60, 61)]
+    nodes = {i: (rng.choice(["proved", "proved", "stated"]), rng.choice("fg"), rng.randrange(12)) for i in [*range(40), 50, 51, 60, 61]}
+    targets = [i for i in nodes if i % 3]
+    edges = spark.createDataFrame([(a, b, "depends_on") for a, b in pairs], "src long, dst long, kind string")
+    got = [tuple(r) for r in graph.late_dependencies(spark.createDataFrame([(i, *v) for i, v in nodes.items()], "id long, status string, file string, line int"), edges, spark.createDataFrame([(t,) for t in targets], "id long")).collect()]
+    want = [(t, i) for t, ids in _closure(pairs, targets).items() for i in ids - {t} if nodes[i][0] == "proved" and nodes[i][1] == nodes[t][1] and nodes[i][2] > nodes[t][2]]
+    assert sorted(got) == sorted(want)
+
+
 def test_loops_do_not_broadcast(spark, written):
     """What a loop joins in each round is shuffled, so that nothing of it passes through the driver."""
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
