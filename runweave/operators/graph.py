@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, spread
+from ..sources.tables import cut, shuffled, spread
 
 #: Most nodes of a graph whose sets of members are whole (fixed value).
 MOST_MEMBERS = 1 << 20
@@ -29,44 +29,39 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _shuffled(df: DataFrame) -> DataFrame:
-    """df to be joined by a shuffle: what loops join in each round, if broadcast, would pass through the driver each time."""
-    return df.hint("merge")
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the strongly connected components of two nodes (id) or more, by their least ids.
 
     What neither lies on nor between cycles is left out first, from both ends. Then each round colours the nodes by the
     least id that leads to them; what leads back to that id within its colour is its component, and the rest goes on.
     """
-    between = lambda ids: edges.join(_shuffled(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(_shuffled(ids.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")
+    between = lambda ids: edges.join(shuffled(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(shuffled(ids.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     rest = cut(levels(nodes, edges).where("level is null").select("id"))
     if not rest.isEmpty():
-        rest = cut(levels(rest, up.join(_shuffled(rest.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")).where("level is null").select("id"))
+        rest = cut(levels(rest, up.join(shuffled(rest.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")).where("level is null").select("id"))
     done = [cut(rest.limit(0).select("id", F.col("id").alias("component")))]
     inside = cut(between(rest).where("src <> dst").distinct())
     while not rest.isEmpty():
         colour = cut(rest.select("id", F.col("id").alias("colour")))
         new = colour
         while not new.isEmpty():
-            told = inside.join(_shuffled(new.select(F.col("id").alias("src"), "colour")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("told"))
-            both = cut(colour.join(_shuffled(told), "id", "left").select("id", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("lower")))
+            told = inside.join(shuffled(new.select(F.col("id").alias("src"), "colour")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("told"))
+            both = cut(colour.join(shuffled(told), "id", "left").select("id", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("lower")))
             colour, new = both.select("id", "colour"), both.where("lower").select("id", "colour")
-        inside = cut(inside.join(_shuffled(colour.select(F.col("id").alias("src"), "colour")), "src").join(_shuffled(colour.select(F.col("id").alias("dst"), F.col("colour").alias("other"))), "dst").where("colour = other").select("src", "dst"))
+        inside = cut(inside.join(shuffled(colour.select(F.col("id").alias("src"), "colour")), "src").join(shuffled(colour.select(F.col("id").alias("dst"), F.col("colour").alias("other"))), "dst").where("colour = other").select("src", "dst"))
         back = reach_from(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("id = colour").select("id"))
-        done.append(cut(back.join(_shuffled(colour), "id").select("id", F.col("colour").alias("component"))))
-        rest = cut(colour.join(_shuffled(done[-1]), "id", "left_anti").select("id"))
-        inside = cut(inside.join(_shuffled(rest.select(F.col("id").alias("src"))), "src", "left_semi").join(_shuffled(rest.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst"))
+        done.append(cut(back.join(shuffled(colour), "id").select("id", F.col("colour").alias("component"))))
+        rest = cut(colour.join(shuffled(done[-1]), "id", "left_anti").select("id"))
+        inside = cut(inside.join(shuffled(rest.select(F.col("id").alias("src"))), "src", "left_semi").join(shuffled(rest.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst"))
     found = _union(done)
-    return found.join(_shuffled(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")), "component", "left_semi").select("id", "component")
+    return found.join(shuffled(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")), "component", "left_semi").select("id", "component")
 
 
 def _condensed(edges: DataFrame, of: DataFrame) -> DataFrame:
     """src, dst: edges between components; of: id, component of the nodes that share one."""
     for end in ("src", "dst"):
-        edges = edges.join(_shuffled(of.select(F.col("id").alias(end), F.col("component").alias("_of"))), end, "left").withColumn(end, F.coalesce("_of", end)).drop("_of")
+        edges = edges.join(shuffled(of.select(F.col("id").alias(end), F.col("component").alias("_of"))), end, "left").withColumn(end, F.coalesce("_of", end)).drop("_of")
     return cut(edges.where("src <> dst").select("src", "dst").distinct())
 
 
@@ -84,7 +79,7 @@ def reach(edges: DataFrame) -> DataFrame:
         of = cut(components(placed.where("level is null").select("id"), edges))
         edges = _condensed(edges, of)
         placed = cut(levels(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct(), edges))
-    rows = cut(edges.join(_shuffled(placed.select(F.col("id").alias("src"), "level")), "src"))
+    rows = cut(edges.join(shuffled(placed.select(F.col("id").alias("src"), "level")), "src"))
     top = placed.agg(F.max("level")).first()[0] or 0
     sets = []
     for level in range(1, top + 1):
@@ -92,14 +87,14 @@ def reach(edges: DataFrame) -> DataFrame:
         own = mine.select("src", F.pmod(F.xxhash64("dst"), F.lit(parts)).alias("part"), F.array("dst").alias("members"))
         if sets:
             below = _union(sets).withColumnRenamed("src", "dst")
-            own = own.unionByName(mine.join(_shuffled(below), "dst").select("src", "part", "members"))
+            own = own.unionByName(mine.join(shuffled(below), "dst").select("src", "part", "members"))
         sets.append(cut(own.groupBy("src", "part").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))))
     out = _union(sets).select("src", F.explode("members").alias("dst")) if sets else edges.select("src", "dst")
     if of is None:
         return out
     within = of.select(F.col("id").alias("src"), "component").join(of.select(F.col("id").alias("dst"), "component"), "component").where("src <> dst").select("src", "dst")
     for end in ("src", "dst"):
-        out = out.join(_shuffled(of.select(F.col("component").alias(end), F.col("id").alias("_id"))), end, "left").withColumn(end, F.coalesce("_id", end)).drop("_id")
+        out = out.join(shuffled(of.select(F.col("component").alias(end), F.col("id").alias("_id"))), end, "left").withColumn(end, F.coalesce("_id", end)).drop("_id")
     return out.select("src", "dst").unionByName(within)
 
 
@@ -109,8 +104,8 @@ def reach_from(edges: DataFrame, starts: DataFrame, *keys: str) -> DataFrame:
     new = cut(starts.select(*keys, "id").distinct())
     known = [new]
     while not new.isEmpty():
-        found = new.withColumnRenamed("id", "src").join(_shuffled(edges), "src").select(*keys, F.col("dst").alias("id")).distinct()
-        new = cut(found.join(_shuffled(_union(known)), [*keys, "id"], "left_anti"))
+        found = new.withColumnRenamed("id", "src").join(shuffled(edges), "src").select(*keys, F.col("dst").alias("id")).distinct()
+        new = cut(found.join(shuffled(_union(known)), [*keys, "id"], "left_anti"))
         known.append(new)
     return _union(known)
 
@@ -127,17 +122,17 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A round counts down the open dependencies of the nodes above those placed last; only what is new is written.
     """
-    edges = cut(edges.select("src", "dst").distinct().join(_shuffled(nodes.select(F.col("id").alias("src"))), "src", "left_semi").select("src", "dst"))
+    edges = cut(edges.select("src", "dst").distinct().join(shuffled(nodes.select(F.col("id").alias("src"))), "src", "left_semi").select("src", "dst"))
     degree = cut(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("open")))
-    placed = [cut(nodes.select("id").distinct().join(_shuffled(degree), "id", "left_anti").withColumn("level", F.lit(0)))]
+    placed = [cut(nodes.select("id").distinct().join(shuffled(degree), "id", "left_anti").withColumn("level", F.lit(0)))]
     met: list[DataFrame] = []
     while not placed[-1].isEmpty():
         below = placed[-1].select(F.col("id").alias("dst"))
-        met.append(cut(edges.join(_shuffled(below), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("met"))))
-        sums = _union(met).join(_shuffled(met[-1].select("id")), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
-        placed.append(cut(sums.join(_shuffled(degree), "id").where("met = open").select("id", F.lit(len(placed)).alias("level"))))
+        met.append(cut(edges.join(shuffled(below), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("met"))))
+        sums = _union(met).join(shuffled(met[-1].select("id")), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
+        placed.append(cut(sums.join(shuffled(degree), "id").where("met = open").select("id", F.lit(len(placed)).alias("level"))))
     found = _union(placed)
-    return found.unionByName(degree.join(_shuffled(found), "id", "left_anti").select("id", F.lit(None).cast("int").alias("level")))
+    return found.unionByName(degree.join(shuffled(found), "id", "left_anti").select("id", F.lit(None).cast("int").alias("level")))
 
 
 def schedule(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -209,7 +204,7 @@ def _families_with(edges: DataFrame, targets: DataFrame, ids: DataFrame, *same:
     nodes = down.select(F.col("src").alias("id")).unionByName(down.select(F.col("dst").alias("id"))).distinct()
     of = cut(components(nodes, down))
     along = _condensed(down, of)
-    placed = lambda df, c, as_: df.join(_shuffled(of.select(F.col("id").alias(c), F.col("component").alias("_of"))), c, "left").withColumn(as_, F.coalesce("_of", c)).drop("_of")
+    placed = lambda df, c, as_: df.join(shuffled(of.select(F.col("id").alias(c), F.col("component").alias("_of"))), c, "left").withColumn(as_, F.coalesce("_of", c)).drop("_of")
     targets, ids = cut(placed(targets, "target", "top")), cut(placed(ids, "id", "component"))
     starts, ends = targets.select("top").distinct(), ids.select("component").distinct()
     if starts.count() <= ends.count():
@@ -217,7 +212,7 @@ def _families_with(edges: DataFrame, targets: DataFrame, ids: DataFrame, *same:
     else:
         up = along.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         pairs = reach_from(up, ends.select("component", F.col("component").alias("id")), "component").withColumnRenamed("id", "top")
-    return _paired(targets.join(_shuffled(pairs), "top").drop("top"), ids, ["component", *same], later)
+    return _paired(targets.join(shuffled(pairs), "top").drop("top"), ids, ["component", *same], later)
 
 
 def _paired(asked: DataFrame, held: DataFrame, keys: list[str], later: str) -> DataFrame:
@@ -227,14 +222,14 @@ def _paired(asked: DataFrame, held: DataFrame, keys: list[str], later: str) -> D
     than its pairs by the length of a block.
     """
     value = (lambda c: F.struct(later, c)) if later else F.col
-    sizes = asked.groupBy(*keys).agg(F.ceil(F.count("*") / TARGETS).alias("tall")).join(_shuffled(held.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("wide"))), keys)
-    asked = asked.join(_shuffled(sizes), keys).withColumn("i", F.pmod(F.xxhash64("target"), "tall"))
-    held = held.join(_shuffled(sizes), keys).withColumn("j", F.pmod(F.xxhash64("id"), "wide"))
+    sizes = asked.groupBy(*keys).agg(F.ceil(F.count("*") / TARGETS).alias("tall")).join(shuffled(held.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("wide"))), keys)
+    asked = asked.join(shuffled(sizes), keys).withColumn("i", F.pmod(F.xxhash64("target"), "tall"))
+    held = held.join(shuffled(sizes), keys).withColumn("j", F.pmod(F.xxhash64("id"), "wide"))
     # Lists are dealt before each goes to all blocks of the other side: a task has the copies of one list at a time.
     asked = spread(_lists(asked, "targets", value("target"), LISTED, *keys, "i", "wide")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).drop("wide")
     held = spread(_lists(held, "ids", value("id"), SHORT, *keys, "j", "tall")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tall") - 1))).drop("tall")
     block = [*keys, "i", "j"]
-    met = spread(held, *block).join(_shuffled(spread(asked, *block)), block)
+    met = spread(held, *block).join(shuffled(spread(asked, *block)), block)
     if later:
         met = met.where(F.element_at("ids", -1)[later] > F.element_at("targets", 1)[later])
     rows = met.select("targets", F.explode("ids").alias("m")).select("m", F.explode("targets").alias("t"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, spread
+from ..sources.tables import cut, shuffled, spread
 
 #: Modifiers, kinds and names that begin a declaration; brackets (fixed values).
 HEAD = re.compile(
@@ -179,17 +179,17 @@ def covered(candidates: DataFrame, found: DataFrame) -> DataFrame:
     decl = found.select("file", "name", "line", F.md5(parsed("text")["alpha"]).alias("alpha"), _short(F.col("name")).alias("short"))
     asked = candidates.select("id", "file", "target", parsed("text").alias("p")).where("p.name <> ''").select("id", "file", "target", _short(F.col("p.name")).alias("short"), F.md5("p.alpha").alias("alpha"))
     names = F.explode(F.array_distinct(F.array("target", _short(F.col("target"))))).alias("alias")
-    targets = asked.select("id", "file", names).join(found.groupBy("file", F.col("name").alias("alias")).agg(F.min("line").alias("line"), F.count("*").alias("times")), ["file", "alias"]).groupBy("id").agg(F.min("line").alias("until"), F.sum("times").alias("n")).where("n = 1")
-    asked = asked.join(targets.select("id", "until"), "id")
+    targets = asked.select("id", "file", names).join(shuffled(found.groupBy("file", F.col("name").alias("alias")).agg(F.min("line").alias("line"), F.count("*").alias("times"))), ["file", "alias"]).groupBy("id").agg(F.min("line").alias("until"), F.sum("times").alias("n")).where("n = 1")
+    asked = asked.join(shuffled(targets.select("id", "until")), "id")
     first = decl.groupBy("file", "short", "alpha").agg(F.min(F.struct("line", "name")).alias("d"))
     of_name = first.groupBy("file", "short").agg(F.min("d").alias("d"))
-    named = asked.join(of_name, ["file", "short"]).where("d.line < until").select("id", F.col("d.name").alias("existing"), F.lit("same_name").alias("reason"))
+    named = asked.join(shuffled(of_name), ["file", "short"]).where("d.line < until").select("id", F.col("d.name").alias("existing"), F.lit("same_name").alias("reason"))
     # Of what says the same, the first, and the first of another short name than that has, are all that can be asked for.
     other = F.col("short") != F.col("least.short")
-    of_alpha = first.join(first.groupBy("file", "alpha").agg(F.min(F.struct("d", "short")).alias("least")), ["file", "alpha"]).groupBy("file", "alpha", "least").agg(F.min(F.when(other, F.col("d"))).alias("next"))
-    alike = asked.join(of_alpha, ["file", "alpha"]).withColumn("d", F.when(F.col("short") != F.col("least.short"), F.col("least.d")).otherwise(F.col("next")))
+    of_alpha = first.join(shuffled(first.groupBy("file", "alpha").agg(F.min(F.struct("d", "short")).alias("least"))), ["file", "alpha"]).groupBy("file", "alpha", "least").agg(F.min(F.when(other, F.col("d"))).alias("next"))
+    alike = asked.join(shuffled(of_alpha), ["file", "alpha"]).withColumn("d", F.when(F.col("short") != F.col("least.short"), F.col("least.d")).otherwise(F.col("next")))
     alike = alike.where("d.line < until").select("id", F.col("d.name").alias("existing"), F.lit("same_signature").alias("reason"))
-    return named.unionByName(alike.join(named.select("id"), "id", "left_anti"))
+    return named.unionByName(alike.join(shuffled(named.select("id")), "id", "left_anti"))
 
 
 def earlier_pairs(asked: DataFrame, held: DataFrame, key: str, block: int = 512) -> DataFrame:

@@ -33,6 +33,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks(df.sparkSession), *keys)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df to be joined by a shuffle: Spark guesses sizes from those of compressed files, and what it broadcasts passes through the driver."""
+    return df.hint("merge")
+
+
 def spread_parts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view in SQL over the parts alone, which are dealt first, so that its texts are made where they are used."""
     return spark.sql(sql, part=spread(table(spark, sf_dir, "part"), "p_partkey"))

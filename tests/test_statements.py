@@ -41,6 +41,15 @@ def test_covered(spark):
     assert got == {1: ("N.one", "same_signature"), 2: ("two", "same_name"), 4: ("two", "same_signature"), 8: ("N.one", "same_name")}
 
 
+def test_covered_without_broadcasts(spark):
+    """No side of a join passes through the driver, however small Spark takes it to be."""
+    found = spark.createDataFrame([("f", "one", 1, "theorem one : True")], "file string, name string, line int, text string")
+    asked = spark.createDataFrame([(1, "f", "one", "theorem new : True")], "id int, file string, target string, text string")
+    done = s.covered(asked, found)
+    done.collect()
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dominated(spark):
     nodes = spark.createDataFrame(
         [(1, "f", "stated", "theorem t (n : Nat) (h : n > 0) : p n"), (2, "f", "proved", "theorem a (n : Nat) (h : n > 0) : ¬ (p n)"), (3, "f", "proved", "theorem b : ¬ (∀ (n : Nat) (h : n > 0), p n)"), (4, "f", "proved", "theorem c (n : Nat) : ¬ p n"),
